@@ -129,10 +129,11 @@ class Bpe:
 
     def learn(self, words) -> None:
         """Encode those of these words that are not known yet."""
-        new = [w for w in set(words) if w not in self.known]
+        words = set(words)
+        new = [w for w in words if w not in self.known]
         if len(self.known) + len(new) > KNOWN:
             self.known = {}
-            new = list(set(words))
+            new = list(words)
         plain = [w for w in new if w not in self.special]
         if plain:
             ids, at = self.merge(plain)
