@@ -18,14 +18,14 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: A cut's hash is the least within this many bytes on either side, so chunks
-#: have at least one byte more, and 33 on average.
+#: A cut's hash is the least within this many bytes on either side, ties
+#: included; chunks have at least one byte more, and 33 on average.
 NEAR = 16
-#: Longest chunk; only periodic text comes to it.
+#: Longest chunk.
 LONGEST = 256
 #: Bytes of a repeated span, at least. Chunks inside a passage of 50 words come
 #: to more.
-SPAN = 80
+SPAN = 100
 BLOCK = 1 << 20
 
 
@@ -74,9 +74,16 @@ def cuts(raw: bytes) -> np.ndarray:
             short = min(NEAR, len(h))
             left[1:short] = np.minimum.accumulate(h[: short - 1])
         right = ahead[1 : len(h) + 1]
-        place = np.flatnonzero((h < left) & (h <= right)) + low
+        place = np.flatnonzero((h <= left) & (h <= right)) + low
         found.append(place[(place >= at) & (place < at + BLOCK)] + 1)
     ends = np.unique(np.append(np.concatenate(found), len(data))) if len(data) else np.zeros(0, np.int64)
+    if len(ends) > 1 and np.diff(ends).min() <= NEAR:  # ties, in periodic text: the first of each stretch
+        kept, before = [], -NEAR
+        for e in ends[:-1].tolist():
+            if e - before > NEAR:
+                kept.append(e)
+                before = e
+        ends = np.append(np.array(kept, np.int64), ends[-1])
     wide = np.flatnonzero(np.diff(ends, prepend=0) > LONGEST)
     if len(wide):
         starts = np.concatenate([[0], ends[:-1]])
