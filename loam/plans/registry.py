@@ -4,7 +4,9 @@ from __future__ import annotations
 
 
 def _modules():
-    return []
+    from . import scalars
+
+    return [scalars]
 
 
 def queries():
