@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules():
-    from . import scalars
+    from . import scalars, worlds
 
-    return [scalars]
+    return [scalars, worlds]
 
 
 def queries():
