@@ -60,11 +60,11 @@ def _in_area():
 def ore_columns(voxels: DataFrame, registry: DataFrame, requests: DataFrame) -> DataFrame:
     """Per request, resource and column: blocks, min_y, max_y.
 
-    Registry and requests are dimensions; their join is broadcast, so the voxels
+    Registry and requests are dimensions, which Spark broadcasts by their size; the voxels
     are shuffled once, after partial aggregation.
     """
     wanted = membership(registry, requests).join(requests, "resource").select("resource", "block_id", "request_id", "cx", "cz", "radius", "y_min", "y_max")
-    hits = voxels.join(F.broadcast(wanted), "block_id").where(_in_area())
+    hits = voxels.join(wanted, "block_id").where(_in_area())
     return hits.groupBy("request_id", "resource", "x", "z").agg(F.count(F.lit(1)).alias("blocks"), F.min("y").alias("min_y"), F.max("y").alias("max_y"))
 
 
@@ -117,7 +117,7 @@ def ore_observation(voxels: DataFrame, registry: DataFrame, requests: DataFrame,
     an available chunk; else whether a planned chunk is missing or failed."""
     keys = ["cx", "cy", "cz"]
     open_ = coverage.where("status = 'AVAILABLE'").select(*keys)
-    readable = voxels.withColumns({f"c{c}": G.to_chunk(F.col(c)) for c in "xyz"}).join(F.broadcast(open_), keys, "left_semi").select("x", "y", "z", "block_id")
+    readable = voxels.withColumns({f"c{c}": G.to_chunk(F.col(c)) for c in "xyz"}).join(open_, keys, "left_semi").select("x", "y", "z", "block_id")
     hits = ore_columns(readable, registry, requests).select("request_id", "resource").distinct().withColumn("hit", F.lit(True))
     plan = G.plan_chunks(requests, *size).select("request_id", F.col("mx").alias("cx"), F.col("my").alias("cy"), F.col("mz").alias("cz")).distinct()
     gaps = plan.join(coverage, keys, "left").groupBy("request_id").agg(F.max(F.coalesce(F.col("status") != "AVAILABLE", F.lit(True))).alias("gap"))

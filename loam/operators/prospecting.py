@@ -17,7 +17,7 @@ def host_compatibility(pairs: DataFrame, compat: DataFrame) -> DataFrame:
     """Verdict of each (request_id, resource) over its observed rock_code rows:
     any COMPATIBLE wins, else any UNKNOWN, else INCOMPATIBLE. compat is the
     user's table (resource, rock_code, verdict); a pair it lacks is UNKNOWN."""
-    judged = pairs.join(F.broadcast(compat), ["resource", "rock_code"], "left").withColumn("verdict", F.coalesce("verdict", F.lit("UNKNOWN")))
+    judged = pairs.join(compat, ["resource", "rock_code"], "left").withColumn("verdict", F.coalesce("verdict", F.lit("UNKNOWN")))
     worst = F.max(F.when(F.col("verdict") == "COMPATIBLE", 2).when(F.col("verdict") == "UNKNOWN", 1).otherwise(0))
     named = F.element_at(F.array(F.lit("INCOMPATIBLE"), F.lit("UNKNOWN"), F.lit("COMPATIBLE")), worst + 1)
     return judged.groupBy("request_id", "resource").agg(named.alias("compatibility"))

@@ -75,13 +75,14 @@ def max_signal(signals: DataFrame, requests: DataFrame) -> DataFrame:
     centre lies in the circle; null if none. requests is a dimension."""
     cx, cz = F.floor((F.col("x0") + F.col("x1")) / 2).cast("int"), F.floor((F.col("z0") + F.col("z1")) / 2).cast("int")
     cells = signals.select("resource", cx.alias("x"), cz.alias("z"), "relative")
-    near = cells.join(F.broadcast(requests), "resource").where(G.in_circle(F.col("x"), F.col("z"), F.col("cx"), F.col("cz"), F.col("radius")))
+    near = cells.join(requests, "resource").where(G.in_circle(F.col("x"), F.col("z"), F.col("cx"), F.col("cz"), F.col("radius")))
     best = near.groupBy("request_id", "resource").agg(F.max("relative").alias("signal"))
     return requests.select("request_id", "resource").join(best, ["request_id", "resource"], "left")
 
 
 def region_window(regions: DataFrame, requests: DataFrame) -> DataFrame:
-    """Regions whose rectangle meets each request's square, half open."""
+    """Regions whose rectangle meets each request's square, half open. requests
+    come from a user and are few; they are broadcast."""
     x0, z0 = F.col("rx") * G.REGION, F.col("rz") * G.REGION
     meets = (x0 < F.col("cx") + F.col("radius")) & (x0 + G.REGION > F.col("cx") - F.col("radius")) & (z0 < F.col("cz") + F.col("radius")) & (z0 + G.REGION > F.col("cz") - F.col("radius"))
     return regions.join(F.broadcast(requests), meets)

@@ -32,7 +32,7 @@ def upper_rock(voxels: DataFrame, registry: DataFrame, coverage: DataFrame, cell
     needed = columns.select("cx", "cz").distinct().withColumn("cy", F.explode(F.sequence(F.lit(low), F.lit(high))))
     gaps = needed.join(coverage, ["cx", "cy", "cz"], "left")
     gaps = gaps.groupBy("cx", "cz").agg(F.max(F.when(F.coalesce(F.col("status") != "AVAILABLE", F.lit(True)), F.col("cy"))).alias("gap"))
-    hits = available_voxels(voxels, coverage).where(F.col("y").between(y_min, y_max)).join(F.broadcast(rocks(registry)), "block_id")
+    hits = available_voxels(voxels, coverage).where(F.col("y").between(y_min, y_max)).join(rocks(registry), "block_id")
     top = hits.groupBy("x", "z").agg(F.max(F.struct("y", "block_id", "rock_code")).alias("top"))
     rows = columns.join(top, ["x", "z"], "left").join(gaps, ["cx", "cz"], "left")
     clear = F.col("gap").isNull() | (F.floor((F.col("top.y") + 1) / G.CHUNK) > F.col("gap"))

@@ -12,14 +12,14 @@ from .rock import available_voxels
 
 def with_codes(voxels: DataFrame, registry: DataFrame) -> DataFrame:
     """Voxels with their code; an unregistered id is unknown:<id>."""
-    joined = voxels.join(F.broadcast(registry.select("block_id", "code")), "block_id", "left")
+    joined = voxels.join(registry.select("block_id", "code"), "block_id", "left")
     return joined.withColumn("registered", F.col("code").isNotNull()).withColumn("code", F.coalesce("code", F.concat(F.lit("unknown:"), F.col("block_id").cast("string"))))
 
 
 def classified(voxels: DataFrame, registry: DataFrame, liquids: DataFrame) -> DataFrame:
     """Voxels with code, liquid_id (0 where none), class and class_code."""
     joined = with_codes(voxels, registry).join(liquids, ["x", "y", "z"], "left").withColumn("liquid_id", F.coalesce("liquid_id", F.lit(0)))
-    liquid = F.broadcast(registry.select(F.col("block_id").alias("liquid_id"), F.col("code").alias("liquid_code")))
+    liquid = registry.select(F.col("block_id").alias("liquid_id"), F.col("code").alias("liquid_code"))
     joined = joined.join(liquid, "liquid_id", "left")
     joined = joined.withColumn("class", C.surface_class(F.col("block_id"), F.when(F.col("registered"), F.col("code")), F.col("liquid_id"), F.col("liquid_code")))
     return joined.withColumn("class_code", C.surface_code(F.col("class"))).drop("liquid_code")
@@ -56,15 +56,15 @@ def resolve_surface(columns: DataFrame, heights: DataFrame, voxels: DataFrame, r
     seen = classified(available_voxels(voxels, coverage).select("x", "y", "z", "block_id"), registry, liquids)
     asked = columns.select("x", "z").distinct().join(heights.select("x", "z", "rain_y"), ["x", "z"], "left")
     at = asked.join(seen.withColumnRenamed("y", "rain_y"), ["x", "z", "rain_y"], "left").withColumns(keys)
-    at = at.join(F.broadcast(no_liquids.select("mx", "mz", F.lit(True).alias("dry"))), ["mx", "mz"], "left")
+    at = at.join(no_liquids.select("mx", "mz", F.lit(True).alias("dry")), ["mx", "mz"], "left")
     bad = F.col("rain_y").isNull() | ~G.in_world(F.col("rain_y"), size_y) | F.col("dry").isNotNull() | F.col("block_id").isNull() | ~_ground(at)
     flags = at.withColumn("bad", F.coalesce(bad, F.lit(True)))
     chunks = flags.groupBy("mx", "mz").agg(F.max("bad").alias("fallback"))
-    judged = flags.join(F.broadcast(chunks), ["mx", "mz"])
+    judged = flags.join(chunks, ["mx", "mz"])
     fast = judged.where("NOT fallback").select("x", "z", F.lit("FAST").alias("path"), F.col("rain_y").alias("y"), "block_id", "liquid_id", "class")
-    slow = seen.withColumns(keys).join(F.broadcast(chunks.where("fallback")), ["mx", "mz"])
+    slow = seen.withColumns(keys).join(chunks.where("fallback"), ["mx", "mz"])
     # a mapchunk whose liquids are missing is classified without them
-    dry = F.broadcast(no_liquids.select("mx", "mz", F.lit(True).alias("dry")))
+    dry = no_liquids.select("mx", "mz", F.lit(True).alias("dry"))
     slow = slow.join(dry, ["mx", "mz"], "left").withColumn("liquid_id", F.when(F.col("dry").isNull(), F.col("liquid_id")).otherwise(0))
     slow = slow.withColumn("class", F.when(F.col("dry").isNull(), F.col("class")).otherwise(C.surface_class(F.col("block_id"), F.when(F.col("registered"), F.col("code")), F.lit(0), F.lit(None).cast("string"))))
     slow = slow.withColumn("class_code", C.surface_code(F.col("class"))).join(columns.select("x", "z").distinct(), ["x", "z"], "left_semi")
@@ -88,14 +88,14 @@ def fallback_diagnostics(classified_voxels: DataFrame, no_liquids: DataFrame) ->
     """Per mapchunk: columns considered, resolved, and without liquids, each
     column once however many vertical chunks it has."""
     per = classified_voxels.groupBy("x", "z").agg(F.max(_ground(classified_voxels)).alias("resolved"))
-    per = per.withColumns({"mx": G.to_chunk(F.col("x")), "mz": G.to_chunk(F.col("z"))}).join(F.broadcast(no_liquids.select("mx", "mz", F.lit(1).alias("dry"))), ["mx", "mz"], "left")
+    per = per.withColumns({"mx": G.to_chunk(F.col("x")), "mz": G.to_chunk(F.col("z"))}).join(no_liquids.select("mx", "mz", F.lit(1).alias("dry")), ["mx", "mz"], "left")
     return per.groupBy("mx", "mz").agg(F.count(F.lit(1)).alias("considered"), F.count_if("resolved").alias("resolved"), F.count("dry").alias("liquid_missing"))
 
 
 def soil_map(surface: DataFrame, registry: DataFrame) -> DataFrame:
     """Fertility of each resolved column that is no water and no snow."""
     dim = registry.withColumn("f", C.soil_fertility(F.col("code"))).where("f IS NOT NULL").select("block_id", "f.tier", "f.percent")
-    return surface.where("class NOT IN ('WATER', 'SNOW')").join(F.broadcast(dim), "block_id").select("x", "z", "tier", "percent")
+    return surface.where("class NOT IN ('WATER', 'SNOW')").join(dim, "block_id").select("x", "z", "tier", "percent")
 
 
 def probe(points: DataFrame, surface: DataFrame, rock_columns: DataFrame) -> DataFrame:

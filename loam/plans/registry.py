@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules():
-    from . import scalars, worlds
+    from . import scalars, stored, worlds
 
-    return [scalars, worlds]
+    return [scalars, worlds, stored]
 
 
 def queries():
