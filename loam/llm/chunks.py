@@ -154,7 +154,7 @@ def without_repeats(docs: DataFrame, span: int = SPAN) -> DataFrame:
 
     A cut that would split a character leaves that character out.
     """
-    spans = repeated_spans(docs, span).where(~F.col("kept")).groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("start", "stop")).alias("_spans"))
+    spans = repeated_spans(docs, span).where(~F.col("kept")).groupBy(F.col("doc_id").alias("id")).agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
 
     def cut(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for texts, lists in parts:
@@ -170,5 +170,7 @@ def without_repeats(docs: DataFrame, span: int = SPAN) -> DataFrame:
                 out.append(b"".join([*keep, raw[at:]]).decode("utf-8", "ignore"))
             yield pd.Series(out)
 
-    joined = docs.join(spans, F.col("doc_id") == F.col("_id"), "left")
-    return joined.withColumn("text", F.pandas_udf(cut, "string")("text", "_spans")).select(docs.columns)
+    keyed = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("key"), F.col("text").cast("string").alias("whole"))
+    joined = keyed.join(spans, F.col("key") == F.col("id"), "left")
+    shorter = F.pandas_udf(cut, "string")("whole", "spans")
+    return joined.select(F.col("doc").withField("text", shorter).alias("doc")).select("doc.*")

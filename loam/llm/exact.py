@@ -121,10 +121,10 @@ def without_duplicates(docs: DataFrame, runs: int = RUNS) -> DataFrame:
 
     Rows that repeat both doc_id and text are kept once.
     """
-    kept = exact_duplicates(docs, runs).where("kept").select(_or_last("doc_id").alias("_id"), F.unhex("text_sha256").alias("_digest"))
-    keyed = docs.withColumns({"_id": _or_last("doc_id"), "_digest": F.unhex(F.sha2(normalised(F.col("text")), 256))})
-    stay = keyed.join(kept.distinct(), ["_id", "_digest"], "left_semi")
-    return stay.dropDuplicates(["_id", "_digest"]).select(docs.columns)
+    kept = exact_duplicates(docs, runs).where("kept").select(_or_last("doc_id").alias("id"), F.unhex("text_sha256").alias("digest"))
+    keyed = docs.select(F.struct("*").alias("doc"), _or_last("doc_id").alias("id"), F.unhex(F.sha2(normalised(F.col("text")), 256)).alias("digest"))
+    stay = keyed.join(kept.distinct(), ["id", "digest"], "left_semi")
+    return stay.dropDuplicates(["id", "digest"]).select("doc.*")
 
 
 SQL = r"""

@@ -125,19 +125,20 @@ def _same_source(left: DataFrame, right: DataFrame, *keys: str) -> DataFrame:
 
 def take(docs: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
     """The mix itself: the rows of docs, each as often as it has copies."""
-    sized = docs.withColumn("_size", words(F.col("text")))
-    chosen = _mixed(sized.select("doc_id", "source", F.col("_size").alias("size")), weights, most)
     last = F.lit(2**63 - 1)
+    named = F.coalesce(F.concat(F.lit("s"), "source"), F.lit(""))  # null is a source too
+    sized = docs.select(F.struct("*").alias("doc"), "doc_id", "source", words(F.col("text")).alias("size"))
+    chosen = _mixed(sized.select("doc_id", "source", "size"), weights, most)
     # rows that repeat a doc_id, source and size share their copies
-    copies = chosen.groupBy(F.coalesce("doc_id", last).alias("_id"), "source", F.col("size").alias("_size")).agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
-    copies, _ = store(copies.withColumn("_source", F.coalesce(F.concat(F.lit("s"), "source"), F.lit(""))).drop("source"), "copies")
-    keyed = sized.withColumns({"_id": F.coalesce("doc_id", last), "_source": F.coalesce(F.concat(F.lit("s"), "source"), F.lit(""))})
-    joined = keyed.join(copies, ["_id", "_source", "_size"])
-    order = Window.partitionBy("_id", "_source", "_size").orderBy("_id")
-    nth = F.when(F.col("_rows") > 1, F.row_number().over(order)).otherwise(1)
-    each = F.floor(F.col("_copies") / F.col("_rows")) + (nth <= F.col("_copies") % F.col("_rows")).cast("long")
-    times = joined.withColumn("_times", each).where("_times > 0")
-    return times.withColumn("_", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times")))).select(docs.columns)
+    copies = chosen.groupBy(F.coalesce("doc_id", last).alias("id"), named.alias("name"), "size").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows"))
+    copies, _ = store(copies, "copies")
+    keyed = sized.select("doc", F.coalesce("doc_id", last).alias("id"), named.alias("name"), "size")
+    joined = keyed.join(copies, ["id", "name", "size"])
+    order = Window.partitionBy("id", "name", "size").orderBy("id")
+    nth = F.when(F.col("rows") > 1, F.row_number().over(order)).otherwise(1)
+    each = F.floor(F.col("copies") / F.col("rows")) + (nth <= F.col("copies") % F.col("rows")).cast("long")
+    times = joined.withColumn("times", each).where("times > 0")
+    return times.select("doc.*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("loam_copy")).select(docs.columns)
 
 
 def sql(documents: str = "documents", result: str = "SELECT doc_id, size, source_size, target, taken FROM mixed") -> str:

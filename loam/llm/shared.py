@@ -1,96 +1,19 @@
-"""What several operators of this subpackage use: tables in the shared folder
-that cut lineage, and connected components by star contraction.
-"""
+"""What several operators of this subpackage use."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..operators.graph import components, drop, shared_folder, store
+
+__all__ = ["SPACE", "WORD", "components", "drop", "shared_folder", "store", "words"]
+
 #: Runs of these characters separate words and are folded by normalisation.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir.
-
-    Where the setting is absent, a local session (tests) gets a temporary
-    folder; on a cluster that is an error, as executors could not see it.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    context = spark.sparkContext
-    root = context.getCheckpointDir()
-    if root is None:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="loam-"))
-        root = context.getCheckpointDir()
-    return root.rstrip("/")
-
-
-def store(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """Write df to a fresh table in the shared folder and read it back.
-
-    The table cuts the lineage and survives lost executors. Returns the table
-    and its path, for drop().
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/loam-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
-
-
-def drop(spark: SparkSession, path: str) -> None:
-    """Delete a table that store() wrote and no later plan reads."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def words(text: Column) -> Column:
     """Number of words; null counts as empty."""
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
-
-
-def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
-    """(node, component) for every node of the undirected edges (u, v).
-
-    component is the smallest node reachable. Alternating large-star and
-    small-star contraction (Kiveris et al. 2014), written as joins against
-    per-node minima, so no task holds a node's whole neighbour list and Spark
-    can split the join of a hot node. Each round is written to the shared
-    folder. Nulls and loops are dropped; no edges give no rows.
-    """
-    spark = edges.sparkSession
-    now, path = store(
-        edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"), F.expr("u IS NOT NULL AND v IS NOT NULL AND u <> v").alias("ok"))
-        .where("ok").select("u", "v").distinct(), "edges")
-    state = _state(now)
-    for _ in range(rounds):
-        if state[0] == 0:
-            break
-        both = now.union(now.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large, large_path = store(large, "large")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        after, after_path = store(small.union(least.select("u", "m")).distinct(), "edges")
-        drop(spark, large_path)
-        drop(spark, path)
-        now, path, before, state = after, after_path, state, _state(after)
-        if before == state:
-            break
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
-    # every node now points at the root of its star
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-
-
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())

@@ -201,6 +201,7 @@ def one_of_each(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -
     """
     last = F.lit(2**63 - 1)
     found = near_duplicates(docs, shingle, radius)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", last).alias("_id"), F.coalesce("component_id", last).alias("_c")).where("_id = _c").select("_id").distinct()
-    keyed = docs.withColumn("_id", F.coalesce("doc_id", last))
-    return keyed.join(kept, "_id", "left_semi").dropDuplicates(["_id"]).select(docs.columns)
+    same = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    kept = found.where(same).select(F.coalesce("doc_id", last).alias("id")).distinct()
+    keyed = docs.select(F.struct("*").alias("doc"), F.coalesce("doc_id", last).alias("id"))
+    return keyed.join(kept, "id", "left_semi").dropDuplicates(["id"]).select("doc.*")
