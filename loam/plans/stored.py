@@ -36,7 +36,8 @@ STATUS_SQL = "CASE WHEN bad THEN 'INVALID' WHEN pd <> 0 {0} THEN 'IGNORED' WHEN
 def raw(w):
     rows = w.spark.sql(RAW, orders=w.table("orders"))
     key = G.encode_position(F.col("px"), F.col("py"), F.col("pz"), F.col("pd"))
-    return rows.select("id", F.when(F.col("bad"), key.bitwiseOR(F.lit(1 << 21))).otherwise(key).alias("position"), F.when(F.col("hollow"), F.lit(b"")).otherwise(F.lit(b"\x08\x01")).alias("data"))
+    rows = rows.select("id", F.when(F.col("bad"), key.bitwiseOR(F.lit(1 << 21))).otherwise(key).alias("position"), F.when(F.col("hollow"), F.lit(b"")).otherwise(F.lit(b"\x08\x01")).alias("data"))
+    return store(rows, "raw")[0]  # raw tables are stored ones; keys are decoded from a column
 
 
 @plans("s1_scan_mapregions", f"SELECT {STATUS_SQL.format('OR py <> 0')} AS status, count(*) AS n FROM ({RAW_SQL}) GROUP BY 1")
