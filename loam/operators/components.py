@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import codes as C
+from .dims import small
 from .graph import components
 
 #: One of each pair of opposite neighbours.
@@ -49,5 +50,5 @@ def deposit_order(deposits: DataFrame, marked: int = 20) -> DataFrame:
 def material_deposits(surface: DataFrame, registry: DataFrame, tokens: list[str]) -> DataFrame:
     """Deposits of the surface cells whose code has every token, in order."""
     dim = registry.where(C.material_match(F.col("code"), F.array(*map(F.lit, tokens)))).select("block_id", "code")
-    cells = surface.join(dim, "block_id").select("x", "y", "z", "code")
+    cells = surface.join(small(dim), "block_id").select("x", "y", "z", "code")
     return deposit_order(deposit_stats(cells, components8(cells)))

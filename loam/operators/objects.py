@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import codes as C
 from ..functions import geometry as G
+from .dims import small
 from .rock import available_voxels
 
 
@@ -41,7 +42,7 @@ def candidate_heights(heights: DataFrame, size_y: int) -> DataFrame:
 def object_observations(heights: DataFrame, voxels: DataFrame, catalog: DataFrame, coverage: DataFrame, size_y: int) -> DataFrame:
     """Wanted voxels near the surface in available chunks: object_key, x, y, z, block_id."""
     wanted = catalog.select("object_key", F.explode("block_ids").alias("block_id"))
-    hits = available_voxels(voxels, coverage).join(wanted, "block_id")
+    hits = available_voxels(voxels, coverage).join(small(wanted), "block_id")
     return hits.join(candidate_heights(heights, size_y), ["x", "z", "y"]).select("object_key", "x", "y", "z", "block_id")
 
 

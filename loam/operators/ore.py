@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import codes as C
 from ..functions import geometry as G
+from .dims import small
 
 
 def membership(registry: DataFrame, requests: DataFrame) -> DataFrame:
@@ -60,11 +61,11 @@ def _in_area():
 def ore_columns(voxels: DataFrame, registry: DataFrame, requests: DataFrame) -> DataFrame:
     """Per request, resource and column: blocks, min_y, max_y.
 
-    Registry and requests are dimensions, which Spark broadcasts by their size; the voxels
+    Registry and requests are dimensions, broadcast behind a check; the voxels
     are shuffled once, after partial aggregation.
     """
     wanted = membership(registry, requests).join(requests, "resource").select("resource", "block_id", "request_id", "cx", "cz", "radius", "y_min", "y_max")
-    hits = voxels.join(wanted, "block_id").where(_in_area())
+    hits = voxels.join(small(wanted), "block_id").where(_in_area())
     return hits.groupBy("request_id", "resource", "x", "z").agg(F.count(F.lit(1)).alias("blocks"), F.min("y").alias("min_y"), F.max("y").alias("max_y"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import codes as C
 from ..functions import geometry as G
+from .dims import small
 
 
 def rocks(registry: DataFrame) -> DataFrame:
@@ -32,8 +33,12 @@ def upper_rock(voxels: DataFrame, registry: DataFrame, coverage: DataFrame, cell
     needed = columns.select("cx", "cz").distinct().withColumn("cy", F.explode(F.sequence(F.lit(low), F.lit(high))))
     gaps = needed.join(coverage, ["cx", "cy", "cz"], "left")
     gaps = gaps.groupBy("cx", "cz").agg(F.max(F.when(F.coalesce(F.col("status") != "AVAILABLE", F.lit(True)), F.col("cy"))).alias("gap"))
-    hits = available_voxels(voxels, coverage).where(F.col("y").between(y_min, y_max)).join(rocks(registry), "block_id")
-    top = hits.groupBy("x", "z").agg(F.max(F.struct("y", "block_id", "rock_code")).alias("top"))
+    dim = small(rocks(registry))
+    hits = available_voxels(voxels, coverage).where(F.col("y").between(y_min, y_max)).join(dim, "block_id", "left_semi")
+    # y above block_id in one long: a hash aggregate, where a struct would need sorting
+    packed = F.max(F.shiftleft(F.col("y").cast("long"), 32) + F.col("block_id")).alias("packed")
+    top = hits.groupBy("x", "z").agg(packed).select("x", "z", F.shiftright("packed", 32).cast("int").alias("y"), F.col("packed").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("block_id"))
+    top = top.join(dim, "block_id").select("x", "z", F.struct("y", "block_id", "rock_code").alias("top"))
     rows = columns.join(top, ["x", "z"], "left").join(gaps, ["cx", "cz"], "left")
     clear = F.col("gap").isNull() | (F.floor((F.col("top.y") + 1) / G.CHUNK) > F.col("gap"))
     state = F.when(F.col("top").isNotNull() & clear, "OBSERVED").when(F.col("top").isNull() & F.col("gap").isNull(), "NO_ROCK").otherwise("UNAVAILABLE")

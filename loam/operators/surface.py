@@ -7,19 +7,20 @@ from pyspark.sql import functions as F
 
 from ..functions import codes as C
 from ..functions import geometry as G
+from .dims import small
 from .rock import available_voxels
 
 
 def with_codes(voxels: DataFrame, registry: DataFrame) -> DataFrame:
     """Voxels with their code; an unregistered id is unknown:<id>."""
-    joined = voxels.join(registry.select("block_id", "code"), "block_id", "left")
+    joined = voxels.join(small(registry.select("block_id", "code")), "block_id", "left")
     return joined.withColumn("registered", F.col("code").isNotNull()).withColumn("code", F.coalesce("code", F.concat(F.lit("unknown:"), F.col("block_id").cast("string"))))
 
 
 def classified(voxels: DataFrame, registry: DataFrame, liquids: DataFrame) -> DataFrame:
     """Voxels with code, liquid_id (0 where none), class and class_code."""
     joined = with_codes(voxels, registry).join(liquids, ["x", "y", "z"], "left").withColumn("liquid_id", F.coalesce("liquid_id", F.lit(0)))
-    liquid = registry.select(F.col("block_id").alias("liquid_id"), F.col("code").alias("liquid_code"))
+    liquid = small(registry.select(F.col("block_id").alias("liquid_id"), F.col("code").alias("liquid_code")))
     joined = joined.join(liquid, "liquid_id", "left")
     joined = joined.withColumn("class", C.surface_class(F.col("block_id"), F.when(F.col("registered"), F.col("code")), F.col("liquid_id"), F.col("liquid_code")))
     return joined.withColumn("class_code", C.surface_code(F.col("class"))).drop("liquid_code")
@@ -95,7 +96,7 @@ def fallback_diagnostics(classified_voxels: DataFrame, no_liquids: DataFrame) ->
 def soil_map(surface: DataFrame, registry: DataFrame) -> DataFrame:
     """Fertility of each resolved column that is no water and no snow."""
     dim = registry.withColumn("f", C.soil_fertility(F.col("code"))).where("f IS NOT NULL").select("block_id", "f.tier", "f.percent")
-    return surface.where("class NOT IN ('WATER', 'SNOW')").join(dim, "block_id").select("x", "z", "tier", "percent")
+    return surface.where("class NOT IN ('WATER', 'SNOW')").join(small(dim), "block_id").select("x", "z", "tier", "percent")
 
 
 def probe(points: DataFrame, surface: DataFrame, rock_columns: DataFrame) -> DataFrame:

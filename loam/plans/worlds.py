@@ -533,11 +533,11 @@ def p1(w):
 
 
 @plans("p2_ore_map_indexed", f"""
-WITH {COLUMNS.format(v='voxels')}, {PLAN}, ok AS (SELECT request_id FROM plan p LEFT JOIN (SELECT cx, cy, cz, CASE status WHEN 'FAILED' THEN 'MISSING' ELSE status END AS status FROM chunk_cov WHERE NOT (cx = 0 AND cz = 2)) c
+WITH {COLUMNS.format(v='voxels')}, {PLAN}, ok AS (SELECT request_id FROM plan p LEFT JOIN (SELECT cx, cy, cz, CASE status WHEN 'FAILED' THEN 'MISSING' ELSE status END AS status FROM chunk_cov WHERE NOT (cx = 2 AND cz = 0)) c
   ON p.cx = c.cx AND p.cy = c.cy AND p.cz = c.cz GROUP BY request_id HAVING bool_and(status IS NOT NULL))
 SELECT * FROM cols WHERE request_id IN (SELECT request_id FROM ok)""")
 def p2(w):
-    covered = w.chunk_cov.where("NOT (cx = 0 AND cz = 2)").withColumn("status", F.when(F.col("status") == "FAILED", "MISSING").otherwise(F.col("status")))
+    covered = w.chunk_cov.where("NOT (cx = 2 AND cz = 0)").withColumn("status", F.when(F.col("status") == "FAILED", "MISSING").otherwise(F.col("status")))
     return ore.ore_map_indexed(ore.y_masks(w.voxels), covered, w.registry, w.requests, SIZE)
 
 
