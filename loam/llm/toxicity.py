@@ -187,7 +187,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """
     usable = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").where(~held_out())
     one = usable.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most")).where("toxic = most")
-    one = one.join(docs.where("text IS NOT NULL").select("doc_id").distinct(), "doc_id", "left_semi")
+    one = one.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
     key = F.md5(F.col("doc_id").cast("string").cast("binary"))
     chosen = None
     for toxic in (0, 1):
