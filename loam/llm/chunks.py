@@ -18,6 +18,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import store
+
 #: A cut's hash is the least within this many bytes on either side, ties
 #: included; chunks have at least one byte more, and 33 on average.
 NEAR = 16
@@ -138,6 +140,7 @@ def repeated_spans(docs: DataFrame, span: int = SPAN) -> DataFrame:
     """
     chunks = chunked(docs)
     firsts = chunks.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("digest", "first")
+    firsts, _ = store(firsts, "repeated")  # so that both sides of the join are plain shuffles, which Spark can split
     shared = chunks.join(firsts, "digest").select("doc_id", "start", "size", "first")
     shared = shared.repartition("doc_id").groupBy("doc_id", "start", "size").agg(F.min("first").alias("first"))
     order = Window.partitionBy("doc_id").orderBy("start", "size")
