@@ -189,6 +189,12 @@ def forest_density(raw: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw / 255.0))
 
 
+def mean_density(raw: Column) -> Column:
+    """Aggregate: mean density. The sum is of integers, so no order of the rows
+    changes it."""
+    return F.avg(F.when(raw.isNotNull(), F.greatest(F.lit(0), F.least(F.lit(255), raw)))) / 255.0
+
+
 def forest_class(density: Column) -> Column:
     return (
         F.when(density <= 0, "NONE").when(density < 0.2, "SPARSE").when(density < 0.4, "LIGHT")

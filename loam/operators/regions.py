@@ -20,7 +20,7 @@ def climate_summary(inner: DataFrame) -> DataFrame:
 def forest_summary(inner: DataFrame) -> DataFrame:
     """Per region: cells, least, most, mean density and its class."""
     s = inner.where("layer = 'forest'").groupBy(*REGION_KEYS).agg(
-        F.count(F.lit(1)).alias("cells"), F.min("raw").alias("low"), F.max("raw").alias("high"), F.avg(C.forest_density(F.col("raw"))).alias("density"))
+        F.count(F.lit(1)).alias("cells"), F.min("raw").alias("low"), F.max("raw").alias("high"), C.mean_density(F.col("raw")).alias("density"))
     return s.withColumn("class", C.forest_class(C.forest_density(F.floor(F.col("density") * 255 + 0.5))))
 
 

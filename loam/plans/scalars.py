@@ -303,10 +303,10 @@ LABELS_SQL = "list_filter([CASE WHEN t <= 85 THEN 'COLD' END, CASE WHEN t >= 170
 @plans("c17_environment_labels", f"""
 SELECT lx, lz, array_to_string({LABELS_SQL}, ',') AS labels FROM (
   SELECT lx, lz, avg(CASE WHEN layer = 'climate' THEN (raw >> 16) & 255 END) AS t, avg(CASE WHEN layer = 'climate' THEN (raw >> 8) & 255 END) AS r,
-         avg(CASE WHEN layer = 'forest' THEN raw / 255.0::DOUBLE END) AS d FROM layer_cells GROUP BY lx, lz)""")
+         avg(CASE WHEN layer = 'forest' THEN raw END) / 255.0::DOUBLE AS d FROM layer_cells GROUP BY lx, lz)""")
 def c17(w):
     t, r = C.climate_bits(F.col("raw"))
     climate = F.col("layer") == "climate"
     means = w.layer_cells.groupBy("lx", "lz").agg(
-        F.avg(F.when(climate, t)).alias("t"), F.avg(F.when(climate, r)).alias("r"), F.avg(F.when(F.col("layer") == "forest", C.forest_density(F.col("raw")))).alias("d"))
+        F.avg(F.when(climate, t)).alias("t"), F.avg(F.when(climate, r)).alias("r"), C.mean_density(F.when(F.col("layer") == "forest", F.col("raw"))).alias("d"))
     return means.select("lx", "lz", F.array_join(C.environment_labels(F.col("t"), F.col("r"), F.col("d")), ",").alias("labels"))

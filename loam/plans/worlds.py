@@ -302,7 +302,7 @@ def a8(w):
     return regions.climate_summary(inner(w))
 
 
-@plans("a9_forest_summary", f"WITH {INNER} SELECT *, {FOREST_SQL.format('(floor(density * 255 + 0.5) / 255.0::DOUBLE)')} AS class FROM (SELECT rx, rz, count(*) AS cells, min(raw) AS low, max(raw) AS high, avg(raw / 255.0::DOUBLE) AS density FROM inn WHERE layer = 'forest' GROUP BY rx, rz)")
+@plans("a9_forest_summary", f"WITH {INNER} SELECT *, {FOREST_SQL.format('(floor(density * 255 + 0.5) / 255.0::DOUBLE)')} AS class FROM (SELECT rx, rz, count(*) AS cells, min(raw) AS low, max(raw) AS high, avg(raw) / 255.0::DOUBLE AS density FROM inn WHERE layer = 'forest' GROUP BY rx, rz)")
 def a9(w):
     return regions.forest_summary(inner(w))
 
@@ -584,7 +584,7 @@ def p7(w):
 
 
 PROFILES = f"""{INNER}, cl AS (SELECT rx, rz, count(*) AS climate_cells, avg((raw >> 16) & 255) AS t, avg((raw >> 8) & 255) AS r FROM inn WHERE layer = 'climate' GROUP BY rx, rz),
-  fo AS (SELECT rx, rz, count(*) AS forest_cells, avg(raw / 255.0::DOUBLE) AS d FROM inn WHERE layer = 'forest' GROUP BY rx, rz),
+  fo AS (SELECT rx, rz, count(*) AS forest_cells, avg(raw) / 255.0::DOUBLE AS d FROM inn WHERE layer = 'forest' GROUP BY rx, rz),
   prof AS (SELECT coalesce(cl.rx, fo.rx) AS rx, coalesce(cl.rz, fo.rz) AS rz, climate_cells, t, r, forest_cells, d FROM cl FULL JOIN fo ON cl.rx = fo.rx AND cl.rz = fo.rz)"""
 
 
