@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import codes as C
+from ..functions.geometry import to_chunk
 from .dims import small
-from .graph import components
+from .graph import components, store
 
 #: One of each pair of opposite neighbours.
 HALF = ((1, 0), (0, 1), (1, 1), (1, -1))
@@ -21,16 +23,46 @@ def neighbours8(cells: DataFrame) -> DataFrame:
     return shifted.join(at.select(F.col("x").alias("x2"), F.col("z").alias("z2")), ["x2", "z2"], "left_semi").select("x", "z", "x2", "z2")
 
 
-def _node(x, z):
-    return F.shiftleft(F.col(x).cast("long"), 32) + F.col(z).cast("long")
+def tile_labels(cells: DataFrame) -> DataFrame:
+    """(x, z, label): connected cells of one mapchunk carry the smallest node
+    among them. A group has at most 1,024 cells."""
+
+    def label(tile: pd.DataFrame) -> pd.DataFrame:
+        tile = tile.sort_values(["x", "z"])  # the order of nodes
+        left = dict.fromkeys(zip(tile["x"].tolist(), tile["z"].tolist()))
+        names = {}
+        while left:
+            first = next(iter(left))
+            queue = [first]
+            del left[first]
+            while queue:
+                x, z = queue.pop()
+                names[x, z] = (first[0] << 32) + first[1]
+                near = [(x + i, z + j) for i in (-1, 0, 1) for j in (-1, 0, 1) if (x + i, z + j) in left]
+                for c in near:
+                    del left[c]
+                queue += near
+        return pd.DataFrame([(x, z, n) for (x, z), n in names.items()], columns=["x", "z", "label"])
+
+    at = cells.select(F.col("x").cast("int"), F.col("z").cast("int")).distinct()
+    return at.groupBy(to_chunk(F.col("x")).alias("mx"), to_chunk(F.col("z")).alias("mz")).applyInPandas(lambda t: label(t), "x int, z int, label long")
 
 
 def components8(cells: DataFrame) -> DataFrame:
     """(x, z, component) of 8-connected cells; a component is named by its cell
-    with the smallest x, then z, as x * 2^32 + z."""
-    at = cells.select("x", "z").distinct().withColumn("node", _node("x", "z"))
-    pairs = neighbours8(cells).select(_node("x", "z").alias("u"), _node("x2", "z2").alias("v"))
-    return at.join(components(pairs), "node", "left").select("x", "z", F.coalesce("component", "node").alias("component"))
+    with the smallest x, then z, as x * 2^32 + z.
+
+    Cells are labelled inside their mapchunk first, so only the labels that meet
+    at a border take part in the rounds over the graph.
+    """
+    labels, _ = store(tile_labels(cells), "labels")
+    other = labels.select(F.col("x").alias("x2"), F.col("z").alias("z2"), F.col("label").alias("v"))
+    apart = (to_chunk(F.col("x")) != to_chunk(F.col("x2"))) | (to_chunk(F.col("z")) != to_chunk(F.col("z2")))
+    edge = (F.pmod(F.col("x"), F.lit(32)).isin(0, 31)) | (F.pmod(F.col("z"), F.lit(32)).isin(0, 31))
+    border = neighbours8(labels.where(edge)).where(apart)
+    pairs = border.join(labels.withColumnRenamed("label", "u"), ["x", "z"]).join(other, ["x2", "z2"]).select("u", "v").distinct()
+    roots = components(pairs).withColumnRenamed("node", "label")
+    return labels.join(roots, "label", "left").select("x", "z", F.coalesce("component", "label").alias("component"))
 
 
 def deposit_stats(cells: DataFrame, labels: DataFrame) -> DataFrame:

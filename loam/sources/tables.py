@@ -15,8 +15,9 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def publish(rows: DataFrame, path: str, partitions: list[str]) -> None:
-    """Write rows; only the partitions they touch are replaced."""
-    (rows.repartition(*partitions).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partitions).parquet(path))
+    """Write rows; only the partitions they touch are replaced. Rows are dealt by
+    partition, and Spark splits one that is much larger than the others."""
+    (rows.hint("rebalance", *partitions).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partitions).parquet(path))
 
 
 def with_region(rows: DataFrame, x: str = "x", z: str = "z") -> DataFrame:

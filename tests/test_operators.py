@@ -87,6 +87,26 @@ def test_deposits_touch_at_corners(spark):
     assert len({got[(5, 5)], got[(5, 7)], 0}) == 3
 
 
+def test_deposits_across_mapchunks(spark):
+    rnd = random.Random(9)
+    cells = sorted({(rnd.randrange(-70, 70), rnd.randrange(-70, 70)) for _ in range(6000)})
+    name, left = {}, set(cells)
+    for first in cells:
+        if first in left:
+            queue = [first]
+            left.discard(first)
+            while queue:
+                x, z = queue.pop()
+                name[x, z] = (first[0] << 32) + first[1]
+                near = {(x + i, z + j) for i in (-1, 0, 1) for j in (-1, 0, 1)} & left
+                left -= near
+                queue += near
+    assert len(set(name.values())) > 50
+    got = K.components8(spark.createDataFrame(cells, "x int, z int"))
+    assert {(r.x, r.z): r.component for r in got.collect()} == name
+    assert K.components8(spark.createDataFrame([], "x int, z int")).count() == 0
+
+
 def test_key_runs(spark):
     keys = [*range(65530, 65545), *range(200000, 200003), 5, 5, None]
     got = rows(regions.key_runs(spark.createDataFrame([(k,) for k in keys], "k long"), "k"))
