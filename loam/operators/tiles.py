@@ -57,7 +57,7 @@ def tile_pyramid(bounds: DataFrame, heights: DataFrame, surface: DataFrame, soil
     colour, then the soil's over it. heights (x, z, height), surface (x, z,
     class), soil (x, z, tier). The height range is one row."""
     out = None
-    span = F.broadcast(height_range(heights))
+    span = F.broadcast(height_range(heights))  # one row
     for lod in lods:
         step = G.LODS[lod]
         shaded = neighbours4(heights, step).withColumn("shade", P.hillshade(*(F.col(c) for c in ("west", "east", "north", "south"))))

@@ -180,7 +180,6 @@ def _of(name, sql, **columns):
         return coded(w).select("block_id", "n", *[f().alias(k) for k, f in columns.items()])
 
 
-_ID, _CODE = F.col, F.col
 _SOIL_TIERS = "CASE {} WHEN 'verylow' THEN 'BARREN' WHEN 'low' THEN 'LOW' WHEN 'medium' THEN 'MEDIUM' WHEN 'high' THEN 'HIGH' WHEN 'compost' THEN 'TERRA_PRETA' END"
 _FOLIAGE_SQL = "|".join(C.FOLIAGE)
 

@@ -14,8 +14,8 @@ from ..operators.graph import shared_folder, store
 from ..sources import decode, encode
 from ..sources import tables as T
 from .base import Plans
-from .scalars import LABELS_SQL, SOIL_SQL, PATH_SQL
-from .worlds import INNER, PROFILES, SIZE, SOILMAP, SURFACE, inner, no_liquids, resolved, rock_sql, upper
+from .scalars import LABELS_SQL
+from .worlds import PROFILES, SOILMAP, SURFACE, inner, resolved, rock_sql, upper
 from .worldviews import SIZE_X, SIZE_Y, SIZE_Z
 
 plans = Plans()

@@ -9,7 +9,7 @@ from ..functions import geometry as G
 from ..operators.tables import missing_only, require_unique
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
 
@@ -60,7 +60,7 @@ def write_catalog(observed: DataFrame, path: str, keys: list[str], complete: boo
     """Append the keys that are not there yet; the complete mark comes last."""
     spark, new = observed.sparkSession, observed.select(*keys).distinct()
     where = f"{path}/keys"
-    if _exists(spark, where):
+    if exists(spark, where):
         new = missing_only(new, spark.read.schema(new.schema).parquet(where), keys)
     new.write.mode("append").parquet(where)
     if complete:
@@ -76,7 +76,7 @@ def prepare(wanted: dict[str, DataFrame], build: dict, path: str, keys: dict[str
     for layer, want in wanted.items():
         spark, where, k = want.sparkSession, f"{path}/{layer}", keys[layer]
         todo = want.select(*k).distinct()
-        if _exists(spark, where):
+        if exists(spark, where):
             todo = missing_only(todo, spark.read.parquet(where), k)
         rows = build[layer](todo)
         n = 0

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from ..sources.tables import _exists, publish, write_catalog
+from ..operators.graph import drop, store
+from ..sources.tables import exists, publish, write_catalog
 
 KEYS = ["cx", "cy", "cz"]
 
@@ -25,12 +26,10 @@ def upsert(batch: DataFrame, path: str, order: str = "event_id") -> None:
     spark = batch.sparkSession
     region = {"rx": G.to_region(F.col("cx")), "rz": G.to_region(F.col("cz"))}
     new = latest(batch, KEYS, order).withColumns(region)
-    if _exists(spark, path):
+    if exists(spark, path):
         old = spark.read.parquet(path).select(new.columns)
         touched = new.select("rx", "rz").distinct()
         new = latest(new.unionByName(old.join(touched, ["rx", "rz"], "left_semi")), KEYS, order)
-        from ..operators.graph import drop, store
-
         kept, where = store(new, "upsert")  # the table is read and replaced
         publish(kept, path, ["rx", "rz"])
         drop(spark, where)
