@@ -30,6 +30,8 @@ WINDOW = 1
 STEPS = 120
 #: Bytes of a very long text that are scored at once.
 BLOCK = 1 << 18
+#: Different words whose n-grams training holds in one part.
+PART = 20_000
 
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -134,11 +136,15 @@ def fit(texts: list[str], labels: list[int], steps: int = STEPS, seed: int = 7)
     doc_words = []
     for t in texts:
         raw = (t or "").lower().encode("utf-8", "surrogatepass").translate(bytes(c if _WORD[c] else 32 for c in range(256)))
-        doc_words.append(np.array([known.setdefault(w, len(known)) for w in raw.split()], np.int64))
-    bucket, word, _ = word_grams(b" ".join(known).decode("utf-8", "surrogatepass"))
-    per_word = np.maximum(np.bincount(word, minlength=len(known)), 1).astype(float)
-    flat = np.concatenate(doc_words)
-    size = np.array([len(d) for d in doc_words])
+        doc_words.append(np.array([known.setdefault(w, len(known)) for w in raw.split()], np.int32))
+    # in parts, each with the words' numbers, so that no step holds more than one part's temporaries
+    listed, parts, per_word = list(known), [], np.zeros(len(known))
+    for at in range(0, len(listed), PART):
+        bucket, word, _ = word_grams(b" ".join(listed[at : at + PART]).decode("utf-8", "surrogatepass"))
+        parts.append((bucket.astype(np.int32), word.astype(np.int32), slice(at, min(at + PART, len(listed)))))
+        per_word[parts[-1][2]] = np.maximum(np.bincount(word, minlength=parts[-1][2].stop - at), 1)
+    flat, size = np.concatenate(doc_words).astype(np.int32), np.array([len(d) for d in doc_words])
+    del known, listed, doc_words
     some = size > 0
     y, size = y[some], size[some]
     begin = np.cumsum(size) - size
@@ -151,7 +157,8 @@ def fit(texts: list[str], labels: list[int], steps: int = STEPS, seed: int = 7)
     state = [[np.zeros_like(p), np.zeros_like(p)] for p in (vectors, softmax, np.zeros(1))]
     for step in range(1, steps + 1):
         weight = softmax[:, 1] - softmax[:, 0]
-        words = np.bincount(word, (vectors @ weight)[bucket], len(known)) / per_word
+        grams = vectors @ weight
+        words = np.concatenate([np.bincount(w, grams[b], s.stop - s.start) for b, w, s in parts]) / per_word
         sums = np.concatenate([[0.0], np.cumsum(words[flat])])
         z = (sums[at + width] - sums[at]) / width + bias
         odds = np.logaddexp(0, z)  # a window's share of -log P(clean)
@@ -161,8 +168,8 @@ def fit(texts: list[str], labels: list[int], steps: int = STEPS, seed: int = 7)
         dz = slope[doc] / (1 + np.exp(-z))
         dz_each = dz / width
         spread = np.bincount(at, dz_each, len(flat) + 1) - np.bincount(at + width, dz_each, len(flat) + 1)
-        dword = np.bincount(flat, np.cumsum(spread)[:-1], len(known)) / per_word
-        dgram = np.bincount(bucket, dword[word], BUCKETS)
+        dword = np.bincount(flat, np.cumsum(spread)[:-1], len(per_word)) / per_word
+        dgram = sum(np.bincount(b, dword[s][w], BUCKETS) for b, w, s in parts)
         dweight = vectors.T @ dgram
         grads = (np.outer(dgram, weight) + 1e-6 * vectors, np.stack([-dweight, dweight], 1) + 1e-6 * softmax, np.array([dz.sum()]))
         params = [vectors, softmax, np.array([bias])]
