@@ -72,15 +72,19 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp), fp as a signed long; one row per row of docs."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, digest=None) -> DataFrame:
+    """(doc_id, fp), fp as a signed long; one row per row of docs. A digest
+    expression becomes a third column."""
+    extra = [] if digest is None else ["digest"]
 
     def run(batches):
         for batch in batches:
             found = [_signed(fingerprint(t.as_py(), shingle)) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(found, pa.int64())], ["doc_id", "fp"])
+            columns = [batch.column("doc_id").cast(pa.int64()), pa.array(found, pa.int64()), *map(batch.column, extra)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", *extra])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *([] if digest is None else [digest.alias("digest")]))
+    return rows.mapInArrow(run, "doc_id long, fp long" + ", digest binary" * len(extra))
 
 
 def spanning_links(fps: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
@@ -193,15 +197,24 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     return prints.join(of_print, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """The documents whose doc_id is their component's, with all columns.
+def text_digest():
+    return F.unhex(F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256))
 
-    Rows that repeat a kept doc_id are kept once; documents without doc_id stay
-    only where their component has none, one of them.
-    """
-    last = F.lit(2**63 - 1)
-    found = near_duplicates(docs, shingle, radius)
-    same = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    kept = found.where(same).select(F.coalesce("doc_id", last).alias("id")).distinct()
-    keyed = docs.select(F.struct("*").alias("doc"), F.coalesce("doc_id", last).alias("id"))
-    return keyed.join(kept, "id", "left_semi").dropDuplicates(["id"]).select("doc.*")
+
+def keep_one(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """One of docs for each label of rows (doc_id, digest, label), with all columns:
+    that with the smallest doc_id, null last, then the smallest text_digest()."""
+    keys = [F.col("doc_id").isNull().alias("no_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id")]
+    kept = rows.groupBy("label").agg(F.min(F.struct(*keys, "digest")).alias("least")).select("least.*")
+    keyed = docs.select(F.struct("*").alias("doc"), *keys, text_digest().alias("digest"))
+    # rows that repeat doc_id and text have one label
+    return keyed.join(kept, ["no_id", "id", "digest"], "left_semi").dropDuplicates(["no_id", "id", "digest"]).select("doc.*")
+
+
+def one_of_each(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, wide: int = WIDE) -> DataFrame:
+    """One document of each component, with all columns: the one with the
+    smallest doc_id, null last, then the smallest digest of its text."""
+    prints, _ = store(fingerprints(docs, shingle, text_digest()), "fingerprints")
+    labels, _ = store(components(links(prints.select("fp").distinct(), radius, wide)), "labels")
+    rows = prints.join(labels, F.col("fp") == F.col("node"), "left")
+    return keep_one(docs, rows.select("doc_id", "digest", F.coalesce("component", "fp").alias("label")))

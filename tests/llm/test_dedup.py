@@ -117,6 +117,18 @@ def test_one_of_each_near_group(spark, documents):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(want) and kept.columns[-1] == "id"
 
 
+def test_one_of_each_without_identifiers(spark, documents):
+    rnd = random.Random(12)
+    lone = [passage(rnd, 60) for _ in range(5)]
+    twice = [passage(rnd, 60), passage(rnd, 60)]  # two texts of one doc_id
+    known = passage(rnd, 60)
+    rows = [(None, t) for t in lone] + [(None, lone[0]), (7, twice[0]), (7, twice[1]), (7, twice[1]), (8, known), (None, known), (2**63 - 1, passage(rnd, 60))]
+    want = sorted([*lone, *twice, known, rows[-1][1]])
+    got = simhash.one_of_each(documents(rows)).collect()
+    assert sorted(r.text for r in got) == want
+    assert {r.doc_id for r in got if r.text == known} == {8} and sum(r.doc_id is None for r in got) == 5
+
+
 def test_every_pair_in_the_radius_meets():
     rnd = random.Random(2)
     for _ in range(2000):
