@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loam.llm import bpe, exact, mixing, simhash, toxicity
+from loam.llm import bpe, exact, mixing, near, toxicity
 from loam.llm.queries import read, word_vocabulary
 from loam.llm.shared import store
 
@@ -25,8 +25,9 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by near fingerprints, the one with the smallest doc_id."""
-    return simhash.one_of_each(docs)
+    """Of documents linked by a Jaccard similarity of 0.8 of their five-word
+    shingles, the one with the smallest doc_id."""
+    return near.one_of_each(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

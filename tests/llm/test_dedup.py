@@ -8,7 +8,7 @@ import string
 import numpy as np
 import xxhash
 
-from loam.llm import chunks, exact, simhash
+from loam.llm import chunks, exact, near, simhash
 
 SPACES = re.compile(r"[\x20\x09-\x0D]+")
 
@@ -124,9 +124,49 @@ def test_one_of_each_without_identifiers(spark, documents):
     known = passage(rnd, 60)
     rows = [(None, t) for t in lone] + [(None, lone[0]), (7, twice[0]), (7, twice[1]), (7, twice[1]), (8, known), (None, known), (2**63 - 1, passage(rnd, 60))]
     want = sorted([*lone, *twice, known, rows[-1][1]])
-    got = simhash.one_of_each(documents(rows)).collect()
-    assert sorted(r.text for r in got) == want
-    assert {r.doc_id for r in got if r.text == known} == {8} and sum(r.doc_id is None for r in got) == 5
+    for kept in (simhash.one_of_each(documents(rows)), near.one_of_each(documents(rows))):
+        got = kept.collect()
+        assert sorted(r.text for r in got) == want
+        assert {r.doc_id for r in got if r.text == known} == {8} and sum(r.doc_id is None for r in got) == 5
+
+
+def jaccard(a, b, n=5):
+    sets = []
+    for text in (a, b):
+        words = [w for w in SPACES.split((text or "").lower()) if w]
+        sets.append({tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))} if words else {()})
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def test_one_of_each_takes_all_similar_pairs(spark, documents):
+    rnd = random.Random(21)
+    rows, bits = [(900, None), (901, " "), (902, "two words"), (903, "Two  words"), (904, "two word")], []
+    for i in range(30):
+        base = passage(rnd, rnd.randrange(60, 400)).split()
+        rows.append((10 * i, " ".join(base)))
+        for k in range(1, 4):  # one to several changed words
+            other = list(base)
+            for _ in range(max(1, len(base) * rnd.randrange(4, 35) // 1000)):
+                other[rnd.randrange(len(other))] = passage(rnd, 1)
+            rows.append((10 * i + k, " ".join(other).upper() if k == 3 else "\n".join(other)))
+            bits.append(bin(print_by_hand(rows[-1][1]) ^ print_by_hand(" ".join(base))).count("1"))
+    label = {d: d for d, _ in rows}
+
+    def find(a):
+        while label[a] != a:
+            a = label[a]
+        return a
+
+    near_pairs = 0
+    for i, (d, a) in enumerate(rows):
+        for e, b in rows[:i]:
+            if (d // 10 == e // 10 or d >= 900) and jaccard(a, b) >= 0.8:
+                near_pairs += 1
+                label[max(find(d), find(e))] = min(find(d), find(e))
+    want = sorted({find(d) for d, _ in rows})
+    assert sum(b > 3 for b in bits) > 20 and near_pairs > 40 and len(want) > 31
+    assert sorted(r.doc_id for r in near.one_of_each(documents(rows)).collect()) == want
+    assert near.one_of_each(documents([])).count() == 0
 
 
 def test_every_pair_in_the_radius_meets():
