@@ -59,8 +59,28 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
-    """Matched positions of a and b, increasing in both, by patience alignment."""
+def longest(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Longest common subsequence of a and b, as matched positions."""
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i in range(len(a) - 1, -1, -1):
+        here, below, w = best[i], best[i + 1], a[i]
+        for j in range(len(b) - 1, -1, -1):
+            here[j] = below[j + 1] + 1 if w == b[j] else max(below[j], here[j + 1])
+    out, i, j = [], 0, 0
+    while i < len(a) and j < len(b):
+        if a[i] == b[j]:
+            out.append((i, j))
+            i, j = i + 1, j + 1
+        elif best[i + 1][j] >= best[i][j + 1]:
+            i += 1
+        else:
+            j += 1
+    return out
+
+
+def align(a: list[str], b: list[str], repeats: bool = False) -> list[tuple[int, int]]:
+    """Matched positions of a and b, increasing in both, by patience alignment.
+    With repeats, gaps without a word that occurs once are aligned as well."""
     out, todo = [], [(0, len(a), 0, len(b))]
     while todo:
         a0, a1, b0, b1 = todo.pop()
@@ -77,6 +97,8 @@ def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
         anchors = [(i, place[a[i]]) for i in range(a0, a1) if once_a[a[i]] == 1 and a[i] in place]
         chain = _increasing(anchors)
         if not chain:
+            if repeats:
+                out += [(a0 + i, b0 + j) for i, j in longest(a[a0:a1], b[b0:b1])]
             continue
         out += chain
         edges = [(a0 - 1, b0 - 1), *chain, (a1, b1)]
@@ -157,6 +179,38 @@ class Scanner:
             share = len(chain) / len(template)
             if share >= self.coverage and (best is None or share > best[0]):
                 best = (share, a + chain[0][1], a + chain[-1][1])
+            if share < 1 and self._repeats(template, words[a:b]):
+                near = [p for p in seeds if a <= p < b]
+                found = self._around(near, template, words)
+                if found is not None and (best is None or found[0] > best[0]):
+                    best = found
+        return best
+
+    @staticmethod
+    def _repeats(template, stretch):
+        """Whether a word of the template occurs more often in the stretch."""
+        own, held = Counter(template), Counter(stretch)
+        return any(held[w] > n for w, n in own.items())
+
+    def _around(self, seeds, template, words):
+        """The best covered stretch where a seed is matched to each of its places
+        in the template, and the words on either side are aligned from there."""
+        own, best = Counter(template), None
+        least = self.coverage * len(template) - 1e-9
+        for p in sorted(seeds):
+            for t in (t for t, w in enumerate(template) if w == words[p]):
+                a, b = max(0, p - t - len(template)), min(len(words), p + 2 * len(template) - t)
+                # no alignment matches more than the words both have
+                if sum((Counter(words[a:b]) & own).values()) < least:
+                    continue
+                left = align(template[:t][::-1], words[a:p][::-1], repeats=True)
+                right = align(template[t + 1 :], words[p + 1 : b], repeats=True)
+                share = (len(left) + 1 + len(right)) / len(template)
+                if share >= self.coverage:
+                    first = p - 1 - max((j for _, j in left), default=-1)
+                    last = p + 1 + max((j for _, j in right), default=-1)
+                    if best is None or (share, first - last) > (best[0], best[1] - best[2]):
+                        best = (share, first, last)
         return best
 
 

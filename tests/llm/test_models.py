@@ -126,6 +126,18 @@ def test_licenses(spark, documents):
     assert licenses.scan_licenses(documents([])).count() == 0
 
 
+def test_licenses_close_together_are_found():
+    scanner = licenses.Scanner()
+    line = "Released under the MIT License."
+    assert scanner.scan(f"x {line} Foo {line} bar") == [("MIT", 1.0, 1, 5)]
+    for name, text in licenses.TEMPLATES:
+        for n in (2, 3, 6):
+            found = scanner.scan("before this " + " and also ".join([text] * n) + " after that")
+            assert (name, 1.0, 2, 1 + len(licenses.words_of(text))) in found
+    changed = dict(licenses.TEMPLATES)["MIT"].replace("merge", "join")
+    assert [f[0] for f in scanner.scan(f"a {changed} b {changed} c")] == ["MIT"]
+
+
 def test_alignment_is_a_common_subsequence():
     rnd = random.Random(0)
     for _ in range(300):
