@@ -13,19 +13,23 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share, from spark.checkpoint.dir.
 
     Where the setting is absent, a local session (tests) gets a temporary
-    folder; on a cluster that is an error, as executors could not see it.
+    folder; on a cluster that is an error, as executors could not see it. What
+    one application writes lies in a subfolder of its own, which clear() deletes.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
     context = spark.sparkContext
-    root = context.getCheckpointDir()
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if root is None:
         if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="loam-"))
         root = context.getCheckpointDir()
-    return root.rstrip("/")
+    return f"{root.rstrip('/')}/loam-{context.applicationId}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all tables that this application stored. Results that are still to
+    be read or written need them, so this is for when those are done."""
+    drop(spark, shared_folder(spark))
 
 
 def store(df: DataFrame, name: str) -> tuple[DataFrame, str]:
@@ -35,7 +39,7 @@ def store(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     and its path, for drop().
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/loam-{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
