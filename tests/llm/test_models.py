@@ -75,12 +75,41 @@ def test_neighbours_recall(spark):
         assert [r[0] for r in rows] == list(range(1, 11)) and [(s, i) for _, i, s in rows] == sorted((s, i) for _, i, s in rows)
 
 
+@pytest.mark.parametrize("kind", ["uniform", "clustered", "copies"])
+def test_neighbours_recall_over_blocks(spark, kind, monkeypatch):
+    monkeypatch.setattr(ann, "LEAST_ROWS", 1500)
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(6000, 24))
+    if kind == "clustered":
+        v = rng.normal(size=(60, 24))[rng.integers(0, 60, 6000)] * 3 + 0.2 * v
+    elif kind == "copies":
+        v[1000:3000] = v[7]
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>").repartition(4)
+    got = {}
+    for r in ann.nearest_neighbours(df, query_every=50, block_rows=1500, query_rows=40).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    assert set(got) == set(range(0, 6000, 50))
+    hits = 0
+    for q, rows in got.items():
+        rows.sort()
+        d = np.sqrt(((v - v[q]) ** 2).sum(axis=1))
+        d[q] = np.inf
+        assert [r[0] for r in rows] == list(range(1, 11)) and all(abs(s - d[i]) < 1e-12 for _, i, s in rows)
+        assert [(s, i) for _, i, s in rows] == sorted((s, i) for _, i, s in rows)
+        hits += len({i for _, i, _ in rows} & set(np.lexsort((np.arange(6000), d))[:10].tolist()))
+    assert hits >= 0.95 * 10 * len(got)
+
+
 def test_neighbours_edges(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0], 1), (1, [0.0, 1.0], 1), (2, [0.0, 1.0], 1), (2, [0.0, 1.0], 1), (3, None, 1), (4, [0.0, 0.0], 1), (5, [nan, 1.0], 1), (6, [inf, 1.0], 1), (7, [None, 1.0], 1), (None, [1.0, 1.0], 1), (8, [1.0], 1), (100, [3.0, 4.0], 1)]
     got = ann.nearest_neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank int")).orderBy("query_id", "rank").collect()
-    assert [(r.query_id, r["rank"], r.vec_id) for r in got] == [(0, 1, 1), (0, 2, 2), (0, 3, 100), (100, 1, 1), (100, 2, 2), (100, 3, 0)]
+    assert [(r.query_id, r["rank"], r.vec_id) for r in got] == [(0, 1, 1), (0, 2, 2), (0, 3, 2), (0, 4, 100), (100, 1, 1), (100, 2, 2), (100, 3, 2), (100, 4, 0)]
     assert got[0].score == math.sqrt(2)
+    # each row of a repeated query id is answered, and is the other's neighbour
+    twice = [(0, [1.0, 0.0], 1), (0, [1.0, 0.0], 2), (1, [1.0, 1.0], 1)]
+    got = ann.nearest_neighbours(spark.createDataFrame(twice, "vec_id long, embedding array<float>, key int")).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == [(0, 1, 0, 0.0), (0, 1, 0, 0.0), (0, 2, 1, 1.0), (0, 2, 1, 1.0)]
     assert ann.nearest_neighbours(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
