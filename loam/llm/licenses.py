@@ -1,19 +1,21 @@
 """License scans by patience alignment.
 
-Words that occur once in a template and once in a stretch of text are anchors;
-the longest increasing subsequence of them is taken, and the gaps between are
-aligned in the same way. Coverage is the share of a template's words that the
+Words that occur once in a piece of a template and once in the text beside it are
+anchors; the longest increasing subsequence of them is taken, and the gaps between
+are aligned in the same way. Coverage is the share of a template's words that the
 alignment matches.
 
-A template that covers enough must contain one of any choice of words that is
-larger than what it may miss, so the stretches around the occurrences of its
-rarest words in the text are all that need aligning.
+Each template has telling phrases, such as the license's name and version, without
+which no coverage counts: "CC BY 4.0" is nine tenths of "CC BY-NC 4.0". Their places
+in the text are where alignment starts: the template's words before, between and
+after them are aligned to what stands there, so notices that follow each other
+closely are told apart.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
 
 import pyarrow as pa
@@ -23,24 +25,71 @@ from pyspark.sql import functions as F
 #: Least coverage of a template that counts as found.
 COVERAGE = 0.8
 
-#: (license, template): public license lines and notices. Fixed values.
+#: (license, template, telling phrases): public license lines and notices. Fixed values.
 TEMPLATES = (
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
+    (
+        "AGPL-3.0",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as "
+        "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        ("GNU Affero General Public License", "version 3"),
+    ),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0.", ("Apache License", "Version 2.0")),
     (
         "Apache-2.0",
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. "
         "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in "
         "writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, "
         "either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+        ("Apache License", "Version 2.0"),
+    ),
+    (
+        "BSD-2-Clause",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions "
+        "are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+        "documentation and/or other materials provided with the distribution.",
+        ("Redistribution and use in source and binary forms",),
+    ),
+    (
+        "BSD-3-Clause",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions "
+        "are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+        "documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its "
+        "contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+        ("Redistribution and use in source and binary forms", "endorse or promote products"),
+    ),
+    ("CC-BY-4.0", "Licensed under CC BY 4.0.", ("CC BY 4.0",)),
+    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0.", ("CC BY-NC 4.0",)),
+    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0.", ("CC BY-SA 4.0",)),
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2.", ("GNU General Public License", "version 2")),
+    (
+        "GPL-2.0",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published "
+        "by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+        ("GNU General Public License", "version 2"),
     ),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
+    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3.", ("GNU General Public License", "version 3")),
     (
         "GPL-3.0",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published "
         "by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        ("GNU General Public License", "version 3"),
     ),
-    ("MIT", "Released under the MIT License."),
+    (
+        "ISC",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that "
+        "the above copyright notice and this permission notice appear in all copies.",
+        ("with or without fee", "provided that"),
+    ),
+    ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3.", ("GNU Lesser General Public License", "version 3")),
+    (
+        "LGPL-3.0",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as "
+        "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        ("GNU Lesser General Public License", "version 3"),
+    ),
+    ("MIT", "Released under the MIT License.", ("MIT License",)),
     (
         "MIT",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "
@@ -48,7 +97,15 @@ TEMPLATES = (
         "distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to "
         "the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions "
         "of the Software.",
+        ("hereby granted, free of charge",),
     ),
+    (
+        "MPL-2.0",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this "
+        "file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+        ("Mozilla Public License", "v. 2.0"),
+    ),
+    ("Unlicense", "This is free and unencumbered software released into the public domain.", ("free and unencumbered software", "public domain")),
 )
 
 _WORD = re.compile(r"[^\W_]+(?:[.'-][^\W_]+)*")
@@ -123,95 +180,110 @@ def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return chain[::-1]
 
 
+def spread(words: int) -> int:
+    """Words of text in which so many words of a template are sought."""
+    return 2 * words + 4
+
+
+class Template:
+    """A template's words and where its telling phrases stand in them."""
+
+    def __init__(self, name: str, text: str, telling: tuple[str, ...], coverage: float):
+        self.name, self.words = name, words_of(text)
+        self.need = -int(-(coverage * len(self.words) - 1e-9) // 1)
+        self.phrases, at = [], 0
+        for phrase in map(words_of, telling):
+            at = next(i for i in range(at, len(self.words)) if self.words[i : i + len(phrase)] == phrase)
+            self.phrases.append((at, phrase))
+            at += len(phrase)
+
+    def placed(self, words: list[str], places: dict[str, list[int]]):
+        """The places of all phrases, in order and close enough, one after another."""
+        spots = []
+        for _, phrase in self.phrases:
+            i = min(range(len(phrase)), key=lambda i: len(places.get(phrase[i], ())))
+            spots.append([p - i for p in places.get(phrase[i], ()) if p >= i and words[p - i : p - i + len(phrase)] == phrase])
+        todo = [(p,) for p in reversed(spots[0])]
+        while todo:
+            chosen = todo.pop()
+            n = len(chosen)
+            if n == len(spots):
+                yield chosen
+                continue
+            at, phrase = self.phrases[n - 1]
+            end = chosen[-1] + len(phrase)
+            last = end + spread(self.phrases[n][0] - at - len(phrase))
+            todo += [(*chosen, q) for q in reversed(spots[n][bisect_left(spots[n], end) : bisect_right(spots[n], last)])]
+
+    def pieces(self, chosen: tuple[int, ...], n_words: int):
+        """(template from, to, text from, to) before, between and after the phrases."""
+        (at, _), (last, phrase) = self.phrases[0], self.phrases[-1]
+        yield 0, at, max(0, chosen[0] - spread(at)), chosen[0]
+        for (t, a), (u, _), p, q in zip(self.phrases, self.phrases[1:], chosen, chosen[1:]):
+            yield t + len(a), u, p + len(a), q
+        rest = len(self.words) - last - len(phrase)
+        end = chosen[-1] + len(phrase)
+        yield last + len(phrase), len(self.words), end, min(n_words, end + spread(rest))
+
+
 class Scanner:
     def __init__(self, templates=TEMPLATES, coverage: float = COVERAGE):
-        self.coverage = coverage
-        self.templates = []
-        for name, text in templates:
-            words = words_of(text)
-            counts = Counter(words)
-            # long words first: they are missing from other texts soonest
-            self.templates.append((name, words, sorted(counts.items(), key=lambda x: (-len(x[0]), x[0])), int(len(words) * (1 - coverage) + 1e-9)))
+        self.templates = [Template(*t, coverage) for t in templates]
 
     def scan(self, text: str | None) -> list[tuple[str, float, int, int]]:
-        """(license, coverage, first word, last word) of each template found,
-        best stretch only, in the order of the templates."""
+        """(license, coverage, first word, last word) of each template found, best
+        stretch only, in the order of the templates."""
         low = (text or "").lower()
         words = places = None
         out = []
-        for name, template, counts, spare in self.templates:
-            missing = 0
-            for w, n in counts:
-                if w not in low:
-                    missing += n
-                    if missing > spare:
-                        break
-            if missing > spare:
+        for t in self.templates:
+            if not all(w in low for _, phrase in t.phrases for w in phrase):
                 continue
             if words is None:
                 words, places = _WORD.findall(low), {}
                 for i, w in enumerate(words):
                     places.setdefault(w, []).append(i)
-            best = self._best(template, counts, spare, words, places)
+            best = self._best(t, words, places)
             if best is not None:
-                out.append((name, *best))
-        return out
-
-    def _best(self, template, counts, spare, words, places):
-        """The best covered stretch among those around the rarest words."""
-        seeds, held = [], 0
-        for w, n in sorted(counts, key=lambda x: (len(places.get(x[0], ())), x[0])):
-            seeds += places.get(w, [])
-            held += n
-            if held > spare:
-                break
-        reach, regions = 2 * len(template), []
-        for p in sorted(seeds):
-            if regions and p - reach <= regions[-1][1]:
-                if p + reach - regions[-1][0] <= 8 * len(template):
-                    regions[-1][1] = p + reach
-                    continue
-            regions.append([p - reach, p + reach])
-        best = None
-        for a, b in regions:
-            a, b = max(0, a), min(len(words), b + 1)
-            chain = align(template, words[a:b])
-            share = len(chain) / len(template)
-            if share >= self.coverage and (best is None or share > best[0]):
-                best = (share, a + chain[0][1], a + chain[-1][1])
-            if share < 1 and self._repeats(template, words[a:b]):
-                near = [p for p in seeds if a <= p < b]
-                found = self._around(near, template, words)
-                if found is not None and (best is None or found[0] > best[0]):
-                    best = found
-        return best
+                out.append((t.name, *best))
+        # a license whose stretch lies inside a longer one of another is part of it
+        inside = lambda f, g: f[0] != g[0] and g[2] <= f[2] and f[3] <= g[3] and g[3] - g[2] > f[3] - f[2]
+        return [f for f in out if not any(inside(f, g) for g in out)]
 
     @staticmethod
-    def _repeats(template, stretch):
-        """Whether a word of the template occurs more often in the stretch."""
-        own, held = Counter(template), Counter(stretch)
-        return any(held[w] > n for w, n in own.items())
-
-    def _around(self, seeds, template, words):
-        """The best covered stretch where a seed is matched to each of its places
-        in the template, and the words on either side are aligned from there."""
-        own, best = Counter(template), None
-        least = self.coverage * len(template) - 1e-9
-        for p in sorted(seeds):
-            for t in (t for t, w in enumerate(template) if w == words[p]):
-                a, b = max(0, p - t - len(template)), min(len(words), p + 2 * len(template) - t)
-                # no alignment matches more than the words both have
-                if sum((Counter(words[a:b]) & own).values()) < least:
-                    continue
-                left = align(template[:t][::-1], words[a:p][::-1], repeats=True)
-                right = align(template[t + 1 :], words[p + 1 : b], repeats=True)
-                share = (len(left) + 1 + len(right)) / len(template)
-                if share >= self.coverage:
-                    first = p - 1 - max((j for _, j in left), default=-1)
-                    last = p + 1 + max((j for _, j in right), default=-1)
-                    if best is None or (share, first - last) > (best[0], best[1] - best[2]):
-                        best = (share, first, last)
-        return best
+    def _best(t: Template, words: list[str], places: dict[str, list[int]]):
+        """The stretch of highest coverage, ties to the shorter, then the first."""
+        told, best = sum(len(p) for _, p in t.phrases), None
+        for chosen in t.placed(words, places):
+            pieces = [(t.words[a:b], words[c:d], c) for a, b, c, d in t.pieces(chosen, len(words))]
+            # no alignment matches more than the words both have
+            most = told + sum(sum((Counter(a) & Counter(b)).values()) for a, b, _ in pieces)
+            if most < t.need or best is not None and most < best[0]:
+                continue
+            matched = [_beside(a, b, i == 0, align) for i, (a, b, _) in enumerate(pieces)]
+            if told + sum(map(len, matched)) < t.need:  # anchors can lead astray; the decision is the longest alignment's
+                matched = [_beside(a, b, i == 0, _longest) for i, (a, b, _) in enumerate(pieces)]
+            share = told + sum(map(len, matched))
+            if share < t.need:
+                continue
+            at = [pieces[i][2] + j for i, chain in enumerate(matched) for _, j in chain]
+            first, last = min([*at, chosen[0]]), max([*at, chosen[-1] + len(t.phrases[-1][1]) - 1])
+            if best is None or (share, first - last) > (best[0], best[1] - best[2]):
+                best = (share, first, last)
+            if share == len(t.words) == last - first + 1:
+                break
+        return best and (best[0] / len(t.words), best[1], best[2])
+
+
+def _longest(a: list[str], b: list[str], repeats: bool = True) -> list[tuple[int, int]]:
+    return longest(a, b)
+
+
+def _beside(a: list[str], b: list[str], before: bool, how) -> list[tuple[int, int]]:
+    """Matches of a and b; those before a phrase are sought from its side."""
+    if not before:
+        return how(a, b, repeats=True)
+    return [(len(a) - 1 - i, len(b) - 1 - j) for i, j in reversed(how(a[::-1], b[::-1], repeats=True))]
 
 
 def scan_licenses(docs: DataFrame, templates=TEMPLATES, coverage: float = COVERAGE) -> DataFrame:
