@@ -1,11 +1,12 @@
 """Exact deduplication through a log-structured merge index of text digests.
 
-Memtables are the partial aggregates of one flush: rows of a digest meet in
-their run first, so a digest that holds a third of all rows is spread over all
-runs before its few summaries are shuffled. Every run is a Parquet table sorted
-by digest with a Bloom filter on that column; compaction merges runs and keeps
-the smallest identifier. Documents that hit a digest of several rows are then
-compared byte by byte.
+Documents are flushed in batches. A flush aggregates its batch in memory (the
+partial aggregates are the memtables) and writes one run of the index, sorted by
+digest, with a filter: a bitmap of fixed size in which each digest sets a bit. The
+digests of a flush are looked up in the older runs, but only those that a run's
+filter lets through. Full levels are compacted into the next, and the smallest
+identifier of a digest is kept. Digests that a flush holds twice or finds in an
+older run are hits; their texts, and no others, are compared byte by byte.
 
 DataFrame operations only.
 """
@@ -13,13 +14,22 @@ DataFrame operations only.
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import SPACE, drop, shared_folder, store
 
-RUNS = 64
+#: Batches that one call flushes.
+FLUSHES = 3
+#: Runs of a level that are compacted into one of the next.
+FANOUT = 3
+#: Bits of a filter: 8 MB at most, whatever the number of digests, so it may be
+#: broadcast. A fuller filter lets more through, and loses nothing.
+FILTER_BITS = 1 << 26
+#: Bits of one row of a filter, set by Spark's bitmap functions.
+ROW_BITS = 32768
 
 
 def normalised(text):
@@ -27,58 +37,103 @@ def normalised(text):
     return F.regexp_replace(F.coalesce(text, F.lit("")), SPACE, " ")
 
 
-def _or_last(name: str):
-    """A doc_id that orders null last."""
-    return F.coalesce(F.col(name), F.lit(2**63 - 1))
+def _null_last(doc_id):
+    """A number that orders doc_ids, null last."""
+    return F.coalesce(doc_id.cast("decimal(20,0)"), F.lit(str(2**63)).cast("decimal(20,0)"))
 
 
-class DigestIndex:
-    """Runs of (digest, keep_id, rows, keep_rows), oldest first.
+def _merged(entries: DataFrame) -> DataFrame:
+    """One entry for each digest: its smallest doc_id, a row that has it, and the
+    number of rows."""
+    keep_row = F.min_by("keep_row", _null_last(F.col("keep_id"))).alias("keep_row")
+    return entries.groupBy("digest").agg(F.min("keep_id").alias("keep_id"), keep_row, F.sum("rows").alias("rows"))
 
-    keep_id is the smallest non-null doc_id of the digest, rows the number of
-    documents, keep_rows how many of them carry keep_id.
-    """
 
-    def __init__(self, spark: SparkSession, root: str | None = None, runs: int = RUNS):
-        self.spark, self.runs, self.tables = spark, runs, []
-        self.root = root or f"{shared_folder(spark)}/loam-digests-{uuid.uuid4().hex}"
-
-    def _write(self, entries: DataFrame) -> None:
-        path = f"{self.root}/run={len(self.tables):06d}-{uuid.uuid4().hex[:8]}"
-        (entries.sortWithinPartitions("digest").write
-         .option("parquet.bloom.filter.enabled#digest", "true")
-         .parquet(path))
-        self.tables.append(path)
-
-    def flush(self, keyed: DataFrame) -> None:
-        """Add documents (digest, doc_id) as one level of sorted runs."""
-        memtables = keyed.groupBy("digest", "doc_id").agg(F.count(F.lit(1)).alias("rows"))
-        run = F.pmod(F.xxhash64("doc_id"), F.lit(self.runs)).alias("run")
-        self._write(
-            memtables.groupBy("digest", run)
-            .agg(F.min("doc_id").alias("keep_id"), F.sum("rows").alias("rows"), F.min_by("rows", _or_last("doc_id")).alias("keep_rows"))
-            .drop("run")
-        )
+def filter_of(digests: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """(bucket, bitmap) of the digests; bits / ROW_BITS rows at most."""
+    place = F.pmod(F.xxhash64("digest"), F.lit(bits)) + 1
+    placed = digests.select(F.bitmap_bucket_number(place).alias("bucket"), F.bitmap_bit_position(place).alias("bit"))
+    return placed.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bitmap"))
+
+
+def maybe_in(rows: DataFrame, bitmaps: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """The rows whose digest may be among those that the filter was made of."""
+    place = F.pmod(F.xxhash64("digest"), F.lit(bits)) + 1
+    bit = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.substring("bitmap", (F.shiftright(bit, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    is_set = F.getbit(byte.cast("long"), bit.bitwiseAND(F.lit(7)).cast("int")) == 1
+    return rows.join(F.broadcast(bitmaps), (F.bitmap_bucket_number(place) == F.col("bucket")) & is_set, "left_semi")
+
+
+class DigestIndex:
+    """Runs of (digest, keep_id, keep_row, rows), each sorted by digest and with a
+    filter, in levels."""
+
+    SCHEMA = "digest binary, keep_id long, keep_row long, rows long"
+
+    def __init__(self, spark: SparkSession, fanout: int = FANOUT, bits: int = FILTER_BITS):
+        self.spark, self.fanout, self.bits = spark, fanout, bits
+        self.levels: list[list[str]] = []
+        self.filtered: set[str] = set()
+        self.root = f"{shared_folder(spark)}/digests-{uuid.uuid4().hex}"
+
+    def runs(self) -> list[str]:
+        return [run for level in self.levels for run in level]
+
+    def _read(self, run: str) -> DataFrame:
+        return self.spark.read.schema(self.SCHEMA).parquet(f"{run}/entries")
+
+    def _filter(self, run: str) -> DataFrame:
+        """A run's filter, written when it is first asked for."""
+        if run not in self.filtered:
+            filter_of(self._read(run), self.bits).write.parquet(f"{run}/filter")
+            self.filtered.add(run)
+        return self.spark.read.schema("bucket long, bitmap binary").parquet(f"{run}/filter")
+
+    def _write(self, entries: DataFrame) -> str:
+        run = f"{self.root}/{uuid.uuid4().hex}"
+        entries.sortWithinPartitions("digest").write.parquet(f"{run}/entries")
+        return run
+
+    def lookup(self, keys: DataFrame) -> DataFrame:
+        """The entries of all runs for keys (digest), by way of their filters."""
+        found = [maybe_in(keys, self._filter(run), self.bits).join(self._read(run), "digest") for run in self.runs()]
+        return reduce(DataFrame.unionByName, found) if found else keys.join(self.spark.createDataFrame([], self.SCHEMA), "digest")
+
+    def flush(self, keyed: DataFrame) -> DataFrame:
+        """Add documents (digest, doc_id, row) as a run; gives the hits (digest),
+        stored: digests that the batch repeats or an older run has."""
+        memtable = keyed.select("digest", F.col("doc_id").alias("keep_id"), F.col("row").alias("keep_row"), F.lit(1).cast("long").alias("rows"))
+        run = self._write(_merged(memtable))
+        own = self._read(run)
+        hits, _ = store(own.where("rows > 1").select("digest").unionByName(self.lookup(own.select("digest")).select("digest")), "hits")
+        self._add(run, 0)
+        return hits
+
+    def _add(self, run: str, level: int) -> None:
+        if level == len(self.levels):
+            self.levels.append([])
+        self.levels[level].append(run)
+        if len(self.levels[level]) >= self.fanout:
+            old, self.levels[level] = self.levels[level], []
+            self._add(self._compacted(old), level + 1)
+
+    def _compacted(self, runs: list[str]) -> str:
+        merged = self._write(_merged(reduce(DataFrame.unionByName, map(self._read, runs))))
+        for run in runs:
+            drop(self.spark, run)
+        return merged
 
     def compact(self) -> DataFrame:
-        """Merge all runs into one that has each digest once, and return it."""
-        merged = self.entries().groupBy("digest").agg(
-            F.min("keep_id").alias("keep_id"),
-            F.sum("rows").alias("rows"),
-            F.min_by("keep_rows", _or_last("keep_id")).alias("keep_rows"),
-        )
-        old, self.tables = self.tables, []
-        self._write(merged)
-        for path in old:
-            drop(self.spark, path)
-        return self.entries()
-
-    def entries(self) -> DataFrame:
-        schema = "digest binary, keep_id long, rows long, keep_rows long"
-        return self.spark.read.schema(schema).parquet(*self.tables)
-
-
-def exact_duplicates(docs: DataFrame, runs: int = RUNS) -> DataFrame:
+        """Merge all runs into one, which has each digest once, and return it."""
+        runs = self.runs()
+        if len(runs) != 1:
+            runs = [self._compacted(runs)] if runs else [self._write(self.spark.createDataFrame([], self.SCHEMA))]
+            self.levels = [[], runs]
+        return self._read(runs[0])
+
+
+def exact_duplicates(docs: DataFrame, flushes: int = FLUSHES, fanout: int = FANOUT, bits: int = FILTER_BITS, key=None) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical after each run of space, tab, newline,
@@ -86,45 +141,45 @@ def exact_duplicates(docs: DataFrame, runs: int = RUNS) -> DataFrame:
     empty one. The row with the smallest doc_id of equal texts stays; a row
     without doc_id stays only where its group has none. Of rows that repeat a
     doc_id and a text, one stays. Empty input gives no rows; further columns
-    are ignored.
+    are ignored. key makes the index's key of a SHA-256 digest, which it is by
+    default; texts that share a key are still told apart by their bytes.
     """
     spark = docs.sparkSession
-    norm = docs.select("doc_id", normalised(F.col("text")).alias("norm"))
-    keyed, _ = store(norm.select("doc_id", F.unhex(F.sha2("norm", 256)).alias("digest")), "keyed")
-    index = DigestIndex(spark, runs=runs)
-    index.flush(keyed)
+    key = key or (lambda digest: digest)
+    norm = docs.select("doc_id", normalised(F.col("text")).alias("norm")).withColumn("sha", F.unhex(F.sha2("norm", 256)))
+    norm = norm.withColumn("digest", key(F.col("sha")))
+    keyed, _ = store(norm.select(F.monotonically_increasing_id().alias("row"), "doc_id", "sha", "digest"), "keyed")
+    index = DigestIndex(spark, fanout, bits)
+    batch = F.pmod(F.xxhash64("row"), F.lit(flushes))
+    hits = [index.flush(keyed.where(batch == i)) for i in range(flushes)]
     entries = index.compact()
 
-    # Byte verification: a digest must stand for one text. Equal texts meet
-    # before the shuffle, so a text that a third of the rows hold is sent once
-    # by each task.
-    texts = norm.withColumn("digest", F.unhex(F.sha2("norm", 256))).groupBy("digest", "norm").agg(F.count(F.lit(1)).alias("rows"))
+    # Byte verification of the hits: a digest must stand for one text. Equal texts
+    # meet before the shuffle, so a text that a third of the rows hold is sent once
+    # by each task. A text that the filter lets through by chance is alone.
+    hit_bits, _ = store(filter_of(reduce(DataFrame.unionByName, hits), bits), "hitbits")
+    texts = maybe_in(norm.select("digest", "norm"), hit_bits, bits).groupBy("digest", "norm").agg(F.count(F.lit(1)).alias("rows"))
     clash, _ = store(texts.groupBy("digest").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("digest"), "clash")
     if clash.isEmpty():
-        rows = keyed.join(entries.withColumnRenamed("rows", "group_size"), "digest")
+        rows = keyed.join(entries, "digest")
     else:  # digests that stand for different bytes: their groups come from the bytes
-        sure = keyed.join(clash, "digest", "left_anti").join(entries.withColumnRenamed("rows", "group_size"), "digest")
-        real = norm.withColumn("digest", F.unhex(F.sha2("norm", 256))).join(clash, "digest", "left_semi")
-        by_text = real.groupBy("digest", "norm", "doc_id").agg(F.count(F.lit(1)).alias("rows")).groupBy("digest", "norm").agg(
-            F.min("doc_id").alias("keep_id"), F.sum("rows").alias("group_size"), F.min_by("rows", _or_last("doc_id")).alias("keep_rows"))
+        sure = keyed.join(clash, "digest", "left_anti").join(entries, "digest")
+        real, _ = store(norm.join(clash, "digest", "left_semi").withColumn("row", F.monotonically_increasing_id()), "real")
+        by_text = real.groupBy("digest", "norm").agg(
+            F.min("doc_id").alias("keep_id"), F.min_by("row", _null_last(F.col("doc_id"))).alias("keep_row"), F.count(F.lit(1)).alias("rows"))
         rows = sure.unionByName(real.join(by_text, ["digest", "norm"]).select(sure.columns))
-    # repeated rows of the document that stays: one of them is kept
-    first = F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    tied = F.row_number().over(Window.partitionBy("digest", "doc_id").orderBy("doc_id"))
-    alone = rows.where(~(first & (F.col("keep_rows") > 1))).withColumn("kept", first)
-    repeated = rows.where(first & (F.col("keep_rows") > 1)).withColumn("kept", tied == 1)
-    return alone.unionByName(repeated).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+    return rows.select("doc_id", "keep_id", F.col("rows").alias("group_size"), (F.col("row") == F.col("keep_row")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 
 
-def without_duplicates(docs: DataFrame, runs: int = RUNS) -> DataFrame:
+def without_duplicates(docs: DataFrame) -> DataFrame:
     """The documents that exact_duplicates() keeps, with all their columns.
 
     Rows that repeat both doc_id and text are kept once.
     """
-    kept = exact_duplicates(docs, runs).where("kept").select(_or_last("doc_id").alias("id"), F.unhex("text_sha256").alias("digest"))
-    keyed = docs.select(F.struct("*").alias("doc"), _or_last("doc_id").alias("id"), F.unhex(F.sha2(normalised(F.col("text")), 256)).alias("digest"))
-    stay = keyed.join(kept.distinct(), ["id", "digest"], "left_semi")
-    return stay.dropDuplicates(["id", "digest"]).select("doc.*")
+    keys = lambda digest: [_null_last(F.col("doc_id")).alias("id"), digest.alias("digest")]
+    kept = exact_duplicates(docs).where("kept").select(*keys(F.unhex("text_sha256")))
+    keyed = docs.select(F.struct("*").alias("doc"), *keys(F.unhex(F.sha2(normalised(F.col("text")), 256))))
+    return keyed.join(kept, ["id", "digest"], "left_semi").dropDuplicates(["id", "digest"]).select("doc.*")
 
 
 SQL = r"""

@@ -49,15 +49,41 @@ def test_exact_keeps_one_row_of_each_text(spark, documents):
     assert exact.without_duplicates(documents([])).count() == 0
 
 
+def keyed(documents, rows):
+    from pyspark.sql import functions as F
+
+    norm = exact.normalised(F.col("text"))
+    return documents(rows).select("doc_id", F.unhex(F.sha2(norm, 256)).alias("digest"), F.monotonically_increasing_id().alias("row"))
+
+
 def test_index_takes_more_batches(spark, documents):
+    index = exact.DigestIndex(spark, fanout=2)
+    name = {hashlib.sha256(t.encode()).digest(): t for t in "abcdxyz"}
+    hits = lambda rows: sorted(name[bytes(r.digest)] for r in index.flush(keyed(documents, rows)).collect())
+    assert hits([(5, "a"), (6, "b"), (5, "a")]) == ["a"]
+    assert hits([(2, "a"), (9, "c")]) == ["a"] and [len(x) for x in index.levels] == [0, 1]
+    assert hits([(1, "d"), (7, "b")]) == ["b"] and [len(x) for x in index.levels] == [1, 1]
+    found = index.lookup(keyed(documents, [(0, "b"), (0, "x"), (0, "c")]).select("digest"))
+    assert sorted((name[bytes(r.digest)], r.keep_id) for r in found.collect()) == [("b", 6), ("b", 7), ("c", 9)]
+    assert hits([(None, "z")]) == [] and [len(x) for x in index.levels] == [0, 0, 1]  # compacted twice
+    entries = {name[bytes(r.digest)]: (r.keep_id, r.rows) for r in index.compact().collect()}
+    assert entries == {"a": (2, 3), "b": (6, 2), "c": (9, 1), "d": (1, 1), "z": (None, 1)} and len(index.runs()) == 1
+    assert exact.DigestIndex(spark).compact().count() == 0
+
+
+def test_filter_loses_nothing(spark, documents):
+    held, asked = keyed(documents, [(i, f"h{i}") for i in range(300)]), keyed(documents, [(i, f"{'hx'[i % 2]}{i}") for i in range(600)])
+    for bits, most in ((1 << 26, 3), (64, 600)):  # a filter that is nearly empty, and one that is full
+        passed = {r.doc_id for r in exact.maybe_in(asked, exact.filter_of(held, bits), bits).collect()}
+        assert set(range(0, 300, 2)) <= passed and len(passed) <= 150 + most
+
+
+def test_digest_clashes_are_told_apart_by_bytes(spark, documents):
     from pyspark.sql import functions as F
 
-    index = exact.DigestIndex(spark, runs=3)
-    keyed = lambda rows: documents(rows).select("doc_id", F.unhex(F.sha2(exact.normalised(F.col("text")), 256)).alias("digest"))
-    index.flush(keyed([(5, "a"), (6, "b"), (5, "a")]))
-    index.flush(keyed([(2, "a"), (9, "c")]))
-    assert sorted((r.keep_id, r.rows, r.keep_rows) for r in index.compact().collect()) == [(2, 3, 1), (6, 1, 1), (9, 1, 1)]
-    assert len(index.tables) == 1
+    for key in (lambda d: F.substring(d, 1, 1), lambda d: F.lit(b"x")):
+        got = exact.exact_duplicates(documents(ROWS), flushes=3, fanout=2, bits=64, key=key).collect()
+        assert sorted(map(tuple, got), key=repr) == exact_by_hand(ROWS)
 
 
 def print_by_hand(text):
