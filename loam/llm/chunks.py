@@ -95,15 +95,18 @@ def cuts(raw: bytes) -> np.ndarray:
 
 
 def chunked(docs: DataFrame) -> DataFrame:
-    """(doc_id, start, size, digest) of every chunk; offsets are of UTF-8 bytes."""
+    """(doc_id, start, size, high, low) of every chunk; offsets are of UTF-8 bytes,
+    high and low the halves of a 128-bit digest, so that even in 10^13 chunks two
+    different ones share a digest once in ten trillion runs."""
 
     def run(batches):
         for batch in batches:
             ids, starts, sizes, digests = [], [], [], []
 
             def out():
-                arrays = [pa.array(np.concatenate(x), t) for x, t in ((ids, pa.int64()), (starts, pa.int32()), (sizes, pa.int32()), (digests, pa.int64()))]
-                return pa.RecordBatch.from_arrays(arrays, ["doc_id", "start", "size", "digest"])
+                halves = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+                columns = ((np.concatenate(ids), pa.int64()), (np.concatenate(starts), pa.int32()), (np.concatenate(sizes), pa.int32()), (halves[:, 0], pa.int64()), (halves[:, 1], pa.int64()))
+                return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in columns], ["doc_id", "start", "size", "high", "low"])
 
             held = 0
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
@@ -112,11 +115,11 @@ def chunked(docs: DataFrame) -> DataFrame:
                     continue
                 ends = cuts(raw)
                 begins = np.concatenate([[0], ends[:-1]])
-                digest = xxhash.xxh3_64_intdigest
+                digest = xxhash.xxh3_128_digest
                 ids.append(np.full(len(ends), doc_id, np.int64))
                 starts.append(begins.astype(np.int32))
                 sizes.append((ends - begins).astype(np.int32))
-                digests.append(np.array([digest(raw[a:b]) for a, b in zip(begins.tolist(), ends.tolist())], np.uint64).view(np.int64))
+                digests += [digest(raw[a:b]) for a, b in zip(begins.tolist(), ends.tolist())]
                 held += len(ends)
                 if held > 1 << 16:
                     yield out()
@@ -125,7 +128,7 @@ def chunked(docs: DataFrame) -> DataFrame:
                 yield out()
 
     rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, "doc_id long, start int, size int, digest long")
+    return rows.mapInArrow(run, "doc_id long, start int, size int, high long, low long")
 
 
 def repeated_spans(docs: DataFrame, span: int = SPAN) -> DataFrame:
@@ -138,10 +141,10 @@ def repeated_spans(docs: DataFrame, span: int = SPAN) -> DataFrame:
     empty texts and rows without doc_id. Rows that repeat a doc_id are one
     document. Empty input gives no rows; further columns are ignored.
     """
-    chunks = chunked(docs)
-    firsts = chunks.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("digest", "first")
+    chunks = chunked(docs)  # computed twice, which costs less than to write and read as many rows
+    firsts = chunks.groupBy("high", "low").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("high", "low", "first")
     firsts, _ = store(firsts, "repeated")  # so that both sides of the join are plain shuffles, which Spark can split
-    shared = chunks.join(firsts, "digest").select("doc_id", "start", "size", "first")
+    shared = chunks.join(firsts, ["high", "low"]).select("doc_id", "start", "size", "first")
     shared = shared.repartition("doc_id").groupBy("doc_id", "start", "size").agg(F.min("first").alias("first"))
     order = Window.partitionBy("doc_id").orderBy("start", "size")
     begins = (F.col("start") != F.lag(F.col("start") + F.col("size"), 1, -1).over(order)).cast("int")

@@ -232,6 +232,58 @@ def test_repeated_passages_are_found_at_any_shift(spark, documents):
     assert chunks.repeated_spans(documents([])).count() == 0
 
 
+def cuts_by_hand(raw):
+    """A cut follows a byte whose hash is the least of 16 on either side."""
+    h = [sum(int(chunks.GEAR[raw[i - j]]) << j for j in range(min(16, i + 1))) % 2**64 for i in range(len(raw))]
+    ends, before = [], -16
+    for i in range(len(raw)):
+        if h[i] == min(h[max(0, i - 16) : i + 17]) and i + 1 < len(raw) and i + 1 - before > 16:
+            ends.append(i + 1)
+            before = i + 1
+    out, at = [], 0
+    for e in [*ends, len(raw)] if raw else []:
+        out += [*range(at + chunks.LONGEST, e, chunks.LONGEST), e]
+        at = e
+    return out
+
+
+def spans_by_hand(rows, least=chunks.SPAN):
+    docs = {}
+    for i, text in rows:
+        if i is not None and text:
+            docs.setdefault(i, set()).add(text.encode())
+    held, parts = {}, {}
+    for i, texts in docs.items():
+        for raw in texts:
+            for a, b in zip([0, *(e := cuts_by_hand(raw))], e):
+                held.setdefault(raw[a:b], set()).add(i)
+                parts.setdefault(i, {}).setdefault((a, b), raw[a:b])
+    out = []
+    for i, places in parts.items():
+        run = []
+        for (a, b), chunk in sorted(places.items()) + [((-1, -1), None)]:
+            if run and (chunk is None or len(held[chunk]) == 1 or run[-1][1] != a):
+                first = [min(held[c]) for *_, c in run]
+                if run[-1][1] - run[0][0] >= least:
+                    dup = sum(y - x for (x, y, _), f in zip(run, first) if f < i)
+                    out.append((i, run[0][0], run[-1][1], run[-1][1] - run[0][0], min(first), dup, dup == 0))
+                run = []
+            if chunk is not None and len(held[chunk]) > 1:
+                run.append((a, b, chunk))
+    return sorted(out)
+
+
+def test_repeated_spans_as_by_hand(spark, documents):
+    rnd = random.Random(14)
+    shared = [passage(rnd, n) for n in (8, 25, 55, 90)] + ["ab" * 400, "é" * 300]
+    rows = [(1000, None), (1001, ""), (1002, "x"), (None, shared[3])]
+    for i in range(40):
+        pieces = [rnd.choice(shared) if rnd.random() < 0.5 else passage(rnd, rnd.randrange(1, 60)) for _ in range(rnd.randrange(1, 6))]
+        rows.append((i, " ".join(pieces)))
+    got = sorted(map(tuple, chunks.repeated_spans(documents([*rows, rows[9]])).select("doc_id", "start", "stop", "n_bytes", "first_doc_id", "dup_bytes", "kept").collect()))
+    assert got == spans_by_hand(rows) and len(got) > 30
+
+
 def test_repeats_are_cut_out(spark, documents):
     rnd = random.Random(8)
     shared = passage(rnd, 80)
