@@ -1,13 +1,12 @@
 """Toxicity by subword-bag embeddings under a linear softmax.
 
 A word is the average of the embeddings of its character n-grams, which are
-hashed into buckets; a window of neighbouring words is the average of its
-words, and a linear softmax scores it. Embeddings and softmax are trained
-together in numpy. A window is one word by default, which told
-held-out documents apart best. A document counts as toxic if any of its windows
-does: its likelihood in training is the noisy-or over its windows, its score
-the largest window probability, so a long clean text doesn't dilute an insult. Misspelt
-words share most of their n-gram vectors with the words that were seen.
+hashed into buckets; a window, one word or two neighbouring ones, is the average
+of its words, and a linear softmax scores it. Embeddings and softmax are trained
+together in numpy. A document counts as toxic if any of its windows does: its
+likelihood in training is the noisy-or over its different windows, its score the
+largest window probability, so a long clean text doesn't dilute an insult.
+Misspelt words share most of their n-gram vectors with the words that were seen.
 """
 
 from __future__ import annotations
@@ -17,20 +16,25 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: At most this many labelled documents of each class are learned from, those
-#: with the smallest MD5 of their doc_id; all further counts cover all rows.
+#: with the smallest MD5 of their doc_id, as far as their texts come to SAMPLE_CHARS
+#: together; all further counts cover all rows.
 SAMPLE = 2000
+SAMPLE_CHARS = 1 << 24
 BUCKETS = 1 << 16
 DIMENSIONS = 8
 NGRAMS = (3, 4, 5, 6)
-WINDOW = 1
-STEPS = 120
+#: Words of a window.
+WIDTHS = (1, 2)
+STEPS = 60
+#: Weight of the squared parameters.
+DECAY = 1e-4
 #: Bytes of a very long text that are scored at once.
 BLOCK = 1 << 18
-#: Different words whose n-grams training holds in one part.
+#: Different words whose n-grams are made at once in training.
 PART = 20_000
 
 _WORD = np.zeros(256, bool)
@@ -93,7 +97,7 @@ class Model:
         return self.vectors @ (self.softmax[:, 1] - self.softmax[:, 0])
 
     def scorer(self):
-        grams, bias = self.gram_scores(), self.bias
+        grams, bias, longest = self.gram_scores(), self.bias, max(WIDTHS)
 
         def score(text: str | None) -> float:
             best, tail = -np.inf, np.zeros(0)
@@ -103,20 +107,57 @@ class Model:
                     continue
                 sums = np.bincount(word, grams[bucket], count)
                 words = np.concatenate([tail, sums / np.maximum(np.bincount(word, minlength=count), 1)])
-                best = max(best, _windows(words).max())
-                tail = words[len(words) - WINDOW + 1 :]
+                total = np.concatenate([[0.0], np.cumsum(words)])
+                best = max(best, *(((total[w:] - total[:-w]) / w).max() for w in WIDTHS if w <= len(words)))
+                tail = words[len(words) - longest + 1 :]
             logit = bias if best == -np.inf else best + bias
             return float(1 / (1 + np.exp(-np.clip(logit, -500, 500))))
 
         return score
 
 
-def _windows(words: np.ndarray) -> np.ndarray:
-    """Means of each WINDOW neighbouring words, or of all if there are fewer."""
-    if len(words) <= WINDOW:
-        return np.array([words.mean()])
-    sums = np.cumsum(np.concatenate([[0.0], words]))
-    return (sums[WINDOW:] - sums[:-WINDOW]) / WINDOW
+@dataclass
+class _Sums:
+    """Sums of values by group: values are taken at places that lie in the order
+    of their groups."""
+
+    places: np.ndarray
+    starts: np.ndarray
+    groups: np.ndarray
+    size: int
+
+    @classmethod
+    def of(cls, group: np.ndarray, place: np.ndarray, size: int) -> _Sums:
+        order = np.argsort(group, kind="stable")
+        group = group[order]
+        starts = np.flatnonzero(np.diff(group, prepend=-1))
+        return cls(place[order].astype(np.int32), starts, group[starts], size)
+
+    def __call__(self, values: np.ndarray) -> np.ndarray:
+        out = np.zeros(self.size)
+        if len(self.starts):
+            out[self.groups] = np.add.reduceat(values[self.places], self.starts)
+        return out
+
+
+def windows(doc_words: list[np.ndarray], n_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different windows of all documents, a row of word numbers each (from 1,
+    0 where narrower), and (document, window) of each that a document has."""
+    docs, keys = [], []
+    for i, words in enumerate(doc_words):
+        for w in WIDTHS:
+            if w <= len(words):
+                key = np.zeros(len(words) - w + 1, np.int64)
+                for j in range(w):
+                    key = key * (n_words + 1) + words[j : len(words) - w + 1 + j] + 1
+                keys.append(np.unique(key))
+                docs.append(np.full(len(keys[-1]), i, np.int32))
+    found, window = np.unique(np.concatenate(keys), return_inverse=True)
+    columns = []
+    for _ in range(max(WIDTHS)):
+        columns.append((found % (n_words + 1)).astype(np.int32))
+        found = found // (n_words + 1)
+    return np.stack(columns[::-1], axis=1), np.concatenate(docs), window.astype(np.int32)
 
 
 def fit(texts: list[str], labels: list[int], steps: int = STEPS, seed: int = 7) -> Model:
@@ -129,49 +170,46 @@ def fit(texts: list[str], labels: list[int], steps: int = STEPS, seed: int = 7)
     rng = np.random.default_rng(seed)
     vectors = rng.normal(0, 0.1, (BUCKETS, DIMENSIONS))
     softmax = rng.normal(0, 0.1, (DIMENSIONS, 2))
-    if not len(y) or y.min() == y.max():
-        return Model(np.zeros_like(vectors), np.zeros_like(softmax), 50.0 if len(y) and y.max() > 0 else -50.0)
-    # each different word's n-grams once; documents as positions of words
+    # each different word once; documents as the numbers of their words
     known: dict[bytes, int] = {}
-    doc_words = []
+    doc_words, blank = [], bytes(c if _WORD[c] else 32 for c in range(256))
     for t in texts:
-        raw = (t or "").lower().encode("utf-8", "surrogatepass").translate(bytes(c if _WORD[c] else 32 for c in range(256)))
-        doc_words.append(np.array([known.setdefault(w, len(known)) for w in raw.split()], np.int32))
-    # in parts, each with the words' numbers, so that no step holds more than one part's temporaries
-    listed, parts, per_word = list(known), [], np.zeros(len(known))
-    for at in range(0, len(listed), PART):
+        raw = (t or "").lower().encode("utf-8", "surrogatepass").translate(blank)
+        doc_words.append(np.array([known.setdefault(w, len(known)) for w in raw.split()], np.int64))
+    some = np.array([len(d) > 0 for d in doc_words], bool)
+    if not some.any() or y[some].min() == y[some].max():
+        return Model(np.zeros_like(vectors), np.zeros_like(softmax), 50.0 if len(y) and y.min() > 0 else -50.0)
+    y, doc_words = y[some], [d for d in doc_words if len(d)]
+    listed, n_words, buckets, words = list(known), len(known), [], []
+    for at in range(0, n_words, PART):
         bucket, word, _ = word_grams(b" ".join(listed[at : at + PART]).decode("utf-8", "surrogatepass"))
-        parts.append((bucket.astype(np.int32), word.astype(np.int32), slice(at, min(at + PART, len(listed)))))
-        per_word[parts[-1][2]] = np.maximum(np.bincount(word, minlength=parts[-1][2].stop - at), 1)
-    flat, size = np.concatenate(doc_words).astype(np.int32), np.array([len(d) for d in doc_words])
-    del known, listed, doc_words
-    some = size > 0
-    y, size = y[some], size[some]
-    begin = np.cumsum(size) - size
-    wins = np.where(size > WINDOW, size - WINDOW + 1, 1)
-    first = np.cumsum(wins) - wins
-    at = np.arange(wins.sum()) - np.repeat(first, wins) + np.repeat(begin, wins)
-    width = np.repeat(np.minimum(size, WINDOW), wins)
-    doc = np.repeat(np.arange(len(size)), wins)
+        buckets.append(bucket.astype(np.int32))
+        words.append((word + at).astype(np.int32))
+    bucket, word = np.concatenate(buckets), np.concatenate(words)
+    del known, listed, buckets, words
+    grams_of = np.maximum(np.bincount(word, minlength=n_words), 1)
+    members, doc, window = windows(doc_words, n_words)
+    del doc_words
+    width = (members > 0).sum(axis=1)
+    by_word, by_bucket = _Sums.of(word, bucket, n_words), _Sums.of(bucket, word, BUCKETS)
+    by_doc, by_window = _Sums.of(doc, window, len(y)), _Sums.of(window, doc, len(members))
+    held = members > 0
+    of_word = _Sums.of(members[held] - 1, np.nonzero(held)[0], n_words)
+    del bucket, word, doc, window, held
     bias, share = -6.0, np.where(y == 1, 0.25 / max(1, (y == 1).sum()), 0.75 / max(1, (y == 0).sum()))
     state = [[np.zeros_like(p), np.zeros_like(p)] for p in (vectors, softmax, np.zeros(1))]
     for step in range(1, steps + 1):
         weight = softmax[:, 1] - softmax[:, 0]
-        grams = vectors @ weight
-        words = np.concatenate([np.bincount(w, grams[b], s.stop - s.start) for b, w, s in parts]) / per_word
-        sums = np.concatenate([[0.0], np.cumsum(words[flat])])
-        z = (sums[at + width] - sums[at]) / width + bias
-        odds = np.logaddexp(0, z)  # a window's share of -log P(clean)
-        total = np.bincount(doc, odds, len(size))
+        scores = np.concatenate([[0.0], by_word(vectors @ weight) / grams_of])
+        z = sum(scores[c] for c in members.T) / width + bias
+        odds = np.maximum(z, 0) + np.log1p(np.exp(-np.abs(z)))
+        total = by_doc(odds)  # a document's -log P(clean), summed over its windows
         # d loss / d total: the clean ones pay total, the toxic ones -log(1 - e^-total)
         slope = np.where(y == 1, -1 / np.expm1(np.clip(total, 1e-9, 50)), 1.0) * share
-        dz = slope[doc] / (1 + np.exp(-z))
-        dz_each = dz / width
-        spread = np.bincount(at, dz_each, len(flat) + 1) - np.bincount(at + width, dz_each, len(flat) + 1)
-        dword = np.bincount(flat, np.cumsum(spread)[:-1], len(per_word)) / per_word
-        dgram = sum(np.bincount(b, dword[s][w], BUCKETS) for b, w, s in parts)
+        dz = by_window(slope) * -np.expm1(-odds)
+        dgram = by_bucket(of_word(dz / width) / grams_of)
         dweight = vectors.T @ dgram
-        grads = (np.outer(dgram, weight) + 1e-6 * vectors, np.stack([-dweight, dweight], 1) + 1e-6 * softmax, np.array([dz.sum()]))
+        grads = (np.outer(dgram, weight) + DECAY * vectors, np.stack([-dweight, dweight], 1) + DECAY * softmax, np.array([dz.sum()]))
         params = [vectors, softmax, np.array([bias])]
         for p, g, s in zip(params, grads, state):
             s[0] = 0.9 * s[0] + 0.1 * g
@@ -186,11 +224,13 @@ def held_out():
     return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(5)) == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, chars: int = SAMPLE_CHARS) -> Model:
     """A model from the labelled rows of docs that are not held out.
 
-    Reads sample documents of each class at most. Labels other than 0 and 1,
-    null identifiers and identifiers with both labels are left out.
+    Reads sample documents of each class at most, and texts of so many characters
+    in all, whatever repeats or however long they are. Labels other than 0 and 1,
+    null identifiers and identifiers with both labels are left out; of texts that
+    repeat an identifier the first by code points is read.
     """
     usable = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").where(~held_out())
     one = usable.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most")).where("toxic = most")
@@ -201,7 +241,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         part = one.where(F.col("toxic") == toxic).select("doc_id", "toxic").orderBy(key, "doc_id").limit(sample)
         chosen = part if chosen is None else chosen.union(part)
     # at most 2 * sample rows of two numbers: that bounds the broadcast
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").orderBy("doc_id").select("text", F.col("toxic").cast("int")).toPandas()
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where(F.length("text") <= chars)
+    rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").cast("int").alias("toxic"))
+    # one row for each chosen document, so one task may add up their lengths
+    so_far = F.sum(F.length("text")).over(Window.orderBy(key, "doc_id"))
+    rows = rows.withColumn("so_far", so_far).where(F.col("so_far") <= chars).orderBy("doc_id").select("text", "toxic").toPandas()
     return fit(rows["text"].tolist(), rows["toxic"].tolist())
 
 
