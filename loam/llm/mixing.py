@@ -1,31 +1,38 @@
 """Mixing sources to target weights by entropy balancing.
 
-The mix minimises the entropy of document rates, each weighed by its tokens,
-relative to taking every document once, under one token constraint for each
-source. The dual is convex and separates by source; Newton iterations on the
-aggregated token counts, one expression for all sources at once, give the
-exponential tilts, and a document's rate is the exponential of its source's
-tilt. Rates become copies: their whole part for all, and one more for as many
-documents of each size band as the source's running token error asks for, from
-the largest band down. Which documents of a band is settled by an MD5 order, so
-reruns agree.
+The mix takes document i at a rate w_i between 0 and MOST. Among all rates under
+which each source's tokens come to its target, it has those of least relative
+entropy to taking every document once, the sum of w log w - w + 1. Its convex dual
+has one multiplier for each source's token constraint; a document's rate is the
+exponential tilt exp(multiplier * size), MOST at most. The dual is solved by Newton
+iterations: each is one Spark aggregation over all sources' sizes, and a bracket
+keeps it safe where the bound bends the dual.
+
+Rates become copies: their whole part for all, and one more for as many documents
+of each size as the source's running token error asks for, from the largest size
+down, so that the small documents make up for what the large ones leave. Which
+documents of a size is settled by the MD5 of their doc_id, so reruns agree.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import store, words
+from .shared import drop, store, words
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (5, 2, 1)
 #: No source's target, and no document, exceeds this many times its size.
 MOST = 3
-#: Newton iterations; from a ratio of 0.001 to 3 it settles in under 15.
-ITERATIONS = 40
-#: Size bands to an octave of document size.
-BANDS = 8
+#: Newton iterations at most, and the error of a source's tokens that ends them.
+ITERATIONS = 80
+ERROR = 1e-13
+#: Rates are rounded to this part of one, which makes the running errors exact.
+UNIT = 1_000_000
+#: Documents of one size and source that one task puts in order, about.
+CELL_ROWS = 1 << 16
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
@@ -54,99 +61,138 @@ def targets(sizes: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
     level = level.withColumn("free", wide("weight") * wide("left") <= wide("cap") * wide("weight_left"))
     first = level.withColumn("level", F.max(F.when(F.col("free"), F.struct(F.col("left"), F.col("weight_left")))).over(everything))
     share = F.col("weight").cast("double") * F.col("level.left") / F.col("level.weight_left")
-    return first.select("source", "source_size", "weight", F.when(F.col("free"), share).otherwise(F.col("cap").cast("double")).alias("target"))
-
-
-def tilt(size, target):
-    """Newton iterations on the dual, size * exp(t) - target * t, from t = 0."""
-    size = size.cast("double")
-    step = lambda t, _: t - (size * F.exp(t) - target) / (size * F.exp(t))
-    solved = F.aggregate(F.sequence(F.lit(1), F.lit(ITERATIONS)), F.lit(0.0), step)
-    return F.when((size > 0) & (target > 0), solved).otherwise(F.lit(0.0))
-
-
-def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
+    return first.select(*[c for c in sizes.columns if c not in ("source", "source_size")], "source", "source_size", "weight", F.when(F.col("free"), share).otherwise(F.col("cap").cast("double")).alias("target"))
+
+
+def rates(sizes: DataFrame, classes: DataFrame, most: int = MOST) -> DataFrame:
+    """(name, source_size, target, tilt) of sizes (name, source_size, target) and
+    classes (name, size, n), n documents of a size: a document's rate is
+    exp(tilt * size), most at most. tilt is infinite where the target is all that
+    the bound allows, and 0 for a source without tokens."""
+    spark = sizes.sparkSession
+    tokens = F.col("n") * F.col("size").cast("double")
+    scale = classes.groupBy("name").agg(F.try_divide(F.sum(tokens * F.col("size")), F.sum(tokens)).alias("scale"))
+    start = sizes.join(scale, "name").withColumn("open", (F.col("source_size") > 0) & (F.col("target") > 0) & (F.col("target") < most * F.col("source_size")))
+    edge = F.when(F.col("open") | (F.col("source_size") == 0) | (F.col("target") <= 0), 0.0).otherwise(float("inf"))
+    infinite = lambda sign: F.lit(sign * float("inf"))
+    state, path = store(start.select("*", edge.alias("tilt"), infinite(-1).alias("low"), infinite(1).alias("high"), F.col("open").alias("moving")), "tilts")
+    for _ in range(ITERATIONS):
+        if not state.agg(F.max("moving")).first()[0]:
+            break
+        # the sums over all documents, a row for each size of a source
+        each = classes.join(state.where("moving").select("name", "tilt", "scale"), "name")
+        rate = F.exp(F.col("tilt") * F.col("size") / F.col("scale"))
+        sums = each.groupBy("name").agg(
+            F.sum(tokens * F.least(rate, F.lit(float(most)))).alias("taken"),
+            F.sum(F.when(rate < most, tokens * rate * F.col("size") / F.col("scale")).otherwise(0.0)).alias("slope"),
+        )
+        after, after_path = store(_newton(state.join(sums, "name", "left")).select(state.columns), "tilts")
+        drop(spark, path)
+        state, path = after, after_path
+    return state.select("name", "source_size", "target", (F.col("tilt") / F.coalesce("scale", F.lit(1.0))).alias("tilt"))
+
+
+def _newton(rows: DataFrame) -> DataFrame:
+    """One step for each source that moves: Newton on the logarithm of its tokens,
+    or half the bracket where that step would leave it."""
+    taken, target, tilt = F.col("taken"), F.col("target"), F.col("tilt")
+    under = taken < target
+    low, high = F.when(under, tilt).otherwise(F.col("low")), F.when(under, F.col("high")).otherwise(tilt)
+    newton = tilt - F.log(F.try_divide(taken, target)) * F.try_divide(taken, F.col("slope"))
+    wide = F.when(high == float("inf"), 2 * F.abs(low) + 1).when(low == -float("inf"), -2 * F.abs(high) - 1).otherwise((low + high) / 2)
+    step = F.when((F.col("slope") > 0) & (taken > 0) & (newton > low) & (newton < high), newton).otherwise(wide)
+    stays = ~F.col("moving") | (F.abs(taken - target) <= ERROR * target) | (step == tilt)
+    return rows.withColumns({
+        "tilt": F.when(stays, tilt).otherwise(step), "low": F.when(stays, F.col("low")).otherwise(low), "high": F.when(stays, F.col("high")).otherwise(high),
+        "moving": ~stays,
+    })
+
+
+def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST, cell_rows: int = CELL_ROWS) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken, copies.
 
     size is the number of words, 0 for a null text. A null source is a source
-    of its own, the last. Documents without words take the whole part of their
-    source's rate as copies; if nothing has words, all are taken once. Repeated
-    rows of a doc_id are documents of their own that count alike. Empty input
-    gives no rows.
+    of its own, the last. Documents without words are taken once. Repeated rows of
+    a doc_id are documents of their own that count alike. Empty input gives no
+    rows.
     """
-    sized = docs.select("doc_id", "source", words(F.col("text")).alias("size"))
-    return _mixed(sized, weights, most).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
-
-
-def _mixed(sized: DataFrame, weights, most: int) -> DataFrame:
-    band = F.when(F.col("size") > 0, F.floor(F.log2(F.col("size").cast("double")) * BANDS).cast("int")).otherwise(-1)
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    docs, _ = store(sized.withColumns({"band": band, "key": key}), "sized")
-    docs = docs.withColumn("cell", F.substring("key", 1, 2))
-    # every count starts as one row for each source, band and cell of keys
-    cells = docs.groupBy("source", "band", "cell").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("tokens"))
-    cells, _ = store(cells, "cells")
-    sizes = cells.groupBy("source").agg(F.sum("tokens").alias("source_size"))
-    aims = targets(sizes, weights, most).withColumn("rate", F.round(F.exp(tilt(F.col("source_size"), F.col("target"))), 9))
-    aims = aims.withColumn("whole", F.floor(F.least("rate", F.lit(float(most))))).withColumn("part", F.col("rate") - F.col("whole"))
-    # from the largest band down, the error of each goes to the next
-    bands = cells.groupBy("source", "band").agg(F.sum("n").alias("n"), F.sum("tokens").alias("tokens"))
-    listed = bands.where("band >= 0").groupBy("source").agg(F.reverse(F.array_sort(F.collect_list(F.struct("band", "n", "tokens")))).alias("bands"))
-    listed = _same_source(listed, aims.select("source", "part"))
-
-    def settle(state, b):
-        wish = state["error"] + F.col("part") * b["tokens"]
-        mean = b["tokens"].cast("double") / b["n"]
-        extra = F.greatest(F.lit(0).cast("long"), F.least(b["n"], F.floor(wish / mean + 0.5)))
-        return F.struct((wish - extra * mean).alias("error"), F.concat(state["taken"], F.array(F.struct(b["band"].alias("band"), extra.alias("extra")))).alias("taken"))
-
-    start = F.struct(F.lit(0.0).alias("error"), F.expr("cast(array() as array<struct<band:int,extra:bigint>>)").alias("taken"))
-    extras = listed.select("source", F.explode(F.aggregate("bands", start, settle)["taken"]).alias("t")).select("source", "t.band", "t.extra")
-    # rank in the band: what earlier cells hold, then the order inside the cell
-    earlier = Window.partitionBy("source", "band").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    ahead = cells.select("source", "band", "cell", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("ahead"))
-    ahead = _same_source(ahead, extras, "band")
-    inside = Window.partitionBy("source", "band", "cell").orderBy("key", "doc_id")
-    ranked = docs.withColumn("rank", F.row_number().over(inside))
-    ranked = _same_source(ranked, ahead, "band", "cell")
-    mixed = _same_source(ranked, aims.select("source", "source_size", "target", "whole"))
-    extra = (F.col("rank") + F.col("ahead") <= F.col("extra")).cast("long")
-    return mixed.withColumn("copies", F.col("whole") + F.coalesce(extra, F.lit(0)))
-
-
-def _same_source(left: DataFrame, right: DataFrame, *keys: str) -> DataFrame:
-    """Left join on source, null as a value, and further keys."""
-    right = right.withColumnsRenamed({k: f"_{k}" for k in ("source", *keys)})
-    on = F.col("source").eqNullSafe(F.col("_source"))
-    for k in keys:
-        on &= F.col(k) == F.col(f"_{k}")
-    return left.join(right, on, "left").drop("_source", *[f"_{k}" for k in keys])
+    out = _mixed(_sized(docs), weights, most, cell_rows)
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
+
+
+def _sized(docs: DataFrame, *more: str) -> DataFrame:
+    """(doc_id, source, size, name, key, *more): name is a source that is never null, key
+    an order of documents, for those without doc_id that of their texts."""
+    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.col("text"), F.lit("")).cast("binary"))
+    name = F.coalesce(F.concat(F.lit("s"), "source"), F.lit(""))
+    return docs.select("doc_id", "source", words(F.col("text")).alias("size"), name.alias("name"), key.alias("key"), *more)
+
+
+def _mixed(sized: DataFrame, weights, most: int, cell_rows: int) -> DataFrame:
+    docs, _ = store(sized, "sized")
+    classes, _ = store(docs.groupBy("name", "source", "size").agg(F.count(F.lit(1)).alias("n")), "classes")
+    sizes = classes.groupBy("name", "source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
+    aims = rates(targets(sizes, weights, most), classes, most)
+    rate = F.when(F.col("size") == 0, 1.0).otherwise(F.least(F.lit(float(most)), F.exp(F.col("tilt") * F.col("size"))))
+    rated = classes.join(aims, "name").withColumn("units", F.round(rate * UNIT).cast("long"))
+    rated = rated.groupBy("name").applyInPandas(_rounded(most), "name string, size long, source_size long, target double, whole long, extra long")
+    # a class of many documents is dealt out in cells of keys; a document's place in
+    # the class is what the earlier cells hold and its place in its own
+    n = classes.agg(F.max("n")).first()[0] or 0
+    width = min(32, max(1, (max(1, n // cell_rows) - 1).bit_length() // 4 + 1))
+    docs = docs.withColumn("cell", F.substring("key", 1, width))
+    cells = docs.groupBy("name", "size", "cell").agg(F.count(F.lit(1)).alias("n"))
+    earlier = Window.partitionBy("name", "size").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.withColumn("ahead", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n")
+    cells = cells.join(rated, ["name", "size"])
+    inside = Window.partitionBy("name", "size", "cell").orderBy("key", "doc_id")
+    placed = docs.withColumn("place", F.row_number().over(inside)).join(cells, ["name", "size", "cell"])
+    extra = (F.col("ahead") + F.col("place") <= F.col("extra")).cast("long")
+    return placed.withColumn("copies", F.col("whole") + extra)
+
+
+def _rounded(most: int):
+    """For the classes of one source: whole copies of each document of a size, and
+    how many of them get one more. A source has no more sizes than its longest
+    document has words, so this holds no more than that document does."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("size", ascending=False, ignore_index=True)
+        error, extras = 0, []  # in units of tokens, as whole numbers of any length
+        for size, n, units in zip(rows["size"].tolist(), rows["n"].tolist(), rows["units"].tolist()):
+            wish = error + units % UNIT * n * size
+            most_extra = n if size and units < most * UNIT else 0
+            extra = max(0, min(most_extra, (2 * wish + size * UNIT) // (2 * size * UNIT))) if size else 0
+            error = wish - extra * size * UNIT
+            extras.append(extra)
+        rows["whole"], rows["extra"] = rows["units"] // UNIT, extras
+        return rows[["name", "size", "source_size", "target", "whole", "extra"]]
+
+    return run
 
 
 def take(docs: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
     """The mix itself: the rows of docs, each as often as it has copies."""
-    last = F.lit(2**63 - 1)
-    named = F.coalesce(F.concat(F.lit("s"), "source"), F.lit(""))  # null is a source too
-    sized = docs.select(F.struct("*").alias("doc"), "doc_id", "source", words(F.col("text")).alias("size"))
-    chosen = _mixed(sized.select("doc_id", "source", "size"), weights, most)
-    # rows that repeat a doc_id, source and size share their copies
-    copies = chosen.groupBy(F.coalesce("doc_id", last).alias("id"), named.alias("name"), "size").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows"))
+    sized = _sized(docs.select(F.struct("*").alias("doc"), "doc_id", "source", "text"), "doc")
+    chosen = _mixed(sized.drop("doc"), weights, most, CELL_ROWS)
+    # rows that repeat a doc_id (or, without one, a text), source and size share their copies
+    same = ["id", "name", "key", "size"]
+    last = F.coalesce("doc_id", F.lit(2**63 - 1)).alias("id")
+    copies = chosen.groupBy(last, "name", "key", "size").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows"))
     copies, _ = store(copies, "copies")
-    keyed = sized.select("doc", F.coalesce("doc_id", last).alias("id"), named.alias("name"), "size")
-    joined = keyed.join(copies, ["id", "name", "size"])
-    order = Window.partitionBy("id", "name", "size").orderBy("id")
-    nth = F.when(F.col("rows") > 1, F.row_number().over(order)).otherwise(1)
+    named = sized.select("doc", last, "name", "key", "size")
+    joined = named.join(copies, same)
+    nth = F.when(F.col("rows") > 1, F.row_number().over(Window.partitionBy(*same).orderBy("id"))).otherwise(1)
     each = F.floor(F.col("copies") / F.col("rows")) + (nth <= F.col("copies") % F.col("rows")).cast("long")
     times = joined.withColumn("times", each).where("times > 0")
-    return times.select("doc.*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("loam_copy")).select(docs.columns)
+    return times.select("doc", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("nth")).select("doc.*")
 
 
 def sql(documents: str = "documents", result: str = "SELECT doc_id, size, source_size, target, taken FROM mixed") -> str:
     return rf"""
 WITH RECURSIVE sized AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM {documents}),
-placed AS (SELECT *, CASE WHEN size > 0 THEN CAST(floor(log2(size::DOUBLE) * {BANDS}) AS INT) ELSE -1 END AS band, md5(coalesce(doc_id::VARCHAR, '')) AS key FROM sized),
-sizes AS (SELECT source, sum(size)::BIGINT AS source_size FROM placed GROUP BY source),
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, text, '')) AS key FROM {documents}),
+sizes AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
 weighed AS (SELECT *, list_value({', '.join(map(str, WEIGHTS))})[(row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(WEIGHTS)} + 1] AS weight, source_size * {MOST} AS cap FROM sizes),
 level AS (
   SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER o, 0))::BIGINT AS lft,
@@ -155,28 +201,36 @@ level AS (
 free AS (SELECT *, weight * lft <= cap * weight_left AS open FROM level),
 top AS (SELECT max({{'l': lft, 'w': weight_left}}) AS m FROM free WHERE open),
 aims AS (
-  SELECT source, source_size, CASE WHEN open THEN weight::DOUBLE * m.l / m.w ELSE cap::DOUBLE END AS target
+  SELECT coalesce('s' || source, '') AS name, source_size, CASE WHEN open THEN weight::DOUBLE * m.l / m.w ELSE cap::DOUBLE END AS target
   FROM free LEFT JOIN top ON true),
-rates AS (SELECT *, CASE WHEN source_size > 0 AND target > 0 THEN round(target / source_size, 9) ELSE 1.0 END AS rate FROM aims),
-split AS (SELECT *, CAST(floor(least(rate, {MOST})) AS BIGINT) AS whole, rate - floor(least(rate, {MOST})) AS part FROM rates),
-bands AS (
-  SELECT p.source, band, count(*) AS n, sum(size)::BIGINT AS tokens, any_value(s.part) AS part,
-         row_number() OVER (PARTITION BY p.source ORDER BY band DESC) AS i
-  FROM placed p JOIN split s ON p.source IS NOT DISTINCT FROM s.source WHERE band >= 0 GROUP BY p.source, band),
+named AS (SELECT *, coalesce('s' || source, '') AS name FROM sized),
+classes AS (SELECT name, size, count(*) AS n FROM named GROUP BY ALL),
+inside AS (
+  SELECT a.*, sum(n * size::DOUBLE * size) / sum(n * size::DOUBLE) AS scale, list({{'s': size::DOUBLE, 't': n * size::DOUBLE}}) AS held
+  FROM aims a JOIN classes USING (name) WHERE source_size > 0 AND target > 0 AND target < {MOST} * source_size GROUP BY ALL),
+bracket(i, name, target, scale, held, low, high) AS (
+  SELECT 0, name, target, scale, held, -4096.0::DOUBLE, 4096.0::DOUBLE FROM inside
+  UNION ALL
+  SELECT i + 1, name, target, scale, held, CASE WHEN under THEN middle ELSE low END, CASE WHEN under THEN high ELSE middle END FROM (
+    SELECT *, list_sum(list_transform(held, lambda c: c.t * exp(least(ln({MOST}.0::DOUBLE), middle * c.s / scale)))) < target AS under
+    FROM (SELECT *, (low + high) / 2 AS middle FROM bracket WHERE i < 75))),
+tilts AS (SELECT name, (low + high) / 2 / scale AS tilt FROM bracket WHERE i = 75),
+rated AS (
+  SELECT c.*, source_size, target, CAST(round({UNIT} * CASE WHEN size = 0 OR source_size = 0 OR target <= 0 THEN 1.0 WHEN tilt IS NULL THEN {MOST}.0 ELSE exp(least(ln({MOST}.0::DOUBLE), tilt * size)) END) AS BIGINT) AS units
+  FROM classes c JOIN aims USING (name) LEFT JOIN tilts USING (name)),
+split AS (SELECT *, units // {UNIT} AS whole, units % {UNIT} AS part, CASE WHEN size > 0 AND units < {MOST * UNIT} THEN n ELSE 0 END AS most, row_number() OVER (PARTITION BY name ORDER BY size DESC) AS i FROM rated),
+wished AS (SELECT *, part::HUGEINT * n * size AS own, greatest(1, size)::HUGEINT * {UNIT} AS each FROM split),
 walk AS (
-  SELECT b.*, 0.0::DOUBLE + b.part * b.tokens AS wish,
-         greatest(0, least(b.n, CAST(floor((0.0::DOUBLE + b.part * b.tokens) / (b.tokens::DOUBLE / b.n) + 0.5) AS BIGINT))) AS extra
-  FROM bands b WHERE i = 1
+  SELECT name, i, size, own AS wish, each, greatest(0, least(most, (2 * own + each) // (2 * each)))::BIGINT AS extra FROM wished WHERE i = 1
   UNION ALL
-  SELECT b.*, (w.wish - w.extra * (w.tokens::DOUBLE / w.n)) + b.part * b.tokens,
-         greatest(0, least(b.n, CAST(floor(((w.wish - w.extra * (w.tokens::DOUBLE / w.n)) + b.part * b.tokens) / (b.tokens::DOUBLE / b.n) + 0.5) AS BIGINT)))
-  FROM walk w JOIN bands b ON b.source IS NOT DISTINCT FROM w.source AND b.i = w.i + 1),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY source, band ORDER BY key, doc_id) AS rank FROM placed),
+  SELECT w.name, w.i, w.size, p.wish - p.extra * p.each + own, w.each, greatest(0, least(most, CAST(floor((2 * (p.wish - p.extra * p.each + own) + w.each) / (2 * w.each)) AS HUGEINT)))::BIGINT
+  FROM walk p JOIN wished w ON w.name = p.name AND w.i = p.i + 1),
+begun AS (SELECT s.*, extra FROM split s JOIN walk USING (name, i)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY name, size ORDER BY key, doc_id) AS place FROM named),
 mixed AS (
-  SELECT r.doc_id, r.source, r.size, s.source_size, s.target, s.whole + CASE WHEN r.rank <= w.extra THEN 1 ELSE 0 END AS copies,
-         r.size * (s.whole + CASE WHEN r.rank <= w.extra THEN 1 ELSE 0 END) AS taken
-  FROM ranked r JOIN split s ON r.source IS NOT DISTINCT FROM s.source
-  LEFT JOIN walk w ON r.source IS NOT DISTINCT FROM w.source AND r.band = w.band)
+  SELECT p.doc_id, p.source, p.size, source_size, target,
+         p.size * (whole + CASE WHEN place <= extra THEN 1 ELSE 0 END) AS taken
+  FROM placed p JOIN begun b ON p.name = b.name AND p.size = b.size)
 {result}
 """
 

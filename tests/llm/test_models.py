@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import math
 import random
+import zlib
 
 import duckdb
 import numpy as np
@@ -44,6 +45,26 @@ def test_toxicity_learns_misspellings_and_ignores_length():
     assert blank("blockhead") < 0.5 and toxicity.fit(["a"], [1]).scorer()("x") >= 0.5
 
 
+def test_training_reads_no_more_than_its_bounds(spark, documents, monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda texts, labels: seen.append((sorted(texts), sorted(labels))))
+    ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % 5]
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in ids] + [(ids[0], 1, ids[0] % 2)], "doc_id long, quality int, toxic int")
+    rows = [(i, f"text {i:03}") for i in ids] + [(ids[0], "other")] * 50 + [(ids[1], "x" * 5000)] * 3 + [(ids[2], None)]
+    toxicity.train(documents(rows), labels)
+    toxicity.train(documents(rows), labels, sample=20)
+    toxicity.train(documents(rows), labels, chars=100)
+    assert len(seen[0][0]) == len(ids) and "other" in seen[0][0] and seen[0][1] == sorted(i % 2 for i in ids)
+    assert seen[1][1] == [0] * 20 + [1] * 20 and sum(map(len, seen[2][0])) in range(80, 101)
+
+
+def test_sums_by_group():
+    rng = np.random.default_rng(0)
+    group, place, values = rng.integers(0, 50, 400) * 2, rng.integers(0, 30, 400), rng.normal(size=30)
+    assert np.allclose(toxicity._Sums.of(group, place, 120)(values), np.bincount(group, values[place], 120))
+    assert (toxicity._Sums.of(group[:0], place[:0], 3)(values) == 0).all()
+
+
 def test_toxicity_edges(spark, documents):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert toxicity.score_documents(documents([]), labels).count() == 0
@@ -270,18 +291,41 @@ def test_mix_edges(spark, documents):
     db.executemany("INSERT INTO documents VALUES (?, ?, ?)", rows)
     assert got == sorted(db.execute(mixing.SQL).fetchall(), key=repr)
     copies = mixing.mix(made).agg({"copies": "sum"}).first()[0]
-    taken = mixing.take(made)
+    taken = mixing.take(made.withColumnsRenamed({"n_chars": "nth", "lang": "doc"}))
+    made = made.withColumnsRenamed({"n_chars": "nth", "lang": "doc"})
     assert taken.count() == copies and taken.columns == made.columns
     assert mixing.mix(documents([])).count() == 0 and mixing.take(documents([])).count() == 0
     assert {r.taken for r in mixing.mix(documents([(1, None), (2, "")])).collect()} == {0}
 
 
-def test_newton_finds_the_rates(spark):
-    from pyspark.sql import functions as F
+def test_newton_solves_the_dual(spark):
+    rnd = random.Random(6)
+    classes = [(f"s{i}", size, rnd.randrange(1, 9)) for i in range(7) for size in rnd.sample(range(0, 20_000 if i % 2 else 40), 30)] + [("empty", 0, 4)]
+    total = {name: sum(s * n for m, s, n in classes if m == name) for name, *_ in classes}
+    ratio = {"s0": 1.0, "s1": 2.9, "s2": 0.01, "s3": 3.0, "s4": 1.7, "s5": 0.4, "s6": 2.999, "empty": 1.0}
+    sizes = spark.createDataFrame([(n, t, ratio[n] * t) for n, t in total.items()], "name string, source_size long, target double")
+    got = {r["name"]: r.tilt for r in mixing.rates(sizes, spark.createDataFrame(classes, "name string, size long, n long")).collect()}
+    assert got["empty"] == 0 and got["s3"] == math.inf and abs(got["s0"]) < 1e-12
+    for name, tilt in got.items():
+        taken = sum(n * s * min(3, math.exp(min(2, tilt * s))) for m, s, n in classes if m == name and s)
+        assert math.isclose(taken, ratio[name] * total[name], rel_tol=1e-9, abs_tol=1e-9)
+
 
-    df = spark.createDataFrame([(10, 30.0), (10, 0.01), (10, 10.0), (7, 3.0)], "size long, target double")
-    for size, target, t in df.select("size", "target", mixing.tilt(F.col("size"), F.col("target"))).collect():
-        assert math.isclose(math.exp(t) * size, target, rel_tol=1e-9)
+def test_rates_are_tilted_by_size(spark):
+    """Of two documents of a source, the larger has the higher rate where the source grows."""
+    docs = spark.read.parquet(f"{MIDDLE}/documents.parquet")
+    rows = mixing.mix(docs).join(docs.select("doc_id", "source"), "doc_id").collect()
+    for source in {r.source for r in rows}:
+        own = sorted((r for r in rows if r.source == source and r["size"]), key=lambda r: r["size"])
+        few, many = own[: len(own) // 4], own[-len(own) // 4 :]
+        mean = lambda part: sum(r.copies for r in part) / len(part)
+        assert (mean(few) - mean(many)) * (own[0].target - own[0].source_size) <= 0
+
+
+def test_places_in_small_cells(spark, documents):
+    rows = [(i, "w " * (5 if i < 150 else i % 7), f"s{i % 2}") for i in range(300)]
+    a, b = (sorted(mixing.mix(documents(rows), cell_rows=n).collect()) for n in (1 << 16, 2))
+    assert a == b
 
 
 def test_pipeline_is_its_stages_by_hand(spark):
