@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import math
 import random
+import re
 import zlib
 
 import duckdb
@@ -343,16 +344,24 @@ def test_pipeline_is_its_stages_by_hand(spark):
         elif name == "exact dedup":
             first = {}
             for r in sorted(a, key=lambda r: r.doc_id):
-                first.setdefault(" ".join(r.text.split(" ")), r.doc_id)
-            assert {r.doc_id for r in b} <= {r.doc_id for r in a} and len({r.text for r in b}) == len(b)
+                first.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", r.text or ""), r.doc_id)
+            assert sorted(r.doc_id for r in b) == sorted(first.values())
         elif name.startswith("SimHash"):
-            from loam.llm import simhash
-
-            prints = {r.doc_id: simhash.fingerprint(r.text) for r in a}
-            kept = {r.doc_id for r in b}
-            gone = set(prints) - kept
-            assert all(any(o < d and bin(prints[o] ^ prints[d]).count("1") <= 3 for o in prints) for d in gone)
-            assert all(bin(prints[x] ^ prints[y]).count("1") > 3 for x in kept for y in kept if x < y)
+            # by the stage's own criterion: Jaccard 0.8 of five-word shingles, over all pairs
+            words = {r.doc_id: [w for w in re.split(r"[\x20\x09-\x0D]+", (r.text or "").lower()) if w] for r in a}
+            sets = {d: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for d, w in words.items()}
+            label = {d: d for d in sets}
+
+            def find(d):
+                while label[d] != d:
+                    d = label[d]
+                return d
+
+            for d, e in itertools.combinations(sorted(sets), 2):
+                both, either = len(sets[d] & sets[e]), len(sets[d] | sets[e])
+                if both >= 0.8 * either:
+                    label[max(find(d), find(e))] = min(find(d), find(e))
+            assert sorted(r.doc_id for r in b) == sorted({find(d) for d in sets})
         else:
             counts = {r.doc_id: r.copies for r in mixing.mix(before).collect()}
             from collections import Counter
