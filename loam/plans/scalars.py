@@ -7,17 +7,17 @@ from pyspark.sql import functions as F
 from ..functions import codes as C
 from ..functions import geometry as G
 from .base import Plans
-from .worldviews import SIZE_X, SIZE_Y, SIZE_Z
+from .worldviews import MAPCHUNKS_X, SIZE_Y, SIZE_Z, for_oracle
 
 plans = Plans()
 queries, oracle_sql = plans.queries, plans.oracle_sql
 
-CIRCLES = "SELECT c_custkey, CAST(c_custkey % 96 AS INT) AS cx, CAST(c_custkey * 3 % 96 AS INT) AS cz, CAST(c_custkey % 45 AS INT) AS radius, CAST(c_custkey % 50 AS INT) AS y_min, CAST(c_custkey % 50 + c_custkey % 70 AS INT) AS y_max FROM {customer}"
-CIRCLES_SQL = CIRCLES.replace("{customer}", "customer")
+CIRCLES = "SELECT c_custkey, CAST(c_custkey % (96 * :scale) AS INT) AS cx, CAST(c_custkey * 3 % 96 AS INT) AS cz, CAST(c_custkey % 45 AS INT) AS radius, CAST(c_custkey % 50 AS INT) AS y_min, CAST(c_custkey % 50 + c_custkey % 70 AS INT) AS y_max FROM {customer}"
+CIRCLES_SQL = for_oracle(CIRCLES)
 
 
 def circles(w):
-    return w.spark.sql(CIRCLES, customer=w.table("customer"))
+    return w.sql(CIRCLES)
 
 
 @plans("g1_to_chunk", "SELECT l_orderkey, l_linenumber, CAST(floor(floor(l_extendedprice - 50000) / 32) AS INT) AS chunk FROM lineitem")
@@ -36,15 +36,17 @@ def g3(w):
     return w.voxels.select("x", "y", "z", G.column_index(x, z).alias("column_index"), G.voxel_index(x, y, z).alias("voxel_index"))
 
 
-@plans("g4_display_pos", "SELECT x, y, z, x - 48.0::DOUBLE AS dx, z - 48.0::DOUBLE AS dz FROM voxels")
+@plans("g4_display_pos", "SELECT x, y, z, x - 48.0::DOUBLE * scale AS dx, z - 48.0::DOUBLE AS dz FROM voxels, extent")
 def g4(w):
-    return w.voxels.select("x", "y", "z", G.to_display(F.col("x"), SIZE_X).alias("dx"), G.to_display(F.col("z"), SIZE_Z).alias("dz"))
+    return w.voxels.select("x", "y", "z", G.to_display(F.col("x"), w.size[0]).alias("dx"), G.to_display(F.col("z"), SIZE_Z).alias("dz"))
 
 
 @plans("g5_in_circle", "SELECT request_id, resource, x, y, z FROM voxels, requests WHERE (x-cx)*(x-cx) + (z-cz)*(z-cz) <= radius*radius")
 def g5(w):
-    # the requests are a handful of rows, so the broadcast is bounded
-    near = w.voxels.join(F.broadcast(w.requests), G.in_circle(F.col("x"), F.col("z"), F.col("cx"), F.col("cz"), F.col("radius")))
+    # requests meet the voxels of the mapchunks they touch
+    areas = G.plan_mapchunks(w.requests, w.size[0], SIZE_Z)
+    keyed = w.voxels.select("x", "y", "z", G.to_chunk(F.col("x")).alias("mx"), G.to_chunk(F.col("z")).alias("mz"))
+    near = keyed.join(areas, ["mx", "mz"]).where(G.in_circle(F.col("x"), F.col("z"), F.col("cx"), F.col("cz"), F.col("radius")))
     return near.select("request_id", "resource", "x", "y", "z")
 
 
@@ -57,26 +59,26 @@ def g6(w):
     return cells.groupBy("c_custkey").agg(F.count(F.lit(1)).alias("cells"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.sum(F.col("x") * 7 + F.col("z")).alias("checksum"))
 
 
-_TOUCH = "(cx - greatest(mx*32, least(cx, least(mx*32+31, 95))))**2 + (cz - greatest(mz*32, least(cz, least(mz*32+31, 95))))**2 <= radius*radius"
+_TOUCH = "(cx - greatest(mx*32, least(cx, mx*32+31)))**2 + (cz - greatest(mz*32, least(cz, mz*32+31)))**2 <= radius*radius"
 
 
-@plans("g7_plan_mapchunks", f"SELECT c_custkey, mx::INT AS mx, mz::INT AS mz FROM ({CIRCLES_SQL}) c, range(0, 3) a(mx), range(0, 3) b(mz) WHERE {_TOUCH}")
+@plans("g7_plan_mapchunks", f"SELECT c_custkey, mx::INT AS mx, mz::INT AS mz FROM ({CIRCLES_SQL}) c, {MAPCHUNKS_X}, range(0, 3) b(mz) WHERE {_TOUCH}")
 def g7(w):
-    return G.plan_mapchunks(circles(w), SIZE_X, SIZE_Z).select("c_custkey", "mx", "mz")
+    return G.plan_mapchunks(circles(w), w.size[0], SIZE_Z).select("c_custkey", "mx", "mz")
 
 
 @plans("g8_plan_chunks", f"""
-SELECT c_custkey, mx::INT AS mx, my::INT AS my, mz::INT AS mz FROM ({CIRCLES_SQL}) c, range(0, 3) a(mx), range(0, 3) b(mz), range(0, 4) d(my)
+SELECT c_custkey, mx::INT AS mx, my::INT AS my, mz::INT AS mz FROM ({CIRCLES_SQL}) c, {MAPCHUNKS_X}, range(0, 3) b(mz), range(0, 4) d(my)
 WHERE {_TOUCH} AND y_min <= least(y_max, 127) AND my BETWEEN y_min // 32 AND least(y_max, 127) // 32""")
 def g8(w):
-    return G.plan_chunks(circles(w), SIZE_X, SIZE_Y, SIZE_Z).select("c_custkey", "mx", "my", "mz")
+    return G.plan_chunks(circles(w), *w.size).select("c_custkey", "mx", "my", "mz")
 
 
 @plans("g9_plan_window", f"""
-SELECT c_custkey, mx::INT AS mx, mz::INT AS mz FROM ({CIRCLES_SQL}) c, range(0, 3) a(mx), range(0, 3) b(mz)
+SELECT c_custkey, mx::INT AS mx, mz::INT AS mz FROM ({CIRCLES_SQL}) c, {MAPCHUNKS_X}, range(0, 3) b(mz)
 WHERE abs(mx - cx // 32) <= greatest(ceil(radius / 32), 1) AND abs(mz - cz // 32) <= greatest(ceil(radius / 32), 1)""")
 def g9(w):
-    return G.plan_window(circles(w), SIZE_X, SIZE_Z).select("c_custkey", "mx", "mz")
+    return G.plan_window(circles(w), w.size[0], SIZE_Z).select("c_custkey", "mx", "mz")
 
 
 @plans("g10_plan_full_height", "SELECT DISTINCT (x // 32)::INT AS mx, (z // 32)::INT AS mz, my::INT AS my FROM voxels, range(0, 4) r(my)")
@@ -85,16 +87,16 @@ def g10(w):
     return G.plan_full_height(chunks, SIZE_Y)
 
 
-RECTS = "SELECT c_custkey, CAST(c_custkey % 150 - 30 AS INT) AS x0, CAST(c_custkey % 150 - 30 + c_custkey % 60 AS INT) AS x1, CAST(c_custkey * 3 % 150 - 30 AS INT) AS z0, CAST(c_custkey * 3 % 150 + 10 AS INT) AS z1 FROM {customer}"
+RECTS = "SELECT c_custkey, CAST(c_custkey % (96 * :scale + 54) - 30 AS INT) AS x0, CAST(c_custkey % (96 * :scale + 54) - 30 + c_custkey % 60 AS INT) AS x1, CAST(c_custkey * 3 % 150 - 30 AS INT) AS z0, CAST(c_custkey * 3 % 150 + 10 AS INT) AS z1 FROM {customer}"
 
 
 @plans("g11_rect_clip", f"""
 SELECT c_custkey, a AS x0, b AS x1, c AS z0, d AS z1, mx::INT AS mx, mz::INT AS mz FROM (
-  SELECT c_custkey, greatest(x0, 0) AS a, least(x1, 96) AS b, greatest(z0, 0) AS c, least(z1, 96) AS d FROM ({RECTS.replace('{customer}', 'customer')})) r,
-  range(0, 3) p(mx), range(0, 3) q(mz)
+  SELECT c_custkey, greatest(x0, 0) AS a, least(x1, 96 * scale) AS b, greatest(z0, 0) AS c, least(z1, 96) AS d FROM ({for_oracle(RECTS)}), extent) r,
+  {MAPCHUNKS_X}, range(0, 3) q(mz)
 WHERE a < b AND c < d AND mx BETWEEN a // 32 AND (b - 1) // 32 AND mz BETWEEN c // 32 AND (d - 1) // 32""")
 def g11(w):
-    return G.rect_clip(w.spark.sql(RECTS, customer=w.table("customer")), SIZE_X, SIZE_Z)
+    return G.rect_clip(w.sql(RECTS), w.size[0], SIZE_Z)
 
 
 @plans("g12_to_tile", "SELECT rx, rz, CAST(floor(rx / 4) AS INT) AS tx, CAST(floor(rz / 4) AS INT) AS tz FROM regions")
@@ -132,9 +134,9 @@ def g15(w):
     return w.spark.sql(BANDS, part=w.table("part")).select("p_partkey", G.in_y_range(F.col("y"), low, high).alias("inside"), G.y_range_text(low, high).alias("text"))
 
 
-@plans("g16_in_world", "SELECT o_orderkey, o_orderkey % 200 - 50 AS x FROM orders WHERE o_orderkey % 200 - 50 >= 0 AND o_orderkey % 200 - 50 < 96")
+@plans("g16_in_world", "SELECT o_orderkey, o_orderkey % (100 * scale + 100) - 50 AS x FROM orders, extent WHERE o_orderkey % (100 * scale + 100) - 50 BETWEEN 0 AND 96 * scale - 1")
 def g16(w):
-    return w.table("orders").selectExpr("o_orderkey", "o_orderkey % 200 - 50 AS x").where(G.in_world(F.col("x"), SIZE_X))
+    return w.sql("SELECT o_orderkey, o_orderkey % (100 * :scale + 100) - 50 AS x FROM {orders}").where(G.in_world(F.col("x"), w.size[0]))
 
 
 @plans("g17_nearest_lod", """

@@ -16,7 +16,7 @@ from ..sources import tables as T
 from .base import Plans
 from .scalars import LABELS_SQL
 from .worlds import PROFILES, SOILMAP, SURFACE, inner, resolved, rock_sql, upper
-from .worldviews import SIZE_X, SIZE_Y, SIZE_Z
+from .worldviews import SIZE_Y, SIZE_Z
 
 plans = Plans()
 queries, oracle_sql = plans.queries, plans.oracle_sql
@@ -105,9 +105,9 @@ def d8(w):
     return decoded.join(w.voxels.groupBy("block_id").agg(F.count(F.lit(1)).alias("n")), "block_id")
 
 
-@plans("d9_decode_world_meta", "SELECT 96 AS size_x, 128 AS size_y, 96 AS size_z, count(*) FILTER (x < 96 AND y < 128 AND z < 96) AS inside FROM voxels")
+@plans("d9_decode_world_meta", "SELECT 96 * scale AS size_x, 128 AS size_y, 96 AS size_z, count(*) AS inside FROM voxels, extent GROUP BY scale")
 def d9(w):
-    meta = decode.decode_world_meta(encode.raw_registry(w.registry)).where("error IS NULL").drop("error")
+    meta = decode.decode_world_meta(encode.raw_registry(w.registry, w.size)).where("error IS NULL").drop("error")
     inside = w.voxels.join(F.broadcast(meta)).where("x < size_x AND y < size_y AND z < size_z")  # one row
     return inside.groupBy("size_x", "size_y", "size_z").agg(F.count(F.lit(1)).alias("inside"))
 
@@ -208,7 +208,7 @@ SELECT mx::INT AS mx, mz::INT AS mz, count(h.x) AS heights, CASE WHEN count(h.x)
 FROM range(0, 3) a(mx), range(0, 3) b(mz) LEFT JOIN heights h ON h.x // 32 = mx AND h.z // 32 = mz AND h.x >= 20 AND h.x < 90 AND h.z < 70
 WHERE mx BETWEEN 20 // 32 AND 89 // 32 AND mz BETWEEN 0 AND 69 // 32 GROUP BY ALL""")
 def p14(w):
-    rect = G.rect_clip(w.spark.range(1).selectExpr("20 AS x0", "90 AS x1", "-5 AS z0", "70 AS z1"), SIZE_X, SIZE_Z)
+    rect = G.rect_clip(w.spark.range(1).selectExpr("20 AS x0", "90 AS x1", "-5 AS z0", "70 AS z1"), w.size[0], SIZE_Z)
     stored = w.heights.withColumns({"mx": G.to_chunk(F.col("x")), "mz": G.to_chunk(F.col("z"))})
     joined = rect.join(stored, ["mx", "mz"], "left")
     inside = F.col("x").between(F.col("x0"), F.col("x1") - 1) & F.col("z").between(F.col("z0"), F.col("z1") - 1)
@@ -223,11 +223,11 @@ def argb_sql(r, g, b):
     return f"(({r})::BIGINT * 65536 + ({g})::BIGINT * 256 + ({b})::BIGINT - 16777216)::INT"
 
 
-BOUNDS = "bounds AS (SELECT DISTINCT x // 64 AS tx, z // 64 AS tz, greatest(x // 64 * 64, 0) AS x0, least(x // 64 * 64 + 64, 96) AS x1, greatest(z // 64 * 64, 0) AS z0, least(z // 64 * 64 + 64, 96) AS z1 FROM voxels)"
+BOUNDS = "bounds AS (SELECT DISTINCT x // 64 AS tx, z // 64 AS tz, greatest(x // 64 * 64, 0) AS x0, least(x // 64 * 64 + 64, 96 * (SELECT scale FROM extent)) AS x1, greatest(z // 64 * 64, 0) AS z0, least(z // 64 * 64 + 64, 96) AS z1 FROM voxels)"
 
 
 def bounds(w):
-    return tiles.tile_bounds(w.voxels.select(G.to_chunk(F.col("x")).alias("mx"), G.to_chunk(F.col("z")).alias("mz")), 2, SIZE_X, SIZE_Z)
+    return tiles.tile_bounds(w.voxels.select(G.to_chunk(F.col("x")).alias("mx"), G.to_chunk(F.col("z")).alias("mz")), 2, w.size[0], SIZE_Z)
 
 
 @plans("r1_sample_grid", f"WITH {BOUNDS} SELECT tx, tz, 2 AS lod, px::INT AS px, pz::INT AS pz, least(x0 + px*4 + 2, x1 - 1)::INT AS x, least(z0 + pz*4 + 2, z1 - 1)::INT AS z FROM bounds, range(0, 16) a(px), range(0, 16) b(pz) WHERE px < ceil((x1 - x0) / 4) AND pz < ceil((z1 - z0) / 4)")

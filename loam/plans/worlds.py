@@ -11,11 +11,10 @@ from ..operators import objects as O
 from ..operators import ore, prospecting, regions, rock, surface
 from .base import Plans
 from .scalars import LABELS_SQL, FOREST_SQL, OBJECT_SQL, PATH_SQL, SOIL_SQL, SURFACE_CODE_SQL, SURFACE_SQL
-from .worldviews import SIZE_X, SIZE_Y, SIZE_Z
+from .worldviews import COLUMNS_X, MAPCHUNKS_X, SIZE_Y, SIZE_Z, for_oracle
 
 plans = Plans()
 queries, oracle_sql = plans.queries, plans.oracle_sql
-SIZE = (SIZE_X, SIZE_Y, SIZE_Z)
 CK = ["cx", "cy", "cz"]
 
 # -- shared SQL
@@ -24,10 +23,10 @@ MEMBER = "member AS (SELECT DISTINCT resource, block_id FROM registry, requests
 HITS = MEMBER + ", hits AS (SELECT r.request_id, r.resource, v.x, v.y, v.z, v.block_id FROM {v} v JOIN member m USING (block_id) JOIN requests r ON r.resource = m.resource AND (x-cx)*(x-cx) + (z-cz)*(z-cz) <= radius*radius AND y BETWEEN y_min AND y_max)"
 COLUMNS = HITS + ", cols AS (SELECT request_id, resource, x, z, count(*) AS blocks, min(y) AS min_y, max(y) AS max_y FROM hits GROUP BY ALL)"
 AVAIL = "avail AS (SELECT v.* FROM voxels v JOIN chunk_cov c ON c.cx = x // 32 AND c.cy = y // 32 AND c.cz = z // 32 WHERE status = 'AVAILABLE')"
-PLAN = """plan AS (SELECT DISTINCT request_id, mx::INT AS cx, my::INT AS cy, mz::INT AS cz FROM requests, range(0, 3) a(mx), range(0, 3) b(mz), range(0, 4) c(my)
+PLAN = f"""plan AS (SELECT DISTINCT request_id, mx::INT AS cx, my::INT AS cy, mz::INT AS cz FROM requests, {MAPCHUNKS_X}, range(0, 3) b(mz), range(0, 4) c(my)
   WHERE (cx - greatest(mx*32, least(cx, mx*32+31)))**2 + (cz - greatest(mz*32, least(cz, mz*32+31)))**2 <= radius*radius AND my BETWEEN y_min // 32 AND y_max // 32)"""
 ROCKS = r"rocks AS (SELECT block_id, code AS rock_code FROM registry WHERE regexp_matches(code, '^([\p{L}\p{Nd}_.-]+:)?rock-[\p{L}\p{Nd}_.-]+$'))"
-CELLS = "cells AS (SELECT DISTINCT request_id, x::INT AS x, z::INT AS z FROM requests, range(0, 96) a(x), range(0, 96) b(z) WHERE (x-cx)*(x-cx) + (z-cz)*(z-cz) <= radius*radius)"
+CELLS = f"cells AS (SELECT DISTINCT request_id, x::INT AS x, z::INT AS z FROM requests, {COLUMNS_X}, range(0, 96) b(z) WHERE (x-cx)*(x-cx) + (z-cz)*(z-cz) <= radius*radius)"
 
 
 def rock_sql(low: int, high: int) -> str:
@@ -70,6 +69,7 @@ def no_liquids(w):
 
 
 def resolved(w):
+    w.keep_voxels()
     return surface.resolve_surface(w.voxels.select("x", "z"), w.heights, w.voxels, w.registry, w.liquids, w.chunk_cov, no_liquids(w), SIZE_Y)
 
 
@@ -94,7 +94,7 @@ SIGNALS = f"""{INNER}, sig AS (SELECT rx, rz, lx, lz, x0, x1, z0, z1, raw, res,
 
 
 def positions(w):
-    return G.plan_chunks(w.requests, *SIZE).select("request_id", F.col("mx").alias("cx"), F.col("my").alias("cy"), F.col("mz").alias("cz"))
+    return G.plan_chunks(w.requests, *w.size).select("request_id", F.col("mx").alias("cx"), F.col("my").alias("cy"), F.col("mz").alias("cz"))
 
 
 @plans("s3_discover_coordinates", "SELECT DISTINCT x // 32 AS cx, z // 32 AS cz FROM voxels")
@@ -102,9 +102,9 @@ def s3(w):
     return w.voxels.select(G.to_chunk(F.col("x")).alias("cx"), G.to_chunk(F.col("z")).alias("cz")).distinct()
 
 
-@plans("s6_lookup_chunks", f"WITH {PLAN} SELECT v.x // 32 AS cx, v.y // 32 AS cy, v.z // 32 AS cz, count(*) AS voxels, count(DISTINCT block_id) AS palette FROM voxels v WHERE (x // 32, y // 32, z // 32) IN (SELECT (cx, cy, cz) FROM plan WHERE request_id = 2) GROUP BY ALL")
+@plans("s6_lookup_chunks", f"WITH {PLAN} SELECT v.x // 32 AS cx, v.y // 32 AS cy, v.z // 32 AS cz, count(*) AS voxels, count(DISTINCT block_id) AS palette FROM voxels v WHERE (x // 32, y // 32, z // 32) IN (SELECT (cx, cy, cz) FROM plan ) GROUP BY ALL")
 def s6(w):
-    found = ore.lookup_chunks(ore.chunk_table(w.voxels), positions(w).where("request_id = 2"))
+    found = ore.lookup_chunks(ore.chunk_table(w.voxels), positions(w))
     return found.select(*CK, F.size("cells").cast("long").alias("voxels"), F.size("palette").cast("long").alias("palette"))
 
 
@@ -177,11 +177,11 @@ def j8(w):
     return w.voxels.join(O.candidate_heights(w.heights, SIZE_Y), ["x", "z", "y"]).select("x", "z", "y", "block_id")
 
 
-CLAY = "clay AS (SELECT DISTINCT x, z FROM voxels WHERE block_id IN (22, 23) AND (x * 7 + y + z) % 3 = 0)"
+CLAY = "clay AS (SELECT DISTINCT x, z FROM voxels WHERE block_id IN (22, 23))"
 
 
 def clay_cells(w):
-    return w.voxels.where("block_id IN (22, 23) AND (x * 7 + y + z) % 3 = 0").groupBy("x", "z").agg(F.max("y").alias("y"), F.max_by("block_id", "y").alias("block_id"))
+    return w.voxels.where("block_id IN (22, 23)").groupBy("x", "z").agg(F.max("y").alias("y"), F.max_by("block_id", "y").alias("block_id"))
 
 
 @plans("j9_neighbours8", f"WITH {CLAY} SELECT a.x, a.z, b.x AS x2, b.z AS z2 FROM clay a JOIN clay b ON (b.x - a.x, b.z - a.z) IN ((1, 0), (0, 1), (1, 1), (1, -1))")
@@ -211,7 +211,8 @@ COMPAT_SQL = "hosts AS (SELECT r.request_id, r.resource, CASE max(CASE coalesce(
 
 
 def request_rock(w):
-    cells = G.circle_cells(w.requests.select("request_id", "cx", "cz", "radius").distinct()).where(G.in_world(F.col("x"), SIZE_X) & G.in_world(F.col("z"), SIZE_Z)).select("request_id", "x", "z")
+    w.keep_voxels()
+    cells = G.circle_cells(w.requests.select("request_id", "cx", "cz", "radius").distinct()).where(G.in_world(F.col("x"), w.size[0]) & G.in_world(F.col("z"), SIZE_Z)).select("request_id", "x", "z")
     return cells.join(rock.upper_rock(w.voxels, w.registry, w.chunk_cov, cells, 0, SIZE_Y - 1), ["x", "z"])
 
 
@@ -242,9 +243,9 @@ def j14(w):
 
 @plans("j15_grid_holes", """
 WITH p AS (SELECT min(rx) AS a, max(rx) AS b, min(rz) AS c, max(rz) AS d FROM regions)
-SELECT rx::INT AS rx, rz::INT AS rz FROM p, range(-12, 13) x(rx), range(-20, 20) z(rz) WHERE rx BETWEEN a AND b AND rz BETWEEN c AND d AND (rx, rz) NOT IN (SELECT (rx, rz) FROM regions)""")
+SELECT rx::INT AS rx, rz::INT AS rz FROM p, (SELECT unnest(range(a, b + 1)) AS rx FROM p) x, (SELECT unnest(range(c, d + 1)) AS rz FROM p) z WHERE rx BETWEEN a AND b AND rz BETWEEN c AND d AND (rx, rz) NOT IN (SELECT (rx, rz) FROM regions)""")
 def j15(w):
-    return regions.coverage_cells(w.regions, SIZE_X, SIZE_Z).where("NOT present").select("rx", "rz")
+    return regions.coverage_cells(w.regions, w.size[0], SIZE_Z).where("NOT present").select("rx", "rz")
 
 
 @plans("j16_region_window", "SELECT request_id, resource, rx, rz FROM regions, requests WHERE rx*512 < cx + 3000 AND rx*512 + 512 > cx - 3000 AND rz*512 < cz + 3000 AND rz*512 + 512 > cz - 3000")
@@ -350,7 +351,7 @@ OBSERVED = f"""{AVAIL}, {HITS.format(v='avail')}, {PLAN}, gap AS (SELECT request
 
 @plans("a16_ore_observation", f"WITH {OBSERVED} SELECT * FROM obs")
 def a16(w):
-    return ore.ore_observation(w.voxels, w.registry, w.requests, w.chunk_cov, SIZE)
+    return ore.ore_observation(w.voxels, w.registry, w.requests, w.chunk_cov, w.size)
 
 
 @plans("a17_max_signal", f"WITH {SIGNALS} SELECT * FROM best")
@@ -375,6 +376,7 @@ NEAR = f"""{AVAIL}, {CATALOG}, near AS (SELECT x, z, y::INT AS y FROM heights, r
 
 
 def observations(w):
+    w.keep_voxels()
     return O.object_observations(w.heights, w.voxels, O.object_catalog(used_registry(w)), w.chunk_cov, SIZE_Y)
 
 
@@ -402,7 +404,7 @@ def k1(w):
     return K.components8(clay_cells(w))
 
 
-DEPOSITS = f"""{COMPONENTS}, cell AS (SELECT x, z, max(y) AS y, arg_max(block_id, y) AS block_id FROM voxels WHERE block_id IN (22, 23) AND (x * 7 + y + z) % 3 = 0 GROUP BY x, z),
+DEPOSITS = f"""{COMPONENTS}, cell AS (SELECT x, z, max(y) AS y, arg_max(block_id, y) AS block_id FROM voxels WHERE block_id IN (22, 23) GROUP BY x, z),
   dep AS (SELECT component, count(*) AS cells, array_to_string(list_sort(list(DISTINCT code)), ',') AS codes, min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y, min(z) AS min_z, max(z) AS max_z, avg(x) AS mean_x, avg(z) AS mean_z
     FROM cell JOIN comp USING (x, z) JOIN registry USING (block_id) GROUP BY component)"""
 
@@ -481,9 +483,9 @@ def w6(w):
     return regions.resource_keys(inner(w))
 
 
-@plans("w7_default_player", "SELECT min(c_name || '/' || c_custkey) AS record FROM customer WHERE c_acctbal > 0")
+@plans("w7_default_player", "SELECT min(c_name || '/' || c_custkey) AS record FROM customer")
 def w7(w):
-    return w.table("customer").where("c_acctbal > 0").agg(F.min(F.concat("c_name", F.lit("/"), F.col("c_custkey").cast("string"))).alias("record"))
+    return w.table("customer").agg(F.min(F.concat("c_name", F.lit("/"), F.col("c_custkey").cast("string"))).alias("record"))
 
 
 @plans("u1_distinct_coords", "SELECT DISTINCT cx, cy, cz FROM arrivals")
@@ -528,16 +530,15 @@ def u6(w):
 
 @plans("p1_ore_map", f"WITH {COLUMNS.format(v='voxels')} SELECT * FROM cols")
 def p1(w):
-    return ore.ore_map(ore.chunk_table(w.voxels), w.registry, w.requests, SIZE)
+    return ore.ore_map(ore.chunk_table(w.voxels), w.registry, w.requests, w.size)
 
 
 @plans("p2_ore_map_indexed", f"""
-WITH {COLUMNS.format(v='voxels')}, {PLAN}, ok AS (SELECT request_id FROM plan p LEFT JOIN (SELECT cx, cy, cz, CASE status WHEN 'FAILED' THEN 'MISSING' ELSE status END AS status FROM chunk_cov WHERE NOT (cx = 2 AND cz = 0)) c
+WITH {COLUMNS.format(v='voxels')}, {PLAN}, ok AS (SELECT request_id FROM plan p LEFT JOIN indexed_cov c
   ON p.cx = c.cx AND p.cy = c.cy AND p.cz = c.cz GROUP BY request_id HAVING bool_and(status IS NOT NULL))
 SELECT * FROM cols WHERE request_id IN (SELECT request_id FROM ok)""")
 def p2(w):
-    covered = w.chunk_cov.where("NOT (cx = 2 AND cz = 0)").withColumn("status", F.when(F.col("status") == "FAILED", "MISSING").otherwise(F.col("status")))
-    return ore.ore_map_indexed(ore.y_masks(w.voxels), covered, w.registry, w.requests, SIZE)
+    return ore.ore_map_indexed(ore.y_masks(w.voxels), w.indexed_cov, w.registry, w.requests, w.size)
 
 
 @plans("p3_rock_map", f"WITH {rock_sql(0, 127)}, {LEGEND} SELECT rock.*, legend.percent FROM rock LEFT JOIN legend ON rock.rock_code = legend.rock_code")
@@ -594,10 +595,10 @@ def p8(w):
 
 @plans("p9_region_coverage", """
 WITH p AS (SELECT min(rx) AS a, max(rx) AS b, min(rz) AS c, max(rz) AS d FROM regions)
-SELECT rx::INT AS rx, rz::INT AS rz, (rx, rz) IN (SELECT (rx, rz) FROM regions) AS present, (rx*512)::INT AS x0, (rz*512)::INT AS z0, (rx*512+512)::INT AS x1, (rz*512+512)::INT AS z1, rx*512 - 48.0::DOUBLE AS display_x0, rz*512 - 48.0::DOUBLE AS display_z0
-FROM p, range(-12, 13) x(rx), range(-20, 20) z(rz) WHERE rx BETWEEN a AND b AND rz BETWEEN c AND d""")
+SELECT rx::INT AS rx, rz::INT AS rz, (rx, rz) IN (SELECT (rx, rz) FROM regions) AS present, (rx*512)::INT AS x0, (rz*512)::INT AS z0, (rx*512+512)::INT AS x1, (rz*512+512)::INT AS z1, rx*512 - 48.0::DOUBLE * scale AS display_x0, rz*512 - 48.0::DOUBLE AS display_z0
+FROM p, extent, (SELECT unnest(range(a, b + 1)) AS rx FROM p) x, (SELECT unnest(range(c, d + 1)) AS rz FROM p) z WHERE rx BETWEEN a AND b AND rz BETWEEN c AND d""")
 def p9(w):
-    return regions.coverage_cells(w.regions, SIZE_X, SIZE_Z)
+    return regions.coverage_cells(w.regions, w.size[0], SIZE_Z)
 
 
 EVIDENCE = f"""{rock_sql(0, 127)}, {HOST_PAIRS}, {COMPAT_SQL}, {OBSERVED.replace(AVAIL + ', ', '')}, {SIGNALS},
@@ -610,13 +611,13 @@ EVIDENCE = f"""{rock_sql(0, 127)}, {HOST_PAIRS}, {COMPAT_SQL}, {OBSERVED.replace
 
 @plans("p10_prospecting", f"WITH {EVIDENCE} SELECT request_id, resource, observation, signal, compatibility, geology, observed, no_rock, unavailable, rank FROM ranked")
 def p10(w):
-    out = prospecting.prospecting(w.requests, w.voxels, w.registry, w.chunk_cov, ore_signals(w), w.compat, SIZE)
+    out = prospecting.prospecting(w.requests, w.voxels, w.registry, w.chunk_cov, ore_signals(w), w.compat, w.size)
     return out.select("request_id", "resource", "observation", "signal", "compatibility", "geology", "observed", "no_rock", "unavailable", "rank")
 
 
 @plans("w5_assessment_order", f"WITH {EVIDENCE} SELECT request_id, resource, rank, row_number() OVER (PARTITION BY request_id ORDER BY list_position(['CONFIRMED', 'STRONG', 'INTERESTING', 'WEAK', 'UNKNOWN'], rank), resource) AS place FROM ranked")
 def w5(w):
-    return prospecting.prospecting(w.requests, w.voxels, w.registry, w.chunk_cov, ore_signals(w), w.compat, SIZE).select("request_id", "resource", "rank", "place")
+    return prospecting.prospecting(w.requests, w.voxels, w.registry, w.chunk_cov, ore_signals(w), w.compat, w.size).select("request_id", "resource", "rank", "place")
 
 
 @plans("p11_world_overview", f"WITH {INNER} SELECT (SELECT count(*) FROM voxels) AS voxels, (SELECT count(*) FROM registry) AS registered, (SELECT count(DISTINCT layer) FROM inn WHERE layer LIKE 'ore:%') AS keys, (SELECT count(*) FROM regions) AS regions")
@@ -632,7 +633,7 @@ def p11(w):
 @plans("p15_rock_map_stored", f"WITH {rock_sql(0, 127)} SELECT rock.* FROM rock WHERE (x - 40)**2 + (z - 50)**2 <= 400")
 def p15(w):
     cells = G.circle_cells(w.spark.range(1).selectExpr("40 AS cx", "50 AS cz", "20 AS radius"))
-    return rock.stored_rock_map(upper(w), cells, SIZE_X, SIZE_Z)
+    return rock.stored_rock_map(upper(w), cells, w.size[0], SIZE_Z)
 
 
 @plans("p16_surface_stored", f"WITH {SURFACE} SELECT * FROM surf WHERE (x - 48)**2 + (z - 48)**2 <= 900")
@@ -640,9 +641,9 @@ def p16(w):
     return resolved(w).where(G.in_circle(F.col("x"), F.col("z"), F.lit(48), F.lit(48), F.lit(30)))
 
 
-PROBES = "SELECT c_custkey, CAST(c_custkey % 110 AS INT) AS x, CAST(c_custkey * 7 % 110 AS INT) AS z FROM {customer}"
+PROBES = "SELECT c_custkey, CAST(c_custkey % (96 * :scale + 14) AS INT) AS x, CAST(c_custkey * 7 % 110 AS INT) AS z FROM {customer}"
 
 
-@plans("p17_probe_cell", f"WITH {rock_sql(0, 127)}, {SURFACE.replace(AVAIL + ', ', '')} SELECT c_custkey, p.x, p.z, s.y AS surface_y, s.block_id AS surface_block, s.class, rock.state AS rock_state, rock.rock_code FROM ({PROBES.replace('{customer}', 'customer')}) p LEFT JOIN surf s ON p.x = s.x AND p.z = s.z LEFT JOIN rock ON rock.x = p.x AND rock.z = p.z")
+@plans("p17_probe_cell", f"WITH {rock_sql(0, 127)}, {SURFACE.replace(AVAIL + ', ', '')} SELECT c_custkey, p.x, p.z, s.y AS surface_y, s.block_id AS surface_block, s.class, rock.state AS rock_state, rock.rock_code FROM ({for_oracle(PROBES)}) p LEFT JOIN surf s ON p.x = s.x AND p.z = s.z LEFT JOIN rock ON rock.x = p.x AND rock.z = p.z")
 def p17(w):
-    return surface.probe(w.spark.sql(PROBES, customer=w.table("customer")), resolved(w), upper(w)).select("c_custkey", "x", "z", "surface_y", "surface_block", "class", "rock_state", "rock_code")
+    return surface.probe(w.sql(PROBES), resolved(w), upper(w)).select("c_custkey", "x", "z", "surface_y", "surface_block", "class", "rock_state", "rock_code")

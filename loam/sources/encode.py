@@ -76,7 +76,7 @@ def raw_regions(cells: DataFrame, size: int = 18) -> DataFrame:
     return grouped.select("rx", "rz", G.encode_position(F.col("rx"), F.lit(0), F.col("rz"), F.lit(0)).alias("position"), packed("cells").alias("data"))
 
 
-def raw_registry(registry: DataFrame) -> DataFrame:
+def raw_registry(registry: DataFrame, size: tuple[int, int, int] = (96, 128, 96)) -> DataFrame:
     """One row: the save game's payload with the registry and the world size."""
     pairs = registry.agg(F.array_sort(F.collect_list(F.struct("block_id", "code"))).alias("pairs"))
 
@@ -84,7 +84,7 @@ def raw_registry(registry: DataFrame) -> DataFrame:
         out = []
         for row in rows:
             body = b"".join(P.put(1, P.put(1, int(p["block_id"])) + P.put(2, p["code"])) for p in row)
-            out.append(P.put(1, 96) + P.put(2, 128) + P.put(3, 96) + P.put(11, P.put(1, "BlockIDs") + P.put(2, body)))
+            out.append(b"".join(P.put(i, n) for i, n in enumerate(size, 1)) + P.put(11, P.put(1, "BlockIDs") + P.put(2, body)))
         return pd.Series(out)
 
     return pairs.select(F.pandas_udf(pack, "binary")("pairs").alias("data"))
