@@ -8,9 +8,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.dims import small
+
 # Code fragments, tiers, families and labels of the data model.
 FOLIAGE = (
     "leaves", "foliage", "flower", "mushroom", "sapling", "crop", "tallgrass", "fern", "wildvine", "fruitingbush",
@@ -158,13 +160,14 @@ def short_name(key: Column) -> Column:
 
 def match_keys(keys: DataFrame, queries: DataFrame) -> DataFrame:
     """Signal keys (key) for each query text (query): those whose full or short
-    name is the query, or, without any, those that contain it. keys is a small
-    dimension."""
-    pairs = queries.where(clean(F.col("query")) != "").crossJoin(keys.distinct())
-    q, k = clean(F.col("query")), clean(F.col("key"))
-    exact = (k == q) | (short_name(F.col("key")) == q)
-    flagged = pairs.withColumn("exact", exact).withColumn("any_exact", F.max("exact").over(Window.partitionBy("query")))
-    return flagged.where(F.col("exact") | (~F.col("any_exact") & k.contains(q))).select("query", "key")
+    name is the query, or, without any, those that contain it."""
+    asked = queries.select("query", clean(F.col("query")).alias("q")).where("q <> ''").distinct()
+    named = keys.select("key").distinct().withColumn("k", clean(F.col("key")))
+    by_name = named.select("key", F.explode(F.array_distinct(F.array("k", short_name(F.col("key"))))).alias("q"))
+    exact = asked.join(by_name, "q").select("query", "key")
+    rest = asked.join(exact.select("query").distinct(), "query", "left_anti")
+    within = rest.join(small(named), F.col("k").contains(F.col("q"))).select("query", "key")
+    return exact.unionByName(within)
 
 
 def ore_directory(keys: DataFrame, registry: DataFrame) -> DataFrame:

@@ -130,13 +130,19 @@ def _span(low: Column, high: Column) -> Column:
     return F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
 
 
-def plan_mapchunks(requests: DataFrame, size_x: int, size_z: int) -> DataFrame:
-    """Mapchunks (mx, mz) of the world whose blocks touch each request's circle."""
-    axis = lambda c, size: _span(
-        F.greatest(to_chunk(F.col(c) - F.col("radius")), F.lit(0)), F.least(to_chunk(F.col(c) + F.col("radius")), F.lit((size - 1) // CHUNK))
-    )
+def plan_mapchunks(requests: DataFrame, size_x: int | None = None, size_z: int | None = None) -> DataFrame:
+    """Mapchunks (mx, mz) whose blocks touch each request's circle, of a world of
+    that size if it is given."""
+
+    def axis(c, size):
+        low, high = to_chunk(F.col(c) - F.col("radius")), to_chunk(F.col(c) + F.col("radius"))
+        return _span(low, high) if size is None else _span(F.greatest(low, F.lit(0)), F.least(high, F.lit((size - 1) // CHUNK)))
+
+    def edge(m, size):
+        last = F.col(m) * CHUNK + CHUNK - 1
+        return last if size is None else F.least(last, F.lit(size - 1))
+
     grid = requests.withColumn("mx", F.explode(axis("cx", size_x))).withColumn("mz", F.explode(axis("cz", size_z)))
-    edge = lambda m, size: F.least(F.col(m) * CHUNK + CHUNK - 1, F.lit(size - 1))
     return grid.where(touches_circle(F.col("mx") * CHUNK, edge("mx", size_x), F.col("mz") * CHUNK, edge("mz", size_z), F.col("cx"), F.col("cz"), F.col("radius")))
 
 
@@ -181,11 +187,14 @@ def square_ring(centres: DataFrame) -> DataFrame:
     return at.withColumn("rx", F.when(d == 0, F.col("tx")).otherwise(F.col("tx") + dx).cast("int")).withColumn("rz", F.when(d == 0, F.col("tz")).otherwise(F.col("tz") + dz).cast("int"))
 
 
-def inner_cells(cells: DataFrame, size: int = 18, pad_low: int = 1, pad_high: int = 1) -> DataFrame:
-    """Cells (rx, rz, lx, lz) inside the padding, with their world rectangle."""
-    inner = size - pad_low - pad_high
-    kept = cells.where(F.col("lx").between(pad_low, size - pad_high - 1) & F.col("lz").between(pad_low, size - pad_high - 1))
-    edge = lambda r, c, more: (F.col(r) * REGION + F.floor((F.col(c) - pad_low + more) * REGION / inner)).cast("int")
+def inner_cells(cells: DataFrame, size=18, pad_low=1, pad_high=1) -> DataFrame:
+    """Cells (rx, rz, lx, lz) inside the padding, with their world rectangle, whose
+    edges need not be whole blocks. Size and paddings are numbers, or columns where
+    each map has its own."""
+    size, low, high = (v if isinstance(v, Column) else F.lit(v) for v in (size, pad_low, pad_high))
+    inner = size - low - high
+    kept = cells.where(F.col("lx").between(low, size - high - 1) & F.col("lz").between(low, size - high - 1))
+    edge = lambda r, c, more: F.col(r) * REGION + (F.col(c) - low + more) * float(REGION) / inner
     return kept.withColumns({"x0": edge("rx", "lx", 0), "x1": edge("rx", "lx", 1), "z0": edge("rz", "lz", 0), "z1": edge("rz", "lz", 1)})
 
 

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import codes as C
 from ..functions.geometry import to_chunk
 from .dims import small
-from .graph import components, store
+from .graph import components, numbered, store
 
 #: One of each pair of opposite neighbours.
 HALF = ((1, 0), (0, 1), (1, 1), (1, -1))
@@ -74,9 +74,9 @@ def deposit_stats(cells: DataFrame, labels: DataFrame) -> DataFrame:
 
 def deposit_order(deposits: DataFrame, marked: int = 20) -> DataFrame:
     """Place by size, then centre; the first are marked; bands at 100 and 25."""
-    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("cells"), "mean_x", "mean_z"))
+    placed = numbered(deposits, F.desc("cells"), F.col("mean_x"), F.col("mean_z"), F.col("component"))
     band = F.when(F.col("cells") >= 100, "LARGE").when(F.col("cells") >= 25, "MEDIUM").otherwise("SMALL")
-    return deposits.withColumn("place", place).withColumns({"marked": F.col("place") <= marked, "band": band})
+    return placed.withColumns({"marked": F.col("place") <= marked, "band": band})
 
 
 def material_deposits(surface: DataFrame, registry: DataFrame, tokens: list[str]) -> DataFrame:

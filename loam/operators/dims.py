@@ -5,11 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of a dimension that may be broadcast.
-MOST_ROWS = 100_000
+#: Rows of a dimension that may be broadcast, and bytes that the optimizer's own
+#: estimate may come to where it is an upper bound.
+MOST_ROWS, MOST_BYTES = 100_000, 4 << 20
+#: What can make more rows than the estimate says.
+_GROWING = ("Generate", "Join", "MapIn", "FlatMap", "Python", "Range")
+
+
+def is_small(df: DataFrame, most: int = MOST_ROWS) -> bool:
+    """Whether df has at most that many rows: by the size of what it reads, where
+    nothing multiplies rows, else by counting up to one row beyond."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    text = plan.toString()
+    if not any(word in text for word in _GROWING) and int(str(plan.stats().sizeInBytes())) <= MOST_BYTES:
+        return True
+    return df.limit(most + 1).count() <= most
 
 
 def small(df: DataFrame, most: int = MOST_ROWS) -> DataFrame:
-    """df marked for broadcast if it has at most that many rows, else df as it
-    is, for Spark to join as it sees fit. Counts up to one row beyond."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    """df marked for broadcast if it is small, else df as it is, for Spark to join
+    as it sees fit."""
+    return F.broadcast(df) if is_small(df, most) else df

@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 from ..functions import codes as C
 from ..functions import geometry as G
-from .dims import small
+from .dims import is_small, small
 
 
 def membership(registry: DataFrame, requests: DataFrame) -> DataFrame:
-    """(resource, block_id) of every pair that matches; both are dimensions, so
-    the product is of two small tables."""
+    """(resource, block_id) of every pair that matches; codes are matched by text,
+    against the few different resources that requests name."""
     specs = requests.select("resource", "mode").distinct()
-    return registry.crossJoin(specs).where(C.match_block(F.col("code"), F.col("resource"), F.col("mode"))).select("resource", "block_id").distinct()
+    return registry.join(small(specs), C.match_block(F.col("code"), F.col("resource"), F.col("mode"))).select("resource", "block_id").distinct()
 
 
 def chunk_table(voxels: DataFrame) -> DataFrame:
@@ -28,23 +28,30 @@ def lookup_chunks(chunks: DataFrame, positions: DataFrame) -> DataFrame:
     return chunks.join(positions.select("cx", "cy", "cz").distinct(), ["cx", "cy", "cz"], "left_semi")
 
 
+def with_wanted(chunks: DataFrame, wanted: DataFrame) -> DataFrame:
+    """chunks (cx, cy, cz, palette, ...) with the flag has: whether the palette holds
+    a wanted block_id. A few ids travel as one row, many are joined."""
+    ids = wanted.select("block_id").distinct()
+    if is_small(ids):
+        one = F.broadcast(ids.agg(F.collect_set("block_id").alias("_ids")))
+        return chunks.join(one).withColumn("has", F.arrays_overlap("palette", "_ids")).drop("_ids")
+    held = chunks.select("cx", "cy", "cz", F.explode("palette").alias("block_id")).join(ids, "block_id", "left_semi")
+    return chunks.join(held.select("cx", "cy", "cz").distinct().withColumn("has", F.lit(True)), ["cx", "cy", "cz"], "left").withColumn("has", F.coalesce("has", F.lit(False)))
+
+
 def selective_chunks(chunks: DataFrame, positions: DataFrame, wanted: DataFrame) -> DataFrame:
-    """lookup_chunks whose palette holds a wanted block_id; wanted is a dimension
-    of block ids, gathered to one row."""
-    ids = wanted.agg(F.collect_set("block_id").alias("_ids"))
-    found = lookup_chunks(chunks, positions).join(F.broadcast(ids))
-    return found.where(F.arrays_overlap("palette", "_ids")).drop("_ids")
+    """lookup_chunks whose palette holds a wanted block_id."""
+    return with_wanted(lookup_chunks(chunks, positions), wanted).where("has").drop("has")
 
 
 def chunk_visits(positions: DataFrame, chunks: DataFrame, coverage: DataFrame, wanted: DataFrame) -> DataFrame:
     """One row per requested position: DECODED, PALETTE_REJECTED, FAILED, MISSING."""
-    ids = wanted.agg(F.collect_set("block_id").alias("_ids"))
     keys = ["cx", "cy", "cz"]
     asked = positions.select(*keys).distinct().join(coverage.select(*keys, "status"), keys, "left")
-    asked = asked.join(chunks.select(*keys, "palette"), keys, "left").join(F.broadcast(ids))
+    asked = with_wanted(asked.join(chunks.select(*keys, "palette"), keys, "left"), wanted)
     visit = (
         F.when(F.col("status") == "FAILED", "FAILED").when(F.col("palette").isNull() | F.coalesce(F.col("status") == "MISSING", F.lit(True)), "MISSING")
-        .when(F.arrays_overlap("palette", "_ids"), "DECODED").otherwise("PALETTE_REJECTED")
+        .when(F.col("has"), "DECODED").otherwise("PALETTE_REJECTED")
     )
     return asked.select(*keys, visit.alias("visit"))
 
@@ -61,11 +68,14 @@ def _in_area():
 def ore_columns(voxels: DataFrame, registry: DataFrame, requests: DataFrame) -> DataFrame:
     """Per request, resource and column: blocks, min_y, max_y.
 
-    Registry and requests are dimensions, broadcast behind a check; the voxels
-    are shuffled once, after partial aggregation.
+    A request meets the voxels of the mapchunks it touches that have a block it
+    asks for, so many requests far apart don't multiply. The voxels are shuffled
+    once, after partial aggregation, where the requests are few.
     """
-    wanted = membership(registry, requests).join(requests, "resource").select("resource", "block_id", "request_id", "cx", "cz", "radius", "y_min", "y_max")
-    hits = voxels.join(small(wanted), "block_id").where(_in_area())
+    areas = G.plan_mapchunks(requests).select("request_id", "resource", "cx", "cz", "radius", "y_min", "y_max", "mx", "mz")
+    wanted = areas.join(small(membership(registry, requests)), "resource")
+    keyed = voxels.select("x", "y", "z", "block_id", G.to_chunk(F.col("x")).alias("mx"), G.to_chunk(F.col("z")).alias("mz"))
+    hits = keyed.join(small(wanted), ["mx", "mz", "block_id"]).where(_in_area())
     return hits.groupBy("request_id", "resource", "x", "z").agg(F.count(F.lit(1)).alias("blocks"), F.min("y").alias("min_y"), F.max("y").alias("max_y"))
 
 

@@ -70,22 +70,38 @@ def signal_relative(inner: DataFrame, threshold: float = 0.0) -> DataFrame:
     return joined.withColumn("relative", relative).where((F.col("relative") >= threshold) & (F.col("relative") <= 1)).drop("low", "high")
 
 
+def _axis(c: str, radius: str = "radius"):
+    """Regions that the open interval of a square's side meets."""
+    low = F.floor((F.col(c) - F.col(radius)) / G.REGION)
+    high = F.ceil((F.col(c) + F.col(radius)) / G.REGION) - 1
+    return F.when(low <= high, F.sequence(low.cast("int"), high.cast("int"))).otherwise(F.array().cast("array<int>"))
+
+
+def _met(requests: DataFrame) -> DataFrame:
+    """requests (cx, cz, radius) once for each region (rx, rz) their square meets."""
+    return requests.withColumn("rx", F.explode(_axis("cx"))).withColumn("rz", F.explode(_axis("cz")))
+
+
 def max_signal(signals: DataFrame, requests: DataFrame) -> DataFrame:
     """Highest relative signal of each requested resource among the cells whose
-    centre lies in the circle; null if none. requests is a dimension."""
-    cx, cz = F.floor((F.col("x0") + F.col("x1")) / 2).cast("int"), F.floor((F.col("z0") + F.col("z1")) / 2).cast("int")
-    cells = signals.select("resource", cx.alias("x"), cz.alias("z"), "relative")
-    near = cells.join(requests, "resource").where(G.in_circle(F.col("x"), F.col("z"), F.col("cx"), F.col("cz"), F.col("radius")))
-    best = near.groupBy("request_id", "resource").agg(F.max("relative").alias("signal"))
+    centre lies in the circle; null if none. A request meets the cells of the
+    regions around it, whatever the number of requests."""
+    best = signals_in_area(signals, requests).groupBy("request_id", "resource").agg(F.max("relative").alias("signal"))
     return requests.select("request_id", "resource").join(best, ["request_id", "resource"], "left")
 
 
+def signals_in_area(signals: DataFrame, requests: DataFrame) -> DataFrame:
+    """Signal cells of each request's resource whose centre lies in its circle."""
+    middle = lambda a, b: (F.col(a) + F.col(b)) / 2
+    near = signals.join(_met(requests.withColumn("radius", F.col("radius") + 1)).drop("radius"), ["rx", "rz", "resource"]).join(
+        requests.select("request_id", "resource", "radius"), ["request_id", "resource"])
+    dx, dz = middle("x0", "x1") - F.col("cx"), middle("z0", "z1") - F.col("cz")
+    return near.where(dx * dx + dz * dz <= F.col("radius").cast("double") * F.col("radius"))
+
+
 def region_window(regions: DataFrame, requests: DataFrame) -> DataFrame:
-    """Regions whose rectangle meets each request's square, half open. requests
-    come from a user and are few; they are broadcast."""
-    x0, z0 = F.col("rx") * G.REGION, F.col("rz") * G.REGION
-    meets = (x0 < F.col("cx") + F.col("radius")) & (x0 + G.REGION > F.col("cx") - F.col("radius")) & (z0 < F.col("cz") + F.col("radius")) & (z0 + G.REGION > F.col("cz") - F.col("radius"))
-    return regions.join(F.broadcast(requests), meets)
+    """Regions whose rectangle meets each request's square, half open."""
+    return regions.join(_met(requests), list(REGION_KEYS))
 
 
 def overlay_counts(regions: DataFrame, requests: DataFrame, profiles: DataFrame) -> DataFrame:
@@ -127,14 +143,28 @@ def coverage_summary(regions: DataFrame) -> DataFrame:
 def key_runs(keys: DataFrame, key: str) -> DataFrame:
     """Contiguous runs of distinct integer keys: first_key, last_key, n.
 
-    Islands are found inside ranges of 2^16 keys, then joined across the edges,
-    so no task orders all keys.
+    Islands are found inside ranges of 2^16 keys. Those that touch the edge of their
+    range, two at most for each, are joined inside ranges of 2^32 keys, then 2^48,
+    then all: no task has more than 2^17 of them.
     """
-    parts = keys.select(F.col(key).cast("long").alias("k")).where("k IS NOT NULL").distinct().withColumn("part", F.floor(F.col("k") / 65536))
+    ranges = lambda c, bits: F.shiftright(c, bits)
+    parts = keys.select(F.col(key).cast("long").alias("k")).where("k IS NOT NULL").distinct().withColumn("part", ranges("k", 16))
     island = F.col("k") - F.row_number().over(Window.partitionBy("part").orderBy("k"))
-    runs = parts.withColumn("island", island).groupBy("part", "island").agg(F.min("k").alias("a"), F.max("k").alias("b"))
-    # few runs are left; those that touch across an edge are joined
-    order = Window.partitionBy(F.lit(0)).orderBy("a")
-    starts = runs.withColumn("new", (F.col("a") != F.lag("b", 1).over(order) + 1).cast("int"))
-    grouped = starts.withColumn("run", F.sum(F.coalesce("new", F.lit(1))).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return grouped.groupBy("run").agg(F.min("a").alias("first_key"), F.max("b").alias("last_key")).select("first_key", "last_key", (F.col("last_key") - F.col("first_key") + 1).alias("n"))
+    open_ = parts.withColumn("island", island).groupBy("part", "island").agg(F.min("k").alias("a"), F.max("k").alias("b")).select("a", "b")
+    done = None
+    for bits in (16, 32, 48):
+        low = F.shiftleft(ranges("a", bits), bits)
+        at_edge = (F.col("a") == low) | (F.col("b") == low + ((1 << bits) - 1))
+        inner = open_.where(~at_edge)
+        done = inner if done is None else done.unionByName(inner)
+        open_ = _touching(open_.where(at_edge).withColumn("part", ranges("a", bits + 16) if bits < 48 else F.lit(0)))
+    done = done.unionByName(open_)
+    return done.select(F.col("a").alias("first_key"), F.col("b").alias("last_key"), (F.col("b") - F.col("a") + 1).alias("n"))
+
+
+def _touching(runs: DataFrame) -> DataFrame:
+    """Runs (a, b) of each part, those that follow each other directly as one."""
+    order = Window.partitionBy("part").orderBy("a")
+    starts = runs.withColumn("new", F.coalesce((F.col("a") != F.lag("b", 1).over(order) + 1).cast("int"), F.lit(1)))
+    grouped = starts.withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return grouped.groupBy("part", "run").agg(F.min("a").alias("a"), F.max("b").alias("b")).select("a", "b")

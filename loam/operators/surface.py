@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import codes as C
 from ..functions import geometry as G
 from .dims import small
+from .graph import store
 from .rock import available_voxels
 
 
@@ -32,11 +33,23 @@ def _ground(rows: DataFrame):
     return ~C.is_air(F.col("block_id"), F.col("code")) & (water | ~C.is_foliage(F.col("block_id"), F.col("code"))) | water & (F.col("liquid_id") != 0)
 
 
-def surface_top(classified_voxels: DataFrame) -> DataFrame:
-    """Best surface of each column: highest y, then block, liquid and class."""
-    best = F.max(F.struct("y", "block_id", "liquid_id", "class_code", "class")).alias("b")
-    top = classified_voxels.where(_ground(classified_voxels)).groupBy("x", "z").agg(best)
-    return top.select("x", "z", "b.y", "b.block_id", "b.liquid_id", "b.class")
+def surface_top(voxels: DataFrame, registry: DataFrame, liquids: DataFrame) -> DataFrame:
+    """Best surface of each column: x, z, y, block_id, liquid_id, class of the
+    highest block that can be one, ties by block. voxels has a row for each place.
+
+    Solid blocks need no liquid to count, so only air and foliage meet the liquids
+    before the heights are compared, and the winners after it. y and block travel
+    as one long, which a hash aggregate takes.
+    """
+    coded = with_codes(voxels.select("x", "y", "z", "block_id"), registry)
+    soft = C.is_air(F.col("block_id"), F.col("code")) | C.is_foliage(F.col("block_id"), F.col("code"))
+    packed = (F.shiftleft(F.col("y").cast("long"), 32) + F.col("block_id")).alias("packed")
+    under = coded.where(soft).select("x", "y", "z", "block_id").join(liquids.select("x", "y", "z"), ["x", "y", "z"], "left_semi")
+    wet = classified(under, registry, liquids)
+    rows = coded.where(~soft).select("x", "z", packed).unionByName(wet.where(_ground(wet)).select("x", "z", packed))
+    top = rows.groupBy("x", "z").agg(F.max("packed").alias("packed"))
+    best = top.select("x", F.shiftright("packed", 32).cast("int").alias("y"), "z", F.col("packed").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("block_id"))
+    return classified(best, registry, liquids).select("x", "z", "y", "block_id", "liquid_id", "class")
 
 
 def height_voxels(heights: DataFrame, voxels: DataFrame) -> DataFrame:
@@ -54,22 +67,23 @@ def resolve_surface(columns: DataFrame, heights: DataFrame, voxels: DataFrame, r
     no water. Columns without a surface have no row.
     """
     keys = {"mx": G.to_chunk(F.col("x")), "mz": G.to_chunk(F.col("z"))}
-    seen = classified(available_voxels(voxels, coverage).select("x", "y", "z", "block_id"), registry, liquids)
+    seen = available_voxels(voxels, coverage).select("x", "y", "z", "block_id")
+    dry = small(no_liquids.select("mx", "mz").distinct())
     asked = columns.select("x", "z").distinct().join(heights.select("x", "z", "rain_y"), ["x", "z"], "left")
-    at = asked.join(seen.withColumnRenamed("y", "rain_y"), ["x", "z", "rain_y"], "left").withColumns(keys)
-    at = at.join(no_liquids.select("mx", "mz", F.lit(True).alias("dry")), ["mx", "mz"], "left")
-    bad = F.col("rain_y").isNull() | ~G.in_world(F.col("rain_y"), size_y) | F.col("dry").isNotNull() | F.col("block_id").isNull() | ~_ground(at)
-    flags = at.withColumn("bad", F.coalesce(bad, F.lit(True)))
+    # one voxel of each column is looked up and classified
+    at = classified(asked.where("rain_y IS NOT NULL").withColumnRenamed("rain_y", "y").join(seen, ["x", "y", "z"]), registry, liquids)
+    at = at.select("x", "z", "block_id", "liquid_id", "class", _ground(at).alias("ground"))
+    flags = asked.join(at, ["x", "z"], "left").withColumns(keys).join(dry.withColumn("dry", F.lit(True)), ["mx", "mz"], "left")
+    bad = F.col("rain_y").isNull() | ~G.in_world(F.col("rain_y"), size_y) | F.col("dry").isNotNull() | ~F.coalesce("ground", F.lit(False))
+    flags, _ = store(flags.withColumn("bad", bad), "flags")
     chunks = flags.groupBy("mx", "mz").agg(F.max("bad").alias("fallback"))
-    judged = flags.join(chunks, ["mx", "mz"])
-    fast = judged.where("NOT fallback").select("x", "z", F.lit("FAST").alias("path"), F.col("rain_y").alias("y"), "block_id", "liquid_id", "class")
-    slow = seen.withColumns(keys).join(chunks.where("fallback"), ["mx", "mz"])
-    # a mapchunk whose liquids are missing is classified without them
-    dry = no_liquids.select("mx", "mz", F.lit(True).alias("dry"))
-    slow = slow.join(dry, ["mx", "mz"], "left").withColumn("liquid_id", F.when(F.col("dry").isNull(), F.col("liquid_id")).otherwise(0))
-    slow = slow.withColumn("class", F.when(F.col("dry").isNull(), F.col("class")).otherwise(C.surface_class(F.col("block_id"), F.when(F.col("registered"), F.col("code")), F.lit(0), F.lit(None).cast("string"))))
-    slow = slow.withColumn("class_code", C.surface_code(F.col("class"))).join(columns.select("x", "z").distinct(), ["x", "z"], "left_semi")
-    return fast.unionByName(surface_top(slow).withColumn("path", F.lit("FALLBACK")))
+    fast = flags.join(small(chunks.where("NOT fallback")), ["mx", "mz"], "left_semi").select("x", "z", F.lit("FAST").alias("path"), F.col("rain_y").alias("y"), "block_id", "liquid_id", "class")
+    # whole columns only where a mapchunk falls back; one whose liquids are missing
+    # is classified without them
+    slow = seen.withColumns(keys).join(small(chunks.where("fallback").select("mx", "mz")), ["mx", "mz"], "left_semi")
+    slow = slow.join(flags.select("x", "z"), ["x", "z"], "left_semi")
+    known = liquids.withColumns(keys).join(dry, ["mx", "mz"], "left_anti").drop("mx", "mz")
+    return fast.unionByName(surface_top(slow, registry, known).withColumn("path", F.lit("FALLBACK")))
 
 
 def surface_diagnostics(classified_voxels: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import codes as C
 from ..functions import geometry as G
+from ..operators.dims import small
 from .base import Plans
 from .worldviews import MAPCHUNKS_X, SIZE_Y, SIZE_Z, for_oracle
 
@@ -116,7 +117,7 @@ def g13(w):
 
 
 @plans("g14_intmap_cells", """
-SELECT rx, rz, layer, lx, lz, raw, rx*512 + (lx-1)*32 AS x0, rx*512 + lx*32 AS x1, rz*512 + (lz-1)*32 AS z0, rz*512 + lz*32 AS z1
+SELECT rx, rz, layer, lx, lz, raw, rx*512 + (lx-1)*32.0::DOUBLE AS x0, rx*512 + lx*32.0::DOUBLE AS x1, rz*512 + (lz-1)*32.0::DOUBLE AS z0, rz*512 + lz*32.0::DOUBLE AS z1
 FROM layer_cells WHERE lx BETWEEN 1 AND 16 AND lz BETWEEN 1 AND 16""")
 def g14(w):
     return G.inner_cells(w.layer_cells)
@@ -171,7 +172,7 @@ CODED = "SELECT v.block_id, any_value(code) AS code, count(*) AS n FROM voxels v
 
 
 def coded(w):
-    return w.voxels.groupBy("block_id").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(w.registry), "block_id", "left")
+    return w.voxels.groupBy("block_id").agg(F.count(F.lit(1)).alias("n")).join(small(w.registry), "block_id", "left")
 
 
 def _of(name, sql, **columns):

@@ -9,6 +9,7 @@ from ..functions import geometry as G
 from ..operators import components as K
 from ..operators import objects as O
 from ..operators import ore, prospecting, regions, rock, surface
+from ..operators.dims import small
 from .base import Plans
 from .scalars import LABELS_SQL, FOREST_SQL, OBJECT_SQL, PATH_SQL, SOIL_SQL, SURFACE_CODE_SQL, SURFACE_SQL
 from .worldviews import COLUMNS_X, MAPCHUNKS_X, SIZE_Y, SIZE_Z, for_oracle
@@ -61,7 +62,7 @@ SURFACE = f"""{AVAIL}, {classed_sql('avail')},
   slow AS (SELECT x, z, max({{'y': y, 'b': block_id, 'l': lid, 'k': class_code, 'c': class}}) AS t FROM dry JOIN fb ON mx = x // 32 AND mz = z // 32 WHERE fallback AND ground GROUP BY x, z),
   surf AS (SELECT * FROM fast UNION ALL SELECT x, z, 'FALLBACK', t.y, t.b, t.l, t.c FROM slow)"""
 
-INNER = "inn AS (SELECT *, rx*512 + (lx-1)*32 AS x0, rx*512 + lx*32 AS x1, rz*512 + (lz-1)*32 AS z0, rz*512 + lz*32 AS z1 FROM layer_cells WHERE lx BETWEEN 1 AND 16 AND lz BETWEEN 1 AND 16)"
+INNER = "inn AS (SELECT *, rx*512 + (lx-1)*32.0::DOUBLE AS x0, rx*512 + lx*32.0::DOUBLE AS x1, rz*512 + (lz-1)*32.0::DOUBLE AS z0, rz*512 + lz*32.0::DOUBLE AS z1 FROM layer_cells WHERE lx BETWEEN 1 AND 16 AND lz BETWEEN 1 AND 16)"
 
 
 def no_liquids(w):
@@ -88,7 +89,7 @@ def ore_signals(w):
 SIGNALS = f"""{INNER}, sig AS (SELECT rx, rz, lx, lz, x0, x1, z0, z1, raw, res, CASE WHEN max(raw) OVER p = min(raw) OVER p THEN 0.0::DOUBLE ELSE (raw - min(raw) OVER p)::DOUBLE / (max(raw) OVER p - min(raw) OVER p) END AS relative
   FROM (SELECT *, substr(layer, 5) AS res FROM inn WHERE layer LIKE 'ore:%') WINDOW p AS (PARTITION BY res)),
   signal AS (SELECT * REPLACE (CASE res WHEN '1' THEN 'nativecopper' WHEN '2' THEN 'cassiterite' WHEN '3' THEN 'galena' ELSE res END AS res) FROM sig),
-  best AS (SELECT r.request_id, r.resource, max(relative) AS signal FROM requests r LEFT JOIN signal s ON s.res = r.resource AND ((x0+x1)//2 - cx)**2 + ((z0+z1)//2 - cz)**2 <= radius*radius GROUP BY ALL)"""
+  best AS (SELECT r.request_id, r.resource, max(relative) AS signal FROM requests r LEFT JOIN signal s ON s.res = r.resource AND ((x0+x1)/2 - cx)**2 + ((z0+z1)/2 - cz)**2 <= radius*radius GROUP BY ALL)"""
 
 # -- scans and lookups
 
@@ -126,7 +127,7 @@ def s8(w):
 
 @plans("s9_world_header", "SELECT count(DISTINCT v.block_id) AS blocks, count(DISTINCT r.code) AS registered, max(x) AS max_x, max(y) AS max_y, max(z) AS max_z FROM voxels v LEFT JOIN registry r ON v.block_id = r.block_id")
 def s9(w):
-    j = w.voxels.join(F.broadcast(w.registry), "block_id", "left")
+    j = w.voxels.join(small(w.registry), "block_id", "left")
     return j.agg(F.countDistinct("block_id").alias("blocks"), F.countDistinct("code").alias("registered"), *[F.max(c).alias(f"max_{c}") for c in "xyz"])
 
 
@@ -140,7 +141,7 @@ def j1(w):
 
 @plans("j2_wanted_voxels", f"WITH {MEMBER} SELECT x, y, z, block_id FROM voxels WHERE block_id IN (SELECT block_id FROM member)")
 def j2(w):
-    return w.voxels.join(F.broadcast(ore.membership(w.registry, w.requests)), "block_id", "left_semi").select("x", "y", "z", "block_id")
+    return w.voxels.join(small(ore.membership(w.registry, w.requests)), "block_id", "left_semi").select("x", "y", "z", "block_id")
 
 
 @plans("j3_palette_semi", "SELECT x // 32 AS cx, y // 32 AS cy, z // 32 AS cz, count(DISTINCT block_id) AS palette FROM voxels GROUP BY ALL HAVING bool_or(block_id IN (7, 8))")
@@ -164,7 +165,7 @@ def j5(w):
 def j6(w):
     keys = w.layer_cells.where("layer LIKE 'ore:%'").groupBy(F.expr("substr(layer, 5)").alias("resource")).agg(F.count(F.lit(1)).alias("n"))
     keys = keys.union(w.spark.range(1).selectExpr("'granite'", "0L"))
-    return keys.join(F.broadcast(w.registry), C.match_ore(F.col("code"), F.col("resource"))).select("resource", "code", "n")
+    return keys.join(small(w.registry), C.match_ore(F.col("code"), F.col("resource"))).select("resource", "code", "n")
 
 
 @plans("j7_height_voxel", "SELECT h.x, h.z, h.rain_y, block_id FROM heights h LEFT JOIN voxels v ON h.x = v.x AND h.z = v.z AND h.rain_y = v.y")
@@ -198,11 +199,9 @@ def j10(w):
     return neighbours4(w.heights.select("x", "z", F.col("rain_y").alias("height")), 1).select("x", "z", "west", "east", "north", "south")
 
 
-@plans("j11_signal_in_area", f"WITH {SIGNALS} SELECT r.request_id, r.resource, rx, rz, lx, lz, relative FROM requests r JOIN signal s ON s.res = r.resource AND ((x0+x1)//2 - cx)**2 + ((z0+z1)//2 - cz)**2 <= 250000")
+@plans("j11_signal_in_area", f"WITH {SIGNALS} SELECT r.request_id, r.resource, rx, rz, lx, lz, relative FROM requests r JOIN signal s ON s.res = r.resource AND ((x0+x1)/2 - cx)**2 + ((z0+z1)/2 - cz)**2 <= 250000")
 def j11(w):
-    wide = w.requests.withColumn("radius", F.lit(500))
-    cells = ore_signals(w).withColumns({"x": F.floor((F.col("x0") + F.col("x1")) / 2).cast("int"), "z": F.floor((F.col("z0") + F.col("z1")) / 2).cast("int")})
-    near = cells.join(F.broadcast(wide), "resource").where(G.in_circle(F.col("x"), F.col("z"), F.col("cx"), F.col("cz"), F.col("radius")))
+    near = regions.signals_in_area(ore_signals(w), w.requests.withColumn("radius", F.lit(500)))
     return near.select("request_id", "resource", "rx", "rz", "lx", "lz", "relative")
 
 
@@ -289,7 +288,8 @@ def a5(w):
 
 @plans("a6_surface_top", f"WITH {classed_sql()} SELECT x, z, t.y AS y, t.b AS block_id, t.l AS liquid_id, t.c AS class FROM (SELECT x, z, max({{'y': y, 'b': block_id, 'l': lid, 'k': class_code, 'c': class}}) AS t FROM classed WHERE ground GROUP BY x, z)")
 def a6(w):
-    return surface.surface_top(surface.classified(w.voxels, w.registry, w.liquids))
+    w.keep_voxels()
+    return surface.surface_top(w.voxels, w.registry, w.liquids)
 
 
 @plans("a7_surface_diagnostics", f"WITH {classed_sql()} SELECT count(*) AS columns, count(*) FILTER (wet) AS water_columns, sum(unknown)::BIGINT AS unknown_blocks FROM (SELECT x, z, bool_or(class = 'WATER') AS wet, count(*) FILTER (code IS NULL) AS unknown FROM classed GROUP BY x, z)")
@@ -411,7 +411,7 @@ DEPOSITS = f"""{COMPONENTS}, cell AS (SELECT x, z, max(y) AS y, arg_max(block_id
 
 @plans("a21_deposit_stats", f"WITH RECURSIVE {DEPOSITS} SELECT * FROM dep")
 def a21(w):
-    cells = clay_cells(w).join(F.broadcast(w.registry), "block_id")
+    cells = clay_cells(w).join(small(w.registry), "block_id")
     return K.deposit_stats(cells, K.components8(cells))
 
 
@@ -470,7 +470,7 @@ def w3(w):
     return surface.unknown_codes(surface.classified(w.voxels, w.registry, w.liquids), 3)
 
 
-ORDERED = f"{DEPOSITS}, ordered AS (SELECT *, row_number() OVER (ORDER BY cells DESC, mean_x, mean_z) AS place, row_number() OVER (ORDER BY cells DESC, mean_x, mean_z) <= 20 AS marked, CASE WHEN cells >= 100 THEN 'LARGE' WHEN cells >= 25 THEN 'MEDIUM' ELSE 'SMALL' END AS band FROM dep)"
+ORDERED = f"{DEPOSITS}, ordered AS (SELECT *, row_number() OVER (ORDER BY cells DESC, mean_x, mean_z, component) AS place, row_number() OVER (ORDER BY cells DESC, mean_x, mean_z, component) <= 20 AS marked, CASE WHEN cells >= 100 THEN 'LARGE' WHEN cells >= 25 THEN 'MEDIUM' ELSE 'SMALL' END AS band FROM dep)"
 
 
 @plans("w4_deposit_order", f"WITH RECURSIVE {ORDERED} SELECT place, component, cells, marked, band FROM ordered")
@@ -496,7 +496,7 @@ def u1(w):
 @plans("u2_union_ids", f"WITH {MEMBER}, {ROCKS} SELECT block_id, count(*) AS n FROM voxels WHERE block_id IN (SELECT block_id FROM member UNION SELECT block_id FROM rocks) GROUP BY block_id")
 def u2(w):
     ids = rock.rocks(w.registry).select("block_id").union(ore.membership(w.registry, w.requests).select("block_id")).distinct()
-    return w.voxels.join(F.broadcast(ids), "block_id", "left_semi").groupBy("block_id").agg(F.count(F.lit(1)).alias("n"))
+    return w.voxels.join(small(ids), "block_id", "left_semi").groupBy("block_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @plans("u3_refresh_merge", "SELECT cx, cy, cz, status, false AS rebuilt FROM chunk_cov WHERE status = 'AVAILABLE' UNION ALL SELECT cx, cy, cz, 'AVAILABLE', true FROM chunk_cov WHERE status <> 'AVAILABLE'")
@@ -560,7 +560,7 @@ P5 = f"""{SURFACE}, clay AS (SELECT x, z, y, code FROM surf JOIN registry USING
   dep AS (SELECT component, count(*) AS cells, array_to_string(list_sort(list(DISTINCT code)), ',') AS codes, avg(x) AS mean_x, avg(z) AS mean_z FROM clay JOIN comp USING (x, z) GROUP BY component)"""
 
 
-@plans("p5_material_deposits", f"WITH RECURSIVE {P5} SELECT component, cells, codes, mean_x, mean_z, row_number() OVER (ORDER BY cells DESC, mean_x, mean_z) AS place FROM dep")
+@plans("p5_material_deposits", f"WITH RECURSIVE {P5} SELECT component, cells, codes, mean_x, mean_z, row_number() OVER (ORDER BY cells DESC, mean_x, mean_z, component) AS place FROM dep")
 def p5(w):
     from ..operators.graph import store
 
