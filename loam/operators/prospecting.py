@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
@@ -32,10 +32,12 @@ def geology(rock_columns: DataFrame) -> DataFrame:
 
 
 def assess(evidence: DataFrame) -> DataFrame:
-    """Rank and first reason of each row (observation, geology, signal,
-    compatibility), in the order of the rules, and the place by rank and key."""
+    """Rank and reasons of each row (observation, geology, signal, compatibility,
+    observed, no_rock, unavailable), in the order of the rules, and the place by
+    rank and key. The first reason is the rule's, the others tell the evidence."""
     positive = F.coalesce(F.col("signal") > 0, F.lit(False))
     fits, clashes = F.col("compatibility") == "COMPATIBLE", F.col("compatibility") == "INCOMPATIBLE"
+    # The sentences of the report.
     rules = (
         (F.col("observation") == "OBSERVED", "CONFIRMED", "actual saved ore block observed"),
         (F.col("geology") == "UNAVAILABLE", "UNKNOWN", "observed geology is unavailable"),
@@ -48,12 +50,23 @@ def assess(evidence: DataFrame) -> DataFrame:
     otherwise = F.struct(F.lit("UNKNOWN").alias("rank"), F.lit("no positive supporting evidence is available").alias("reason"))
     judged = F.coalesce(*[F.when(c, F.struct(F.lit(r).alias("rank"), F.lit(t).alias("reason"))) for c, r, t in rules], judged, otherwise)
     ordinal = F.array_position(F.array(*map(F.lit, RANKS)), F.col("rank"))
-    out = evidence.withColumn("j", judged).withColumns({"rank": F.col("j.rank"), "reason": F.col("j.reason")}).drop("j")
+    text = lambda *parts: F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
+    count = lambda c: F.col(c).cast("string")
+    reasons = F.array_compact(F.array(
+        F.col("j.reason"),
+        F.coalesce(text("worldgen signal=", F.col("signal").cast("string")), F.lit("worldgen signal unavailable")),
+        text("observed geology=", F.col("geology")),
+        text("geology coverage: observed=", count("observed"), ", no-rock=", count("no_rock"), ", unavailable=", count("unavailable")),
+        F.when((F.col("unavailable") > 0) & (F.col("observed") + F.col("no_rock") > 0), "observed geology coverage is partial"),
+        text("host compatibility=", F.col("compatibility")),
+        F.when(F.col("observation") == "NOT_OBSERVED", "actual ore scan completed without an observation").when(F.col("observation") == "UNAVAILABLE", "actual ore observation is unavailable"),
+    ))
+    out = evidence.withColumn("j", judged).withColumns({"rank": F.col("j.rank"), "reasons": reasons}).drop("j")
     return out.withColumn("place", F.row_number().over(Window.partitionBy("request_id").orderBy(ordinal, "resource")))
 
 
 def prospecting(requests: DataFrame, voxels: DataFrame, registry: DataFrame, coverage: DataFrame, signals: DataFrame, compat: DataFrame, size: tuple[int, int, int]) -> DataFrame:
-    """One row per request and resource: the evidence, rank, reason and place."""
+    """One row per request and resource: the evidence, rank, reasons and place."""
     areas = requests.select("request_id", "cx", "cz", "radius").distinct()
     cells = G.circle_cells(areas).where(G.in_world(F.col("x"), size[0]) & G.in_world(F.col("z"), size[2])).select("request_id", "x", "z")
     rock, _ = store(cells.join(upper_rock(voxels, registry, coverage, cells, 0, size[1] - 1), ["x", "z"]), "rock")

@@ -57,13 +57,3 @@ def rock_legend(columns: DataFrame) -> DataFrame:
 
 def state_totals(columns: DataFrame) -> DataFrame:
     return columns.groupBy("state").agg(F.count(F.lit(1)).alias("columns"))
-
-
-def stored_rock_map(stored: DataFrame, cells: DataFrame, size_x: int, size_z: int) -> DataFrame:
-    """upper_rock rows for cells from stored columns, or none at all unless every
-    cell lies in the world and is stored."""
-    asked = cells.select("x", "z").distinct()
-    joined = asked.join(stored.withColumn("_there", F.lit(True)), ["x", "z"], "left")
-    inside = G.in_world(F.col("x"), size_x) & G.in_world(F.col("z"), size_z)
-    gate = joined.agg(F.min(inside & F.col("_there").isNotNull()).alias("_whole"))
-    return joined.join(F.broadcast(gate)).where("_whole").select(stored.columns)

@@ -86,16 +86,28 @@ def resolve_surface(columns: DataFrame, heights: DataFrame, voxels: DataFrame, r
     return fast.unionByName(surface_top(slow, registry, known).withColumn("path", F.lit("FALLBACK")))
 
 
-def surface_diagnostics(classified_voxels: DataFrame) -> DataFrame:
-    """One row: columns, water columns, unregistered blocks and distinct unknown
-    codes of the scanned voxels."""
-    per = classified_voxels.groupBy("x", "z").agg(F.max(F.col("class") == "WATER").alias("wet"), F.count_if(~F.col("registered")).alias("unknown"))
-    return per.agg(F.count(F.lit(1)).alias("columns"), F.count_if("wet").alias("water_columns"), F.coalesce(F.sum("unknown"), F.lit(0)).alias("unknown_blocks"))
-
-
-def unknown_codes(classified_voxels: DataFrame, limit: int) -> DataFrame:
-    """The most frequent codes of class UNKNOWN, ties by code."""
-    counts = classified_voxels.where("class = 'UNKNOWN'").groupBy("code").agg(F.count(F.lit(1)).alias("blocks"))
+def surface_diagnostics(columns: DataFrame, surface: DataFrame, registry: DataFrame, coverage: DataFrame, no_liquids: DataFrame) -> DataFrame:
+    """One row over the asked columns (x, z) and their resolved surface: chunks
+    scanned (available ones of the columns' mapchunks), columns scanned, empty and
+    without liquids, water columns, surface blocks of class UNKNOWN, their distinct
+    codes and all distinct codes."""
+    keys = {"mx": G.to_chunk(F.col("x")), "mz": G.to_chunk(F.col("z"))}
+    asked = columns.select("x", "z").distinct().withColumns(keys)
+    open_ = coverage.where("status = 'AVAILABLE'").select(F.col("cx").alias("mx"), "cy", F.col("cz").alias("mz"))
+    chunks = open_.join(asked.select("mx", "mz").distinct(), ["mx", "mz"], "left_semi").agg(F.count(F.lit(1)).alias("chunks_scanned"))
+    rows = asked.join(with_codes(surface, registry).select("x", "z", "class", "code"), ["x", "z"], "left")
+    rows = rows.join(small(no_liquids.select("mx", "mz", F.lit(True).alias("dry")).distinct()), ["mx", "mz"], "left")
+    unknown = F.col("class") == "UNKNOWN"
+    counts = rows.agg(
+        F.count(F.lit(1)).alias("columns_scanned"), F.count_if(F.col("class").isNull()).alias("empty_columns"), F.count("dry").alias("liquid_unavailable_columns"),
+        F.count_if(F.col("class") == "WATER").alias("water_columns"), F.count_if(unknown).alias("unknown_blocks"),
+        F.countDistinct(F.when(unknown, F.col("code"))).alias("unknown_codes"), F.countDistinct("code").alias("codes"))
+    return counts.join(F.broadcast(chunks))  # one row each
+
+
+def unknown_codes(surface: DataFrame, registry: DataFrame, limit: int) -> DataFrame:
+    """The most frequent codes of surface blocks of class UNKNOWN, ties by code."""
+    counts = with_codes(surface.where("class = 'UNKNOWN'"), registry).groupBy("code").agg(F.count(F.lit(1)).alias("blocks"))
     return counts.orderBy(F.desc("blocks"), "code").limit(limit)
 
 

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import geometry as G
+
 
 def missing_only(wanted: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
     """Wanted keys that are not stored."""
@@ -45,3 +47,17 @@ def layer_completeness(missing: dict[str, DataFrame]) -> DataFrame:
     all_ = reduce(DataFrame.union, rows)
     state = all_.agg(F.when(F.min("done"), "READY").when(F.max("done"), "PARTIAL").otherwise("NOT_PREPARED").alias("revision"))
     return all_.crossJoin(state)  # a few layers, one state
+
+
+def stored_columns(stored: DataFrame, circles: DataFrame, size_x: int, size_z: int) -> DataFrame:
+    """Rows of stored columns (x, z, size_x, size_z, ..) in each circle (circle, cx,
+    cz, radius), with served. A circle is served only if it lies in the world and
+    every column of it is stored for a world of this size; else it has one row
+    whose columns are null, and its caller goes to the source."""
+    cells = G.circle_cells(circles).select("circle", "x", "z")
+    fits = (F.col("size_x") == size_x) & (F.col("size_z") == size_z)
+    joined = cells.join(stored.withColumn("_fits", fits).drop("size_x", "size_z"), ["x", "z"], "left")
+    inside = G.in_world(F.col("x"), size_x) & G.in_world(F.col("z"), size_z)
+    gate = joined.groupBy("circle").agg(F.min(inside & F.coalesce("_fits", F.lit(False))).alias("served"))
+    rows = joined.drop("_fits").join(gate.where("served"), "circle")
+    return rows.unionByName(gate.where("NOT served"), allowMissingColumns=True)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import codes as C
@@ -11,11 +12,13 @@ from ..functions import colours as P
 from ..functions import geometry as G
 from ..operators import ore, regions, rock, surface, tiles
 from ..operators.graph import shared_folder, store
+from ..operators.tables import stored_columns
 from ..sources import decode, encode
+from ..sources import payloads as Payload
 from ..sources import tables as T
 from .base import Plans
 from .scalars import LABELS_SQL
-from .worlds import PROFILES, SOILMAP, SURFACE, inner, resolved, rock_sql, upper
+from .worlds import PROFILES, SOILMAP, SURFACE, inner, resolved, rock_sql, upper, world_header
 from .worldviews import SIZE_Y, SIZE_Z
 
 plans = Plans()
@@ -36,7 +39,9 @@ STATUS_SQL = "CASE WHEN bad THEN 'INVALID' WHEN pd <> 0 {0} THEN 'IGNORED' WHEN
 def raw(w):
     rows = w.spark.sql(RAW, orders=w.table("orders"))
     key = G.encode_position(F.col("px"), F.col("py"), F.col("pz"), F.col("pd"))
-    rows = rows.select("id", F.when(F.col("bad"), key.bitwiseOR(F.lit(1 << 21))).otherwise(key).alias("position"), F.when(F.col("hollow"), F.lit(b"")).otherwise(F.lit(b"\x08\x01")).alias("data"))
+    whole = Payload.put_chunk(np.zeros(Payload.CELLS, np.int32))
+    payload = F.when(F.col("hollow"), F.lit(b"")).when(F.expr("id % 97 = 0"), F.lit(whole)).when(F.expr("id % 97 = 1"), F.lit(whole + Payload.put(16, b"\1\0\0\0x"))).otherwise(F.lit(b"\x08\x01"))
+    rows = rows.select("id", F.when(F.col("bad"), key.bitwiseOR(F.lit(1 << 21))).otherwise(key).alias("position"), payload.alias("data"))
     return store(rows, "raw")[0]  # raw tables are stored ones; keys are decoded from a column
 
 
@@ -51,11 +56,21 @@ def s2(w):
     return read.where(G.in_world(F.col("x"), 3) & G.in_world(F.col("z"), 3)).select("id", "x", "z")
 
 
-@plans("d10_read_diagnostics", f"SELECT status, CASE WHEN status = 'READ' THEN 'no heights' ELSE 'unspecified' END AS reason, count(*) AS n FROM (SELECT {STATUS_SQL.format('')} AS status FROM ({RAW_SQL})) GROUP BY ALL")
+SCANNED = f"scanned AS (SELECT id, {STATUS_SQL.format('')} AS status, id % 97 AS kind FROM ({RAW_SQL}))"
+LIQUID_ERROR = "palette: zstd decompressor error: Unknown frame descriptor"
+
+
+@plans("d10_read_diagnostics", f"""
+WITH {SCANNED}, wet AS (SELECT * FROM scanned WHERE status = 'READ' AND kind = 1)
+SELECT 'PARSED' AS kind, NULL::VARCHAR AS reason, count(*) AS n FROM scanned WHERE status = 'READ' AND kind IN (0, 1)
+UNION ALL SELECT CASE WHEN status = 'IGNORED' THEN 'SKIPPED' ELSE 'FAILED' END AS k, CASE WHEN status = 'READ' THEN 'unsupported version None' ELSE 'unspecified' END AS r, count(*) FROM scanned WHERE NOT (status = 'READ' AND kind IN (0, 1)) GROUP BY ALL
+UNION ALL SELECT 'LIQUID', NULL, count(*) FROM wet
+UNION ALL SELECT 'LIQUID_SAMPLE', 'liquid decode failed: {LIQUID_ERROR}', 1 FROM (SELECT id FROM wet ORDER BY id LIMIT 10)""")
 def d10(w):
     scanned = decode.scan_raw(raw(w), vertical=True)
-    read = decode.decode_heights(scanned.where("status = 'READ'").select("status", "data")).select("status", "error")
-    return decode.read_diagnostics(read.unionByName(scanned.where("status <> 'READ'").select("status", F.lit(None).cast("string").alias("error"))))
+    read = decode.decode_chunk(scanned.where("status = 'READ'").select("id", "status", "data")).select("id", "status", "error", "liquid_error")
+    unread = scanned.where("status <> 'READ'").select("id", "status")
+    return decode.read_diagnostics(read.unionByName(unread, allowMissingColumns=True))
 
 
 # -- decode round trips
@@ -69,7 +84,7 @@ def d2(w):
     return cells.groupBy("mx", "mz").agg(F.sum("v.rain").alias("rain"), F.sum("v.terrain").alias("terrain"), top.alias("top"))
 
 
-@plans("d3_decode_region", "SELECT rx, rz, layer, lx, lz, raw FROM layer_cells WHERE raw <> 0")
+@plans("d3_decode_region", "SELECT rx, rz, layer, lx, lz, raw, 18 AS size, 1 AS pad_low, 1 AS pad_high FROM layer_cells WHERE raw <> 0")
 def d3(w):
     return decode.map_cells(decode.decode_region(encode.raw_regions(w.layer_cells).select("rx", "rz", "data"))).where("raw <> 0")
 
@@ -148,14 +163,18 @@ def s10(w):
     return w.spark.read.parquet(path).select("x", "z", "rain_y", "terrain_y", "rx", "rz")
 
 
-@plans("s11_write_surface", f"WITH {SURFACE} SELECT s.x, s.z, s.class FROM surf s JOIN (SELECT x // 32 AS mx, z // 32 AS mz FROM surf GROUP BY ALL HAVING count(*) = 1024) f ON s.x // 32 = mx AND s.z // 32 = mz")
+def mapchunks(w):
+    return w.voxels.select(G.to_chunk(F.col("x")).alias("mx"), G.to_chunk(F.col("z")).alias("mz")).distinct()
+
+
+TILES = "tiles AS (SELECT mx * 32 + i AS x, mz * 32 + j AS z FROM (SELECT DISTINCT x // 32 AS mx, z // 32 AS mz FROM voxels) m, range(0, 32) a(i), range(0, 32) b(j))"
+
+
+@plans("s11_write_surface", f"WITH {SURFACE}, {TILES} SELECT t.x::INT AS x, t.z::INT AS z, class FROM tiles t LEFT JOIN surf s ON s.x = t.x AND s.z = t.z")
 def s11(w):
-    surf, _ = store(resolved(w), "surface")
-    keyed = surf.withColumns({"mx": G.to_chunk(F.col("x")), "mz": G.to_chunk(F.col("z"))})
-    whole = keyed.groupBy("mx", "mz").count().where("count = 1024").drop("count")
     path = scratch(w, "surface")
-    T.write_surface(keyed.join(whole, ["mx", "mz"], "left_semi").drop("mx", "mz"), path)
-    return w.spark.read.schema("x int, z int, class string, rx int, rz int").parquet(path).select("x", "z", "class")
+    T.write_surface(T.surface_tiles(resolved(w), mapchunks(w)), path)
+    return w.spark.read.parquet(path).select("x", "z", "class")
 
 
 @plans("s12_write_upper_rock", f"WITH {rock_sql(0, 127)} SELECT x, z, state, rock_code FROM rock")
@@ -188,32 +207,89 @@ def s15(w):
     return w.spark.read.parquet(f"{path}/keys")
 
 
+LAYERS = ("header", "terrain", "surface", "regions", "upper_rock", "resources")
+
+
 @plans("p12_prepare_tables", """
-SELECT 1 AS run, 'terrain' AS layer, count(*) AS added FROM heights UNION ALL SELECT 1, 'upper_rock', count(*) FROM (SELECT DISTINCT x, z FROM voxels) UNION ALL SELECT 2, 'terrain', 0 UNION ALL SELECT 2, 'upper_rock', 0""")
+SELECT run::INT AS run, layer, CASE run WHEN 1 THEN added ELSE 0 END AS added, true AS complete FROM range(1, 3) r(run), (
+  SELECT 'header' AS layer, 1 AS added UNION ALL SELECT 'terrain', count(*) FROM heights UNION ALL SELECT 'surface', count(DISTINCT (x // 32, z // 32)) * 1024 FROM voxels
+  UNION ALL SELECT 'regions', count(DISTINCT (rx, rz)) FROM layer_cells WHERE layer IN ('climate', 'forest') AND lx BETWEEN 1 AND 16 AND lz BETWEEN 1 AND 16
+  UNION ALL SELECT 'upper_rock', count(DISTINCT (x, z)) FROM voxels
+  UNION ALL SELECT 'resources', count(DISTINCT (x, z, y // 32, block_id)) FROM voxels v JOIN chunk_cov c ON cx = x // 32 AND cy = y // 32 AND cz = z // 32 WHERE status = 'AVAILABLE')""")
 def p12(w):
-    path = scratch(w, "prepared")
-    columns = w.voxels.select("x", "z").distinct()
-    wanted = {"terrain": w.heights.select("x", "z"), "upper_rock": columns}
+    w.keep_voxels()
+    path, chunk = scratch(w, "prepared"), ["cx", "cy", "cz"]
+    profiles = regions.environment_profiles(inner(w))
+    wanted = {
+        "header": w.spark.range(1).select(F.lit(0).alias("world")), "terrain": w.heights.select("x", "z"), "surface": mapchunks(w), "regions": profiles.select("rx", "rz"),
+        "upper_rock": w.voxels.select("x", "z").distinct(), "resources": w.chunk_cov.where("status = 'AVAILABLE'").select(*chunk)}
+    keys = {"header": ["world"], "terrain": ["x", "z"], "surface": ["mx", "mz"], "regions": ["rx", "rz"], "upper_rock": ["x", "z"], "resources": chunk}
+    tile = {"mx": G.to_chunk(F.col("x")), "mz": G.to_chunk(F.col("z"))}
     build = {
+        "header": lambda todo: todo.join(F.broadcast(world_header(w))),  # one row each
         "terrain": lambda todo: w.heights.join(todo, ["x", "z"], "left_semi"),
+        "surface": lambda todo: T.surface_tiles(resolved(w), todo).withColumns(tile),
+        "regions": lambda todo: profiles.join(todo, ["rx", "rz"], "left_semi"),
         "upper_rock": lambda todo: rock.upper_rock(w.voxels, w.registry, w.chunk_cov, todo, 0, SIZE_Y - 1),
+        "resources": lambda todo: ore.y_masks(w.voxels).join(todo, chunk, "left_semi"),
     }
-    keys = {"terrain": ["x", "z"], "upper_rock": ["x", "z"]}
-    rows = [(run, layer, n) for run in (1, 2) for layer, n in T.prepare(wanted, build, path, keys).items()]
-    return w.spark.createDataFrame(rows, "run int, layer string, added long")
+    runs = []
+    for run in (1, 2):
+        added = T.prepare(wanted, build, path, keys)
+        counts = w.spark.createDataFrame([(layer, n) for layer, n in added.items()], "layer string, added long")
+        # as the status stands after this run; the next one writes it anew
+        runs.append(store(T.prepared(w.spark, path, LAYERS).join(counts, "layer").select(F.lit(run).alias("run"), "layer", "added", "complete"), "run")[0])
+    return runs[0].unionByName(runs[1])
 
 
 @plans("p14_load_tile", """
-SELECT mx::INT AS mx, mz::INT AS mz, count(h.x) AS heights, CASE WHEN count(h.x) = 0 THEN 'ABSENT' ELSE 'PRESENT' END AS terrain
-FROM range(0, 3) a(mx), range(0, 3) b(mz) LEFT JOIN heights h ON h.x // 32 = mx AND h.z // 32 = mz AND h.x >= 20 AND h.x < 90 AND h.z < 70
-WHERE mx BETWEEN 20 // 32 AND 89 // 32 AND mz BETWEEN 0 AND 69 // 32 GROUP BY ALL""")
+WITH m AS (SELECT mx::INT AS mx, mz::INT AS mz FROM range(20 // 32, 89 // 32 + 1) a(mx), range(0, 69 // 32 + 1) b(mz)),
+  h AS (SELECT x // 32 AS mx, z // 32 AS mz, count(*) AS n FROM heights GROUP BY ALL),
+  one AS (SELECT 1 AS pass, m.mx, m.mz, CASE WHEN n IS NULL THEN 'ABSENT' WHEN (m.mx + m.mz) % 2 = 1 THEN 'STORED' WHEN m.mx = 1 AND m.mz = 1 THEN 'PRESENT_UNREADABLE' ELSE 'PRESENT_DECODED' END AS source, n FROM m LEFT JOIN h ON h.mx = m.mx AND h.mz = m.mz),
+  both_ AS (SELECT pass, mx, mz, source, CASE source WHEN 'STORED' THEN n WHEN 'PRESENT_DECODED' THEN 1024 ELSE 0 END AS heights FROM one
+    UNION ALL SELECT 2, mx, mz, CASE source WHEN 'PRESENT_DECODED' THEN 'STORED' ELSE source END, CASE source WHEN 'STORED' THEN n WHEN 'PRESENT_DECODED' THEN 1024 ELSE 0 END FROM one)
+SELECT pass, mx, mz, source, heights, CASE WHEN mx = 2 OR (mx, mz) NOT IN (SELECT (x // 32, z // 32) FROM voxels) THEN 0 ELSE 1024 END::BIGINT AS surface, min(heights) OVER (PARTITION BY pass) > 0 AS terrain_complete, false AS surface_complete FROM both_""")
 def p14(w):
-    rect = G.rect_clip(w.spark.range(1).selectExpr("20 AS x0", "90 AS x1", "-5 AS z0", "70 AS z1"), w.size[0], SIZE_Z)
-    stored = w.heights.withColumns({"mx": G.to_chunk(F.col("x")), "mz": G.to_chunk(F.col("z"))})
-    joined = rect.join(stored, ["mx", "mz"], "left")
-    inside = F.col("x").between(F.col("x0"), F.col("x1") - 1) & F.col("z").between(F.col("z0"), F.col("z1") - 1)
-    counted = joined.groupBy("mx", "mz").agg(F.count_if(F.coalesce(inside, F.lit(False))).alias("heights"))
-    return counted.withColumn("terrain", F.when(F.col("heights") == 0, "ABSENT").otherwise("PRESENT"))
+    w.keep_voxels()
+    terrain, surf, at = scratch(w, "terrain"), scratch(w, "surface"), {"mx": G.to_chunk(F.col("x")), "mz": G.to_chunk(F.col("z"))}
+    T.write_terrain(w.heights.withColumns(at).where("(mx + mz) % 2 = 1").select("x", "z", "rain_y", "terrain_y"), terrain)
+    T.write_surface(T.surface_tiles(resolved(w), mapchunks(w).where("mx <> 2")), surf)
+    asked = G.rect_clip(w.spark.range(1).selectExpr("20 AS x0", "90 AS x1", "-5 AS z0", "70 AS z1"), w.size[0], SIZE_Z).select("mx", "mz")
+    passes = [T.load_tile(asked, broken_mapchunks(w), terrain, surf).select(F.lit(n).alias("pass"), "*") for n in (1, 2)]
+    return passes[0].unionByName(passes[1])
+
+
+def stored_circles(w, far: int, near: int, radius: int):
+    """Two circles for each strip of the world, one of which can't be served."""
+    return w.sql(f"SELECT CAST(2 * s + k AS INT) AS circle, CAST(96 * s + IF(k = 1, {far}, {near}) AS INT) AS cx, CAST(IF(k = 1, {far}, 48) AS INT) AS cz, {radius} AS radius FROM :strips, (VALUES (1), (2)) AS t(k)")
+
+
+def circles_sql(far: int, near: int, radius: int, stored: str) -> str:
+    return f"""circles AS (SELECT (2 * s + k)::INT AS circle, 96 * s + CASE k WHEN 1 THEN {far} ELSE {near} END AS cx, CASE k WHEN 1 THEN {far} ELSE 48 END AS cz FROM (SELECT unnest(range(0, scale)) AS s FROM extent) strip, (VALUES (1), (2)) t(k)),
+  disc AS (SELECT circle, (cx + i)::INT AS x, (cz + j)::INT AS z FROM circles, range(-{radius}, {radius} + 1) a(i), range(-{radius}, {radius} + 1) b(j) WHERE i * i + j * j <= {radius * radius}),
+  held AS (SELECT d.*, s.* EXCLUDE (x, z), s.x IS NOT NULL AS there FROM disc d LEFT JOIN {stored} s ON s.x = d.x AND s.z = d.z),
+  gate AS (SELECT circle, bool_and(there AND x BETWEEN 0 AND 96 * scale - 1 AND z BETWEEN 0 AND 95) AS served FROM held, extent GROUP BY circle)"""
+
+
+@plans("p15_rock_map_stored", f"""
+WITH {rock_sql(0, 127)}, {circles_sql(45, 5, 20, 'rock')}
+SELECT circle, served, x, z, state, rock_id, rock_code, y FROM held JOIN gate USING (circle) WHERE served UNION ALL SELECT circle, served, NULL, NULL, NULL, NULL, NULL, NULL FROM gate WHERE NOT served""")
+def p15(w):
+    path, size = scratch(w, "rock"), (w.size[0], SIZE_Z)
+    T.write_upper_rock(upper(w).withColumns({"size_x": F.lit(size[0]), "size_z": F.lit(size[1])}), path)
+    stored = w.spark.read.parquet(path).drop("rx", "rz")
+    return stored_columns(stored, stored_circles(w, 45, 5, 20), *size).select("circle", "served", "x", "z", "state", "rock_id", "rock_code", "y")
+
+
+@plans("p16_surface_stored", f"""
+WITH {SURFACE}, {TILES}, stored AS (SELECT t.x, t.z, class FROM tiles t LEFT JOIN surf s ON s.x = t.x AND s.z = t.z WHERE NOT (t.x // 32 % 3 = 2 AND t.z // 32 = 2)), {circles_sql(30, 48, 28, 'stored')}
+SELECT circle, served, x, z, class FROM held JOIN gate USING (circle) WHERE served UNION ALL SELECT circle, served, NULL, NULL, NULL FROM gate WHERE NOT served""")
+def p16(w):
+    path, size = scratch(w, "surface"), (w.size[0], SIZE_Z)
+    tiles_ = T.surface_tiles(resolved(w), mapchunks(w).where("NOT (mx % 3 = 2 AND mz = 2)"))
+    T.write_surface(tiles_.withColumns({"size_x": F.lit(size[0]), "size_z": F.lit(size[1])}), path)
+    stored = w.spark.read.parquet(path).drop("rx", "rz")
+    return stored_columns(stored, stored_circles(w, 30, 48, 28), *size).select("circle", "served", "x", "z", "class")
 
 
 # -- tiles

@@ -10,6 +10,7 @@ from ..operators import components as K
 from ..operators import objects as O
 from ..operators import ore, prospecting, regions, rock, surface
 from ..operators.dims import small
+from ..sources import decode, encode
 from .base import Plans
 from .scalars import LABELS_SQL, FOREST_SQL, OBJECT_SQL, PATH_SQL, SOIL_SQL, SURFACE_CODE_SQL, SURFACE_SQL
 from .worldviews import COLUMNS_X, MAPCHUNKS_X, SIZE_Y, SIZE_Z, for_oracle
@@ -125,10 +126,21 @@ def s8(w):
     return ore.chunk_visits(positions(w), ore.chunk_table(w.voxels), w.chunk_cov, w.registry.where("block_id = 8"))
 
 
-@plans("s9_world_header", "SELECT count(DISTINCT v.block_id) AS blocks, count(DISTINCT r.code) AS registered, max(x) AS max_x, max(y) AS max_y, max(z) AS max_z FROM voxels v LEFT JOIN registry r ON v.block_id = r.block_id")
+HEADER = "SELECT 96 * scale AS size_x, 128 AS size_y, 96 AS size_z, (SELECT count(*) FROM registry) AS registered, (SELECT min(c_name || '/' || c_custkey) FROM customer) AS player, arg_min((c_custkey % (96 * scale))::INT, c_name || '/' || c_custkey) AS player_x, arg_min((c_custkey % 96)::INT, c_name || '/' || c_custkey) AS player_z FROM customer, extent GROUP BY scale"
+
+
+def players(w):
+    return w.sql("SELECT concat(c_name, '/', c_custkey) AS record, CAST(c_custkey % (96 * :scale) AS INT) AS x, CAST(c_custkey % 96 AS INT) AS z FROM {customer}")
+
+
+def world_header(w):
+    raw = encode.raw_registry(w.registry, w.size)
+    return decode.world_header(decode.decode_world_meta(raw), decode.decode_registry(raw), players(w))
+
+
+@plans("s9_world_header", HEADER)
 def s9(w):
-    j = w.voxels.join(small(w.registry), "block_id", "left")
-    return j.agg(F.countDistinct("block_id").alias("blocks"), F.countDistinct("code").alias("registered"), *[F.max(c).alias(f"max_{c}") for c in "xyz"])
+    return world_header(w)
 
 
 # -- joins
@@ -292,9 +304,15 @@ def a6(w):
     return surface.surface_top(w.voxels, w.registry, w.liquids)
 
 
-@plans("a7_surface_diagnostics", f"WITH {classed_sql()} SELECT count(*) AS columns, count(*) FILTER (wet) AS water_columns, sum(unknown)::BIGINT AS unknown_blocks FROM (SELECT x, z, bool_or(class = 'WATER') AS wet, count(*) FILTER (code IS NULL) AS unknown FROM classed GROUP BY x, z)")
+SHOWN = "shown AS (SELECT s.*, coalesce(r.code, 'unknown:' || s.block_id) AS code FROM surf s LEFT JOIN registry r ON r.block_id = s.block_id)"
+
+
+@plans("a7_surface_diagnostics", f"""
+WITH {SURFACE}, {SHOWN} SELECT (SELECT count(*) FROM chunk_cov WHERE status = 'AVAILABLE' AND (cx, cz) IN (SELECT (x // 32, z // 32) FROM asked)) AS chunks_scanned,
+  (SELECT count(*) FROM asked) AS columns_scanned, (SELECT count(*) FROM asked) - count(*) AS empty_columns, (SELECT count(*) FROM asked WHERE x // 32 = 0 AND z // 32 = 2) AS liquid_unavailable_columns,
+  count(*) FILTER (class = 'WATER') AS water_columns, count(*) FILTER (class = 'UNKNOWN') AS unknown_blocks, count(DISTINCT code) FILTER (class = 'UNKNOWN') AS unknown_codes, count(DISTINCT code) AS codes FROM shown""")
 def a7(w):
-    return surface.surface_diagnostics(surface.classified(w.voxels, w.registry, w.liquids))
+    return surface.surface_diagnostics(w.voxels, resolved(w), w.registry, w.chunk_cov, no_liquids(w))
 
 
 @plans("a8_climate_summary", f"WITH {INNER} SELECT rx, rz, count(*) AS cells, avg((raw >> 16) & 255) AS temperature, avg((raw >> 8) & 255) AS rain FROM inn WHERE layer = 'climate' GROUP BY rx, rz")
@@ -427,16 +445,25 @@ def a23(w):
     return ore.ore_block_catalog(w.registry).join(w.voxels.groupBy("block_id").agg(F.count(F.lit(1)).alias("n")), "block_id")
 
 
-@plans("a24_layer_completeness", """
+@plans("a24_layer_completeness", f"""
+WITH {rock_sql(0, 127)}, {SURFACE.replace(AVAIL + ', ', '')}, m AS (SELECT DISTINCT x // 32 AS mx, z // 32 AS mz FROM voxels)
 SELECT layer, done, CASE WHEN bool_and(done) OVER () THEN 'READY' WHEN bool_or(done) OVER () THEN 'PARTIAL' ELSE 'NOT_PREPARED' END AS revision FROM (
-  SELECT 'terrain' AS layer, count(*) FILTER (h.x IS NULL) = 0 AS done FROM (SELECT DISTINCT x, z FROM voxels) v LEFT JOIN heights h ON v.x = h.x AND v.z = h.z
-  UNION ALL SELECT 'chunks', count(*) FILTER (status <> 'AVAILABLE') = 0 FROM chunk_cov UNION ALL SELECT 'regions', count(*) > 0 FROM regions)""")
+  SELECT 'mapchunk_catalog' AS layer, count(*) = 0 AS done FROM m WHERE (mx, mz) NOT IN (SELECT (cx, cz) FROM arrivals)
+  UNION ALL SELECT 'terrain', count(*) = 0 FROM asked WHERE (x, z) NOT IN (SELECT (x, z) FROM heights)
+  UNION ALL SELECT 'surface', count(*) = 0 FROM asked WHERE (x, z) NOT IN (SELECT (x, z) FROM surf)
+  UNION ALL SELECT 'regions', count(*) > 0 FROM regions
+  UNION ALL SELECT 'upper_rock', count(*) = 0 FROM rock WHERE state = 'UNAVAILABLE'
+  UNION ALL SELECT 'resources', count(*) = 0 FROM chunk_cov WHERE status <> 'AVAILABLE')""")
 def a24(w):
-    from ..operators.tables import layer_completeness
+    from ..operators.tables import layer_completeness, missing_only
 
+    w.keep_voxels()
+    columns = w.voxels.select("x", "z").distinct()
+    mapchunks = columns.select(G.to_chunk(F.col("x")).alias("cx"), G.to_chunk(F.col("z")).alias("cz")).distinct()
     return layer_completeness({
-        "terrain": w.voxels.select("x", "z").distinct().join(w.heights, ["x", "z"], "left_anti"),
-        "chunks": w.chunk_cov.where("status <> 'AVAILABLE'"), "regions": w.regions.agg(F.count(F.lit(1)).alias("n")).where("n = 0")})
+        "mapchunk_catalog": missing_only(mapchunks, w.arrivals, ["cx", "cz"]), "terrain": missing_only(columns, w.heights, ["x", "z"]),
+        "surface": missing_only(columns, resolved(w), ["x", "z"]), "regions": w.regions.agg(F.count(F.lit(1)).alias("n")).where("n = 0"),
+        "upper_rock": upper(w).where("state = 'UNAVAILABLE'"), "resources": w.chunk_cov.where("status <> 'AVAILABLE'")})
 
 
 @plans("a25_fallback_diagnostics", f"WITH {classed_sql()} SELECT x // 32 AS mx, z // 32 AS mz, count(*) AS considered, count(*) FILTER (g) AS resolved, count(*) FILTER (x // 32 = 0 AND z // 32 = 2) AS liquid_missing FROM (SELECT x, z, bool_or(ground) AS g FROM classed GROUP BY x, z) GROUP BY ALL")
@@ -465,9 +492,9 @@ def w2(w):
     return regions.first_values(inner(w), "climate").select("rx", "rz", F.array_join(F.col("first_raw").cast("array<string>"), ",").alias("first_raw"))
 
 
-@plans("w3_top_unknown_codes", f"WITH {classed_sql()} SELECT coalesce(code, 'unknown:' || block_id) AS code, count(*) AS blocks FROM classed WHERE class = 'UNKNOWN' GROUP BY 1 ORDER BY blocks DESC, code LIMIT 3")
+@plans("w3_top_unknown_codes", f"WITH {SURFACE}, {SHOWN} SELECT code, count(*) AS blocks FROM shown WHERE class = 'UNKNOWN' GROUP BY 1 ORDER BY blocks DESC, code LIMIT 3")
 def w3(w):
-    return surface.unknown_codes(surface.classified(w.voxels, w.registry, w.liquids), 3)
+    return surface.unknown_codes(resolved(w), w.registry, 3)
 
 
 ORDERED = f"{DEPOSITS}, ordered AS (SELECT *, row_number() OVER (ORDER BY cells DESC, mean_x, mean_z, component) AS place, row_number() OVER (ORDER BY cells DESC, mean_x, mean_z, component) <= 20 AS marked, CASE WHEN cells >= 100 THEN 'LARGE' WHEN cells >= 25 THEN 'MEDIUM' ELSE 'SMALL' END AS band FROM dep)"
@@ -485,7 +512,7 @@ def w6(w):
 
 @plans("w7_default_player", "SELECT min(c_name || '/' || c_custkey) AS record FROM customer")
 def w7(w):
-    return w.table("customer").agg(F.min(F.concat("c_name", F.lit("/"), F.col("c_custkey").cast("string"))).alias("record"))
+    return decode.default_player(players(w)).select("record")
 
 
 @plans("u1_distinct_coords", "SELECT DISTINCT cx, cy, cz FROM arrivals")
@@ -609,10 +636,19 @@ EVIDENCE = f"""{rock_sql(0, 127)}, {HOST_PAIRS}, {COMPAT_SQL}, {OBSERVED.replace
     WHEN signal > 0 OR compatibility = 'COMPATIBLE' THEN 'INTERESTING' ELSE 'UNKNOWN' END AS rank FROM ev)"""
 
 
-@plans("p10_prospecting", f"WITH {EVIDENCE} SELECT request_id, resource, observation, signal, compatibility, geology, observed, no_rock, unavailable, rank FROM ranked")
+REASONS = """array_to_string(list_filter([
+  CASE WHEN observation = 'OBSERVED' THEN 'actual saved ore block observed' WHEN geology = 'UNAVAILABLE' THEN 'observed geology is unavailable'
+    WHEN signal > 0 AND compatibility = 'COMPATIBLE' THEN 'positive worldgen signal has compatible observed geology' WHEN signal > 0 AND compatibility = 'INCOMPATIBLE' THEN 'positive worldgen signal has incompatible observed geology'
+    WHEN signal > 0 THEN 'positive worldgen signal is present' WHEN compatibility = 'COMPATIBLE' THEN 'compatible observed geology is present' ELSE 'no positive supporting evidence is available' END,
+  coalesce('worldgen signal=' || signal::VARCHAR, 'worldgen signal unavailable'), 'observed geology=' || geology, 'geology coverage: observed=' || observed || ', no-rock=' || no_rock || ', unavailable=' || unavailable,
+  CASE WHEN unavailable > 0 AND observed + no_rock > 0 THEN 'observed geology coverage is partial' END, 'host compatibility=' || compatibility,
+  CASE observation WHEN 'NOT_OBSERVED' THEN 'actual ore scan completed without an observation' WHEN 'UNAVAILABLE' THEN 'actual ore observation is unavailable' END], lambda v: v IS NOT NULL), '; ')"""
+
+
+@plans("p10_prospecting", f"WITH {EVIDENCE} SELECT request_id, resource, observation, signal, compatibility, geology, observed, no_rock, unavailable, rank, {REASONS} AS reasons FROM ranked")
 def p10(w):
     out = prospecting.prospecting(w.requests, w.voxels, w.registry, w.chunk_cov, ore_signals(w), w.compat, w.size)
-    return out.select("request_id", "resource", "observation", "signal", "compatibility", "geology", "observed", "no_rock", "unavailable", "rank")
+    return out.select("request_id", "resource", "observation", "signal", "compatibility", "geology", "observed", "no_rock", "unavailable", "rank", F.array_join("reasons", "; ").alias("reasons"))
 
 
 @plans("w5_assessment_order", f"WITH {EVIDENCE} SELECT request_id, resource, rank, row_number() OVER (PARTITION BY request_id ORDER BY list_position(['CONFIRMED', 'STRONG', 'INTERESTING', 'WEAK', 'UNKNOWN'], rank), resource) AS place FROM ranked")
@@ -620,25 +656,10 @@ def w5(w):
     return prospecting.prospecting(w.requests, w.voxels, w.registry, w.chunk_cov, ore_signals(w), w.compat, w.size).select("request_id", "resource", "rank", "place")
 
 
-@plans("p11_world_overview", f"WITH {INNER} SELECT (SELECT count(*) FROM voxels) AS voxels, (SELECT count(*) FROM registry) AS registered, (SELECT count(DISTINCT layer) FROM inn WHERE layer LIKE 'ore:%') AS keys, (SELECT count(*) FROM regions) AS regions")
+@plans("p11_world_overview", f"WITH {INNER}, header AS ({HEADER}) SELECT header.*, (SELECT array_to_string(list_sort(list(DISTINCT substr(layer, 5))), ',') FROM inn WHERE layer LIKE 'ore:%') AS keys FROM header")
 def p11(w):
-    one = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
-    parts = [one(w.voxels, "voxels"), one(w.registry, "registered"), one(regions.resource_keys(inner(w)), "keys"), one(w.regions, "regions")]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.crossJoin(p)  # one row each
-    return out
-
-
-@plans("p15_rock_map_stored", f"WITH {rock_sql(0, 127)} SELECT rock.* FROM rock WHERE (x - 40)**2 + (z - 50)**2 <= 400")
-def p15(w):
-    cells = G.circle_cells(w.spark.range(1).selectExpr("40 AS cx", "50 AS cz", "20 AS radius"))
-    return rock.stored_rock_map(upper(w), cells, w.size[0], SIZE_Z)
-
-
-@plans("p16_surface_stored", f"WITH {SURFACE} SELECT * FROM surf WHERE (x - 48)**2 + (z - 48)**2 <= 900")
-def p16(w):
-    return resolved(w).where(G.in_circle(F.col("x"), F.col("z"), F.lit(48), F.lit(48), F.lit(30)))
+    keys = regions.resource_keys(inner(w)).agg(F.array_join(F.array_sort(F.collect_set("resource")), ",").alias("keys"))
+    return world_header(w).join(F.broadcast(keys))  # one row each
 
 
 PROBES = "SELECT c_custkey, CAST(c_custkey % (96 * :scale + 14) AS INT) AS x, CAST(c_custkey * 7 % 110 AS INT) AS z FROM {customer}"

@@ -7,7 +7,7 @@ value and an error text.
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
@@ -111,12 +111,13 @@ def decode_region(raw: DataFrame) -> DataFrame:
 
 def map_cells(regions: DataFrame) -> DataFrame:
     """Decoded regions (rx, rz, ..) as cells (rx, rz, layer, lx, lz, raw), the
-    form of the region operators; layers of an error are absent."""
+    form of the region operators, with each map's own size, pad_low and pad_high for
+    inner_cells(); layers of an error are absent."""
     named = [F.struct(F.lit(n).alias("layer"), F.col(n).alias("m")) for n in ("landform", "forest", "climate", "province", "ocean")]
     ores = F.transform(F.map_entries("ores"), lambda e: F.struct(F.concat(F.lit("ore:"), e["key"]).alias("layer"), e["value"].alias("m")))
     layers = regions.where("error IS NULL").select("rx", "rz", F.explode(F.concat(F.array(*named), ores)).alias("l")).where("l.m IS NOT NULL")
-    cells = layers.select("rx", "rz", "l.layer", F.col("l.m.size").alias("size"), F.posexplode("l.m.data").alias("i", "raw"))
-    return cells.select("rx", "rz", "layer", F.expr("i % size").cast("int").alias("lx"), F.expr("i div size").cast("int").alias("lz"), "raw")
+    cells = layers.select("rx", "rz", "l.layer", "l.m.size", "l.m.pad_low", "l.m.pad_high", F.posexplode("l.m.data").alias("i", "raw"))
+    return cells.select("rx", "rz", "layer", F.expr("i % size").cast("int").alias("lx"), F.expr("i div size").cast("int").alias("lz"), "raw", "size", "pad_low", "pad_high")
 
 
 def decode_chunk(raw: DataFrame) -> DataFrame:
@@ -197,12 +198,39 @@ def decode_world_meta(raw: DataFrame) -> DataFrame:
     return _rows(raw, one, "size_x int, size_y int, size_z int")
 
 
-def read_diagnostics(rows: DataFrame, limit: int = 10) -> DataFrame:
-    """status, reason, n of decoded rows (status, error): the most frequent
-    reasons of each status, ties by text; a blank reason is unspecified."""
-    reason = F.when(F.trim(F.coalesce("error", F.lit(""))) == "", "unspecified").otherwise(F.trim("error"))
-    counts = rows.where("status <> 'READ' OR error IS NOT NULL").groupBy("status", reason.alias("reason")).agg(F.count(F.lit(1)).alias("n"))
-    return counts.orderBy(F.desc("n"), "reason", "status").limit(limit)
+def default_player(records: DataFrame) -> DataFrame:
+    """The record (record, x, z) whose text is the smallest; no row without one."""
+    first = records.agg(F.min(F.struct("record", "x", "z")).alias("p"))
+    return first.where("p IS NOT NULL").select("p.*")
+
+
+def world_header(meta: DataFrame, registry: DataFrame, players: DataFrame) -> DataFrame:
+    """One row: the world's size, the number of registered codes and the default
+    player with its position, null where there is none. An unreadable size is no
+    row, a missing player is no failure."""
+    player = players.agg(F.min(F.struct("record", "x", "z")).alias("p")).select(F.col("p.record").alias("player"), F.col("p.x").alias("player_x"), F.col("p.z").alias("player_z"))
+    codes = registry.agg(F.count(F.lit(1)).alias("registered"))
+    return meta.where("error IS NULL").drop("error").join(F.broadcast(codes)).join(F.broadcast(player))  # one row each
+
+
+def read_diagnostics(rows: DataFrame, limit: int = 10, samples: int = 10) -> DataFrame:
+    """kind, reason, n of read rows (id, status, error, liquid_error): one row
+    PARSED with all that were read, the most frequent reasons of SKIPPED (IGNORED)
+    and FAILED rows, ties by text, the number of LIQUID failures, and LIQUID_SAMPLE
+    rows for the first of them by id. A blank reason is unspecified."""
+    text = lambda c: F.when(F.trim(F.coalesce(c, F.lit(""))) == "", "unspecified").otherwise(F.trim(c))
+    parsed = (F.col("status") == "READ") & F.col("error").isNull()
+    kind = F.when(F.col("status") == "IGNORED", "SKIPPED").otherwise("FAILED")
+    none = F.lit(None).cast("string")
+    count = F.count(F.lit(1)).alias("n")
+    good = rows.where(parsed).agg(count).select(F.lit("PARSED").alias("kind"), none.alias("reason"), "n")
+    bad = rows.where(~parsed).groupBy(kind.alias("kind"), text(F.col("error")).alias("reason")).agg(count)
+    place = F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("n"), "reason"))
+    bad = bad.withColumn("place", place).where(F.col("place") <= limit).drop("place")
+    wet = rows.where(parsed & F.col("liquid_error").isNotNull())
+    total = wet.agg(count).select(F.lit("LIQUID").alias("kind"), none.alias("reason"), "n")
+    first = wet.orderBy("id").limit(samples).select(F.lit("LIQUID_SAMPLE").alias("kind"), F.concat(F.lit("liquid decode failed: "), text(F.col("liquid_error"))).alias("reason"), F.lit(1).cast("long").alias("n"))
+    return good.unionByName(bad).unionByName(total).unionByName(first)
 
 
 def mapchunk_status(requested: DataFrame, raw: DataFrame) -> DataFrame:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..operators.graph import drop, store
 from ..operators.tables import missing_only, require_unique
+from . import decode
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -37,6 +41,14 @@ def write_surface(surface: DataFrame, path: str, columns: int = 1024) -> None:
     publish(with_region(surface), path, ["rx", "rz"])
 
 
+def surface_tiles(surface: DataFrame, mapchunks: DataFrame) -> DataFrame:
+    """All 1,024 columns (x, z) of each mapchunk (mx, mz) with their surface class,
+    null where a column has none: what a stored tile holds."""
+    local = lambda m: F.explode(F.sequence(F.col(m) * G.CHUNK, F.col(m) * G.CHUNK + G.CHUNK - 1))
+    grid = mapchunks.select("mx", "mz").distinct().withColumn("x", local("mx")).select("x", local("mz").alias("z"))
+    return grid.join(surface.select("x", "z", "class"), ["x", "z"], "left")
+
+
 def write_upper_rock(columns: DataFrame, path: str) -> None:
     publish(with_region(columns), path, ["rx", "rz"])
 
@@ -67,22 +79,64 @@ def write_catalog(observed: DataFrame, path: str, keys: list[str], complete: boo
         spark.range(1).select(F.lit(True).alias("complete")).write.mode("overwrite").parquet(f"{path}/complete")
 
 
-def prepare(wanted: dict[str, DataFrame], build: dict, path: str, keys: dict[str, list[str]]) -> dict[str, int]:
+def load_tile(asked: DataFrame, raw: DataFrame, terrain_path: str, surface_path: str) -> DataFrame:
+    """mx, mz, source, heights, surface, terrain_complete, surface_complete of the
+    mapchunks (mx, mz) that a tile asks for.
+
+    What is stored is taken from there (STORED). The other mapchunks are looked up
+    in raw (position, data): PRESENT_DECODED ones are stored for the next time,
+    PRESENT_UNREADABLE and ABSENT ones have no heights. A surface is only taken from
+    its store. The complete flags say whether every mapchunk has what it needs.
+    """
+    spark, keys = asked.sparkSession, ["mx", "mz"]
+    at = [G.to_chunk(F.col("x")).alias("mx"), G.to_chunk(F.col("z")).alias("mz")]
+
+    def stored(path: str, name: str) -> DataFrame:
+        if not exists(spark, path):
+            return spark.createDataFrame([], f"mx int, mz int, {name} long")
+        return spark.read.parquet(path).groupBy(*at).agg(F.count(F.lit(1)).alias(name))
+
+    asked = asked.select(*keys).distinct()
+    hits, _ = store(asked.join(stored(terrain_path, "heights"), keys), "hits")  # before anything is added
+    surfaces = asked.join(stored(surface_path, "surface"), keys)
+    found, _ = store(decode.mapchunk_status(asked.join(hits, keys, "left_anti"), raw), "found")
+    index = F.posexplode(F.arrays_zip(F.coalesce("rain", "terrain").alias("rain"), F.coalesce("terrain", "rain").alias("terrain"))).alias("i", "h")
+    new = found.where("read_status = 'PRESENT_DECODED'").select(*keys, index)
+    place = lambda m, i: (F.col(m) * G.CHUNK + i).cast("int")
+    tiles = new.select(place("mx", F.col("i") % G.CHUNK).alias("x"), place("mz", F.floor(F.col("i") / G.CHUNK)).alias("z"), F.col("h.rain").alias("rain_y"), F.col("h.terrain").alias("terrain_y"))
+    with_region(tiles).write.mode("append").partitionBy("rx", "rz").parquet(terrain_path)
+    read = found.select(*keys, F.col("read_status").alias("source"), F.when(F.col("read_status") == "PRESENT_DECODED", 1024).otherwise(0).cast("long").alias("heights"))
+    rows = hits.select(*keys, F.lit("STORED").alias("source"), "heights").unionByName(read)
+    rows = rows.join(surfaces, keys, "left").withColumn("surface", F.coalesce("surface", F.lit(0)))
+    whole = rows.agg(F.min(F.col("heights") > 0).alias("terrain_complete"), F.min(F.col("surface") > 0).alias("surface_complete"))
+    return rows.join(F.broadcast(whole))  # one row
+
+
+def prepare(wanted: dict[str, DataFrame], build: dict, path: str, keys: dict[str, list[str]], stop=None) -> dict[str, int]:
     """Bring derived layers up to date: for each layer, in order, build(missing
     keys) makes the rows of the wanted keys not stored yet; they are appended,
     then the layer's status row is written. Returns the rows added; a second run
-    adds none."""
+    adds none. stop(layer), asked before each layer, ends the run; what is stored,
+    of this layer and later ones too, stays as it was."""
     added = {}
     for layer, want in wanted.items():
+        if stop is not None and stop(layer):
+            break
         spark, where, k = want.sparkSession, f"{path}/{layer}", keys[layer]
-        todo = want.select(*k).distinct()
+        todo, before = want.select(*k).distinct(), 0
         if exists(spark, where):
+            before = spark.read.parquet(where).count()
             todo = missing_only(todo, spark.read.parquet(where), k)
-        rows = build[layer](todo)
-        n = 0
+        todo, todo_path = store(todo, "todo")
         if not todo.isEmpty():
-            rows.write.mode("append").parquet(where)
-            n = rows.count()
+            build[layer](todo).write.mode("append").parquet(where)
+        drop(spark, todo_path)
         spark.range(1).select(F.lit(layer).alias("layer"), F.lit(True).alias("complete")).write.mode("overwrite").parquet(f"{path}/status/{layer}")
-        added[layer] = n
+        added[layer] = (spark.read.parquet(where).count() if exists(spark, where) else 0) - before
     return added
+
+
+def prepared(spark: SparkSession, path: str, layers) -> DataFrame:
+    """layer, complete of each layer, from the status rows stored so far."""
+    rows = [spark.read.parquet(f"{path}/status/{n}") if exists(spark, f"{path}/status/{n}") else spark.range(1).select(F.lit(n).alias("layer"), F.lit(False).alias("complete")) for n in layers]
+    return reduce(DataFrame.unionByName, rows)
