@@ -34,8 +34,9 @@ STEPS = 60
 DECAY = 1e-4
 #: Bytes of a very long text that are scored at once.
 BLOCK = 1 << 18
-#: Different words whose n-grams are made at once in training.
-PART = 20_000
+#: Different words whose n-grams training holds in one part, and groups that are
+#: summed at once: both bound temporaries.
+PART, GROUPS = 10_000, 1 << 14
 
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -128,15 +129,18 @@ class _Sums:
 
     @classmethod
     def of(cls, group: np.ndarray, place: np.ndarray, size: int) -> _Sums:
-        order = np.argsort(group, kind="stable")
-        group = group[order]
-        starts = np.flatnonzero(np.diff(group, prepend=-1))
-        return cls(place[order].astype(np.int32), starts, group[starts], size)
+        if len(group) and (np.diff(group) < 0).any():
+            order = np.argsort(group, kind="stable").astype(np.int32)
+            group, place = group[order], place[order]
+        starts = np.flatnonzero(np.diff(group, prepend=-1)).astype(np.int32)
+        return cls(place.astype(np.int32, copy=False), starts, group[starts], size)
 
     def __call__(self, values: np.ndarray) -> np.ndarray:
-        out = np.zeros(self.size)
-        if len(self.starts):
-            out[self.groups] = np.add.reduceat(values[self.places], self.starts)
+        out, n = np.zeros(self.size), len(self.places)
+        for a in range(0, len(self.starts), GROUPS):  # a slice at a time, which bounds the temporaries
+            starts = self.starts[a : a + GROUPS]
+            end = self.starts[a + GROUPS] if a + GROUPS < len(self.starts) else n
+            out[self.groups[a : a + GROUPS]] = np.add.reduceat(values[self.places[starts[0] : end]], starts - starts[0])
         return out
 
 
@@ -152,12 +156,15 @@ def windows(doc_words: list[np.ndarray], n_words: int) -> tuple[np.ndarray, np.n
                     key = key * (n_words + 1) + words[j : len(words) - w + 1 + j] + 1
                 keys.append(np.unique(key))
                 docs.append(np.full(len(keys[-1]), i, np.int32))
-    found, window = np.unique(np.concatenate(keys), return_inverse=True)
+    keys = np.concatenate(keys)
+    found = np.unique(keys)
+    window = np.searchsorted(found, keys).astype(np.int32)
+    del keys
     columns = []
     for _ in range(max(WIDTHS)):
         columns.append((found % (n_words + 1)).astype(np.int32))
         found = found // (n_words + 1)
-    return np.stack(columns[::-1], axis=1), np.concatenate(docs), window.astype(np.int32)
+    return np.stack(columns[::-1], axis=1), np.concatenate(docs), window
 
 
 def fit(texts: list[str], labels: list[int], steps: int = STEPS, seed: int = 7) -> Model:
@@ -180,34 +187,35 @@ def fit(texts: list[str], labels: list[int], steps: int = STEPS, seed: int = 7)
     if not some.any() or y[some].min() == y[some].max():
         return Model(np.zeros_like(vectors), np.zeros_like(softmax), 50.0 if len(y) and y.min() > 0 else -50.0)
     y, doc_words = y[some], [d for d in doc_words if len(d)]
-    listed, n_words, buckets, words = list(known), len(known), [], []
+    listed, n_words, parts = list(known), len(known), []
     for at in range(0, n_words, PART):
-        bucket, word, _ = word_grams(b" ".join(listed[at : at + PART]).decode("utf-8", "surrogatepass"))
-        buckets.append(bucket.astype(np.int32))
-        words.append((word + at).astype(np.int32))
-    bucket, word = np.concatenate(buckets), np.concatenate(words)
-    del known, listed, buckets, words
-    grams_of = np.maximum(np.bincount(word, minlength=n_words), 1)
+        some_words = listed[at : at + PART]
+        bucket, word, _ = word_grams(b" ".join(some_words).decode("utf-8", "surrogatepass"))
+        bucket, word = bucket.astype(np.int32), word.astype(np.int32)
+        grams_of = np.maximum(np.bincount(word, minlength=len(some_words)), 1)
+        parts.append((slice(at, at + len(some_words)), _Sums.of(word, bucket, len(some_words)), _Sums.of(bucket, word, BUCKETS), grams_of))
+    del known, listed, bucket, word
     members, doc, window = windows(doc_words, n_words)
     del doc_words
     width = (members > 0).sum(axis=1)
-    by_word, by_bucket = _Sums.of(word, bucket, n_words), _Sums.of(bucket, word, BUCKETS)
     by_doc, by_window = _Sums.of(doc, window, len(y)), _Sums.of(window, doc, len(members))
     held = members > 0
     of_word = _Sums.of(members[held] - 1, np.nonzero(held)[0], n_words)
-    del bucket, word, doc, window, held
+    del doc, window, held
     bias, share = -6.0, np.where(y == 1, 0.25 / max(1, (y == 1).sum()), 0.75 / max(1, (y == 0).sum()))
     state = [[np.zeros_like(p), np.zeros_like(p)] for p in (vectors, softmax, np.zeros(1))]
     for step in range(1, steps + 1):
         weight = softmax[:, 1] - softmax[:, 0]
-        scores = np.concatenate([[0.0], by_word(vectors @ weight) / grams_of])
+        grams = vectors @ weight
+        scores = np.concatenate([[0.0], *(by_word(grams) / n for _, by_word, _, n in parts)])
         z = sum(scores[c] for c in members.T) / width + bias
         odds = np.maximum(z, 0) + np.log1p(np.exp(-np.abs(z)))
         total = by_doc(odds)  # a document's -log P(clean), summed over its windows
         # d loss / d total: the clean ones pay total, the toxic ones -log(1 - e^-total)
         slope = np.where(y == 1, -1 / np.expm1(np.clip(total, 1e-9, 50)), 1.0) * share
         dz = by_window(slope) * -np.expm1(-odds)
-        dgram = by_bucket(of_word(dz / width) / grams_of)
+        dword = of_word(dz / width)
+        dgram = sum(by_bucket(dword[at] / n) for at, _, by_bucket, n in parts)
         dweight = vectors.T @ dgram
         grads = (np.outer(dgram, weight) + DECAY * vectors, np.stack([-dweight, dweight], 1) + DECAY * softmax, np.array([dz.sum()]))
         params = [vectors, softmax, np.array([bias])]
@@ -224,10 +232,9 @@ def held_out():
     return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(5)) == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, chars: int = SAMPLE_CHARS) -> Model:
-    """A model from the labelled rows of docs that are not held out.
-
-    Reads sample documents of each class at most, and texts of so many characters
+def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, chars: int = SAMPLE_CHARS) -> DataFrame:
+    """(doc_id, text, toxic) of the labelled rows of docs that are learned from, none
+    of them held out: sample documents of each class at most, and texts of so many characters
     in all, whatever repeats or however long they are. Labels other than 0 and 1,
     null identifiers and identifiers with both labels are left out; of texts that
     repeat an identifier the first by code points is read.
@@ -245,8 +252,23 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, chars: int =
     rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").cast("int").alias("toxic"))
     # one row for each chosen document, so one task may add up their lengths
     so_far = F.sum(F.length("text")).over(Window.orderBy(key, "doc_id"))
-    rows = rows.withColumn("so_far", so_far).where(F.col("so_far") <= chars).orderBy("doc_id").select("text", "toxic").toPandas()
-    return fit(rows["text"].tolist(), rows["toxic"].tolist())
+    return rows.withColumn("so_far", so_far).where(F.col("so_far") <= chars).select("doc_id", "text", "toxic")
+
+
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, chars: int = SAMPLE_CHARS) -> Model:
+    """A model from training_rows(). One task trains it, as their bound allows, and
+    sends the parameters; if its executor is lost, Spark runs it again."""
+
+    def learn(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("doc_id")
+        model = fit(rows["text"].tolist(), rows["toxic"].tolist())
+        return pd.DataFrame({"vectors": [model.vectors.astype("<f4").tobytes()], "softmax": [model.softmax.astype("<f8").tobytes()], "bias": [model.bias]})
+
+    trained = training_rows(docs, labels, sample, chars).groupBy(F.lit(0)).applyInPandas(learn, "vectors binary, softmax binary, bias double").first()
+    if trained is None:
+        return fit([], [])
+    vectors, softmax = np.frombuffer(trained.vectors, "<f4"), np.frombuffer(trained.softmax, "<f8")
+    return Model(vectors.reshape(BUCKETS, DIMENSIONS), softmax.reshape(DIMENSIONS, 2), trained.bias)
 
 
 def score_column(docs: DataFrame, model: Model, text: str = "text"):

@@ -46,17 +46,16 @@ def test_toxicity_learns_misspellings_and_ignores_length():
     assert blank("blockhead") < 0.5 and toxicity.fit(["a"], [1]).scorer()("x") >= 0.5
 
 
-def test_training_reads_no_more_than_its_bounds(spark, documents, monkeypatch):
-    seen = []
-    monkeypatch.setattr(toxicity, "fit", lambda texts, labels: seen.append((sorted(texts), sorted(labels))))
+def test_training_reads_no_more_than_its_bounds(spark, documents):
     ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % 5]
     labels = spark.createDataFrame([(i, 1, i % 2) for i in ids] + [(ids[0], 1, ids[0] % 2)], "doc_id long, quality int, toxic int")
-    rows = [(i, f"text {i:03}") for i in ids] + [(ids[0], "other")] * 50 + [(ids[1], "x" * 5000)] * 3 + [(ids[2], None)]
-    toxicity.train(documents(rows), labels)
-    toxicity.train(documents(rows), labels, sample=20)
-    toxicity.train(documents(rows), labels, chars=100)
-    assert len(seen[0][0]) == len(ids) and "other" in seen[0][0] and seen[0][1] == sorted(i % 2 for i in ids)
-    assert seen[1][1] == [0] * 20 + [1] * 20 and sum(map(len, seen[2][0])) in range(80, 101)
+    docs = documents([(i, f"text {i:03}") for i in ids] + [(ids[0], "other")] * 50 + [(ids[1], "x" * 5000)] * 3 + [(ids[2], None)])
+    rows = toxicity.training_rows(docs, labels).collect()
+    assert sorted(r.doc_id for r in rows) == ids and {r.text for r in rows if r.doc_id == ids[0]} == {"other"}
+    rows = toxicity.training_rows(docs, labels, sample=20).collect()
+    assert sorted(r.toxic for r in rows) == [0] * 20 + [1] * 20
+    rows = toxicity.training_rows(docs, labels, chars=100).collect()
+    assert sum(len(r.text) for r in rows) in range(80, 101)
 
 
 def test_sums_by_group():
