@@ -264,7 +264,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, chars: int =
         model = fit(rows["text"].tolist(), rows["toxic"].tolist())
         return pd.DataFrame({"vectors": [model.vectors.astype("<f4").tobytes()], "softmax": [model.softmax.astype("<f8").tobytes()], "bias": [model.bias]})
 
-    trained = training_rows(docs, labels, sample, chars).groupBy(F.lit(0)).applyInPandas(learn, "vectors binary, softmax binary, bias double").first()
+    trained = training_rows(docs, labels, sample, chars).groupBy((F.col("toxic") >= 0).alias("all")).applyInPandas(learn, "vectors binary, softmax binary, bias double").first()
     if trained is None:
         return fit([], [])
     vectors, softmax = np.frombuffer(trained.vectors, "<f4"), np.frombuffer(trained.softmax, "<f8")
