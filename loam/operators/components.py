@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import codes as C
 from ..functions.geometry import to_chunk
 from .dims import small
-from .graph import components, numbered, store
+from .graph import components, numbered, scope, store
 
 #: One of each pair of opposite neighbours.
 HALF = ((1, 0), (0, 1), (1, 1), (1, -1))
@@ -61,7 +61,9 @@ def components8(cells: DataFrame) -> DataFrame:
     edge = (F.pmod(F.col("x"), F.lit(32)).isin(0, 31)) | (F.pmod(F.col("z"), F.lit(32)).isin(0, 31))
     border = neighbours8(labels.where(edge)).where(apart)
     pairs = border.join(labels.withColumnRenamed("label", "u"), ["x", "z"]).join(other, ["x2", "z2"]).select("u", "v").distinct()
-    roots = components(pairs).withColumnRenamed("node", "label")
+    with scope(labels.sparkSession):
+        roots, _ = store(components(pairs), "roots", kept=True)
+    roots = roots.withColumnRenamed("node", "label")
     return labels.join(roots, "label", "left").select("x", "z", F.coalesce("component", "label").alias("component"))
 
 

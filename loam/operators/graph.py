@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -32,14 +34,41 @@ def clear(spark: SparkSession) -> None:
     drop(spark, shared_folder(spark))
 
 
-def store(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+_SCOPES: ContextVar[tuple[str, ...]] = ContextVar("loam_scopes", default=())
+
+
+@contextmanager
+def scope(spark: SparkSession):
+    """Tables that store() writes inside go when the block ends, but for those kept.
+
+    For work whose result is stored in the block, so that nothing later reads what
+    led to it.
+    """
+    scopes = _SCOPES.get()
+    path = scratch(spark, "scope")
+    token = _SCOPES.set((*scopes, path))
+    try:
+        yield
+    finally:
+        _SCOPES.reset(token)
+        drop(spark, path)
+
+
+def scratch(spark: SparkSession, name: str, kept: bool = False) -> str:
+    """A fresh path in the innermost scope's folder, or outside it if kept."""
+    scopes = _SCOPES.get()
+    scopes = scopes[:-1] if kept else scopes
+    return f"{scopes[-1] if scopes else shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def store(df: DataFrame, name: str, kept: bool = False) -> tuple[DataFrame, str]:
     """Write df to a fresh table in the shared folder and read it back.
 
     The table cuts the lineage and survives lost executors. Returns the table
-    and its path, for drop().
+    and its path, for drop(). One that is kept outlives the innermost scope().
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name, kept)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 

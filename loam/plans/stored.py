@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import codes as C
 from ..functions import colours as P
 from ..functions import geometry as G
-from ..operators import ore, regions, rock, surface, tiles
-from ..operators.graph import shared_folder, store
+from ..operators import graph, ore, regions, rock, surface, tiles
+from ..operators.graph import store
 from ..operators.tables import stored_columns
 from ..sources import decode, encode
 from ..sources import payloads as Payload
@@ -26,7 +24,7 @@ queries, oracle_sql = plans.queries, plans.oracle_sql
 
 
 def scratch(w, name):
-    return f"{shared_folder(w.spark)}/loam-{name}-{uuid.uuid4().hex}"
+    return graph.scratch(w.spark, name)
 
 
 # -- raw scans: keys and payloads derived from orders, some of them broken

@@ -218,7 +218,8 @@ def read_diagnostics(rows: DataFrame, limit: int = 10, samples: int = 10) -> Dat
     PARSED with all that were read, the most frequent reasons of SKIPPED (IGNORED)
     and FAILED rows, ties by text, the number of LIQUID failures, and LIQUID_SAMPLE
     rows for the first of them by id. A blank reason is unspecified."""
-    text = lambda c: F.when(F.trim(F.coalesce(c, F.lit(""))) == "", "unspecified").otherwise(F.trim(c))
+    bare = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"^\s+|\s+$", "")
+    text = lambda c: F.when(bare(c) == "", "unspecified").otherwise(bare(c))
     parsed = (F.col("status") == "READ") & F.col("error").isNull()
     kind = F.when(F.col("status") == "IGNORED", "SKIPPED").otherwise("FAILED")
     none = F.lit(None).cast("string")

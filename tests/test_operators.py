@@ -8,10 +8,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from loam.functions import geometry as G
 from loam.operators import components as K
-from loam.operators import ore, prospecting, regions, rock
-from loam.operators.graph import components
-from loam.operators.tables import layer_completeness, require_unique
+from loam.operators import ore, prospecting, regions, rock, surface
+from loam.operators.graph import components, numbered
+from loam.operators.tables import layer_completeness, require_unique, stored_columns
 from loam.sources import decode, savefile
 from loam.sources import payloads as P
 from loam.sources import tables as T
@@ -113,6 +114,112 @@ def test_key_runs(spark):
     assert got == [(200000, 200002, 3), (5, 5, 1), (65530, 65544, 15)]
 
 
+def test_key_runs_over_far_ranges(spark):
+    rnd = random.Random(5)
+    keys = {rnd.randrange(-(1 << 50), 1 << 50) for _ in range(50)} | {-1, 0, (1 << 32) - 1, 1 << 32, (1 << 48) - 1, 1 << 48, (1 << 62) - 1, 1 << 62}
+    keys |= set(range((5 << 16) - 3, (8 << 16) + 2)) | set(range(-(1 << 16) - 2, -(1 << 16) + 2))  # over whole parts, and below zero
+    want, run = [], []
+    for k in sorted(keys):
+        if run and k != run[-1] + 1:
+            want.append((run[0], run[-1], len(run)))
+            run = []
+        run.append(k)
+    want.append((run[0], run[-1], len(run)))
+    got = regions.key_runs(spark.createDataFrame([(k,) for k in keys], "k long"), "k")
+    assert sorted(map(tuple, got.collect())) == want
+
+
+def test_places_over_all_rows(spark):
+    rnd = random.Random(2)
+    values = [rnd.randrange(1000) for _ in range(500)]
+    df = spark.createDataFrame([(v, i) for i, v in enumerate(values)], "v int, i int").repartition(7)
+    got = {r.i: r.place for r in numbered(df, F.desc("v"), F.col("i")).collect()}
+    assert got == {i: n for n, (_, i) in enumerate(sorted((-v, i) for i, v in enumerate(values)), 1)}
+    assert numbered(df.limit(0), F.desc("v"), F.col("i")).count() == 0
+
+
+def test_scopes_drop_their_tables(spark):
+    from loam.operators.graph import scope, scratch, store
+
+    with scope(spark):
+        gone, path = store(spark.range(3), "gone")
+        with scope(spark):
+            inner, inner_path = store(gone, "inner", kept=True)
+        assert inner.count() == 3 and inner_path.startswith(path.rsplit("/", 1)[0])
+        kept, _ = store(inner, "kept", kept=True)
+    assert kept.count() == 3 and not T.exists(spark, path) and not T.exists(spark, inner_path) and "scope" not in scratch(spark, "x")
+
+
+def test_small_tells_sizes(spark):
+    from loam.operators import dims
+
+    wide = spark.range(300).selectExpr("id", "explode(sequence(1, 50)) AS n")
+    assert dims.is_small(spark.createDataFrame([(1,)], "a int")) and dims.is_small(wide) and not dims.is_small(wide, most=1000)
+
+
+def test_surface_takes_the_highest_that_counts(spark):
+    registry = spark.createDataFrame([(0, "game:air"), (1, "game:rock-granite"), (6, "game:water-still-7"), (7, "game:tallgrass-free"), (9, "game:sand")], "block_id int, code string")
+    voxels = [(0, 5, 0, 1), (0, 6, 0, 7), (0, 7, 0, 0), (1, 5, 0, 1), (1, 6, 0, 7), (2, 4, 0, 0), (3, 1, 0, 9), (3, 9, 0, 77), (4, 3, 0, 1), (4, 8, 0, 0)]
+    liquids = [(1, 6, 0, 6), (2, 4, 0, 6), (4, 3, 0, 6), (4, 9, 0, 6)]
+    got = surface.surface_top(spark.createDataFrame(voxels, "x int, y int, z int, block_id int"), registry, spark.createDataFrame(liquids, "x int, y int, z int, liquid_id int"))
+    assert rows(got.select("x", "y", "block_id", "liquid_id", "class")) == [(0, 5, 1, 0, "ROCK"), (1, 6, 7, 6, "WATER"), (2, 4, 0, 6, "WATER"), (3, 9, 77, 0, "UNKNOWN"), (4, 3, 1, 6, "WATER")]
+
+
+def test_many_wanted_ids_are_joined(spark, monkeypatch):
+    voxels = spark.createDataFrame([(x, 0, 0, x // 32) for x in range(0, 320, 8)], "x int, y int, z int, block_id int")
+    chunks, wanted = ore.chunk_table(voxels), spark.createDataFrame([(3,), (5,), (5,), (400,)], "block_id int")
+    at = chunks.select("cx", "cy", "cz")
+    few = rows(ore.selective_chunks(chunks, at, wanted).select("cx"))
+    monkeypatch.setattr(ore, "is_small", lambda df: False)
+    assert few == rows(ore.selective_chunks(chunks, at, wanted).select("cx")) == [(3,), (5,)]
+
+
+def test_inner_cells_of_any_size(spark):
+    cells = spark.createDataFrame([(0, 0, lx, lz, 7, 1, 2) for lx in range(7) for lz in range(7)], "rx int, rz int, lx int, lz int, size int, pad_low int, pad_high int")
+    got = G.inner_cells(cells, F.col("size"), F.col("pad_low"), F.col("pad_high")).orderBy("lx", "lz").collect()
+    assert len(got) == 16 and (got[0].lx, got[0].x0, got[0].x1) == (1, 0.0, 128.0) and got[-1].x1 == 512.0
+    odd = G.inner_cells(spark.createDataFrame([(1, 0, 2, 1)], "rx int, rz int, lx int, lz int"), 5, 1, 1).first()
+    assert odd.x0 == 512 + 512 / 3 and odd.z1 == 512 / 3
+
+
+def test_stored_columns_serve_whole_circles_only(spark):
+    stored = spark.createDataFrame([(x, z, 64, 64, "s") for x in range(40) for z in range(64)], "x int, z int, size_x int, size_z int, state string")
+    circles = spark.createDataFrame([(1, 10, 10, 5), (2, 2, 10, 5), (3, 38, 30, 5), (4, 20, 20, 0)], "circle int, cx int, cz int, radius int")
+    count = lambda df: {(r.circle, r.served): r.n for r in df.groupBy("circle", "served").agg(F.count("x").alias("n")).collect()}
+    got = stored_columns(stored, circles, 64, 64)
+    assert count(got) == {(1, True): 81, (2, False): 0, (3, False): 0, (4, True): 1}
+    assert {s for _, s in count(stored_columns(stored, circles, 96, 64))} == {False}  # stored for a world of another size
+    assert {s for _, s in count(stored_columns(stored.limit(0), circles, 64, 64))} == {False}
+
+
+def test_preparation_keeps_what_a_cancelled_run_leaves(spark, tmp_path):
+    path, built = str(tmp_path / "prepared"), []
+    wanted = {n: spark.range(5).select(F.col("id").alias("k")) for n in "abc"}
+    build = {n: (lambda n: lambda todo: built.append((n, todo.count())) or todo)(n) for n in "abc"}
+    keys = {n: ["k"] for n in "abc"}
+    assert T.prepare(wanted, build, path, keys) == {"a": 5, "b": 5, "c": 5}
+    wanted = {n: spark.range(8).select(F.col("id").alias("k")) for n in "abc"}
+    assert T.prepare(wanted, build, path, keys, stop=lambda layer: layer == "b") == {"a": 3}
+    assert {n: spark.read.parquet(f"{path}/{n}").count() for n in "abc"} == {"a": 8, "b": 5, "c": 5}
+    assert T.prepare(wanted, build, path, keys) == {"a": 0, "b": 3, "c": 3} and built[3:] == [("a", 3), ("b", 3), ("c", 3)]
+    assert rows(T.prepared(spark, path, "abcd")) == [("a", True), ("b", True), ("c", True), ("d", False)]
+
+
+def test_reading_is_told_in_full(spark):
+    read = [(i, "READ", None, "bad\n" if i < 14 else None) for i in range(20)] + [(30, "IGNORED", None, None), (31, "INVALID", " ", None), (32, "READ", "no layer", None)]
+    got = [tuple(r) for r in decode.read_diagnostics(spark.createDataFrame(read, "id long, status string, error string, liquid_error string")).collect()]
+    assert sorted(got, key=repr) == sorted([("PARSED", None, 20), ("SKIPPED", "unspecified", 1), ("FAILED", "unspecified", 1), ("FAILED", "no layer", 1), ("LIQUID", None, 14)] + [("LIQUID_SAMPLE", "liquid decode failed: bad", 1)] * 10, key=repr)
+
+
+def test_header_without_a_player(spark):
+    meta = spark.createDataFrame([(96, 128, 64, None)], "size_x int, size_y int, size_z int, error string")
+    registry = spark.createDataFrame(REGISTRY, "block_id int, code string")
+    players = spark.createDataFrame([("b", 1, 2), ("a", 3, 4)], "record string, x int, z int")
+    assert rows(decode.world_header(meta, registry, players)) == [(96, 128, 64, 4, "a", 3, 4)]
+    assert rows(decode.world_header(meta, registry, players.limit(0))) == [(96, 128, 64, 4, None, None, None)]
+    assert decode.default_player(players.limit(0)).count() == 0
+
+
 def test_empty_coverage_is_zero(spark):
     got = regions.coverage_summary(spark.createDataFrame([], "rx int, rz int")).first()
     assert got.present == 0 and got.possible == 0 and got.percent == 0.0
@@ -131,8 +238,11 @@ def test_assessment_rules_in_order(spark):
             return "STRONG" if fit == "COMPATIBLE" else "WEAK"
         return "INTERESTING" if positive or fit == "COMPATIBLE" else "UNKNOWN"
 
-    df = spark.createDataFrame([(1, f"r{i:02d}", *g) for i, g in enumerate(grid)], "request_id int, resource string, observation string, geology string, signal double, compatibility string")
+    df = spark.createDataFrame([(1, f"r{i:02d}", *g, 5, 0, i % 2) for i, g in enumerate(grid)], "request_id int, resource string, observation string, geology string, signal double, compatibility string, observed int, no_rock int, unavailable int")
     out = prospecting.assess(df).collect()
+    assert all(5 <= len(r.reasons) <= 7 and ("observed geology coverage is partial" in r.reasons) == (r.unavailable > 0) for r in out)
+    assert all(("worldgen signal=0.5" in r.reasons) == (r.signal == 0.5) and f"host compatibility={r.compatibility}" in r.reasons for r in out)
+    assert out[0].reasons[3] == "geology coverage: observed=5, no-rock=0, unavailable=0" or out[0].unavailable
     assert all(r["rank"] == rank(r.observation, r.geology, r.signal, r.compatibility) for r in out)
     ordered = [r["rank"] for r in sorted(out, key=lambda r: r.place)]
     assert ordered == sorted(ordered, key=prospecting.RANKS.index)
