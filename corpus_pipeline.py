@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from loam.llm import bpe, exact, mixing, near, toxicity
 from loam.llm.queries import read, word_vocabulary
-from loam.llm.shared import store
+from loam.llm.shared import drop, scope, store
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,9 +53,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs, _ = store(docs, f"stage{i}")
-    return docs
+    """The rows of the last stage. What a stage stored on its way goes when its
+    result is written, and that when the next one's is."""
+    docs, before = read(spark, sf_dir, "documents"), None
+    for i, (_, stage) in enumerate(STAGES[:-1]):
+        with scope(spark):
+            docs, path = store(stage(spark, docs, sf_dir), f"stage{i}", kept=True)
+        if before is not None:
+            drop(spark, before)
+        before = path
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -19,7 +19,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import SPACE, drop, shared_folder, store
+from .shared import SPACE, drop, scope, scratch, store
 
 #: Batches that one call flushes.
 FLUSHES = 3
@@ -75,7 +75,7 @@ class DigestIndex:
         self.spark, self.fanout, self.bits = spark, fanout, bits
         self.levels: list[list[str]] = []
         self.filtered: set[str] = set()
-        self.root = f"{shared_folder(spark)}/digests-{uuid.uuid4().hex}"
+        self.root = scratch(spark, "digests")
 
     def runs(self) -> list[str]:
         return [run for level in self.levels for run in level]
@@ -151,15 +151,10 @@ def exact_duplicates(docs: DataFrame, flushes: int = FLUSHES, fanout: int = FANO
     keyed, _ = store(norm.select(F.monotonically_increasing_id().alias("row"), "doc_id", "sha", "digest"), "keyed")
     index = DigestIndex(spark, fanout, bits)
     batch = F.pmod(F.xxhash64("row"), F.lit(flushes))
-    hits = [index.flush(keyed.where(batch == i)) for i in range(flushes)]
-    entries = index.compact()
-
-    # Byte verification of the hits: a digest must stand for one text. Equal texts
-    # meet before the shuffle, so a text that a third of the rows hold is sent once
-    # by each task. A text that the filter lets through by chance is alone.
-    hit_bits, _ = store(filter_of(reduce(DataFrame.unionByName, hits), bits), "hitbits")
-    texts = maybe_in(norm.select("digest", "norm"), hit_bits, bits).groupBy("digest", "norm").agg(F.count(F.lit(1)).alias("rows"))
-    clash, _ = store(texts.groupBy("digest").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("digest"), "clash")
+    with scope(spark):
+        hits = [index.flush(keyed.where(batch == i)) for i in range(flushes)]
+        entries = index.compact()
+        clash = _clashes(norm, reduce(DataFrame.unionByName, hits), bits)
     if clash.isEmpty():
         rows = keyed.join(entries, "digest")
     else:  # digests that stand for different bytes: their groups come from the bytes
@@ -171,6 +166,17 @@ def exact_duplicates(docs: DataFrame, flushes: int = FLUSHES, fanout: int = FANO
     return rows.select("doc_id", "keep_id", F.col("rows").alias("group_size"), (F.col("row") == F.col("keep_row")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 
 
+def _clashes(norm: DataFrame, hits: DataFrame, bits: int) -> DataFrame:
+    """Byte verification of the hits: the digests that stand for several texts.
+
+    Equal texts meet before the shuffle, so a text that a third of the rows hold is
+    sent once by each task. A text that the filter lets through by chance is alone.
+    """
+    hit_bits, _ = store(filter_of(hits, bits), "hitbits")
+    texts = maybe_in(norm.select("digest", "norm"), hit_bits, bits).groupBy("digest", "norm").agg(F.count(F.lit(1)).alias("rows"))
+    return store(texts.groupBy("digest").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("digest"), "clash", kept=True)[0]
+
+
 def without_duplicates(docs: DataFrame) -> DataFrame:
     """The documents that exact_duplicates() keeps, with all their columns.
 

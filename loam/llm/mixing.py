@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import drop, store, words
+from .shared import drop, scope, store, words
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -132,7 +132,8 @@ def _mixed(sized: DataFrame, weights, most: int, cell_rows: int) -> DataFrame:
     docs, _ = store(sized, "sized")
     classes, _ = store(docs.groupBy("name", "source", "size").agg(F.count(F.lit(1)).alias("n")), "classes")
     sizes = classes.groupBy("name", "source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
-    aims = rates(targets(sizes, weights, most), classes, most)
+    with scope(docs.sparkSession):
+        aims, _ = store(rates(targets(sizes, weights, most), classes, most), "aims", kept=True)
     rate = F.when(F.col("size") == 0, 1.0).otherwise(F.least(F.lit(float(most)), F.exp(F.col("tilt") * F.col("size"))))
     rated = classes.join(aims, "name").withColumn("units", F.round(rate * UNIT).cast("long"))
     rated = rated.groupBy("name").applyInPandas(_rounded(most), "name string, size long, source_size long, target double, whole long, extra long")

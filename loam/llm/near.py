@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .shared import components, store
+from .shared import components, scope, store
 
 SHINGLE = 5
 SIMILAR = 0.8
@@ -168,6 +168,7 @@ def one_of_each(docs: DataFrame, shingle: int = SHINGLE, similar: float = SIMILA
     rows = docs.select(F.col("doc_id").cast("long"), simhash.text_digest().alias("digest"), F.col("text").cast("string"))
     sketch, _ = store(sketches(rows, shingle), "sketches")
     nodes, _ = store(sketch.groupBy("node").agg(F.min("digest").alias("digest"), *[F.first(c).alias(c) for c in ("fp", "n", "keys")]), "nodes")
-    labels, _ = store(components(links(nodes, rows.select("digest", "text"), shingle, similar)), "labels")
+    with scope(docs.sparkSession):
+        labels, _ = store(components(links(nodes, rows.select("digest", "text"), shingle, similar)), "labels", kept=True)
     named = sketch.select("doc_id", "digest", "node").join(labels, "node", "left")
     return simhash.keep_one(docs, named.select("doc_id", "digest", F.coalesce("component", "node").alias("label")))

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..operators.graph import clear, components, drop, shared_folder, store
+from ..operators.graph import clear, components, drop, scope, scratch, shared_folder, store
 
-__all__ = ["SPACE", "WORD", "clear", "components", "drop", "shared_folder", "store", "words"]
+__all__ = ["SPACE", "WORD", "clear", "components", "drop", "scope", "scratch", "shared_folder", "store", "words"]
 
 #: Runs of these characters separate words and are folded by normalisation.
 SPACE = r"[\x20\x09-\x0D]+"

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, store
+from .shared import components, scope, store
 
 RADIUS = 3
 SHINGLE = 3
@@ -190,7 +190,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     """
     prints, _ = store(fingerprints(docs, shingle), "fingerprints")
     fps, _ = store(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    labels, _ = store(components(links(fps.select("fp"), radius, wide)), "labels")
+    with scope(docs.sparkSession):
+        labels, _ = store(components(links(fps.select("fp"), radius, wide)), "labels", kept=True)
     named = fps.join(labels, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("label"))
     least = named.groupBy("label").agg(F.min("least").alias("component_id"))
     of_print = named.join(least, "label").select("fp", "component_id")
@@ -215,6 +216,7 @@ def one_of_each(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, w
     """One document of each component, with all columns: the one with the
     smallest doc_id, null last, then the smallest digest of its text."""
     prints, _ = store(fingerprints(docs, shingle, text_digest()), "fingerprints")
-    labels, _ = store(components(links(prints.select("fp").distinct(), radius, wide)), "labels")
+    with scope(docs.sparkSession):
+        labels, _ = store(components(links(prints.select("fp").distinct(), radius, wide)), "labels", kept=True)
     rows = prints.join(labels, F.col("fp") == F.col("node"), "left")
     return keep_one(docs, rows.select("doc_id", "digest", F.coalesce("component", "fp").alias("label")))
