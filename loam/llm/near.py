@@ -6,9 +6,13 @@ differ in many bits. Of the pairs with similarity 0.8, one in 2,800 shares none
 of the 20 bands of 5; of those with 0.85 one in 36,000. Each proposed pair is
 then decided by the shingle sets themselves, so that a link is never a guess.
 
-The rows of a bucket are compared with its smallest member first. Only members
-that this leaves in different components are compared with each other, so a
-bucket of copies costs one comparison a member, and no pair is left out.
+The rows of a bucket are compared with its most central member first, the one that
+meets most others in all its buckets, then with the most central of those that this
+leaves in other components: a bucket of copies costs a comparison or two a member.
+What is then still apart is searched by a prefix filter with positions (PPJoin, Xiao
+et al. 2008), which loses no pair of the similarity: of two similar sets, put in the
+order of rarity, the first shared shingle comes early in both. Variants of a text
+that each changed other words share nothing early, so they are not paired.
 """
 
 from __future__ import annotations
@@ -125,13 +129,69 @@ def _similar(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
     return both.where(F.col("shared") >= similar * (F.col("sizes") - F.col("shared")) - 1e-9).select("u", "v")
 
 
+def _stars(members: DataFrame) -> DataFrame:
+    """(u, v, m, n): the most central member of each bucket with its others."""
+    rank = F.struct((-F.col("weight")).alias("w"), "node", "n")
+    centre = members.groupBy("key").agg(F.min(rank).alias("c"))
+    return members.join(centre, "key").select(F.col("c.node").alias("u"), F.col("node").alias("v"), F.col("c.n").alias("m"), "n")
+
+
+def _apart(members: DataFrame, near: DataFrame) -> DataFrame:
+    """members with the label of their component, of the buckets that hold several."""
+    with scope(members.sparkSession):
+        labels, _ = store(components(near), "labels", kept=True)
+    named = members.join(labels, "node", "left").select("key", "node", "n", "weight", F.coalesce("component", "node").alias("label"))
+    parts = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
+    return named.join(parts, "key", "left_semi")
+
+
+def _second_stars(apart: DataFrame) -> DataFrame:
+    """(u, v, m, n): of each bucket, the most central member outside the component
+    of the most central one, with the members of other components."""
+    rank = F.struct((-F.col("weight")).alias("w"), "node", "n", "label")
+    first = apart.groupBy("key").agg(F.min(rank).alias("f")).select("key", F.col("f.label").alias("main"))
+    second = apart.join(first, "key").where("label <> main").groupBy("key").agg(F.min(rank).alias("c"))
+    met = apart.join(second, "key").where(F.col("label") != F.col("c.label"))
+    return met.select(F.col("c.node").alias("u"), F.col("node").alias("v"), F.col("c.n").alias("m"), "n")
+
+
+def prefix_pairs(nodes: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
+    """Pairs (u, v) of nodes (node, label, n) of different labels that can have the
+    similarity t, by the first shingle they share in the order of rarity.
+
+    Two sets of sizes a <= b share t / (1 + t) * (a + b) shingles at least, so each
+    has that many from the first shared one on. A shingle meets only sets of the
+    sizes for which its place allows that, in classes of two per cent.
+    """
+    t = similar
+    size_class = lambda n: F.floor(F.log(n.cast("double")) / F.log(F.lit(1.02))).cast("int")
+    tokens = nodes.join(sets, "node").select("node", "label", "n", F.explode("shingles").alias("s"))
+    rarity = tokens.groupBy("s").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")  # the others meet nobody, but come first
+    known = tokens.join(rarity, "s").groupBy("node", "label", "n").agg(F.array_sort(F.collect_list(F.struct("rows", "s"))).alias("own"))
+    alone = F.col("n") - F.size("own")  # places of the shingles that no other set has
+    early = F.greatest(F.lit(0), F.floor(F.col("n") * (1 - t) + 1e-9).cast("int") + 1 - alone)
+    placed = known.where(early > 0).select("node", "label", "n", alone.alias("alone"), F.posexplode(F.slice("own", F.lit(1), early)).alias("i", "o"))
+    placed = placed.select("node", "label", "n", F.col("o.s").alias("s"), (F.col("alone") + F.col("i")).alias("at"))
+    share = t / (1 + t)
+    small = placed.where(F.col("n") - F.col("at") >= 2 * share * F.col("n") - 1e-9)  # the smaller set, against one no smaller
+    small = small.select("s", size_class(F.col("n")).alias("c"), F.col("node").alias("u"), F.col("label").alias("lu"), F.col("n").alias("a"), F.col("at").alias("j"))
+    most = F.least(F.col("n"), F.floor((F.col("n") - F.col("at")) / share - F.col("n") + 1e-9).cast("int"))
+    large = placed.withColumns({"least": F.ceil(t * F.col("n") - 1e-9).cast("int"), "most": most}).where("least <= most")
+    classes = F.sequence(size_class(F.col("least")), size_class(F.col("most")))
+    large = large.select("s", F.explode(classes).alias("c"), F.col("node").alias("v"), F.col("label").alias("lv"), F.col("n").alias("b"), "least", "most")
+    met = small.join(large, ["s", "c"]).where((F.col("lu") != F.col("lv")) & F.col("a").between(F.col("least"), F.col("most")))
+    met = met.where(F.col("a") - F.col("j") >= share * (F.col("a") + F.col("b")) - 1e-9)
+    return met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+
 def links(nodes: DataFrame, texts: DataFrame, shingle: int = SHINGLE, similar: float = SIMILAR) -> DataFrame:
     """Links (u, v) between nodes (node, digest, fp, n, keys) that connect what
     the similar pairs among the proposed ones connect. texts is (digest, text)."""
     keyed = nodes.select(F.explode("keys").alias("key"), "node", "n")
-    shared = keyed.groupBy("key").agg(F.min(F.struct("node", "n")).alias("first"), F.count(F.lit(1)).alias("rows")).where("rows > 1").select("key", "first")
-    members, _ = store(keyed.join(shared, "key").select("key", "node", "n", "first"), "members")
-    stars = members.select(F.col("first.node").alias("u"), F.col("node").alias("v"), F.col("first.n").alias("m"), "n")
+    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    met, _ = store(keyed.join(shared, "key"), "met")
+    weights = met.groupBy("node").agg(F.sum("rows").alias("weight"))
+    members, _ = store(met.drop("rows").join(weights, "node").select("key", "node", "n", "weight"), "members")
 
     # the same from fingerprints: a star for each, and their links
     prints, _ = store(nodes.groupBy("fp").agg(F.min(F.struct("node", "n")).alias("first")), "prints")
@@ -139,7 +199,7 @@ def links(nodes: DataFrame, texts: DataFrame, shingle: int = SHINGLE, similar: f
     u, v = (prints.select(F.col("fp").alias(x), F.col("first").alias(f"first_{x}")) for x in "uv")
     across = simhash.links(prints.select("fp")).join(u, "u").join(v, "v")
     across = across.select(F.col("first_u.node").alias("u"), F.col("first_v.node").alias("v"), F.col("first_u.n").alias("m"), F.col("first_v.n").alias("n"))
-    pairs, _ = store(_sized(stars.unionByName(one).unionByName(across), similar), "pairs")
+    pairs, _ = store(_sized(_stars(members).unionByName(one).unionByName(across), similar), "pairs")
 
     asked = members.select("node").union(pairs.select("u")).union(pairs.select("v")).distinct()
     digests = nodes.join(asked, "node", "left_semi").select("node", "digest")
@@ -147,13 +207,11 @@ def links(nodes: DataFrame, texts: DataFrame, shingle: int = SHINGLE, similar: f
     near, _ = store(_similar(pairs, sets, similar), "near")
 
     # buckets that are still in parts
-    labels, _ = store(components(near), "labels")
-    named = members.join(labels, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("label"))
-    parts = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
-    left = named.join(parts, "key", "left_semi")
-    right = left.select("key", F.col("node").alias("v"), F.col("n").alias("n2"), F.col("label").alias("other"))
-    more = left.join(right, "key").where("node < v AND label <> other").select(F.col("node").alias("u"), "v", F.col("n").alias("m"), F.col("n2").alias("n"))
-    more, _ = store(_sized(more, similar).join(pairs, ["u", "v"], "left_anti"), "more")
+    second, _ = store(_sized(_second_stars(_apart(members, near)), similar), "second")
+    near, _ = store(near.unionByName(_similar(second, sets, similar)), "near")
+    apart = _apart(members, near).select("node", "label", "n").distinct()
+    left, _ = store(apart, "left")
+    more, _ = store(prefix_pairs(left, sets, similar), "more")
     return near.unionByName(_similar(more, sets, similar))
 
 

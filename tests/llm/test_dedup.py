@@ -195,6 +195,46 @@ def test_one_of_each_takes_all_similar_pairs(spark, documents):
     assert near.one_of_each(documents([])).count() == 0
 
 
+def test_prefixes_lose_no_similar_pair(spark):
+    rnd = random.Random(3)
+    sets = {}
+    for i in range(60):  # sets that grew and changed from one another, some far apart in size
+        base = list(sets[rnd.choice(list(sets))]) if sets and rnd.random() < 0.9 else rnd.sample(range(10**6), rnd.randrange(1, 60))
+        for _ in range(rnd.randrange(0, 1 + len(base) // 7)):
+            base[rnd.randrange(len(base))] = rnd.randrange(10**6)
+        sets[i] = set(base[: rnd.randrange(max(1, len(base) * 9 // 10), len(base) + 1)] + rnd.sample(range(10**6), rnd.randrange(0, 2)))
+    nodes = spark.createDataFrame([(i, i % 50, len(s)) for i, s in sets.items()], "node long, label long, n long")
+    table = spark.createDataFrame([(i, sorted(s)) for i, s in sets.items()], "node long, shingles array<long>")
+    got = {(r.u, r.v) for r in near.prefix_pairs(nodes, table, 0.8).collect()}
+    want = {(i, j) for i in sets for j in sets if i < j and i % 50 != j % 50 and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    assert want <= got and len(want) > 30 and len(got) < 60 * 59 // 4
+
+
+def test_variants_that_changed_other_words_are_not_paired(spark, documents):
+    rnd = random.Random(8)
+    base = passage(rnd, 300).split()
+    rows = [(1000, " ".join(base))]
+    for i in range(120):
+        own = list(base)
+        for _ in range(rnd.randrange(4, 12)):  # some within 0.8 of the base
+            own[rnd.randrange(300)] = passage(rnd, 1)
+        rows.append((i, " ".join(own)))
+    label = {d: d for d, _ in rows}
+
+    def find(a):
+        while label[a] != a:
+            a = label[a]
+        return a
+
+    for i, (d, a) in enumerate(rows):
+        for e, b in rows[:i]:
+            if jaccard(a, b) >= 0.8:
+                label[max(find(d), find(e))] = min(find(d), find(e))
+    want = sorted({find(d) for d, _ in rows})
+    assert 10 < len(want) < 121
+    assert sorted(r.doc_id for r in near.one_of_each(documents(rows)).collect()) == want
+
+
 def test_every_pair_in_the_radius_meets():
     rnd = random.Random(2)
     for _ in range(2000):
