@@ -41,8 +41,10 @@ def surface_top(voxels: DataFrame, registry: DataFrame, liquids: DataFrame) -> D
     before the heights are compared, and the winners after it. y and block travel
     as one long, which a hash aggregate takes.
     """
-    coded = with_codes(voxels.select("x", "y", "z", "block_id"), registry)
-    soft = C.is_air(F.col("block_id"), F.col("code")) | C.is_foliage(F.col("block_id"), F.col("code"))
+    # codes are judged once for each registered block, not for each voxel
+    kinds = registry.select("block_id", (C.is_air(F.col("block_id"), F.col("code")) | C.is_foliage(F.col("block_id"), F.col("code"))).alias("_soft"))
+    coded = voxels.select("x", "y", "z", "block_id").join(small(kinds), "block_id", "left")
+    soft = F.coalesce("_soft", F.col("block_id") == 0)
     packed = (F.shiftleft(F.col("y").cast("long"), 32) + F.col("block_id")).alias("packed")
     under = coded.where(soft).select("x", "y", "z", "block_id").join(liquids.select("x", "y", "z"), ["x", "y", "z"], "left_semi")
     wet = classified(under, registry, liquids)
