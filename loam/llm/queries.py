@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, chunks, exact, html, licenses, mixing, simhash, toxicity, urls
+from . import alignment, ann, bpe, chunks, exact, html, licenses, mixing, simhash, toxicity, urls, vectorcodes, warc
 
 
 def word_vocabulary() -> str:
@@ -58,9 +58,24 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).drop("copies")
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(read(spark, sf_dir, "pages"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as public
+
+    files = (public.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model", "byte_bpe_50k.tiktoken"))
+    return alignment.alignment(read(spark, sf_dir, "documents"), *files, public.PATTERN)
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorcodes.compress(read(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
 
 def oracle_sql() -> dict:
-    return {"op1_url_filter": urls.SQL, "op10_source_mixing": mixing.SQL, "op8_exact_dedup": exact.SQL}
+    return {"op1_url_filter": urls.SQL, "op10_source_mixing": mixing.SQL, "op8_exact_dedup": exact.SQL, "op11_warc": warc.SQL, "op13_vector_codes": vectorcodes.SQL}
