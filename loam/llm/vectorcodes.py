@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -147,6 +148,8 @@ def _improved(rows: DataFrame, books: np.ndarray) -> np.ndarray:
         grids = [Grid(b) for b in books]
         total, n = np.zeros(books.shape, np.int64), np.zeros((parts, entries), np.int64)
         for batch in batches:
+            if not batch.num_rows:
+                continue
             values = _parts(batch, parts)
             for p, grid in enumerate(grids):
                 index, _ = grid.nearest(values[:, p])
@@ -172,8 +175,10 @@ def encode(rows: DataFrame, books: np.ndarray) -> DataFrame:
     names = [f.name for f in kept]
 
     def run(batches):
-        grids = [Grid(b) for b in books]
+        grids = [Grid(b) for b in books if b.size]  # none without rows
         for batch in batches:
+            if not batch.num_rows:
+                continue
             values = _parts(batch, len(grids))
             codes, error = np.zeros((batch.num_rows, len(grids)), np.uint8), np.zeros(batch.num_rows, np.int64)
             for p, grid in enumerate(grids):
@@ -189,11 +194,8 @@ def encode(rows: DataFrame, books: np.ndarray) -> DataFrame:
 def decode(codes: DataFrame, books: np.ndarray, scale: int = SCALE) -> DataFrame:
     """codes (.., code) with embedding, the vector that a code stands for."""
 
-    def vectors(texts):
-        import pandas as pd
-
-        for some in texts:
-            yield pd.Series([(np.concatenate([b[i] for b, i in zip(books, bytes.fromhex(t))]) / scale).astype(np.float32) for t in some])
+    def vectors(texts: pd.Series) -> pd.Series:
+        return pd.Series([(np.concatenate([b[i] for b, i in zip(books, bytes.fromhex(t))]) / scale).astype(np.float32) for t in texts])
 
     return codes.withColumn("embedding", F.pandas_udf(vectors, "array<float>")("code"))
 
