@@ -189,7 +189,7 @@ def climate_bits(raw: Column) -> tuple[Column, Column]:
 
 
 def forest_density(raw: Column) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw / 255.0))
+    return F.when(raw.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw / 255.0)))
 
 
 def mean_density(raw: Column) -> Column:

@@ -46,7 +46,7 @@ def shaded(red: Column, green: Column, blue: Column, factor: Column) -> Column:
 def hillshade(west: Column, east: Column, north: Column, south: Column) -> Column:
     """Light of a slope; 0 where a neighbour is missing."""
     light = (-(east - west).cast("double") * 0.55 - (south - north).cast("double") * 0.75) / 32.0
-    return F.coalesce(clamp(light, -0.35, 0.35), F.lit(0.0))
+    return F.when(light.isNull(), 0.0).otherwise(clamp(light, -0.35, 0.35))  # least and greatest skip nulls
 
 
 def terrain_argb(height: Column, low: Column, high: Column, shade: Column, style: str = "SIMPLE") -> Column:

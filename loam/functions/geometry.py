@@ -117,9 +117,18 @@ def decode_position(key: Column) -> Column:
 # -- planners: rows of requests become rows of positions
 
 
+def dealt_out(rows: DataFrame, *keys: str) -> DataFrame:
+    """Few rows that are about to become many, over as many tasks as a shuffle has;
+    a stated number is one that Spark doesn't make smaller because the rows are few."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def circle_cells(requests: DataFrame) -> DataFrame:
-    """Every cell (x, z) of each request's inclusive circle (cx, cz, radius)."""
+    """Every cell (x, z) of each request's inclusive circle (cx, cz, radius). The rows
+    of a circle are dealt out before their cells are made, so a large circle is the
+    work of many tasks."""
     rows = requests.withColumn("z", F.explode(F.sequence(F.col("cz") - F.col("radius"), F.col("cz") + F.col("radius"))))
+    rows = dealt_out(rows, "z")
     dz = (F.col("z") - F.col("cz")).cast("long")
     half = F.floor(F.sqrt((F.col("radius").cast("long") * F.col("radius") - dz * dz).cast("double"))).cast("int")
     return rows.withColumn("x", F.explode(F.sequence(F.col("cx") - half, F.col("cx") + half)))

@@ -77,7 +77,7 @@ def _axis(c: str, radius: str = "radius"):
     return F.when(low <= high, F.sequence(low.cast("int"), high.cast("int"))).otherwise(F.array().cast("array<int>"))
 
 
-def _met(requests: DataFrame) -> DataFrame:
+def regions_met(requests: DataFrame) -> DataFrame:
     """requests (cx, cz, radius) once for each region (rx, rz) their square meets."""
     return requests.withColumn("rx", F.explode(_axis("cx"))).withColumn("rz", F.explode(_axis("cz")))
 
@@ -93,7 +93,7 @@ def max_signal(signals: DataFrame, requests: DataFrame) -> DataFrame:
 def signals_in_area(signals: DataFrame, requests: DataFrame) -> DataFrame:
     """Signal cells of each request's resource whose centre lies in its circle."""
     middle = lambda a, b: (F.col(a) + F.col(b)) / 2
-    near = signals.join(_met(requests.withColumn("radius", F.col("radius") + 1)).drop("radius"), ["rx", "rz", "resource"]).join(
+    near = signals.join(regions_met(requests.withColumn("radius", F.col("radius") + 1)).drop("radius"), ["rx", "rz", "resource"]).join(
         requests.select("request_id", "resource", "radius"), ["request_id", "resource"])
     dx, dz = middle("x0", "x1") - F.col("cx"), middle("z0", "z1") - F.col("cz")
     return near.where(dx * dx + dz * dz <= F.col("radius").cast("double") * F.col("radius"))
@@ -101,7 +101,7 @@ def signals_in_area(signals: DataFrame, requests: DataFrame) -> DataFrame:
 
 def region_window(regions: DataFrame, requests: DataFrame) -> DataFrame:
     """Regions whose rectangle meets each request's square, half open."""
-    return regions.join(_met(requests), list(REGION_KEYS))
+    return regions.join(regions_met(requests), list(REGION_KEYS))
 
 
 def overlay_counts(regions: DataFrame, requests: DataFrame, profiles: DataFrame) -> DataFrame:
@@ -110,19 +110,44 @@ def overlay_counts(regions: DataFrame, requests: DataFrame, profiles: DataFrame)
     return met.groupBy("request_id").agg(F.count(F.lit(1)).alias("considered"), F.count("has").alias("drawn"), F.count_if(F.col("has").isNull()).alias("without_data"))
 
 
-def environment_profiles(inner: DataFrame) -> DataFrame:
-    """Per region with any layer: climate and forest means, class and labels."""
-    climate = climate_summary(inner).select(*REGION_KEYS, F.col("cells").alias("climate_cells"), "temperature", "rain")
-    forest = forest_summary(inner).select(*REGION_KEYS, F.col("cells").alias("forest_cells"), "density", F.col("class").alias("forest_class"))
-    both = climate.join(forest, list(REGION_KEYS), "full")
-    return both.withColumn("labels", C.environment_labels(F.col("temperature"), F.col("rain"), F.col("density")))
+#: Layers whose values are ids, and those whose values are amounts.
+ID_LAYERS, TOP_IDS = ("landform", "province"), 8
+
+
+def environment_profiles(inner: DataFrame, top: int = TOP_IDS) -> DataFrame:
+    """Per region with any of the layers: climate and forest means and class, ocean's
+    range and mean, samples, different ids and the top ids of landforms and
+    provinces, and labels. What a region lacks is null.
+
+    One pass for all layers: cells are dealt by region, equal values of a layer are
+    counted, and a region's few hundred counts make its row; the ids of a layer come
+    from their counts, most frequent first, ties by id.
+    """
+    t, r = C.climate_bits(F.col("raw"))
+    counts = inner.where(F.col("layer").isin("climate", "forest", "ocean", *ID_LAYERS) & F.col("raw").isNotNull()).repartition(*REGION_KEYS).groupBy(*REGION_KEYS, "layer", "raw").agg(F.count(F.lit(1)).alias("n"))
+    n = F.col("n")
+    of = lambda layer, c: F.when(F.col("layer") == layer, c)
+    cells = lambda layer: F.sum(of(layer, n))
+    mean = lambda layer, c: F.sum(of(layer, c * n)).cast("double") / cells(layer)
+    bounded = F.greatest(F.lit(0), F.least(F.lit(255), F.col("raw")))
+    out = [cells("climate").alias("climate_cells"), mean("climate", t).alias("temperature"), mean("climate", r).alias("rain"), cells("forest").alias("forest_cells"), (mean("forest", bounded) / 255.0).alias("density")]
+    out += [cells("ocean").alias("ocean_cells"), F.min(of("ocean", F.col("raw"))).alias("ocean_low"), F.max(of("ocean", F.col("raw"))).alias("ocean_high"), mean("ocean", F.col("raw").cast("long")).alias("ocean_mean")]
+    for layer in ID_LAYERS:
+        ranked = F.array_sort(F.collect_list(of(layer, F.struct((-n).alias("less"), "raw"))))
+        ids = F.transform(F.slice(ranked, 1, top), lambda s: s["raw"])
+        out += [cells(layer).alias(f"{layer}_cells"), F.nullif(F.count(of(layer, F.lit(1))), F.lit(0)).alias(f"{layer}_ids"), F.when(cells(layer).isNotNull(), ids).alias(f"{layer}_top")]
+    rows = counts.groupBy(*REGION_KEYS).agg(*out)
+    density = C.forest_density(F.floor(F.col("density") * 255 + 0.5))
+    named = rows.withColumn("forest_class", F.when(density.isNotNull(), C.forest_class(density)))
+    return named.withColumn("labels", C.environment_labels(F.col("temperature"), F.col("rain"), F.col("density")))
 
 
 def coverage_cells(regions: DataFrame, size_x: int, size_z: int) -> DataFrame:
     """Every cell of the regions' bounding grid: present, world and display bounds."""
     present = regions.select("rx", "rz").distinct()
     box = present.agg(F.min("rx").alias("a"), F.max("rx").alias("b"), F.min("rz").alias("c"), F.max("rz").alias("d")).where("a IS NOT NULL")
-    grid = box.select(F.explode(F.sequence("a", "b")).alias("rx"), "c", "d").select("rx", F.explode(F.sequence("c", "d")).alias("rz"))
+    lines = G.dealt_out(box.select(F.explode(F.sequence("a", "b")).alias("rx"), "c", "d"), "rx")
+    grid = lines.select("rx", F.explode(F.sequence("c", "d")).alias("rz"))
     cells = grid.join(present.withColumn("_p", F.lit(True)), ["rx", "rz"], "left")
     return cells.select(
         "rx", "rz", F.coalesce("_p", F.lit(False)).alias("present"),

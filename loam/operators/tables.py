@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from .dims import small
+from .regions import regions_met
+from .tiles import cover_pixels, request_axes
 
 
 def missing_only(wanted: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
@@ -44,20 +47,66 @@ def layer_completeness(missing: dict[str, DataFrame]) -> DataFrame:
     """layer, done and the revision's state, from what each layer still misses:
     READY if all are done, PARTIAL if some, else NOT_PREPARED."""
     rows = [df.agg((F.count(F.lit(1)) == 0).alias("done")).select(F.lit(layer).alias("layer"), "done") for layer, df in missing.items()]
-    all_ = reduce(DataFrame.union, rows)
-    state = all_.agg(F.when(F.min("done"), "READY").when(F.max("done"), "PARTIAL").otherwise("NOT_PREPARED").alias("revision"))
-    return all_.crossJoin(state)  # a few layers, one state
+    all_ = Window.partitionBy(F.lit(0))  # a row for each layer
+    state = F.when(F.min("done").over(all_), "READY").when(F.max("done").over(all_), "PARTIAL").otherwise("NOT_PREPARED")
+    return reduce(DataFrame.union, rows).withColumn("revision", state)
 
 
-def stored_columns(stored: DataFrame, circles: DataFrame, size_x: int, size_z: int) -> DataFrame:
-    """Rows of stored columns (x, z, size_x, size_z, ..) in each circle (circle, cx,
-    cz, radius), with served. A circle is served only if it lies in the world and
-    every column of it is stored for a world of this size; else it has one row
-    whose columns are null, and its caller goes to the source."""
-    cells = G.circle_cells(circles).select("circle", "x", "z")
+def first_kept(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The first delivery of each key, by order, with repeats, the number of later
+    ones, which don't count."""
+    rest = [c for c in rows.columns if c not in keys]
+    first = F.min_by(F.struct(*rest), F.struct(*order, *[c for c in rest if c not in order])).alias("first")
+    return rows.groupBy(*keys).agg(first, (F.count(F.lit(1)) - 1).alias("repeats")).select(*keys, *[F.col(f"first.{c}").alias(c) for c in rest], "repeats")
+
+
+def in_regions(stored: DataFrame, circles: DataFrame) -> DataFrame:
+    """Rows of a stored table partitioned by rx, rz in the regions that circles (cx,
+    cz, radius) meet. The join prunes the table's folders when it runs."""
+    wanted = regions_met(circles.where("radius >= 0").withColumn("radius", F.col("radius") + 1)).select("rx", "rz").distinct()
+    return stored.join(small(wanted), ["rx", "rz"], "left_semi")
+
+
+def _held(stored: DataFrame, circles: DataFrame, size_x: int, size_z: int) -> tuple[DataFrame, DataFrame]:
+    """Cells of circles with what is stored, and circle, served."""
+    cells = G.circle_cells(circles).select("circle", "x", "z", G.to_region(G.to_chunk(F.col("x"))).alias("rx"), G.to_region(G.to_chunk(F.col("z"))).alias("rz"))
     fits = (F.col("size_x") == size_x) & (F.col("size_z") == size_z)
-    joined = cells.join(stored.withColumn("_fits", fits).drop("size_x", "size_z"), ["x", "z"], "left")
+    near = in_regions(stored, circles).withColumn("_fits", fits).drop("size_x", "size_z")
+    joined = cells.join(near, ["rx", "rz", "x", "z"], "left").drop("rx", "rz")
     inside = G.in_world(F.col("x"), size_x) & G.in_world(F.col("z"), size_z)
     gate = joined.groupBy("circle").agg(F.min(inside & F.coalesce("_fits", F.lit(False))).alias("served"))
-    rows = joined.drop("_fits").join(gate.where("served"), "circle")
+    return joined.drop("_fits"), gate
+
+
+def stored_columns(stored: DataFrame, circles: DataFrame, size_x: int, size_z: int) -> DataFrame:
+    """Rows of stored columns (rx, rz, x, z, size_x, size_z, ..) in each circle
+    (circle, cx, cz, radius), with served. A circle is served only if it lies in the
+    world and every column of it is stored for a world of this size; else it has one
+    row whose columns are null, and its caller goes to the source. Only the regions
+    that a circle meets are read."""
+    joined, gate = _held(stored, circles, size_x, size_z)
+    rows = joined.join(gate.where("served"), "circle")
+    return rows.unionByName(gate.where("NOT served"), allowMissingColumns=True)
+
+
+def stored_legend(stored: DataFrame, circles: DataFrame, size_x: int, size_z: int) -> DataFrame:
+    """circle, served, state, rock_code, columns of stored rock columns: what
+    stored_columns() would give, counted while it is read, so no row of a column
+    leaves its task. A circle that can't be served has one row without counts."""
+    joined, gate = _held(stored, circles, size_x, size_z)
+    counts = joined.groupBy("circle", "state", "rock_code").agg(F.count(F.lit(1)).alias("columns"))
+    rows = counts.join(gate.where("served"), "circle")
+    return rows.unionByName(gate.where("NOT served"), allowMissingColumns=True)
+
+
+def stored_pixels(stored: DataFrame, circles: DataFrame, size_x: int, size_z: int) -> DataFrame:
+    """circle, served, px, pz, class: the pixels of each circle's raster (circle, cx,
+    cz, radius, pixels_per_block) that the stored surface inside it covers; of the
+    columns that cover a pixel the last counts, in the order of mapchunk z, mapchunk x,
+    z, x. Pixels are made as columns are read, and no column makes a row of its own.
+    A circle that can't be served has one row without a pixel."""
+    joined, gate = _held(stored, circles, size_x, size_z)
+    sized = request_axes(circles).select("circle", "x0", "z0", (F.col("raster") / F.col("width").cast("double")).alias("scale"), "raster")
+    pixels = cover_pixels(joined.where("class IS NOT NULL").join(small(sized), "circle"), ["circle"])
+    rows = pixels.join(gate.where("served"), "circle")
     return rows.unionByName(gate.where("NOT served"), allowMissingColumns=True)

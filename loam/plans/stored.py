@@ -4,20 +4,21 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import codes as C
 from ..functions import colours as P
 from ..functions import geometry as G
 from ..operators import graph, ore, regions, rock, surface, tiles
 from ..operators.graph import store
-from ..operators.tables import stored_columns
-from ..sources import decode, encode
+from ..operators.tables import stored_columns, stored_legend, stored_pixels
+from ..sources import decode, encode, published, savefile
 from ..sources import payloads as Payload
 from ..sources import tables as T
 from .base import Plans
 from .scalars import LABELS_SQL
 from .worlds import PROFILES, SOILMAP, SURFACE, inner, resolved, rock_sql, upper, world_header
-from .worldviews import SIZE_Y, SIZE_Z
+from .worldviews import SIZE_Y, SIZE_Z, for_oracle
 
 plans = Plans()
 queries, oracle_sql = plans.queries, plans.oracle_sql
@@ -126,14 +127,14 @@ def d9(w):
 
 
 def broken_mapchunks(w):
-    """Raw mapchunks of the heights; the one at (1, 1) is cut short."""
+    """Raw mapchunks of the heights; the one at (1, 1) of each strip is cut short."""
     rows = encode.raw_mapchunks(w.heights)
-    return rows.withColumn("data", F.when((F.col("mx") == 1) & (F.col("mz") == 1), F.expr("substring(data, 1, 50)")).otherwise(F.col("data"))).select("position", "data")
+    return rows.withColumn("data", F.when((F.col("mx") % 3 == 1) & (F.col("mz") == 1), F.expr("substring(data, 1, 50)")).otherwise(F.col("data"))).select("position", "data")
 
 
-@plans("s4_lookup_mapchunks", "SELECT x // 32 AS mx, z // 32 AS mz, count(*) AS columns FROM heights WHERE x // 32 = z // 32 GROUP BY ALL")
+@plans("s4_lookup_mapchunks", "SELECT x // 32 AS mx, z // 32 AS mz, count(*) AS columns FROM heights WHERE x // 32 % 3 = z // 32 GROUP BY ALL")
 def s4(w):
-    wanted = w.voxels.select(G.to_chunk(F.col("x")).alias("mx")).distinct().withColumn("mz", F.col("mx"))
+    wanted = w.voxels.select(G.to_chunk(F.col("x")).alias("mx")).distinct().withColumn("mz", F.col("mx") % 3)
     keys = wanted.select(G.encode_position(F.col("mx"), F.lit(0), F.col("mz"), F.lit(0)).alias("position"))
     found = encode.raw_mapchunks(w.heights).select("position", "data").join(keys, "position", "left_semi")
     h = decode.decode_heights(found).withColumn("p", G.decode_position(F.col("position")))
@@ -144,9 +145,9 @@ def s4(w):
 
 
 @plans("s5_lookup_mapchunks_status", """
-SELECT mx::INT AS mx, mz::INT AS mz, CASE WHEN (mx, mz) NOT IN (SELECT (x // 32, z // 32) FROM heights) THEN 'ABSENT' WHEN mx = 1 AND mz = 1 THEN 'PRESENT_UNREADABLE' ELSE 'PRESENT_DECODED' END AS read_status FROM range(0, 4) a(mx), range(0, 3) b(mz)""")
+SELECT mx::INT AS mx, mz::INT AS mz, CASE WHEN (mx, mz) NOT IN (SELECT (x // 32, z // 32) FROM heights) THEN 'ABSENT' WHEN mx % 3 = 1 AND mz = 1 THEN 'PRESENT_UNREADABLE' ELSE 'PRESENT_DECODED' END AS read_status FROM (SELECT unnest(range(0, 3 * scale + 1)) AS mx FROM extent) a, range(0, 3) b(mz)""")
 def s5(w):
-    asked = w.spark.range(4).select(F.col("id").cast("int").alias("mx"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("mz"))
+    asked = w.spark.range(3 * w.scale + 1).select(F.col("id").cast("int").alias("mx"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("mz"))
     return decode.mapchunk_status(asked, broken_mapchunks(w)).select("mx", "mz", "read_status")
 
 
@@ -190,11 +191,16 @@ def s13(w):
     return rows.select("rx", "rz", F.array_join("labels", ",").alias("labels"), "complete")
 
 
-@plans("s14_write_resource_index", "SELECT x // 32 AS cx, y // 32 AS cy, z // 32 AS cz, block_id, x % 32 AS lx, z % 32 AS lz, bit_or(1::BIGINT << (y % 32)) AS y_mask FROM voxels GROUP BY ALL")
+OCCURRENCES = "SELECT x // 32 AS cx, y // 32 AS cy, z // 32 AS cz, block_id, x % 32 AS lx, z % 32 AS lz, bit_or(1::BIGINT << (y % 32)) AS y_mask FROM voxels GROUP BY ALL"
+
+
+@plans("s14_write_resource_index", f"SELECT o.* FROM ({OCCURRENCES}) o JOIN chunk_cov c ON c.cx = o.cx AND c.cy = o.cy AND c.cz = o.cz WHERE status = 'AVAILABLE'")
 def s14(w):
-    path = scratch(w, "index")
-    T.write_resource_index(ore.y_masks(w.voxels), w.chunk_cov, path)
-    return w.spark.read.parquet(f"{path}/occurrences").drop("rx", "rz")
+    w.keep_voxels()
+    path, masks = scratch(w, "index"), ore.y_masks(w.voxels)
+    for part in ("cx % 2 = 0", "cx % 2 = 1", "cy = 1"):  # three publications, the last of chunks that are stored
+        T.write_resource_index(masks, w.chunk_cov.where(part), path)
+    return published.read(w.spark, path, T.OCCURRENCES, masks.schema).drop("rx", "rz")
 
 
 @plans("s15_write_catalog", "SELECT DISTINCT cx, cy, cz FROM arrivals")
@@ -211,7 +217,7 @@ LAYERS = ("header", "terrain", "surface", "regions", "upper_rock", "resources")
 @plans("p12_prepare_tables", """
 SELECT run::INT AS run, layer, CASE run WHEN 1 THEN added ELSE 0 END AS added, true AS complete FROM range(1, 3) r(run), (
   SELECT 'header' AS layer, 1 AS added UNION ALL SELECT 'terrain', count(*) FROM heights UNION ALL SELECT 'surface', count(DISTINCT (x // 32, z // 32)) * 1024 FROM voxels
-  UNION ALL SELECT 'regions', count(DISTINCT (rx, rz)) FROM layer_cells WHERE layer IN ('climate', 'forest') AND lx BETWEEN 1 AND 16 AND lz BETWEEN 1 AND 16
+  UNION ALL SELECT 'regions', count(DISTINCT (rx, rz)) FROM layer_cells WHERE layer NOT LIKE 'ore:%' AND lx BETWEEN 1 AND 16 AND lz BETWEEN 1 AND 16
   UNION ALL SELECT 'upper_rock', count(DISTINCT (x, z)) FROM voxels
   UNION ALL SELECT 'resources', count(DISTINCT (x, z, y // 32, block_id)) FROM voxels v JOIN chunk_cov c ON cx = x // 32 AND cy = y // 32 AND cz = z // 32 WHERE status = 'AVAILABLE')""")
 def p12(w):
@@ -241,18 +247,19 @@ def p12(w):
 
 
 @plans("p14_load_tile", """
-WITH m AS (SELECT mx::INT AS mx, mz::INT AS mz FROM range(20 // 32, 89 // 32 + 1) a(mx), range(0, 69 // 32 + 1) b(mz)),
+WITH m AS (SELECT (3 * s + i)::INT AS mx, mz::INT AS mz FROM (SELECT unnest(range(0, scale)) AS s FROM extent) strip, range(20 // 32, 89 // 32 + 1) a(i), range(0, 69 // 32 + 1) b(mz)),
   h AS (SELECT x // 32 AS mx, z // 32 AS mz, count(*) AS n FROM heights GROUP BY ALL),
-  one AS (SELECT 1 AS pass, m.mx, m.mz, CASE WHEN n IS NULL THEN 'ABSENT' WHEN (m.mx + m.mz) % 2 = 1 THEN 'STORED' WHEN m.mx = 1 AND m.mz = 1 THEN 'PRESENT_UNREADABLE' ELSE 'PRESENT_DECODED' END AS source, n FROM m LEFT JOIN h ON h.mx = m.mx AND h.mz = m.mz),
+  one AS (SELECT 1 AS pass, m.mx, m.mz, CASE WHEN n IS NULL THEN 'ABSENT' WHEN (m.mx + m.mz) % 2 = 1 THEN 'STORED' WHEN m.mx % 3 = 1 AND m.mz = 1 THEN 'PRESENT_UNREADABLE' ELSE 'PRESENT_DECODED' END AS source, n FROM m LEFT JOIN h ON h.mx = m.mx AND h.mz = m.mz),
   both_ AS (SELECT pass, mx, mz, source, CASE source WHEN 'STORED' THEN n WHEN 'PRESENT_DECODED' THEN 1024 ELSE 0 END AS heights FROM one
     UNION ALL SELECT 2, mx, mz, CASE source WHEN 'PRESENT_DECODED' THEN 'STORED' ELSE source END, CASE source WHEN 'STORED' THEN n WHEN 'PRESENT_DECODED' THEN 1024 ELSE 0 END FROM one)
-SELECT pass, mx, mz, source, heights, CASE WHEN mx = 2 OR (mx, mz) NOT IN (SELECT (x // 32, z // 32) FROM voxels) THEN 0 ELSE 1024 END::BIGINT AS surface, min(heights) OVER (PARTITION BY pass) > 0 AS terrain_complete, false AS surface_complete FROM both_""")
+SELECT pass, mx, mz, source, heights, CASE WHEN mx % 3 = 2 OR (mx, mz) NOT IN (SELECT (x // 32, z // 32) FROM voxels) THEN 0 ELSE 1024 END::BIGINT AS surface, min(heights) OVER (PARTITION BY pass) > 0 AS terrain_complete, false AS surface_complete FROM both_""")
 def p14(w):
     w.keep_voxels()
     terrain, surf, at = scratch(w, "terrain"), scratch(w, "surface"), {"mx": G.to_chunk(F.col("x")), "mz": G.to_chunk(F.col("z"))}
     T.write_terrain(w.heights.withColumns(at).where("(mx + mz) % 2 = 1").select("x", "z", "rain_y", "terrain_y"), terrain)
-    T.write_surface(T.surface_tiles(resolved(w), mapchunks(w).where("mx <> 2")), surf)
-    asked = G.rect_clip(w.spark.range(1).selectExpr("20 AS x0", "90 AS x1", "-5 AS z0", "70 AS z1"), w.size[0], SIZE_Z).select("mx", "mz")
+    T.write_surface(T.surface_tiles(resolved(w), mapchunks(w).where("mx % 3 <> 2")), surf)
+    rects = w.sql("SELECT CAST(96 * s + 20 AS INT) AS x0, CAST(96 * s + 90 AS INT) AS x1, -5 AS z0, 70 AS z1 FROM :strips")
+    asked = G.rect_clip(rects, w.size[0], SIZE_Z).select("mx", "mz")
     passes = [T.load_tile(asked, broken_mapchunks(w), terrain, surf).select(F.lit(n).alias("pass"), "*") for n in (1, 2)]
     return passes[0].unionByName(passes[1])
 
@@ -275,19 +282,44 @@ SELECT circle, served, x, z, state, rock_id, rock_code, y FROM held JOIN gate US
 def p15(w):
     path, size = scratch(w, "rock"), (w.size[0], SIZE_Z)
     T.write_upper_rock(upper(w).withColumns({"size_x": F.lit(size[0]), "size_z": F.lit(size[1])}), path)
-    stored = w.spark.read.parquet(path).drop("rx", "rz")
+    stored = w.spark.read.parquet(path)
     return stored_columns(stored, stored_circles(w, 45, 5, 20), *size).select("circle", "served", "x", "z", "state", "rock_id", "rock_code", "y")
 
 
+@plans("p15_rock_legend_stored", f"""
+WITH {rock_sql(0, 127)}, {circles_sql(45, 5, 20, 'rock')}
+SELECT circle, served, state, rock_code, count(*) AS columns FROM held JOIN gate USING (circle) WHERE served GROUP BY ALL UNION ALL SELECT circle, served, NULL, NULL, NULL FROM gate WHERE NOT served""")
+def p15_legend(w):
+    path, size = scratch(w, "rock"), (w.size[0], SIZE_Z)
+    T.write_upper_rock(upper(w).withColumns({"size_x": F.lit(size[0]), "size_z": F.lit(size[1])}), path)
+    return stored_legend(w.spark.read.parquet(path), stored_circles(w, 45, 5, 20), *size)
+
+
+STORED_SURFACE = f"{SURFACE}, {TILES}, stored AS (SELECT t.x, t.z, class FROM tiles t LEFT JOIN surf s ON s.x = t.x AND s.z = t.z WHERE NOT (t.x // 32 % 3 = 2 AND t.z // 32 = 2)), {circles_sql(30, 48, 28, 'stored')}"
+
+
+def stored_surface(w):
+    path = scratch(w, "surface")
+    tiles_ = T.surface_tiles(resolved(w), mapchunks(w).where("NOT (mx % 3 = 2 AND mz = 2)"))
+    T.write_surface(tiles_.withColumns({"size_x": F.lit(w.size[0]), "size_z": F.lit(SIZE_Z)}), path)
+    return w.spark.read.parquet(path)
+
+
 @plans("p16_surface_stored", f"""
-WITH {SURFACE}, {TILES}, stored AS (SELECT t.x, t.z, class FROM tiles t LEFT JOIN surf s ON s.x = t.x AND s.z = t.z WHERE NOT (t.x // 32 % 3 = 2 AND t.z // 32 = 2)), {circles_sql(30, 48, 28, 'stored')}
+WITH {STORED_SURFACE}
 SELECT circle, served, x, z, class FROM held JOIN gate USING (circle) WHERE served UNION ALL SELECT circle, served, NULL, NULL, NULL FROM gate WHERE NOT served""")
 def p16(w):
-    path, size = scratch(w, "surface"), (w.size[0], SIZE_Z)
-    tiles_ = T.surface_tiles(resolved(w), mapchunks(w).where("NOT (mx % 3 = 2 AND mz = 2)"))
-    T.write_surface(tiles_.withColumns({"size_x": F.lit(size[0]), "size_z": F.lit(size[1])}), path)
-    stored = w.spark.read.parquet(path).drop("rx", "rz")
-    return stored_columns(stored, stored_circles(w, 30, 48, 28), *size).select("circle", "served", "x", "z", "class")
+    return stored_columns(stored_surface(w), stored_circles(w, 30, 48, 28), w.size[0], SIZE_Z).select("circle", "served", "x", "z", "class")
+
+
+@plans("p16_surface_pixels_stored", f"""
+WITH {STORED_SURFACE}, boxed AS (SELECT circle, x, z, class, greatest(0, floor((x - c.cx + 28) * (85 / 56.0::DOUBLE)))::INT AS a, least(85, ceil((x + 1 - c.cx + 28) * (85 / 56.0::DOUBLE)))::INT AS b,
+    greatest(0, floor((z - c.cz + 28) * (85 / 56.0::DOUBLE)))::INT AS c, least(85, ceil((z + 1 - c.cz + 28) * (85 / 56.0::DOUBLE)))::INT AS d FROM held JOIN gate USING (circle) JOIN circles c USING (circle) WHERE served AND class IS NOT NULL)
+SELECT circle, true AS served, px::INT AS px, pz::INT AS pz, arg_max(class, {{'a': z // 32, 'b': x // 32, 'c': z, 'd': x}}) AS class FROM boxed, range(0, 85) p(px), range(0, 85) q(pz) WHERE px >= a AND px < b AND pz >= c AND pz < d GROUP BY circle, px, pz
+UNION ALL SELECT circle, served, NULL, NULL, NULL FROM gate WHERE NOT served""")
+def p16_pixels(w):
+    circles = stored_circles(w, 30, 48, 28).withColumn("pixels_per_block", F.expr("CAST(1.5 AS DOUBLE)"))
+    return stored_pixels(stored_surface(w), circles, w.size[0], SIZE_Z)
 
 
 # -- tiles
@@ -309,13 +341,34 @@ def r1(w):
     return tiles.sample_grid(bounds(w), 2)
 
 
+RASTERS = "SELECT CAST(s_suppkey AS INT) AS s_suppkey, CAST(s_suppkey * 7 % (96 * :scale) AS INT) AS cx, CAST(s_suppkey * 5 % 96 AS INT) AS cz, CAST(2 + s_suppkey % 12 AS INT) AS radius, CAST(1 + s_suppkey % 3 AS INT) AS pixels_per_block FROM {supplier}"
+
+
+def raster_sql(width, raster, offset):
+    """Pixels of each request's raster with the column that each one shows."""
+    at = lambda c, p: f"c{c} - radius + least(width - 1, {offset.format(p=p)})"
+    return f"""WITH req AS (SELECT *, {width} AS width FROM ({for_oracle(RASTERS)})), sized AS (SELECT *, {raster} AS raster FROM req),
+  at_ AS (SELECT s_suppkey, px::INT AS px, pz::INT AS pz, ({at("x", "px")})::INT AS x, ({at("z", "pz")})::INT AS z FROM sized, range(0, 80) a(px), range(0, 80) b(pz) WHERE px < raster AND pz < raster)
+SELECT s_suppkey, px, pz, at_.x, at_.z, rain_y FROM at_ JOIN heights h ON h.x = at_.x AND h.z = at_.z"""
+
+
+@plans("r1_request_raster", raster_sql("2 * radius", "least(greatest(2 * radius * pixels_per_block + 1, 64), 4096)", "floor({p} / (raster / width::DOUBLE))"))
+def r1_request(w):
+    return tiles.raster_samples(w.heights.select("x", "z", "rain_y"), tiles.request_axes(w.sql(RASTERS)), "s_suppkey")
+
+
+@plans("r1_rock_raster", raster_sql("2 * radius + 1", "least(width, 16)", "floor(({p} + 0.5::DOUBLE) * width / raster::DOUBLE)"))
+def r1_rock(w):
+    return tiles.raster_samples(w.heights.select("x", "z", "rain_y"), tiles.rock_axes(w.sql(RASTERS), 16), "s_suppkey")
+
+
 @plans("r2_raster_size", "SELECT c_custkey, least(greatest((c_custkey % 3000) * 2 * (c_custkey % 4 + 1) + 1, 64), 4096)::INT AS raster FROM customer")
 def r2(w):
     return w.table("customer").select("c_custkey", tiles.raster_size(F.expr("c_custkey % 3000"), F.expr("c_custkey % 4 + 1")).alias("raster"))
 
 
 def shade_sql(step):
-    return f"""sh AS (SELECT h.x, h.z, h.rain_y AS h, coalesce(least(greatest((-(e.rain_y - w.rain_y)::DOUBLE * 0.55::DOUBLE - (s.rain_y - n.rain_y)::DOUBLE * 0.75::DOUBLE) / 32.0::DOUBLE, -0.35::DOUBLE), 0.35::DOUBLE), 0.0::DOUBLE) AS shade
+    return f"""sh AS (SELECT h.x, h.z, h.rain_y AS h, CASE WHEN e.rain_y + w.rain_y + s.rain_y + n.rain_y IS NULL THEN 0.0::DOUBLE ELSE least(greatest((-(e.rain_y - w.rain_y)::DOUBLE * 0.55::DOUBLE - (s.rain_y - n.rain_y)::DOUBLE * 0.75::DOUBLE) / 32.0::DOUBLE, -0.35::DOUBLE), 0.35::DOUBLE) END AS shade
   FROM heights h LEFT JOIN heights w ON w.x = h.x - {step} AND w.z = h.z LEFT JOIN heights e ON e.x = h.x + {step} AND e.z = h.z
   LEFT JOIN heights n ON n.x = h.x AND n.z = h.z - {step} LEFT JOIN heights s ON s.x = h.x AND s.z = h.z + {step}), span AS (SELECT min(rain_y) AS low, max(rain_y) AS high FROM heights)"""
 
@@ -374,10 +427,12 @@ def r6(w):
 
 
 @plans("r7_surface_cover", f"""
-WITH {SURFACE} SELECT px::INT AS px, pz::INT AS pz, arg_max(class, {{'a': z // 32, 'b': x // 32, 'c': z, 'd': x}}) AS class FROM surf, range(0, 64) p(px), range(0, 64) q(pz)
-WHERE px >= floor(x * 0.625::DOUBLE) AND px < least(ceil((x + 1) * 0.625::DOUBLE), 64) AND pz >= floor(z * 0.625::DOUBLE) AND pz < least(ceil((z + 1) * 0.625::DOUBLE), 64) GROUP BY ALL""")
+WITH {SURFACE}, near AS (SELECT surf.*, s, x - 96 * s AS dx FROM surf, (SELECT unnest(range(0, scale)) AS s FROM extent) strip)
+SELECT s::INT AS raster_id, px::INT AS px, pz::INT AS pz, arg_max(class, {{'a': z // 32, 'b': x // 32, 'c': z, 'd': x}}) AS class FROM near, range(0, 64) p(px), range(0, 64) q(pz)
+WHERE px >= floor(dx * 0.625::DOUBLE) AND px < least(ceil((dx + 1) * 0.625::DOUBLE), 64) AND pz >= floor(z * 0.625::DOUBLE) AND pz < least(ceil((z + 1) * 0.625::DOUBLE), 64) GROUP BY ALL""")
 def r7(w):
-    return tiles.surface_cover(resolved(w).select("x", "z", "class"), 0, 0, 0.625, 64)
+    rasters = w.sql("SELECT CAST(s AS INT) AS raster_id, CAST(96 * s AS INT) AS x0, 0 AS z0, CAST(0.625 AS DOUBLE) AS scale, 64 AS raster FROM :strips")
+    return tiles.surface_cover(resolved(w), rasters)
 
 
 def rock_colour_sql(highlight=None):
@@ -422,10 +477,10 @@ def environment_sql():
     return f"CASE WHEN len(labels) > 0 THEN {argb_sql(*mean)} ELSE {argb_sql(*tint)} END"
 
 
-@plans("r10_region_argb", f"WITH {PROFILES} SELECT rx, rz, {environment_sql()} AS argb, {hsv_sql('(((rx * 7 + 50)::DOUBLE * 0.6180339887498949::DOUBLE) - floor((rx * 7 + 50)::DOUBLE * 0.6180339887498949::DOUBLE))', 0.55, 0.95)} AS province FROM (SELECT *, {LABELS_SQL} AS labels FROM prof)")
+@plans("r10_region_argb", f"WITH {PROFILES} SELECT rx, rz, {environment_sql()} AS argb, {hsv_sql('((id::DOUBLE * 0.6180339887498949::DOUBLE) - floor(id::DOUBLE * 0.6180339887498949::DOUBLE))', 0.55, 0.95)} AS province FROM (SELECT *, province_top[1] AS id, {LABELS_SQL} AS labels FROM prof)")
 def r10(w):
     p = regions.environment_profiles(inner(w))
-    return p.select("rx", "rz", P.environment_argb(F.col("labels"), F.col("density"), F.col("temperature"), F.col("rain")).alias("argb"), P.province_argb(F.col("rx") * 7 + 50).alias("province"))
+    return p.select("rx", "rz", P.environment_argb(F.col("labels"), F.col("density"), F.col("temperature"), F.col("rain")).alias("argb"), P.province_argb(F.get("province_top", 0)).alias("province"))
 
 
 def pyramid_sql(lod):
@@ -437,10 +492,10 @@ def pyramid_sql(lod):
       WHERE px < ceil((x1 - x0) / {b}) AND pz < ceil((z1 - z0) / {b})) g LEFT JOIN sh{lod} sh ON g.x = sh.x AND g.z = sh.z LEFT JOIN surf ON surf.x = g.x AND surf.z = g.z LEFT JOIN soil ON soil.x = g.x AND soil.z = g.z, span) t) u WHERE argb IS NOT NULL"""
 
 
-_SHADES = ", ".join(shade_sql(1 << lod).replace("sh AS (", f"sh{lod} AS (", 1).split(", span AS")[0] for lod in (0, 2, 4))
+_SHADES = ", ".join(shade_sql(1 << lod).replace("sh AS (", f"sh{lod} AS (", 1).split(", span AS")[0] for lod in range(6))
 
 
-@plans("p13_tile_pyramid", f"WITH {SOILMAP}, {BOUNDS}, {_SHADES}, span AS (SELECT min(rain_y) AS low, max(rain_y) AS high FROM heights) {' UNION ALL '.join(pyramid_sql(lod) for lod in (0, 2, 4))}")
+@plans("p13_tile_pyramid", f"WITH {SOILMAP}, {BOUNDS}, {_SHADES}, span AS (SELECT min(rain_y) AS low, max(rain_y) AS high FROM heights) {' UNION ALL '.join(pyramid_sql(lod) for lod in range(6))}")
 def p13(w):
     surf, _ = store(resolved(w), "surface")
     return tiles.tile_pyramid(bounds(w), w.heights.select("x", "z", F.col("rain_y").alias("height")), surf, surface.soil_map(surf, w.registry))
@@ -449,26 +504,55 @@ def p13(w):
 # -- streams
 
 
-def arriving(w):
-    """Arrivals as a stream of files, in the order of event_id."""
-    path = scratch(w, "arrivals")
-    w.arrivals.repartitionByRange(4, "event_id").write.parquet(path)
-    return w.spark.readStream.schema(w.arrivals.schema).option("maxFilesPerTrigger", 2).parquet(path)
+SAVED = "SELECT DISTINCT CAST(user_id % 4 AS INT) AS w, CAST(user_id % 500 AS INT) AS mx, CAST(event_id % 30 AS INT) AS mz, event_id % 13 = 0 AS other FROM {events}"
 
 
-@plans("t1_stream_discovery", "SELECT DISTINCT cx, cy, cz FROM arrivals")
+@plans("t1_stream_discovery", f"SELECT DISTINCT 'world' || w AS world, mx, mz, true AS complete FROM ({SAVED.replace('{events}', 'events')}) WHERE NOT other")
 def t1(w):
     from ..streaming import refresh
 
-    path = scratch(w, "discovered")
-    refresh.stream_discovery(arriving(w), path, scratch(w, "offsets")).awaitTermination()
-    return w.spark.read.parquet(f"{path}/keys")
-
-
-@plans("t2_stream_index", "SELECT cx, cy, cz, max(event_id) AS event_id, arg_max(status, event_id) AS status FROM arrivals GROUP BY cx, cy, cz")
+    rows = w.sql(SAVED).select(
+        F.concat(F.lit("world"), "w").alias("world"), G.encode_position(F.col("mx"), F.lit(0), F.col("mz"), F.when(F.col("other"), 2).otherwise(0)).alias("position"), F.lit(b"\0").alias("data"))
+    saves, path = scratch(w, "saves"), scratch(w, "discovered")
+    savefile.write_saves(rows, saves)
+    w.spark.dataSource.register(savefile.SaveFile)
+    pages = w.spark.readStream.format("loam_save").options(table="mapchunk", page=2048, payload="false").load(saves)
+    query = refresh.stream_discovery(pages, path, scratch(w, "offsets"))
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    mark = w.spark.read.parquet(f"{path}/complete")
+    return w.spark.read.parquet(f"{path}/keys").join(F.broadcast(mark))  # one row
+
+
+def delivered(w):
+    """Raw chunks of the voxels as they arrive: first, for a third of them, an old
+    payload, and last, for one in thirteen, one that is cut short; and the order of
+    arrival, in which some old payloads come after the new ones."""
+    whole = encode.raw_chunks(w.voxels)
+    number = F.expr("(cx * 1009 + cy * 31 + cz) * 4")
+    old = encode.raw_chunks(w.voxels.where("y % 3 = 0")).where("(cx + cy + cz) % 3 = 0").withColumn("event_id", number)
+    cut = whole.where("(cx * 5 + cy * 7 + cz * 11) % 13 = 1").withColumns({"data": F.expr("substring(data, 1, 40)"), "event_id": number + 2})
+    rows = old.unionByName(whole.withColumn("event_id", number + 1)).unionByName(cut)
+    return rows.select("event_id", "position", "data", F.expr("event_id + IF(event_id % 4 = 0 AND cx % 2 = 1, 100000, 0)").alias("arrival"))
+
+
+@plans("t2_stream_index", f"""
+WITH o AS (SELECT o.* FROM ({OCCURRENCES}) o JOIN registry r ON r.block_id = o.block_id WHERE code LIKE 'ore-%' OR code LIKE '%:ore-%'),
+  c AS (SELECT cx, cy, cz, (cx * 1009 + cy * 31 + cz) * 4 AS number, (cx * 5 + cy * 7 + cz * 11) % 13 = 1 AS cut FROM chunk_cov)
+SELECT c.cx, c.cy, c.cz, (CASE WHEN cut THEN number + 2 ELSE number + 1 END)::BIGINT AS event_id, CASE WHEN cut THEN 'FAILED' ELSE 'AVAILABLE' END AS status, block_id, lx, lz, y_mask
+FROM c LEFT JOIN o ON NOT cut AND o.cx = c.cx AND o.cy = c.cy AND o.cz = c.cz""")
 def t2(w):
     from ..streaming import refresh
 
-    path = scratch(w, "indexed")
-    refresh.stream_index(arriving(w), path, scratch(w, "offsets")).awaitTermination()
-    return w.spark.read.parquet(path).select("cx", "cy", "cz", "event_id", "status")
+    w.keep_voxels()
+    files, path = scratch(w, "arrivals"), scratch(w, "indexed")
+    rows = store(delivered(w), "delivered")[0]
+    rows.repartitionByRange(4, "arrival").write.parquet(files)
+    stream = w.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(files)
+    refresh.stream_index(stream, w.registry, w.size, path, scratch(w, "offsets")).awaitTermination()
+    found = ore.y_masks(w.voxels).schema
+    coverage = published.read(w.spark, path, T.COVERAGE, StructType.fromDDL("cx int, cy int, cz int, status string, event_id long"))
+    occurrences = published.read(w.spark, path, T.OCCURRENCES, found).drop("rx", "rz")
+    return coverage.join(occurrences, ["cx", "cy", "cz"], "left").select("cx", "cy", "cz", "event_id", "status", "block_id", "lx", "lz", "y_mask")

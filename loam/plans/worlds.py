@@ -325,18 +325,23 @@ def a9(w):
     return regions.forest_summary(inner(w))
 
 
-@plans("a10_value_summary", f"WITH {INNER} SELECT rx, rz, count(*) AS cells, min(raw) AS low, max(raw) AS high, avg(raw) AS mean FROM inn WHERE layer = 'ore:1' GROUP BY rx, rz")
+@plans("a10_value_summary", f"WITH {INNER} SELECT rx, rz, count(*) AS cells, min(raw) AS low, max(raw) AS high, avg(raw) AS mean FROM inn WHERE layer = 'ocean' GROUP BY rx, rz")
 def a10(w):
-    return regions.value_summary(inner(w), "ore:1")
+    return regions.value_summary(inner(w), "ocean")
 
 
-IDS = f"""{INNER}, ids AS (SELECT rx, rz, raw AS id, count(*) AS cells FROM inn WHERE layer = 'forest' GROUP BY ALL),
-  tops AS (SELECT *, (sum(cells) OVER r)::BIGINT AS samples, count(*) OVER r AS ids, row_number() OVER (PARTITION BY rx, rz ORDER BY cells DESC, id) AS place FROM ids WINDOW r AS (PARTITION BY rx, rz))"""
+IDS = f"""{INNER}, ids AS (SELECT layer, rx, rz, raw AS id, count(*) AS cells FROM inn WHERE layer IN ('landform', 'province') GROUP BY ALL),
+  tops AS (SELECT *, (sum(cells) OVER r)::BIGINT AS samples, count(*) OVER r AS ids, row_number() OVER (PARTITION BY layer, rx, rz ORDER BY cells DESC, id) AS place FROM ids WINDOW r AS (PARTITION BY layer, rx, rz))"""
 
 
-@plans("a11_id_summary", f"WITH {IDS} SELECT DISTINCT rx, rz, samples, ids FROM tops")
+def id_summaries(w):
+    both = [regions.id_summary(inner(w), layer).select(F.lit(layer).alias("layer"), "*") for layer in regions.ID_LAYERS]
+    return both[0].unionByName(both[1])
+
+
+@plans("a11_id_summary", f"WITH {IDS} SELECT DISTINCT layer, rx, rz, samples, ids FROM tops")
 def a11(w):
-    return regions.id_summary(inner(w), "forest").select("rx", "rz", "samples", "ids").distinct()
+    return id_summaries(w).select("layer", "rx", "rz", "samples", "ids").distinct()
 
 
 @plans("a12_signal_dataset", f"WITH {INNER} SELECT substr(layer, 5) AS resource, min(raw) AS low, max(raw) AS high, avg(raw) AS mean, count(DISTINCT raw) AS values, count(DISTINCT (rx, rz)) AS regions FROM inn WHERE layer LIKE 'ore:%' GROUP BY layer")
@@ -484,7 +489,7 @@ def a26(w):
 
 @plans("w1_top8_ids", f"WITH {IDS} SELECT * FROM tops WHERE place <= 8")
 def w1(w):
-    return regions.id_summary(inner(w), "forest")
+    return id_summaries(w)
 
 
 @plans("w2_first8_raw", f"WITH {INNER} SELECT rx, rz, array_to_string(list(raw ORDER BY lz, lx)[1:8], ',') AS first_raw FROM inn WHERE layer = 'climate' GROUP BY rx, rz")
@@ -540,11 +545,15 @@ def u4(w):
     return at.groupBy(G.to_region(F.col("mx")).alias("rx"), G.to_region(F.col("mz")).alias("rz")).agg(F.count(F.lit(1)).alias("mapchunks"))
 
 
-@plans("u5_duplicate_check", "SELECT cx, cy, cz, count(*) AS n FROM arrivals GROUP BY ALL HAVING count(*) > 1")
+@plans("u5_duplicate_check", """
+SELECT 'REJECTED' AS rule, cx, cy, cz, count(*) AS n, NULL::BIGINT AS kept, NULL AS status FROM arrivals GROUP BY ALL HAVING count(*) > 1
+UNION ALL SELECT 'FIRST_KEPT', cx, cy, cz, count(*), min(event_id), arg_min(status, event_id) FROM arrivals GROUP BY ALL""")
 def u5(w):
-    from ..operators.tables import duplicates
+    from ..operators.tables import duplicates, first_kept
 
-    return duplicates(w.arrivals, CK)
+    rejected = duplicates(w.arrivals, CK).select(F.lit("REJECTED").alias("rule"), *CK, "n", F.lit(None).cast("long").alias("kept"), F.lit(None).cast("string").alias("status"))
+    kept = first_kept(w.arrivals.select(*CK, "event_id", "status"), CK, ["event_id"])
+    return rejected.unionByName(kept.select(F.lit("FIRST_KEPT").alias("rule"), *CK, (F.col("repeats") + 1).alias("n"), F.col("event_id").alias("kept"), "status"))
 
 
 @plans("u6_key_runs", "SELECT min(k) AS first_key, max(k) AS last_key, count(*) AS n FROM (SELECT k, k - row_number() OVER (ORDER BY k) AS g FROM (SELECT DISTINCT l_partkey * 3 // 4 + l_suppkey AS k FROM lineitem)) GROUP BY g")
@@ -610,14 +619,26 @@ def p7(w):
     return surface.soil_map(resolved(w), w.registry)
 
 
+def id_layer_sql(layer):
+    """CTEs: ids of a layer by place, and their number and top 8 per region."""
+    return f"""{layer}_ids AS (SELECT rx, rz, raw AS id, count(*) AS n, row_number() OVER (PARTITION BY rx, rz ORDER BY count(*) DESC, raw) AS place FROM inn WHERE layer = '{layer}' GROUP BY rx, rz, raw),
+  {layer}s AS (SELECT rx, rz, sum(n)::BIGINT AS {layer}_cells, count(*) AS {layer}_ids, list(id ORDER BY place) FILTER (place <= 8) AS {layer}_top FROM {layer}_ids GROUP BY rx, rz)"""
+
+
 PROFILES = f"""{INNER}, cl AS (SELECT rx, rz, count(*) AS climate_cells, avg((raw >> 16) & 255) AS t, avg((raw >> 8) & 255) AS r FROM inn WHERE layer = 'climate' GROUP BY rx, rz),
   fo AS (SELECT rx, rz, count(*) AS forest_cells, avg(raw) / 255.0::DOUBLE AS d FROM inn WHERE layer = 'forest' GROUP BY rx, rz),
-  prof AS (SELECT coalesce(cl.rx, fo.rx) AS rx, coalesce(cl.rz, fo.rz) AS rz, climate_cells, t, r, forest_cells, d FROM cl FULL JOIN fo ON cl.rx = fo.rx AND cl.rz = fo.rz)"""
+  oc AS (SELECT rx, rz, count(*) AS ocean_cells, min(raw) AS ocean_low, max(raw) AS ocean_high, avg(raw) AS ocean_mean FROM inn WHERE layer = 'ocean' GROUP BY rx, rz),
+  {id_layer_sql("landform")}, {id_layer_sql("province")},
+  prof AS (SELECT * FROM (SELECT DISTINCT rx, rz FROM inn WHERE layer NOT LIKE 'ore:%') k LEFT JOIN cl USING (rx, rz) LEFT JOIN fo USING (rx, rz) LEFT JOIN oc USING (rx, rz) LEFT JOIN landforms USING (rx, rz) LEFT JOIN provinces USING (rx, rz))"""
 
+PROFILE = ["ocean_cells", "ocean_low", "ocean_high", "ocean_mean", "landform_cells", "landform_ids", "province_cells", "province_ids"]
 
-@plans("p8_environment_profiles", f"WITH {PROFILES} SELECT rx, rz, climate_cells, t AS temperature, r AS rain, forest_cells, d AS density, {FOREST_SQL.format('(floor(d * 255 + 0.5) / 255.0::DOUBLE)')} AS forest_class, array_to_string({LABELS_SQL}, ',') AS labels FROM prof")
+
+@plans("p8_environment_profiles", f"WITH {PROFILES} SELECT rx, rz, climate_cells, t AS temperature, r AS rain, forest_cells, d AS density, CASE WHEN d IS NOT NULL THEN {FOREST_SQL.format('(floor(d * 255 + 0.5) / 255.0::DOUBLE)')} END AS forest_class, array_to_string({LABELS_SQL}, ',') AS labels, {', '.join(PROFILE)}, array_to_string(landform_top, ',') AS landforms, array_to_string(province_top, ',') AS provinces FROM prof")
 def p8(w):
-    return regions.environment_profiles(inner(w)).withColumn("labels", F.array_join("labels", ","))
+    p = regions.environment_profiles(inner(w))
+    ids = [F.array_join(F.col(f"{layer}_top").cast("array<string>"), ",").alias(f"{layer}s") for layer in regions.ID_LAYERS]
+    return p.select("rx", "rz", "climate_cells", "temperature", "rain", "forest_cells", "density", "forest_class", F.array_join("labels", ",").alias("labels"), *PROFILE, *ids)
 
 
 @plans("p9_region_coverage", """
@@ -647,12 +668,14 @@ REASONS = """array_to_string(list_filter([
 
 @plans("p10_prospecting", f"WITH {EVIDENCE} SELECT request_id, resource, observation, signal, compatibility, geology, observed, no_rock, unavailable, rank, {REASONS} AS reasons FROM ranked")
 def p10(w):
+    w.keep_voxels()
     out = prospecting.prospecting(w.requests, w.voxels, w.registry, w.chunk_cov, ore_signals(w), w.compat, w.size)
     return out.select("request_id", "resource", "observation", "signal", "compatibility", "geology", "observed", "no_rock", "unavailable", "rank", F.array_join("reasons", "; ").alias("reasons"))
 
 
 @plans("w5_assessment_order", f"WITH {EVIDENCE} SELECT request_id, resource, rank, row_number() OVER (PARTITION BY request_id ORDER BY list_position(['CONFIRMED', 'STRONG', 'INTERESTING', 'WEAK', 'UNKNOWN'], rank), resource) AS place FROM ranked")
 def w5(w):
+    w.keep_voxels()
     return prospecting.prospecting(w.requests, w.voxels, w.registry, w.chunk_cov, ore_signals(w), w.compat, w.size).select("request_id", "resource", "rank", "place")
 
 

@@ -63,10 +63,12 @@ FROM {customer}""",
     "layer_cells": """
 SELECT rx, rz, layer, lx, lz, max(raw) AS raw FROM (
  SELECT CAST(o_custkey % (4 * :scale) AS INT) AS rx, CAST(floor(o_custkey/4) % 4 AS INT) AS rz,
-        CASE o_orderstatus WHEN 'O' THEN 'climate' WHEN 'F' THEN 'forest'
+        CASE WHEN o_orderkey % 5 = 0 THEN CASE CAST(floor(o_orderkey/5) % 3 AS INT) WHEN 0 THEN 'ocean' WHEN 1 THEN 'landform' ELSE 'province' END
+             WHEN o_orderstatus = 'O' THEN 'climate' WHEN o_orderstatus = 'F' THEN 'forest'
              ELSE 'ore:' || substr(o_orderpriority, 1, 1) END AS layer,
         CAST(o_orderkey % 18 AS INT) AS lx, CAST(floor(o_orderkey/18) % 18 AS INT) AS lz,
-        CAST(CASE o_orderstatus WHEN 'O' THEN CAST(floor(o_totalprice) AS BIGINT)*40 % 16777216
+        CAST(CASE WHEN o_orderkey % 5 = 0 THEN CAST(floor(o_totalprice) AS BIGINT) % 23
+             WHEN o_orderstatus = 'O' THEN CAST(floor(o_totalprice) AS BIGINT)*40 % 16777216
              ELSE CAST(floor(o_totalprice) AS BIGINT) % 256 END AS INT) AS raw
  FROM {orders}) l GROUP BY rx, rz, layer, lx, lz""",
     "requests": """

@@ -8,9 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..operators.dims import small
 from ..operators.graph import drop, store
 from ..operators.tables import missing_only, require_unique
-from . import decode
+from . import decode, published
+
+#: The two tables of the resource index.
+OCCURRENCES, COVERAGE = "occurrences", "chunk_cov"
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -59,13 +63,20 @@ def write_region_profiles(profiles: DataFrame, path: str) -> None:
     profiles.sparkSession.range(1).select(F.lit("regions").alias("layer"), F.lit(True).alias("complete")).write.mode("overwrite").parquet(f"{path}/layer_status")
 
 
-def write_resource_index(occurrences: DataFrame, coverage: DataFrame, path: str) -> None:
-    """Occurrences and coverage of chunks (cx, cy, cz), replaced by region; a
-    chunk delivered twice is an error."""
+def write_resource_index(occurrences: DataFrame, coverage: DataFrame, path: str, batch: int | None = None) -> None:
+    """Publish coverage (cx, cy, cz, status, ..) of chunks and the occurrences of the
+    AVAILABLE ones, in one publication: what was stored of these chunks goes, all
+    other chunks stay. A chunk delivered twice is an error."""
+    spark, keys = coverage.sparkSession, ["cx", "cy", "cz"]
     region = {"rx": G.to_region(F.col("cx")), "rz": G.to_region(F.col("cz"))}
-    require_unique(coverage, ["cx", "cy", "cz"])
-    publish(occurrences.withColumns(region), f"{path}/occurrences", ["rx", "rz"])
-    publish(coverage.withColumns(region), f"{path}/chunk_cov", ["rx", "rz"])
+    coverage = require_unique(coverage, keys).withColumns(region)
+    touched = coverage.select("rx", "rz").distinct()
+    usable = occurrences.join(coverage.where("status = 'AVAILABLE'").select(*keys), keys, "left_semi").withColumns(region)
+    tables = {}
+    for name, new in ((OCCURRENCES, usable), (COVERAGE, coverage)):
+        old = published.read(spark, path, name, new.schema, touched)
+        tables[name] = missing_only(old, coverage, keys).unionByName(new)
+    published.publish(spark, path, tables, touched, batch)
 
 
 def write_catalog(observed: DataFrame, path: str, keys: list[str], complete: bool = False) -> None:
@@ -91,12 +102,16 @@ def load_tile(asked: DataFrame, raw: DataFrame, terrain_path: str, surface_path:
     spark, keys = asked.sparkSession, ["mx", "mz"]
     at = [G.to_chunk(F.col("x")).alias("mx"), G.to_chunk(F.col("z")).alias("mz")]
 
+    asked = asked.select(*keys).distinct().where("mx IS NOT NULL")
+    wanted = asked.select(G.to_region(F.col("mx")).alias("rx"), G.to_region(F.col("mz")).alias("rz")).distinct()
+    near, _ = store(wanted, "wanted")
+
     def stored(path: str, name: str) -> DataFrame:
         if not exists(spark, path):
             return spark.createDataFrame([], f"mx int, mz int, {name} long")
-        return spark.read.parquet(path).groupBy(*at).agg(F.count(F.lit(1)).alias(name))
+        rows = spark.read.parquet(path).join(small(near.where("rx > -2147483648")), ["rx", "rz"], "left_semi")  # prunes folders as it runs
+        return rows.select(*at).join(small(asked), keys, "left_semi").groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
 
-    asked = asked.select(*keys).distinct()
     hits, _ = store(asked.join(stored(terrain_path, "heights"), keys), "hits")  # before anything is added
     surfaces = asked.join(stored(surface_path, "surface"), keys)
     found, _ = store(decode.mapchunk_status(asked.join(hits, keys, "left_anti"), raw), "found")
@@ -123,16 +138,17 @@ def prepare(wanted: dict[str, DataFrame], build: dict, path: str, keys: dict[str
         if stop is not None and stop(layer):
             break
         spark, where, k = want.sparkSession, f"{path}/{layer}", keys[layer]
-        todo, before = want.select(*k).distinct(), 0
+        todo, added[layer] = want.select(*k).distinct(), 0
         if exists(spark, where):
-            before = spark.read.parquet(where).count()
             todo = missing_only(todo, spark.read.parquet(where), k)
         todo, todo_path = store(todo, "todo")
         if not todo.isEmpty():
-            build[layer](todo).write.mode("append").parquet(where)
+            new, new_path = store(build[layer](todo), "new")
+            added[layer] = new.count()
+            new.write.mode("append").parquet(where)
+            drop(spark, new_path)
         drop(spark, todo_path)
         spark.range(1).select(F.lit(layer).alias("layer"), F.lit(True).alias("complete")).write.mode("overwrite").parquet(f"{path}/status/{layer}")
-        added[layer] = (spark.read.parquet(where).count() if exists(spark, where) else 0) - before
     return added
 
 

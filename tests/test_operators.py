@@ -184,6 +184,7 @@ def test_inner_cells_of_any_size(spark):
 
 def test_stored_columns_serve_whole_circles_only(spark):
     stored = spark.createDataFrame([(x, z, 64, 64, "s") for x in range(40) for z in range(64)], "x int, z int, size_x int, size_z int, state string")
+    stored = T.with_region(stored)
     circles = spark.createDataFrame([(1, 10, 10, 5), (2, 2, 10, 5), (3, 38, 30, 5), (4, 20, 20, 0)], "circle int, cx int, cz int, radius int")
     count = lambda df: {(r.circle, r.served): r.n for r in df.groupBy("circle", "served").agg(F.count("x").alias("n")).collect()}
     got = stored_columns(stored, circles, 64, 64)
@@ -308,8 +309,3 @@ def test_upsert_is_idempotent(spark, tmp_path):
     refresh.upsert(spark.createDataFrame([(3, 0, 0, 0, "FAILED"), (9, 1, 1, 1, "FAILED")], batch.schema), path)
     got = rows(spark.read.parquet(path).select("cx", "event_id", "status"))
     assert got == [(0, 5, "AVAILABLE"), (1, 9, "FAILED"), (20, 2, "FAILED")]
-
-
-def test_windowed_arrivals_drop_nothing_in_batch(spark):
-    df = spark.createDataFrame([(1, "2024-01-01 00:10:00", "A"), (2, "2024-01-01 00:50:00", "A"), (3, "2024-01-01 01:10:00", "B")], "event_id long, t string, status string").withColumn("ts", F.to_timestamp("t"))
-    assert sorted(r.n for r in refresh.windowed_arrivals(df).collect()) == [1, 2]
