@@ -117,6 +117,12 @@ def decode_position(key: Column) -> Column:
 # -- planners: rows of requests become rows of positions
 
 
+def with_chunks(rows: DataFrame) -> DataFrame:
+    """rows (x, z, ..) with the chunk column (cx, cz) they lie in. Columns of that name
+    that are there already stay as they are: a table may be stored in buckets of them."""
+    return rows.withColumns({n: to_chunk(F.col(c)) for n, c in (("cx", "x"), ("cz", "z")) if n not in rows.columns})
+
+
 def dealt_out(rows: DataFrame, *keys: str) -> DataFrame:
     """Few rows that are about to become many, over as many tasks as a shuffle has;
     a stated number is one that Spark doesn't make smaller because the rows are few."""

@@ -15,8 +15,8 @@ def rocks(registry: DataFrame) -> DataFrame:
 
 
 def available_voxels(voxels: DataFrame, coverage: DataFrame) -> DataFrame:
-    """Voxels of AVAILABLE chunks."""
-    keyed = voxels.withColumns({f"c{c}": G.to_chunk(F.col(c)) for c in "xyz"})
+    """Voxels of AVAILABLE chunks, with cx, cy, cz."""
+    keyed = G.with_chunks(voxels).withColumn("cy", G.to_chunk(F.col("y")))
     return keyed.join(coverage.where("status = 'AVAILABLE'").select("cx", "cy", "cz"), ["cx", "cy", "cz"], "left_semi")
 
 
@@ -26,10 +26,12 @@ def upper_rock(voxels: DataFrame, registry: DataFrame, coverage: DataFrame, cell
     OBSERVED needs a rock in the range and every chunk above it available; gaps
     below don't matter. Without a rock the cell is NO_ROCK if the whole range is
     available, else UNAVAILABLE. coverage has one row for each chunk, a missing
-    row counts as missing.
+    row counts as missing. All keys begin with the chunk column, so tables stored in
+    buckets of it (sources/bucketed.py) are not shuffled.
     """
     low, high = y_min // G.CHUNK, y_max // G.CHUNK
-    columns = cells.select("x", "z").distinct().withColumns({"cx": G.to_chunk(F.col("x")), "cz": G.to_chunk(F.col("z"))})
+    at = ["cx", "cz", "x", "z"]
+    columns = G.with_chunks(cells).select(*at).distinct()
     needed = columns.select("cx", "cz").distinct().withColumn("cy", F.explode(F.sequence(F.lit(low), F.lit(high))))
     gaps = needed.join(coverage, ["cx", "cy", "cz"], "left")
     gaps = gaps.groupBy("cx", "cz").agg(F.max(F.when(F.coalesce(F.col("status") != "AVAILABLE", F.lit(True)), F.col("cy"))).alias("gap"))
@@ -37,9 +39,9 @@ def upper_rock(voxels: DataFrame, registry: DataFrame, coverage: DataFrame, cell
     hits = available_voxels(voxels, coverage).where(F.col("y").between(y_min, y_max)).join(dim, "block_id", "left_semi")
     # y above block_id in one long: a hash aggregate, where a struct would need sorting
     packed = F.max(F.shiftleft(F.col("y").cast("long"), 32) + F.col("block_id")).alias("packed")
-    top = hits.groupBy("x", "z").agg(packed).select("x", "z", F.shiftright("packed", 32).cast("int").alias("y"), F.col("packed").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("block_id"))
-    top = top.join(dim, "block_id").select("x", "z", F.struct("y", "block_id", "rock_code").alias("top"))
-    rows = columns.join(top, ["x", "z"], "left").join(gaps, ["cx", "cz"], "left")
+    top = hits.groupBy(*at).agg(packed).select(*at, F.shiftright("packed", 32).cast("int").alias("y"), F.col("packed").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("block_id"))
+    top = top.join(dim, "block_id").select(*at, F.struct("y", "block_id", "rock_code").alias("top"))
+    rows = columns.join(top, at, "left").join(gaps, ["cx", "cz"], "left")
     clear = F.col("gap").isNull() | (F.floor((F.col("top.y") + 1) / G.CHUNK) > F.col("gap"))
     state = F.when(F.col("top").isNotNull() & clear, "OBSERVED").when(F.col("top").isNull() & F.col("gap").isNull(), "NO_ROCK").otherwise("UNAVAILABLE")
     seen = rows.withColumn("state", state)

@@ -12,6 +12,10 @@ from .graph import store
 from .rock import available_voxels
 
 
+#: A column by its chunk column first, so that tables in buckets of that stay where they are.
+AT = ["cx", "cz", "x", "z"]
+
+
 def with_codes(voxels: DataFrame, registry: DataFrame) -> DataFrame:
     """Voxels with their code; an unregistered id is unknown:<id>."""
     joined = voxels.join(small(registry.select("block_id", "code")), "block_id", "left")
@@ -20,7 +24,9 @@ def with_codes(voxels: DataFrame, registry: DataFrame) -> DataFrame:
 
 def classified(voxels: DataFrame, registry: DataFrame, liquids: DataFrame) -> DataFrame:
     """Voxels with code, liquid_id (0 where none), class and class_code."""
-    joined = with_codes(voxels, registry).join(liquids, ["x", "y", "z"], "left").withColumn("liquid_id", F.coalesce("liquid_id", F.lit(0)))
+    keys = AT if {"cx", "cz"} <= set(voxels.columns) else ["x", "z"]
+    known = (G.with_chunks(liquids) if keys == AT else liquids).select(*keys, "y", "liquid_id")
+    joined = with_codes(voxels, registry).join(known, [*keys, "y"], "left").withColumn("liquid_id", F.coalesce("liquid_id", F.lit(0)))
     liquid = small(registry.select(F.col("block_id").alias("liquid_id"), F.col("code").alias("liquid_code")))
     joined = joined.join(liquid, "liquid_id", "left")
     joined = joined.withColumn("class", C.surface_class(F.col("block_id"), F.when(F.col("registered"), F.col("code")), F.col("liquid_id"), F.col("liquid_code")))
@@ -43,15 +49,18 @@ def surface_top(voxels: DataFrame, registry: DataFrame, liquids: DataFrame) -> D
     """
     # codes are judged once for each registered block, not for each voxel
     kinds = registry.select("block_id", (C.is_air(F.col("block_id"), F.col("code")) | C.is_foliage(F.col("block_id"), F.col("code"))).alias("_soft"))
-    coded = voxels.select("x", "y", "z", "block_id").join(small(kinds), "block_id", "left")
+    coded = G.with_chunks(voxels).select(*AT, "y", "block_id").join(small(kinds), "block_id", "left")
     soft = F.coalesce("_soft", F.col("block_id") == 0)
     packed = (F.shiftleft(F.col("y").cast("long"), 32) + F.col("block_id")).alias("packed")
-    under = coded.where(soft).select("x", "y", "z", "block_id").join(liquids.select("x", "y", "z"), ["x", "y", "z"], "left_semi")
-    wet = classified(under, registry, liquids)
-    rows = coded.where(~soft).select("x", "z", packed).unionByName(wet.where(_ground(wet)).select("x", "z", packed))
-    top = rows.groupBy("x", "z").agg(F.max("packed").alias("packed"))
-    best = top.select("x", F.shiftright("packed", 32).cast("int").alias("y"), "z", F.col("packed").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("block_id"))
-    return classified(best, registry, liquids).select("x", "z", "y", "block_id", "liquid_id", "class")
+    known = G.with_chunks(liquids)
+    under = coded.where(soft).select(*AT, "y", "block_id").join(known.select(*AT, "y"), [*AT, "y"], "left_semi")
+    wet = classified(under, registry, known)
+    # each side is reduced for itself, and a column's two winners meet where they lie
+    solid = coded.where(~soft).select(*AT, packed).groupBy(*AT).agg(F.max("packed").alias("_solid"))
+    soaked = wet.where(_ground(wet)).select(*AT, packed).groupBy(*AT).agg(F.max("packed").alias("_soaked"))
+    top = solid.join(soaked, AT, "full").select(*AT, F.greatest("_solid", "_soaked").alias("packed"))
+    best = top.select(*AT, F.shiftright("packed", 32).cast("int").alias("y"), F.col("packed").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("block_id"))
+    return classified(best, registry, known).select("x", "z", "y", "block_id", "liquid_id", "class")
 
 
 def height_voxels(heights: DataFrame, voxels: DataFrame) -> DataFrame:
@@ -68,23 +77,23 @@ def resolve_surface(columns: DataFrame, heights: DataFrame, voxels: DataFrame, r
     (mapchunks mx, mz of no_liquids), or the block there is air or foliage and
     no water. Columns without a surface have no row.
     """
-    keys = {"mx": G.to_chunk(F.col("x")), "mz": G.to_chunk(F.col("z"))}
-    seen = available_voxels(voxels, coverage).select("x", "y", "z", "block_id")
-    dry = small(no_liquids.select("mx", "mz").distinct())
-    asked = columns.select("x", "z").distinct().join(heights.select("x", "z", "rain_y"), ["x", "z"], "left")
+    chunk = ["cx", "cz"]
+    seen = available_voxels(voxels, coverage).select(*AT, "y", "block_id")
+    dry = small(no_liquids.select(F.col("mx").alias("cx"), F.col("mz").alias("cz")).distinct())
+    wanted = G.with_chunks(columns).select(*AT).distinct()
+    asked = wanted.join(G.with_chunks(heights).select(*AT, "rain_y"), AT, "left")
     # one voxel of each column is looked up and classified
-    at = classified(asked.where("rain_y IS NOT NULL").withColumnRenamed("rain_y", "y").join(seen, ["x", "y", "z"]), registry, liquids)
-    at = at.select("x", "z", "block_id", "liquid_id", "class", _ground(at).alias("ground"))
-    flags = asked.join(at, ["x", "z"], "left").withColumns(keys).join(dry.withColumn("dry", F.lit(True)), ["mx", "mz"], "left")
+    at = classified(asked.where("rain_y IS NOT NULL").withColumnRenamed("rain_y", "y").join(seen, [*AT, "y"]), registry, G.with_chunks(liquids))
+    at = at.select(*AT, "block_id", "liquid_id", "class", _ground(at).alias("ground"))
+    flags = asked.join(at, AT, "left").join(dry.withColumn("dry", F.lit(True)), chunk, "left")
     bad = F.col("rain_y").isNull() | ~G.in_world(F.col("rain_y"), size_y) | F.col("dry").isNotNull() | ~F.coalesce("ground", F.lit(False))
     flags, _ = store(flags.withColumn("bad", bad), "flags")
-    chunks = flags.groupBy("mx", "mz").agg(F.max("bad").alias("fallback"))
-    fast = flags.join(small(chunks.where("NOT fallback")), ["mx", "mz"], "left_semi").select("x", "z", F.lit("FAST").alias("path"), F.col("rain_y").alias("y"), "block_id", "liquid_id", "class")
+    chunks = flags.groupBy(*chunk).agg(F.max("bad").alias("fallback"))
+    fast = flags.join(small(chunks.where("NOT fallback")), chunk, "left_semi").select("x", "z", F.lit("FAST").alias("path"), F.col("rain_y").alias("y"), "block_id", "liquid_id", "class")
     # whole columns only where a mapchunk falls back; one whose liquids are missing
     # is classified without them
-    slow = seen.withColumns(keys).join(small(chunks.where("fallback").select("mx", "mz")), ["mx", "mz"], "left_semi")
-    slow = slow.join(flags.select("x", "z"), ["x", "z"], "left_semi")
-    known = liquids.withColumns(keys).join(dry, ["mx", "mz"], "left_anti").drop("mx", "mz")
+    slow = seen.join(small(chunks.where("fallback").select(*chunk)), chunk, "left_semi").join(wanted, AT, "left_semi")
+    known = G.with_chunks(liquids).join(dry, chunk, "left_anti")
     return fast.unionByName(surface_top(slow, registry, known).withColumn("path", F.lit("FALLBACK")))
 
 

@@ -12,12 +12,12 @@ from ..functions import geometry as G
 from ..operators import graph, ore, regions, rock, surface, tiles
 from ..operators.graph import store
 from ..operators.tables import stored_columns, stored_legend, stored_pixels
-from ..sources import decode, encode, published, savefile
+from ..sources import bucketed, decode, encode, published, savefile
 from ..sources import payloads as Payload
 from ..sources import tables as T
 from .base import Plans
 from .scalars import LABELS_SQL
-from .worlds import PROFILES, SOILMAP, SURFACE, inner, resolved, rock_sql, upper, world_header
+from .worlds import CELLS, PROFILES, SOILMAP, SURFACE, inner, no_liquids, resolved, rock_sql, upper, world_header
 from .worldviews import SIZE_Y, SIZE_Z, for_oracle
 
 plans = Plans()
@@ -322,6 +322,29 @@ def p16_pixels(w):
     return stored_pixels(stored_surface(w), circles, w.size[0], SIZE_Z)
 
 
+# -- chunk tables in buckets
+
+
+def in_buckets(w, buckets: int = 8):
+    """Voxels, heights, liquids and coverage in the same buckets of chunk columns."""
+    w.keep_voxels()
+    names = ("voxels", "heights", "liquids", "chunk_cov")
+    bucketed.co_located(w.spark)
+    return [bucketed.write(getattr(w, n), scratch(w, n), buckets) for n in names]
+
+
+@plans("a3_upper_rock_buckets", f"WITH {rock_sql(0, 127).replace(CELLS, 'cells AS (SELECT DISTINCT x, z FROM voxels)')} SELECT * FROM rock")
+def a3_buckets(w):
+    voxels, _, _, coverage = in_buckets(w)
+    return rock.upper_rock(voxels, w.registry, coverage, voxels.select("cx", "cz", "x", "z"), 0, SIZE_Y - 1)
+
+
+@plans("p4_resolve_surface_buckets", f"WITH {SURFACE} SELECT x, z, path, y, block_id, liquid_id, class FROM surf")
+def p4_buckets(w):
+    voxels, heights, liquids, coverage = in_buckets(w)
+    return surface.resolve_surface(voxels.select("cx", "cz", "x", "z"), heights, voxels, w.registry, liquids, coverage, no_liquids(w), SIZE_Y)
+
+
 # -- tiles
 
 
