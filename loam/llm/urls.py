@@ -116,7 +116,8 @@ def _value(tag: Column, pattern: str) -> Column:
 def page_links(pages: DataFrame) -> DataFrame:
     """Edges (u, v): page url to each of its canonical links and refresh targets,
     but for those in comments."""
-    page = F.regexp_replace("html", COMMENT, "")
+    # no tag ends after the last bracket; without the rest, a search for one never fails at the end of the page
+    page = F.regexp_extract(F.regexp_replace("html", COMMENT, ""), "(?s)^.*>", 0)
     is_canonical = lambda t: F.array_contains(F.split(F.lower(_value(t, REL)), r"\s+"), "canonical")
     canonical = F.transform(F.filter(F.regexp_extract_all(page, F.lit(LINK), F.lit(0)), is_canonical), lambda t: _value(t, HREF))
     refresh = F.transform(F.filter(F.regexp_extract_all(page, F.lit(META), F.lit(0)), lambda t: t.rlike(REFRESH)), lambda t: F.regexp_extract(_value(t, CONTENT), TARGET, 1))
