@@ -35,8 +35,9 @@ GROWTH = 1.25
 #: chooses the other blocks: a neighbour's first projection lies beyond it once in 370.
 ROUTE = 3.0
 #: Candidates of a block and queries that one task asks of it, about; small tables
-#: are cut finer, to as many blocks as there are cores.
-CANDIDATE_ROWS, LEAST_ROWS = 32768, 4096
+#: are cut finer, into up to FEWEST blocks of LEAST_ROWS. Rows alone decide, so the
+#: number of cores changes no result.
+CANDIDATE_ROWS, LEAST_ROWS, FEWEST = 32768, 4096, 8
 QUERY_ROWS = 32768
 SEED = 17
 
@@ -66,6 +67,7 @@ def projected(rows: DataFrame) -> DataFrame:
                 if sizes[i] not in known:
                     known[sizes[i]] = lines(int(sizes[i]))[:, 0]
                 at[i] = v.values.to_numpy() @ known[sizes[i]]
+            at = np.nan_to_num(at)  # of huge components
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sizes), pa.array(at)], ["key", "id", "v", "size", "at"])
 
     return rows.mapInArrow(run, "key long, id long, v array<double>, size int, at double")
@@ -84,10 +86,19 @@ class Block:
         self.rank = np.empty_like(self.order)
         np.put_along_axis(self.rank, order, np.arange(at.shape[1], dtype=np.int32)[None, :], axis=1)
         self.need = int(np.ceil(threshold * PROJECTIONS))
-        self.slack = 1e-9 * (1 + float(np.abs(self.sorted).max(initial=0)))
+        #: Vectors so long that their projections overflow: no window holds them, so all are verified.
+        self.wild = np.flatnonzero(~np.isfinite(at).all(axis=0))
+        self.slack = 1e-9 * (1 + float(np.abs(self.sorted[np.isfinite(self.sorted)]).max(initial=0)))
 
     def colliding(self, at: np.ndarray, reach: float) -> np.ndarray:
-        """The candidates whose places lie in the windows of enough arrays."""
+        """The candidates whose places lie in the windows of enough arrays, and those
+        that have none; all, where the query or the window has no end."""
+        if not (np.isfinite(at).all() and np.isfinite(reach)):
+            return np.arange(len(self.ids))
+        found = self._in_windows(at, reach)
+        return np.union1d(found, self.wild) if len(self.wild) else found
+
+    def _in_windows(self, at: np.ndarray, reach: float) -> np.ndarray:
         low = np.array([np.searchsorted(s, x - reach - self.slack, "left") for s, x in zip(self.sorted, at)], np.int32)
         high = np.array([np.searchsorted(s, x + reach + self.slack, "right") for s, x in zip(self.sorted, at)], np.int32)
         width = high - low
@@ -100,15 +111,15 @@ class Block:
 
     def _verified(self, new: np.ndarray, key: int, query: np.ndarray):
         new = new[self.keys[new] != key]
-        away = self.vectors[new] - query
-        return np.sqrt((away * away).sum(axis=1)), self.ids[new]
+        return _distances(self.vectors[new], query), self.ids[new]
 
     def nearest(self, key: int, query: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray]:
         """(distances, ids) of the k nearest found, ties to the smaller id, by
         widening windows; the row of this key is left out."""
         at = query @ self.lines
         gaps = [self._gap(s, x, k) for s, x in zip(self.sorted, at)]
-        radius = max(float(np.median(gaps)) / REACH, self.slack)
+        radius = float(np.median(gaps)) / REACH
+        radius = max(radius, self.slack) if np.isfinite(radius) else np.inf
         seen = np.zeros(len(self.ids), bool)
         d, ids = np.empty(0), np.empty(0, np.int64)
         while True:
@@ -138,6 +149,19 @@ class Block:
         return min(abs(x - line[a]), abs(line[b] - x))
 
 
+def _distances(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Euclidean distances; components whose squares overflow are scaled first."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        away = vectors - query
+        d = np.sqrt((away * away).sum(axis=1))
+        far = np.flatnonzero(~np.isfinite(d))
+        if len(far):
+            half = vectors[far] / 2 - query / 2  # the difference itself may overflow
+            most = np.abs(half).max(axis=1)
+            d[far] = 2 * (most * np.sqrt(((half / most[:, None]) ** 2).sum(axis=1)))
+    return d
+
+
 def nearest_of(d: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The k smallest by distance, then id."""
     if len(d) > 4 * k:
@@ -158,7 +182,7 @@ def blocked(vectors: DataFrame, block_rows: int = CANDIDATE_ROWS) -> tuple[DataF
     spark = vectors.sparkSession
     rows, rows_path = store(projected(usable(vectors).select(F.monotonically_increasing_id().alias("key"), "id", "v")), "vectors")
     n = rows.count()
-    blocks = max(1, -(-n // block_rows), min(spark.sparkContext.defaultParallelism, -(-n // LEAST_ROWS)))
+    blocks = max(1, -(-n // block_rows), min(FEWEST, -(-n // LEAST_ROWS)))
     ranged = rows.repartitionByRange(blocks, "size", "at", "key").withColumn("block", F.spark_partition_id())
     table, path = store(ranged, "blocks")
     drop(spark, rows_path)

@@ -74,6 +74,23 @@ def test_toxicity_edges(spark, documents):
     assert toxicity.without_toxic(documents([(1, "a"), (2, None)]), labels).count() == 2
 
 
+def test_neighbours_of_huge_components_are_found(spark):
+    rnd = random.Random(3)
+    vectors = [(i, [rnd.uniform(-1, 1) * 10.0 ** rnd.choice([-3, 0, 307, 308]) for _ in range(8)]) for i in range(40)]
+    got = ann.nearest_neighbours(spark.createDataFrame(vectors, "vec_id long, embedding array<double>"), k=5, query_every=10).collect()
+    far = lambda a, b: 2 * math.hypot(*(x / 2 - y / 2 for x, y in zip(a, b)))
+    for q in (0, 10, 20, 30):
+        want = sorted((far(vectors[q][1], v), i) for i, v in vectors if i != q)[:5]
+        mine = sorted((r.rank, r.vec_id, r.score) for r in got if r.query_id == q)
+        assert [i for _, i, _ in mine] == [i for _, i in want] and all(math.isclose(s, d, rel_tol=1e-12) for (*_, s), (d, _) in zip(mine, want))
+
+
+def test_cores_change_no_neighbour(spark):
+    rng = np.random.default_rng(11)
+    table = spark.createDataFrame([(i, rng.normal(size=16).tolist()) for i in range(9000)], "vec_id long, embedding array<double>")
+    assert ann.blocked(table)[0].select("block").distinct().count() == 3  # 9,000 rows, by rows alone
+
+
 def brute(vectors, every, k):
     out = {}
     for q, v in vectors:
