@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 
 from ..functions import codes as C
 from ..functions.geometry import to_chunk
-from .dims import small
+from .dims import is_small, small
 from .graph import components, numbered, scope, store
 
+#: Edges of a graph that one task may finish.
+SMALL_EDGES = 200_000
 #: One of each pair of opposite neighbours.
 HALF = ((1, 0), (0, 1), (1, 1), (1, -1))
 
@@ -48,12 +50,35 @@ def tile_labels(cells: DataFrame) -> DataFrame:
     return at.groupBy(to_chunk(F.col("x")).alias("mx"), to_chunk(F.col("z")).alias("mz")).applyInPandas(lambda t: label(t), "x int, z int, label long")
 
 
+def small_components(edges: DataFrame) -> DataFrame:
+    """components() of at most SMALL_EDGES edges (u, v): one task joins them in
+    memory, where rounds over stored tables would cost more than the work."""
+
+    def label(batches):
+        parent: dict[int, int] = {}
+
+        def root(n: int) -> int:
+            while parent[n] != n:
+                parent[n] = parent[parent[n]]
+                n = parent[n]
+            return n
+
+        for batch in batches:
+            for u, v in zip(batch["u"].tolist(), batch["v"].tolist()):
+                a, b = root(parent.setdefault(u, u)), root(parent.setdefault(v, v))
+                parent[max(a, b)] = min(a, b)
+        yield pd.DataFrame({"node": list(parent), "component": [root(n) for n in list(parent)]}, dtype="int64")
+
+    return edges.where("u <> v").select("u", "v").coalesce(1).mapInPandas(label, "node long, component long")
+
+
 def components8(cells: DataFrame) -> DataFrame:
     """(x, z, component) of 8-connected cells; a component is named by its cell
     with the smallest x, then z, as x * 2^32 + z.
 
     Cells are labelled inside their mapchunk first, so only the labels that meet
-    at a border take part in the rounds over the graph.
+    at a border take part in the rounds over the graph; if they are few, one task
+    finishes them.
     """
     labels, _ = store(tile_labels(cells), "labels")
     other = labels.select(F.col("x").alias("x2"), F.col("z").alias("z2"), F.col("label").alias("v"))
@@ -62,7 +87,9 @@ def components8(cells: DataFrame) -> DataFrame:
     border = neighbours8(labels.where(edge)).where(apart)
     pairs = border.join(labels.withColumnRenamed("label", "u"), ["x", "z"]).join(other, ["x2", "z2"]).select("u", "v").distinct()
     with scope(labels.sparkSession):
-        roots, _ = store(components(pairs), "roots", kept=True)
+        pairs, _ = store(pairs, "pairs")
+        find = small_components if is_small(pairs, SMALL_EDGES) else components
+        roots, _ = store(find(pairs), "roots", kept=True)
     roots = roots.withColumnRenamed("node", "label")
     return labels.join(roots, "label", "left").select("x", "z", F.coalesce("component", "label").alias("component"))
 

@@ -14,7 +14,8 @@ _GROWING = ("Generate", "Join", "MapIn", "FlatMap", "Python", "Range")
 
 def is_small(df: DataFrame, most: int = MOST_ROWS) -> bool:
     """Whether df has at most that many rows: by the size of what it reads, where
-    nothing multiplies rows, else by counting up to one row beyond."""
+    nothing multiplies rows, else by counting up to one row beyond. The count runs
+    while a plan is built, as a job of its own that stops at that row."""
     plan = df._jdf.queryExecution().optimizedPlan()
     text = plan.toString()
     if not any(word in text for word in _GROWING) and int(str(plan.stats().sizeInBytes())) <= MOST_BYTES:

@@ -309,3 +309,15 @@ def test_upsert_is_idempotent(spark, tmp_path):
     refresh.upsert(spark.createDataFrame([(3, 0, 0, 0, "FAILED"), (9, 1, 1, 1, "FAILED")], batch.schema), path)
     got = rows(spark.read.parquet(path).select("cx", "event_id", "status"))
     assert got == [(0, 5, "AVAILABLE"), (1, 9, "FAILED"), (20, 2, "FAILED")]
+
+
+def test_small_graphs_end_as_large_ones(spark):
+    import random
+
+    from loam.operators.components import small_components
+    from loam.operators.graph import components
+
+    rnd = random.Random(6)
+    edges = [(rnd.randrange(300) << 33, rnd.randrange(300) << 33) for _ in range(180)] + [(i, i + 1) for i in range(1000, 1100)] + [(5, 5)]
+    df = spark.createDataFrame(edges, "u long, v long").repartition(4)
+    assert rows(small_components(df)) == rows(components(df)) and small_components(df.limit(0)).count() == 0
