@@ -26,12 +26,12 @@ def upper_rock(voxels: DataFrame, registry: DataFrame, coverage: DataFrame, cell
     OBSERVED needs a rock in the range and every chunk above it available; gaps
     below don't matter. Without a rock the cell is NO_ROCK if the whole range is
     available, else UNAVAILABLE. coverage has one row for each chunk, a missing
-    row counts as missing. All keys begin with the chunk column, so tables stored in
-    buckets of it (sources/bucketed.py) are not shuffled.
+    row counts as missing. Voxels and cells that carry their chunk column (cx, cz) are
+    keyed by it first, so tables in buckets of it (sources/bucketed.py) are not shuffled.
     """
     low, high = y_min // G.CHUNK, y_max // G.CHUNK
-    at = ["cx", "cz", "x", "z"]
-    columns = G.with_chunks(cells).select(*at).distinct()
+    at = ["cx", "cz", "x", "z"] if {"cx", "cz"} <= set(voxels.columns) & set(cells.columns) else ["x", "z"]
+    columns = G.with_chunks(cells.select(*at).distinct())
     needed = columns.select("cx", "cz").distinct().withColumn("cy", F.explode(F.sequence(F.lit(low), F.lit(high))))
     gaps = needed.join(coverage, ["cx", "cy", "cz"], "left")
     gaps = gaps.groupBy("cx", "cz").agg(F.max(F.when(F.coalesce(F.col("status") != "AVAILABLE", F.lit(True)), F.col("cy"))).alias("gap"))

@@ -53,6 +53,13 @@ def surface_top(voxels: DataFrame, registry: DataFrame, liquids: DataFrame) -> D
     soft = F.coalesce("_soft", F.col("block_id") == 0)
     packed = (F.shiftleft(F.col("y").cast("long"), 32) + F.col("block_id")).alias("packed")
     known = G.with_chunks(liquids)
+    if "cx" not in voxels.columns:  # nothing lies in buckets: one shuffle of both sides together
+        under = coded.where(soft).select("x", "y", "z", "block_id").join(liquids.select("x", "y", "z"), ["x", "y", "z"], "left_semi")
+        wet = classified(under, registry, liquids)
+        rows = coded.where(~soft).select("x", "z", packed).unionByName(wet.where(_ground(wet)).select("x", "z", packed))
+        top = rows.groupBy("x", "z").agg(F.max("packed").alias("packed"))
+        best = top.select("x", F.shiftright("packed", 32).cast("int").alias("y"), "z", F.col("packed").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("block_id"))
+        return classified(best, registry, liquids).select("x", "z", "y", "block_id", "liquid_id", "class")
     under = coded.where(soft).select(*AT, "y", "block_id").join(known.select(*AT, "y"), [*AT, "y"], "left_semi")
     wet = classified(under, registry, known)
     # each side is reduced for itself, and a column's two winners meet where they lie
