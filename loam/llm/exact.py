@@ -19,7 +19,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import SPACE, drop, scope, scratch, store
+from .shared import SPACE, drop, quoted, scope, scratch, store
 
 #: Batches that one call flushes.
 FLUSHES = 3
@@ -180,12 +180,16 @@ def _clashes(norm: DataFrame, hits: DataFrame, bits: int) -> DataFrame:
 def without_duplicates(docs: DataFrame) -> DataFrame:
     """The documents that exact_duplicates() keeps, with all their columns.
 
-    Rows that repeat both doc_id and text are kept once.
+    Rows that repeat both doc_id and text are kept once: the one whose raw text, then
+    whose other columns, have the smallest digest or JSON, so reruns agree.
     """
     keys = lambda digest: [_null_last(F.col("doc_id")).alias("id"), digest.alias("digest")]
     kept = exact_duplicates(docs).where("kept").select(*keys(F.unhex("text_sha256")))
-    keyed = docs.select(F.struct("*").alias("doc"), *keys(F.unhex(F.sha2(normalised(F.col("text")), 256))))
-    return keyed.join(kept, ["id", "digest"], "left_semi").dropDuplicates(["id", "digest"]).select("doc.*")
+    others = [F.to_json(F.struct(*[docs[quoted(c)] for c in docs.columns if c not in ("doc_id", "text")]))] if len(docs.columns) > 2 else []
+    order = F.struct(F.md5(F.col("text").cast("binary")), *others)
+    keyed = docs.select(F.struct("*").alias("doc"), *keys(F.unhex(F.sha2(normalised(F.col("text")), 256))), order.alias("order"))
+    kept_rows = keyed.join(kept, ["id", "digest"], "left_semi").groupBy("id", "digest").agg(F.min_by("doc", "order").alias("doc"))
+    return kept_rows.select("doc.*")
 
 
 SQL = r"""

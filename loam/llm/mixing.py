@@ -11,7 +11,9 @@ keeps it safe where the bound bends the dual.
 Rates become copies: their whole part for all, and one more for as many documents
 of each size as the source's running token error asks for, from the largest size
 down, so that the small documents make up for what the large ones leave. Which
-documents of a size is settled by the MD5 of their doc_id, so reruns agree.
+documents of a size is settled by the MD5 of their doc_id, so reruns agree. Rows that
+are alike are counted before they are ordered, so no task has a third of all rows
+because they repeat one doc_id.
 """
 
 from __future__ import annotations
@@ -20,7 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import drop, scope, store, words
+from ..operators.dims import small
+from .shared import drop, quoted, scope, store, words
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -33,6 +36,8 @@ ERROR = 1e-13
 UNIT = 1_000_000
 #: Documents of one size and source that one task puts in order, about.
 CELL_ROWS = 1 << 16
+#: Alike rows that one task makes from their count.
+RUN_ROWS = 1 << 16
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
@@ -108,7 +113,7 @@ def _newton(rows: DataFrame) -> DataFrame:
     })
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST, cell_rows: int = CELL_ROWS) -> DataFrame:
+def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST, cell_rows: int = CELL_ROWS, run_rows: int = RUN_ROWS) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken, copies.
 
     size is the number of words, 0 for a null text. A null source is a source
@@ -116,10 +121,24 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST, cell_rows: int = CEL
     a doc_id are documents of their own that count alike. Empty input gives no
     rows.
     """
-    out = _mixed(_sized(docs), weights, most, cell_rows)
+    units, _ = store(_mixed(_sized(docs), weights, most, cell_rows), "units")
+    # of a unit's rows, some get a copy more than the others
+    halves = F.array(F.struct((F.col("whole") + 1).alias("copies"), F.col("more").alias("n")), F.struct(F.col("whole").alias("copies"), (F.col("rows") - F.col("more")).alias("n")))
+    parts = units.select("doc_id", "size", "source_size", "target", F.explode(halves).alias("h")).select("*", "h.copies", "h.n").drop("h").where("n > 0")
+    out = _repeated(parts, "n", run_rows)
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
+def _repeated(rows: DataFrame, n: str, run_rows: int) -> DataFrame:
+    """Each row n times. Rows of large n are dealt out in runs, so one is many tasks' work."""
+    few, many = rows.where(F.col(n) <= run_rows), rows.where(F.col(n) > run_rows)
+    one = F.lit(1).cast("long")
+    begins = many.withColumn("_begin", F.explode(F.sequence(one, F.col(n), F.lit(run_rows).cast("long"))))
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    runs = begins.repartition(tasks, "_begin").withColumn(n, F.least(F.lit(run_rows), F.col(n) - F.col("_begin") + 1)).drop("_begin")
+    return few.unionByName(runs).withColumn("_i", F.explode(F.sequence(one, F.col(n)))).drop("_i", n)
+
+
 def _sized(docs: DataFrame, *more: str) -> DataFrame:
     """(doc_id, source, size, name, key, *more): name is a source that is never null, key
     an order of documents, for those without doc_id that of their texts."""
@@ -129,8 +148,10 @@ def _sized(docs: DataFrame, *more: str) -> DataFrame:
 
 
 def _mixed(sized: DataFrame, weights, most: int, cell_rows: int) -> DataFrame:
-    docs, _ = store(sized, "sized")
-    classes, _ = store(docs.groupBy("name", "source", "size").agg(F.count(F.lit(1)).alias("n")), "classes")
+    """A row for each unit of rows of sized that are alike in all columns, with rows, their
+    number, whole, the copies of each, and more, how many of them get one more."""
+    docs, _ = store(sized.groupBy(*sized.columns).agg(F.count(F.lit(1)).alias("rows")), "sized")
+    classes, _ = store(docs.groupBy("name", "source", "size").agg(F.sum("rows").alias("n")), "classes")
     sizes = classes.groupBy("name", "source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
     with scope(docs.sparkSession):
         aims, _ = store(rates(targets(sizes, weights, most), classes, most), "aims", kept=True)
@@ -140,16 +161,34 @@ def _mixed(sized: DataFrame, weights, most: int, cell_rows: int) -> DataFrame:
     # a class of many documents is dealt out in cells of keys; a document's place in
     # the class is what the earlier cells hold and its place in its own
     n = classes.agg(F.max("n")).first()[0] or 0
-    width = min(32, max(1, (max(1, n // cell_rows) - 1).bit_length() // 4 + 1))
-    docs = docs.withColumn("cell", F.substring("key", 1, width))
-    cells = docs.groupBy("name", "size", "cell").agg(F.count(F.lit(1)).alias("n"))
+    docs = _dealt(docs, n, cell_rows)
+    cells = docs.groupBy("name", "size", "cell").agg(F.sum("rows").alias("n"))
     earlier = Window.partitionBy("name", "size").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.withColumn("ahead", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n")
     cells = cells.join(rated, ["name", "size"])
-    inside = Window.partitionBy("name", "size", "cell").orderBy("key", "doc_id")
-    placed = docs.withColumn("place", F.row_number().over(inside)).join(cells, ["name", "size", "cell"])
-    extra = (F.col("ahead") + F.col("place") <= F.col("extra")).cast("long")
-    return placed.withColumn("copies", F.col("whole") + extra)
+    order = [c for c in sized.columns if c not in ("name", "source", "size", "key")]
+    inside = Window.partitionBy("name", "size", "cell").orderBy("key", *order).rowsBetween(Window.unboundedPreceding, -1)
+    placed = docs.withColumn("before", F.coalesce(F.sum("rows").over(inside), F.lit(0))).join(cells, ["name", "size", "cell"])
+    left = F.col("extra") - F.col("ahead") - F.col("before")
+    return placed.withColumn("more", F.greatest(F.lit(0), F.least(F.col("rows"), left)))
+
+
+def _dealt(docs: DataFrame, n: int, cell_rows: int) -> DataFrame:
+    """docs with the cell of their class, n rows at most, that they lie in: a prefix of their
+    key. Where one key has far more units than a cell should, its cells are prefixes of
+    their own digest as well. Cells follow each other in the order of key and digest."""
+    digits = lambda cells: max(1, (max(1, cells) - 1).bit_length() // 4 + 1)
+    docs = docs.withColumn("cell", F.substring("key", 1, min(32, digits(n // cell_rows))))
+    if "alike" not in docs.columns:  # then alike rows of a key are one unit
+        return docs
+    counts = docs.groupBy("name", "size", "cell").agg(F.count(F.lit(1)).alias("units")).where(F.col("units") > 4 * cell_rows)
+    finer = F.ceil(F.log(16.0, F.col("units") / cell_rows)).cast("int")
+    heavy, _ = store(counts.select("name", "size", "cell", finer.alias("finer")), "heavy")
+    if heavy.isEmpty():
+        return docs
+    joined = docs.join(small(heavy), ["name", "size", "cell"], "left")
+    own = F.concat("key", F.expr("substring(alike, 1, finer)"))
+    return joined.withColumn("cell", F.coalesce(own, "cell")).drop("finer")
 
 
 def _rounded(most: int):
@@ -172,21 +211,19 @@ def _rounded(most: int):
     return run
 
 
-def take(docs: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
-    """The mix itself: the rows of docs, each as often as it has copies."""
-    sized = _sized(docs.select(F.struct("*").alias("doc"), "doc_id", "source", "text"), "doc")
-    chosen = _mixed(sized.drop("doc"), weights, most, CELL_ROWS)
-    # rows that repeat a doc_id (or, without one, a text), source and size share their copies
-    same = ["id", "name", "key", "size"]
-    last = F.coalesce("doc_id", F.lit(2**63 - 1)).alias("id")
-    copies = chosen.groupBy(last, "name", "key", "size").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows"))
-    copies, _ = store(copies, "copies")
-    named = sized.select("doc", last, "name", "key", "size")
-    joined = named.join(copies, same)
-    nth = F.when(F.col("rows") > 1, F.row_number().over(Window.partitionBy(*same).orderBy("id"))).otherwise(1)
-    each = F.floor(F.col("copies") / F.col("rows")) + (nth <= F.col("copies") % F.col("rows")).cast("long")
-    times = joined.withColumn("times", each).where("times > 0")
-    return times.select("doc", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("nth")).select("doc.*")
+def take(docs: DataFrame, weights=WEIGHTS, most: int = MOST, cell_rows: int = CELL_ROWS, run_rows: int = RUN_ROWS) -> DataFrame:
+    """The mix itself: the rows of docs, each as often as it has copies. Rows that are
+    alike in all columns share their copies; other rows of a doc_id have an order by
+    the MD5 of the row, so a task that runs again gives the same."""
+    others = F.to_json(F.struct(*[docs[quoted(c)] for c in docs.columns if c != "text"]))
+    alike = F.md5(F.concat_ws(" ", F.md5(F.col("text").cast("binary")), others).cast("binary"))
+    sized = _sized(docs.select(F.struct("*").alias("doc"), "doc_id", "source", "text", alike.alias("alike")), "doc", "alike")
+    units, _ = store(_mixed(sized.drop("doc"), weights, most, cell_rows), "units")
+    rows = sized.select("doc", "alike")
+    if not units.where("rows > 1").isEmpty():  # of alike rows one stands for all
+        rows = rows.groupBy("alike").agg(F.first("doc").alias("doc"))
+    times = units.select("alike", (F.col("rows") * F.col("whole") + F.col("more")).alias("times")).where("times > 0")
+    return _repeated(rows.join(times, "alike"), "times", run_rows).select("doc.*")
 
 
 def sql(documents: str = "documents", result: str = "SELECT doc_id, size, source_size, target, taken FROM mixed") -> str:

@@ -74,9 +74,10 @@ def band_keys(hashes: np.ndarray) -> list[int]:
     return [simhash._signed(xxhash.xxh64_intdigest(band.tobytes(), i)) for i, band in enumerate(least.reshape(BANDS, ROWS))]
 
 
-def sketches(rows: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, digest, node, fp, n, keys) of rows (doc_id, digest, text): node
-    names the words of the text, n is the size of its shingle set."""
+def sketches(rows: DataFrame, shingle: int = SHINGLE, node_bits: int = 64) -> DataFrame:
+    """(doc_id, digest, node, check, fp, n, keys) of rows (doc_id, digest, text): node
+    and check, two hashes, name the words of the text, n is the size of its shingle set."""
+    bits = (1 << node_bits) - 1
 
     def run(batches):
         for batch in batches:
@@ -85,13 +86,37 @@ def sketches(rows: DataFrame, shingle: int = SHINGLE) -> DataFrame:
                 words = words_of(text.as_py())
                 hashes = shingle_hashes(words, shingle)
                 own = np.unique(hashes)
-                node = simhash._signed(xxhash.xxh64_intdigest(b" ".join(words), 7))
-                found.append((node, simhash._signed(majority(hashes)), len(own), band_keys(own)))
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
-            columns = [pa.array(c, t) for c, t in zip(zip(*found) if found else [[]] * 4, types)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("digest"), *columns], ["doc_id", "digest", "node", "fp", "n", "keys"])
+                line = b" ".join(words)
+                node, check = (simhash._signed(xxhash.xxh64_intdigest(line, seed) & mask) for seed, mask in ((7, bits), (11, (1 << 64) - 1)))
+                found.append((node, check, simhash._signed(majority(hashes)), len(own), band_keys(own)))
+            types = (*[pa.int64()] * 4, pa.list_(pa.int64()))
+            columns = [pa.array(c, t) for c, t in zip(zip(*found) if found else [[]] * 5, types)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("digest"), *columns], ["doc_id", "digest", "node", "check", "fp", "n", "keys"])
 
-    return rows.mapInArrow(run, "doc_id long, digest binary, node long, fp long, n long, keys array<long>")
+    return rows.mapInArrow(run, "doc_id long, digest binary, node long, check long, fp long, n long, keys array<long>")
+
+
+def _told_apart(sketch: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The sketch, with nodes that stand for one text each, and a row for each node.
+
+    Texts are told apart by node and check, 128 bits. Of several that share a node, as
+    a few do among billions, all but the one with the smallest check get another,
+    until no node is shared.
+    """
+    first = [F.first(c).alias(c) for c in ("fp", "n", "keys")]
+    nodes, _ = store(sketch.groupBy("node", "check").agg(F.min("digest").alias("digest"), *first), "nodes")
+    taken = nodes.select("node", "check", F.col("node").alias("name"))
+    shared = lambda rows: rows.groupBy("name").agg(F.min("check").alias("least"), F.count(F.lit(1)).alias("texts")).where("texts > 1").select("name", "least")
+    clash, turn, renamed = store(shared(taken), "clash")[0], 0, False
+    while not clash.isEmpty():
+        turn, renamed = turn + 1, True
+        other = F.when(F.col("check") > F.col("least"), F.xxhash64(F.lit(turn), "node", "check")).otherwise(F.col("name"))
+        taken, _ = store(taken.join(clash, "name", "left").select("node", "check", other.alias("name")), "names")
+        clash = store(shared(taken), "clash")[0]
+    if not renamed:
+        return sketch, nodes
+    named = lambda rows: rows.join(taken, ["node", "check"]).drop("node").withColumnRenamed("name", "node")
+    return named(sketch), store(named(nodes), "nodes")[0]
 
 
 def shingle_sets(rows: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -215,17 +240,17 @@ def links(nodes: DataFrame, texts: DataFrame, shingle: int = SHINGLE, similar: f
     return near.unionByName(_similar(more, sets, similar))
 
 
-def one_of_each(docs: DataFrame, shingle: int = SHINGLE, similar: float = SIMILAR) -> DataFrame:
+def one_of_each(docs: DataFrame, shingle: int = SHINGLE, similar: float = SIMILAR, node_bits: int = 64) -> DataFrame:
     """One document of each component of similar ones, with all columns: the one
     with the smallest doc_id, null last, then the smallest digest of its text.
 
     Documents are similar when their sets of shingles (lower-cased words) have at
     least the Jaccard similarity. Fewer words than a shingle are one shingle;
-    null and wordless texts are alike.
+    null and wordless texts are alike. Nodes of fewer bits only cost time: texts that
+    share one are told apart.
     """
     rows = docs.select(F.col("doc_id").cast("long"), simhash.text_digest().alias("digest"), F.col("text").cast("string"))
-    sketch, _ = store(sketches(rows, shingle), "sketches")
-    nodes, _ = store(sketch.groupBy("node").agg(F.min("digest").alias("digest"), *[F.first(c).alias(c) for c in ("fp", "n", "keys")]), "nodes")
+    sketch, nodes = _told_apart(store(sketches(rows, shingle, node_bits), "sketches")[0])
     with scope(docs.sparkSession):
         labels, _ = store(components(links(nodes, rows.select("digest", "text"), shingle, similar)), "labels", kept=True)
     named = sketch.select("doc_id", "digest", "node").join(labels, "node", "left")

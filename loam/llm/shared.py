@@ -7,13 +7,18 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import clear, components, drop, scope, scratch, shared_folder, store
 
-__all__ = ["SPACE", "WORD", "clear", "components", "drop", "scope", "scratch", "shared_folder", "store", "words"]
+__all__ = ["SPACE", "WORD", "clear", "components", "drop", "quoted", "scope", "scratch", "shared_folder", "store", "words"]
 
 #: Runs of these characters separate words and are folded by normalisation.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def quoted(name: str) -> str:
+    """A column's name, whatever characters it has, for col()."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def words(text: Column) -> Column:
     """Number of words; null counts as empty."""
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")

@@ -16,12 +16,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: At most this many labelled documents of each class are learned from, those
-#: with the smallest MD5 of their doc_id, as far as their texts come to SAMPLE_CHARS
-#: together; all further counts cover all rows.
+#: with the smallest MD5 of their doc_id, and texts of half of SAMPLE_CHARS for each
+#: class: a text that no longer fits is passed over. All further counts cover all rows.
 SAMPLE = 2000
 SAMPLE_CHARS = 1 << 24
 BUCKETS = 1 << 16
@@ -234,8 +234,9 @@ def held_out():
 
 def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, chars: int = SAMPLE_CHARS) -> DataFrame:
     """(doc_id, text, toxic) of the labelled rows of docs that are learned from, none
-    of them held out: sample documents of each class at most, and texts of so many characters
-    in all, whatever repeats or however long they are. Labels other than 0 and 1,
+    of them held out: sample documents of each class at most, and texts of half of so many
+    characters for each class, in the order of the MD5 of doc_id; a text that no longer
+    fits is passed over, so a very long one leaves the others. Labels other than 0 and 1,
     null identifiers and identifiers with both labels are left out; of texts that
     repeat an identifier the first by code points is read.
     """
@@ -248,11 +249,22 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, char
         part = one.where(F.col("toxic") == toxic).select("doc_id", "toxic").orderBy(key, "doc_id").limit(sample)
         chosen = part if chosen is None else chosen.union(part)
     # at most 2 * sample rows of two numbers: that bounds the broadcast
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where(F.length("text") <= chars)
+    room = chars // 2
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where(F.length("text") <= room)
     rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").cast("int").alias("toxic"))
-    # one row for each chosen document, so one task may add up their lengths
-    so_far = F.sum(F.length("text")).over(Window.orderBy(key, "doc_id"))
-    return rows.withColumn("so_far", so_far).where(F.col("so_far") <= chars).select("doc_id", "text", "toxic")
+
+    def fitting(lengths: pd.DataFrame) -> pd.DataFrame:
+        kept, used = [], 0
+        for one in lengths.sort_values(["key", "doc_id"]).itertuples():
+            if used + one.n <= room:
+                kept.append(one.doc_id)
+                used += one.n
+        return pd.DataFrame({"doc_id": kept}, dtype="int64")
+
+    # a row of numbers for each chosen document, so one task may add up a class
+    lengths = rows.select(F.col("doc_id").cast("long"), "toxic", key.alias("key"), F.length("text").alias("n"))
+    kept = lengths.groupBy("toxic").applyInPandas(fitting, "doc_id long")
+    return rows.join(F.broadcast(kept), "doc_id", "left_semi").select("doc_id", "text", "toxic")
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, chars: int = SAMPLE_CHARS) -> Model:

@@ -344,3 +344,17 @@ def test_cuts_are_local_whatever_the_block(monkeypatch):
     assert set(whole[3:]) <= set(moved)
     assert chunks.cuts(b"").size == 0 and chunks.cuts(b"a").tolist() == [1]
     assert np.diff(chunks.cuts(b"For " * 5000), prepend=0).max() <= chunks.LONGEST
+
+
+def test_pipeline_stages_tell_repeats_apart(documents):
+    """Of rows that repeat doc_id and normalised text the same stays in any order of rows,
+    and texts that share a node's number are still told apart."""
+    rows = [(1, "a  b", "x"), (1, "a b", "y"), (1, "a\tb", "x"), (1, "a b", "x"), (2, None, "x"), (2, "", "y")]
+    kept = {tuple(sorted(map(str, exact.without_duplicates(documents(some)).select("doc_id", "text", "source").collect()))) for some in (rows, rows[::-1], rows[2:] + rows[:2])}
+    assert len(kept) == 1 and len(next(iter(kept))) == 2
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(words[i : i + 30]) for i in (0, 1, 7, 20, 29, 30)] + ["", "one", "two words", "ONE"]
+    docs = documents(list(enumerate(texts)))
+    want = sorted(r.doc_id for r in near.one_of_each(docs).collect())
+    assert want == sorted(r.doc_id for r in near.one_of_each(docs, node_bits=1).collect())
+    assert {6, 7, 8} <= set(want) and 9 not in want

@@ -56,6 +56,13 @@ def test_training_reads_no_more_than_its_bounds(spark, documents):
     assert sorted(r.toxic for r in rows) == [0] * 20 + [1] * 20
     rows = toxicity.training_rows(docs, labels, chars=100).collect()
     assert sum(len(r.text) for r in rows) in range(80, 101)
+    # a text that takes a class's room, or most of it, leaves the other class and short texts
+    docs = documents([(i, "x" * 900 if i < 40 else f"text {i:03}") for i in ids])
+    rows = toxicity.training_rows(docs, labels, chars=2000).collect()
+    assert {r.toxic for r in rows} == {0, 1}
+    for toxic in (0, 1):
+        own = [len(r.text) for r in rows if r.toxic == toxic]
+        assert sum(own) <= 1000 and own.count(900) <= 1 and len(own) >= 9
 
 
 def test_sums_by_group():
@@ -315,6 +322,33 @@ def test_mix_edges(spark, documents):
     assert {r.taken for r in mixing.mix(documents([(1, None), (2, "")])).collect()} == {0}
 
 
+def test_mix_of_repeated_doc_ids(spark, documents):
+    """Half of the rows share a doc_id and a size: many cells, and the rows of SQL."""
+    rnd = random.Random(8)
+    word = lambda: rnd.choice("abcdefgh") * 3
+    rows = [(1 if i % 2 else i, " ".join(word() for _ in range(5 if i % 2 else i % 9)), f"s{i % 4 // 2}") for i in range(600)]
+    made = documents(rows)
+    db = duckdb.connect()
+    db.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, source VARCHAR)")
+    db.executemany("INSERT INTO documents VALUES (?, ?, ?)", rows)
+    want = sorted(db.execute(mixing.SQL).fetchall())
+    for sizes in ({}, {"cell_rows": 4, "run_rows": 7}):
+        mixed = mixing.mix(made, **sizes)
+        assert sorted(map(tuple, mixed.drop("copies").collect())) == want
+        taken = sorted(map(tuple, mixing.take(made, **sizes).collect()))
+        assert taken == sorted(map(tuple, mixing.take(made.repartition(5), **sizes).collect()))
+        copies = {}
+        for r in mixed.collect():
+            copies[r.doc_id] = copies.get(r.doc_id, 0) + r.copies
+        again = {}
+        for r in mixing.take(made, **sizes).collect():
+            again[r.doc_id] = again.get(r.doc_id, 0) + 1
+        assert again == {k: v for k, v in copies.items() if v}
+    units = spark.createDataFrame([("s", 5, "ab" * 16, hashlib.md5(bytes([i])).hexdigest()) for i in range(200)], "name string, size long, key string, alike string")
+    cells = [r["count"] for r in mixing._dealt(units, 200, 20).groupBy("cell").count().collect()]
+    assert len(cells) > 8 and max(cells) < 40
+
+
 def test_newton_solves_the_dual(spark):
     rnd = random.Random(6)
     classes = [(f"s{i}", size, rnd.randrange(1, 9)) for i in range(7) for size in rnd.sample(range(0, 20_000 if i % 2 else 40), 30)] + [("empty", 0, 4)]
