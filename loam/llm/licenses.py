@@ -1,15 +1,16 @@
 """License scans by patience alignment.
 
-Words that occur once in a piece of a template and once in the text beside it are
+Words that occur once in a template and once in the stretch of text beside it are
 anchors; the longest increasing subsequence of them is taken, and the gaps between
 are aligned in the same way. Coverage is the share of a template's words that the
 alignment matches.
 
-Each template has telling phrases, such as the license's name and version, without
-which no coverage counts: "CC BY 4.0" is nine tenths of "CC BY-NC 4.0". Their places
-in the text are where alignment starts: the template's words before, between and
-after them are aligned to what stands there, so notices that follow each other
-closely are told apart.
+Any word may anchor: a notice is found wherever a stretch matches enough of its
+words, also where its name is misspelt. Lines of under 16 words hold little else than
+a name, so there the words that name the license have to match and to stand together
+("CC BY 4.0" is four fifths of "CC BY-NC 4.0"), and a line after "not" is none. Of
+licenses that claim the same words, the one that matches more of them stays, then the
+one that is covered better, then the one more of whose telling phrases stand whole.
 """
 
 from __future__ import annotations
@@ -25,8 +26,44 @@ from pyspark.sql import functions as F
 #: Least coverage of a template that counts as found.
 COVERAGE = 0.8
 
+#: Templates of fewer words are lines.
+LINE = 16
+
+#: Words of telling phrases that don't tell one license from another. Fixed values.
+GENERIC = {"and", "general", "in", "license", "public", "the", "use", "v", "version"}
+
+#: Words before a line that turn it round. Fixed values.
+NEGATIONS = {"aren't", "isn't", "never", "not", "wasn't"}
+
+#: Public identifiers of the covered licenses, and names in prose. Fixed values.
+IDENTIFIERS = ("AGPL-3.0", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC-BY-4.0", "CC-BY-NC-4.0", "CC-BY-SA-4.0", "GPL-2.0", "GPL-3.0", "ISC", "LGPL-3.0", "MIT", "MPL-2.0", "Unlicense")
+NAMES = (
+    ("Apache-2.0", "Apache Software License, Version 2.0"),
+    ("CC-BY-4.0", "CC-BY 4.0"),
+    ("CC-BY-4.0", "CC BY 4.0"),
+    ("CC-BY-4.0", "Creative Commons Attribution 4.0 International"),
+    ("CC-BY-NC-4.0", "CC-BY-NC 4.0"),
+    ("CC-BY-NC-4.0", "CC BY-NC 4.0"),
+    ("CC-BY-NC-4.0", "Creative Commons Attribution-NonCommercial 4.0 International"),
+    ("CC-BY-SA-4.0", "CC-BY-SA 4.0"),
+    ("CC-BY-SA-4.0", "CC BY-SA 4.0"),
+    ("CC-BY-SA-4.0", "Creative Commons Attribution-ShareAlike 4.0 International"),
+    ("MIT", "MIT licensed"),
+    ("MIT", "MIT-licensed"),
+)
+
+
+def _identifier_lines():
+    for name in IDENTIFIERS:
+        for tail in ("", "-only", "-or-later") if "GPL" in name else ("",):
+            line = f"SPDX-License-Identifier: {name}{tail}"
+            yield name, line, (line,)
+
+
 #: (license, template, telling phrases): public license lines and notices. Fixed values.
 TEMPLATES = (
+    *_identifier_lines(),
+    *((name, line, (line,)) for name, line in NAMES),
     (
         "AGPL-3.0",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as "
@@ -181,109 +218,165 @@ def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def spread(words: int) -> int:
-    """Words of text in which so many words of a template are sought."""
-    return 2 * words + 4
+    """Words of text in which a template of so many words is sought."""
+    return words + (words // 2 if words >= LINE else words // 4)
 
 
 class Template:
-    """A template's words and where its telling phrases stand in them."""
+    """A template's words, how many must match, and what tells it apart."""
 
     def __init__(self, name: str, text: str, telling: tuple[str, ...], coverage: float):
         self.name, self.words = name, words_of(text)
+        self.counts, self.width = Counter(self.words), spread(len(self.words))
         self.need = -int(-(coverage * len(self.words) - 1e-9) // 1)
+        self.line = len(self.words) < LINE
         self.phrases, at = [], 0
         for phrase in map(words_of, telling):
             at = next(i for i in range(at, len(self.words)) if self.words[i : i + len(phrase)] == phrase)
             self.phrases.append((at, phrase))
             at += len(phrase)
-
-    def placed(self, words: list[str], places: dict[str, list[int]]):
-        """The places of all phrases, in order and close enough, one after another."""
-        spots = []
-        for _, phrase in self.phrases:
-            i = min(range(len(phrase)), key=lambda i: len(places.get(phrase[i], ())))
-            spots.append([p - i for p in places.get(phrase[i], ()) if p >= i and words[p - i : p - i + len(phrase)] == phrase])
-        todo = [(p,) for p in reversed(spots[0])]
-        while todo:
-            chosen = todo.pop()
-            n = len(chosen)
-            if n == len(spots):
-                yield chosen
-                continue
-            at, phrase = self.phrases[n - 1]
-            end = chosen[-1] + len(phrase)
-            last = end + spread(self.phrases[n][0] - at - len(phrase))
-            todo += [(*chosen, q) for q in reversed(spots[n][bisect_left(spots[n], end) : bisect_right(spots[n], last)])]
-
-    def pieces(self, chosen: tuple[int, ...], n_words: int):
-        """(template from, to, text from, to) before, between and after the phrases."""
-        (at, _), (last, phrase) = self.phrases[0], self.phrases[-1]
-        yield 0, at, max(0, chosen[0] - spread(at)), chosen[0]
-        for (t, a), (u, _), p, q in zip(self.phrases, self.phrases[1:], chosen, chosen[1:]):
-            yield t + len(a), u, p + len(a), q
-        rest = len(self.words) - last - len(phrase)
-        end = chosen[-1] + len(phrase)
-        yield last + len(phrase), len(self.words), end, min(n_words, end + spread(rest))
+        self.naming = {at + i for at, p in self.phrases for i, w in enumerate(p) if w not in GENERIC} if self.line else set()
+        self.must = {self.words[i] for i in self.naming}
+
+    def in_words(self, places: dict[str, list[int]]) -> bool:
+        """Whether a text with such words can hold the template at all."""
+        if not all(w in places for w in self.must):
+            return False
+        return sum(min(n, len(places.get(w, ()))) for w, n in self.counts.items()) >= self.need
+
+    def starts(self, places: dict[str, list[int]]) -> list[tuple[int, int]]:
+        """(place, words in common) of each word of the template in the text from which
+        the next width words have enough words in common with it."""
+        events = sorted((p, w) for w in self.counts for p in places.get(w, ()))
+        seen: Counter = Counter()
+        out, common, end = [], 0, 0
+        for p, w in events:
+            while end < len(events) and events[end][0] < p + self.width:
+                v = events[end][1]
+                seen[v] += 1
+                common += seen[v] <= self.counts[v]
+                end += 1
+            if common >= self.need:
+                out.append((p, common))
+            common -= seen[w] <= self.counts[w]
+            seen[w] -= 1
+        return out
+
+    def told(self, words: list[str], first: int, last: int) -> int:
+        """How many telling phrases stand whole in the stretch."""
+        inside = words[first : last + 1]
+        return sum(any(inside[i : i + len(p)] == p for i in range(len(inside) - len(p) + 1)) for _, p in self.phrases)
+
+    def accepts(self, chain: list[tuple[int, int]], words: list[str]) -> bool:
+        """Whether enough words match; of a line, the naming words too, side by side
+        and not after a negation."""
+        if len(chain) < self.need:
+            return False
+        if not self.line:
+            return True
+        at = dict(chain)
+        if not self.naming <= at.keys():
+            return False
+        for t, p in self.phrases:
+            if len({at[i] - i for i in range(t, t + len(p)) if i in at}) > 1:
+                return False
+        first = chain[0][1]
+        return NEGATIONS.isdisjoint(words[max(0, first - 2) : chain[-1][1] + 1])
+
+    def stretches(self, words: list[str], places: dict[str, list[int]]):
+        """(matched words, first word, last word) of stretches that hold the template,
+        from left to right and apart from each other: of the starts in as many words
+        as a stretch has at least, the one that matches most, ties to the shorter
+        stretch, then the first."""
+        starts, k = self.starts(places), 0
+        while k < len(starts):
+            stop, best = bisect_left(starts, (starts[k][0] + self.need,)), None
+            for p, common in sorted(starts[k:stop], key=lambda s: (-s[1], s[0])):
+                if best is not None and common <= best[0]:
+                    break
+                chain = self.aligned(words, p, best[0] + 1 if best else self.need)
+                # one that begins beyond these starts has its own, and must not hide one before it
+                if chain and chain[0][1] < starts[k][0] + self.need and (best is None or len(chain) > best[0]):
+                    best = (len(chain), chain[0][1], chain[-1][1])
+            if best is None:
+                k = stop
+            else:
+                yield best
+                k = max(k + 1, bisect_left(starts, (best[2] + 1,)))
+
+    def aligned(self, words: list[str], start: int, least: int) -> list[tuple[int, int]]:
+        """The alignment from a start, empty if it isn't accepted or matches less than least."""
+        beside = words[start : start + self.width]
+        if least > self.need and common_words(self.words, beside) < least:
+            return []
+        chain = align(self.words, beside, repeats=True)
+        if len(chain) < self.need <= common_words(self.words, beside):
+            chain = longest(self.words, beside)  # anchors can lead astray
+        chain = [(i, start + j) for i, j in chain]
+        if len(chain) < least:
+            return []
+        first, last = chain[0][1], chain[-1][1]
+        if last - first >= len(chain):  # the same from the other end, which leaves out a word that comes too early
+            n, m = len(self.words) - 1, last
+            back = [(n - i, m - j) for i, j in reversed(align(self.words[::-1], words[first : last + 1][::-1], repeats=True))]
+            if len(back) >= len(chain) and self.accepts(back, words):
+                return back
+        return chain if self.accepts(chain, words) else []
+
+
+def common_words(a: list[str], b: list[str]) -> int:
+    """Length of the longest common subsequence, a bit for each word of a."""
+    places: dict[str, int] = {}
+    for i, w in enumerate(a):
+        places[w] = places.get(w, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    left = full
+    for w in b:
+        hit = left & places.get(w, 0)
+        left = (left + hit | left - hit) & full
+    return len(a) - left.bit_count()
 
 
 class Scanner:
     def __init__(self, templates=TEMPLATES, coverage: float = COVERAGE):
         self.templates = [Template(*t, coverage) for t in templates]
+        self.vocabulary = frozenset(w for t in self.templates for w in t.counts)
 
     def scan(self, text: str | None) -> list[tuple[str, float, int, int]]:
-        """(license, coverage, first word, last word) of each template found, best
-        stretch only, in the order of the templates."""
-        low = (text or "").lower()
-        words = places = None
-        out = []
-        for t in self.templates:
-            if not all(w in low for _, phrase in t.phrases for w in phrase):
-                continue
-            if words is None:
-                words, places = _WORD.findall(low), {}
-                for i, w in enumerate(words):
-                    places.setdefault(w, []).append(i)
-            best = self._best(t, words, places)
-            if best is not None:
-                out.append((t.name, *best))
-        # a license whose stretch lies inside a longer one of another is part of it
-        inside = lambda f, g: f[0] != g[0] and g[2] <= f[2] and f[3] <= g[3] and g[3] - g[2] > f[3] - f[2]
-        return [f for f in out if not any(inside(f, g) for g in out)]
-
-    @staticmethod
-    def _best(t: Template, words: list[str], places: dict[str, list[int]]):
-        """The stretch of highest coverage, ties to the shorter, then the first."""
-        told, best = sum(len(p) for _, p in t.phrases), None
-        for chosen in t.placed(words, places):
-            pieces = [(t.words[a:b], words[c:d], c) for a, b, c, d in t.pieces(chosen, len(words))]
-            # no alignment matches more than the words both have
-            most = told + sum(sum((Counter(a) & Counter(b)).values()) for a, b, _ in pieces)
-            if most < t.need or best is not None and most < best[0]:
-                continue
-            matched = [_beside(a, b, i == 0, align) for i, (a, b, _) in enumerate(pieces)]
-            if told + sum(map(len, matched)) < t.need:  # anchors can lead astray; the decision is the longest alignment's
-                matched = [_beside(a, b, i == 0, _longest) for i, (a, b, _) in enumerate(pieces)]
-            share = told + sum(map(len, matched))
-            if share < t.need:
-                continue
-            at = [pieces[i][2] + j for i, chain in enumerate(matched) for _, j in chain]
-            first, last = min([*at, chosen[0]]), max([*at, chosen[-1] + len(t.phrases[-1][1]) - 1])
-            if best is None or (share, first - last) > (best[0], best[1] - best[2]):
-                best = (share, first, last)
-            if share == len(t.words) == last - first + 1:
+        """(license, coverage, first word, last word) of each license found, its best
+        covered stretch only (ties to the longer, then the first), in the order of the
+        templates. Licenses that nothing tells apart are all listed."""
+        words = words_of(text or "")
+        places: dict[str, list[int]] = {}
+        for i, w in enumerate(words):
+            if w in self.vocabulary:
+                places.setdefault(w, []).append(i)
+        claims = [
+            (first, last, (n, n / len(t.words), t.told(words, first, last)), t.name)
+            for t in self.templates
+            if t.in_words(places)
+            for n, first, last in t.stretches(words, places)
+        ]
+        best: dict[str, tuple] = {}
+        for first, last, (_, share, _), name in _undisputed(claims):
+            if name not in best or (share, last - first, -first) > (best[name][0], best[name][2] - best[name][1], -best[name][1]):
+                best[name] = (share, first, last)
+        return [(name, *best[name]) for name in dict.fromkeys(t.name for t in self.templates) if name in best]
+
+
+def _undisputed(claims):
+    """Claims without a better one of another license on half of their words or more."""
+    claims = sorted(claims, key=lambda c: c[:2])
+    longest_one, lost = max((last - first for first, last, *_ in claims), default=0), set()
+    firsts = [c[0] for c in claims]
+    for i, (first, last, worth, name) in enumerate(claims):
+        for j in range(bisect_left(firsts, first - longest_one), bisect_right(firsts, last)):
+            f, l, w, other = claims[j]
+            shared = min(last, l) - max(first, f) + 1
+            if other != name and w > worth and 2 * shared >= last - first + 1:
+                lost.add(i)
                 break
-        return best and (best[0] / len(t.words), best[1], best[2])
-
-
-def _longest(a: list[str], b: list[str], repeats: bool = True) -> list[tuple[int, int]]:
-    return longest(a, b)
-
-
-def _beside(a: list[str], b: list[str], before: bool, how) -> list[tuple[int, int]]:
-    """Matches of a and b; those before a phrase are sought from its side."""
-    if not before:
-        return how(a, b, repeats=True)
-    return [(len(a) - 1 - i, len(b) - 1 - j) for i, j in reversed(how(a[::-1], b[::-1], repeats=True))]
+    return [c for i, c in enumerate(claims) if i not in lost]
 
 
 def scan_licenses(docs: DataFrame, templates=TEMPLATES, coverage: float = COVERAGE) -> DataFrame:
