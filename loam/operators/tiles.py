@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import colours as P
 from ..functions import geometry as G
+from .dims import large
 
 
 def height_range(heights: DataFrame) -> DataFrame:
@@ -60,9 +61,9 @@ def stencil(pixels: DataFrame, heights: DataFrame) -> DataFrame:
     at = [("height", 0, 0), ("west", -1, 0), ("east", 1, 0), ("north", 0, -1), ("south", 0, 1)]
     asks = F.array(*[F.struct(F.lit(n).alias("role"), (F.col("x") + dx * step).alias("ax"), (F.col("z") + dz * step).alias("az")) for n, dx, dz in at])
     asked = pixels.select("lod", "x", "z").distinct().select("lod", "x", "z", F.explode(asks).alias("a")).select("lod", "x", "z", "a.*")
-    met = asked.join(heights.select(F.col("x").alias("ax"), F.col("z").alias("az"), F.col("height").alias("_h")), ["ax", "az"])
+    met = asked.join(large(heights.select(F.col("x").alias("ax"), F.col("z").alias("az"), F.col("height").alias("_h"))), ["ax", "az"])
     wide = met.groupBy("lod", "x", "z").agg(*[F.max(F.when(F.col("role") == n, F.col("_h"))).alias(n) for n, _, _ in at])
-    return pixels.join(wide, ["lod", "x", "z"], "left")
+    return pixels.join(large(wide), ["lod", "x", "z"], "left")
 
 
 def raster_size(radius, pixels_per_block):
@@ -119,7 +120,7 @@ def tile_pyramid(bounds: DataFrame, heights: DataFrame, surface: DataFrame, soil
     span = F.broadcast(height_range(heights))  # one row
     pixels = reduce(DataFrame.unionByName, [sample_grid(bounds, lod) for lod in lods])
     shaded = stencil(pixels, heights).withColumn("shade", F.coalesce(P.hillshade(*(F.col(c) for c in ("west", "east", "north", "south"))), F.lit(0.0)))
-    rows = shaded.join(surface.select("x", "z", "class"), ["x", "z"], "left").join(soil.select("x", "z", "tier"), ["x", "z"], "left").join(span)
+    rows = shaded.join(large(surface.select("x", "z", "class")), ["x", "z"], "left").join(large(soil.select("x", "z", "tier")), ["x", "z"], "left").join(span)
     ground = F.when(F.col("height").isNotNull(), P.terrain_argb(F.col("height"), F.col("low"), F.col("high"), F.col("shade"), style))
     top = F.coalesce(F.when(F.col("class").isNotNull(), P.surface_argb(F.col("class"), F.col("shade"))), ground)
     return rows.withColumn("argb", P.soil_blend(top, F.col("tier"))).where("argb IS NOT NULL").select("tx", "tz", "lod", "px", "pz", "argb")

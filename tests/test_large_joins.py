@@ -33,3 +33,72 @@ def test_stored_legend_does_not_broadcast_the_store(columns, circles):
     found = tables.stored_legend(columns, circles, 64, 64)
     assert not broadcast_joins(found, "LeftOuter")
     assert sorted((r.circle, r.served, r["columns"]) for r in found.collect()) == [(1, True, 1257), (2, False, None)]
+
+
+def test_stored_columns_does_not_broadcast_the_store(columns, circles):
+    found = tables.stored_columns(columns, circles, 64, 64)
+    assert not broadcast_joins(found, "LeftOuter")
+    assert found.where("served").count() == 1257
+
+
+def world(spark):
+    rnd = random.Random(3)
+    codes = ["game:air", "game:rock-granite", "game:soil-medium-normal", "game:leaves-grown-oak", "game:water-still-7", "game:waterfern-tallplant"]
+    registry = spark.createDataFrame(list(enumerate(codes)), "block_id int, code string")
+    cells = {(rnd.randrange(96), rnd.randrange(64), rnd.randrange(64)): rnd.randrange(6) for _ in range(6000)}
+    voxels = spark.createDataFrame([(*k, v) for k, v in cells.items()], "x int, y int, z int, block_id int")
+    liquids = spark.createDataFrame([(*k, 4) for k in cells if k[0] % 3 == 0], "x int, y int, z int, liquid_id int")
+    top = {}
+    for x, y, z in cells:
+        top[x, z] = max(top.get((x, z), 0), y)
+    heights = spark.createDataFrame([(x, z, y) for (x, z), y in top.items()], "x int, z int, rain_y int")
+    coverage = spark.createDataFrame([(cx, cy, cz, "AVAILABLE") for cx in range(3) for cy in range(2) for cz in range(2)], "cx int, cy int, cz int, status string")
+    return registry, cells, voxels, liquids, heights, coverage, spark.createDataFrame([(1, 1)], "mx int, mz int")
+
+
+def test_surface_over_buckets_does_not_broadcast_tables(spark, tmp_path):
+    registry, _, voxels, liquids, heights, coverage, dry = world(spark)
+    kept = spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition")
+    try:
+        bucketed.co_located(spark)
+        v, h, q, c = (bucketed.write(df, str(tmp_path / n), 2) for n, df in (("v", voxels), ("h", heights), ("q", liquids), ("c", coverage)))
+        plans, real = [], surface.store
+        surface.store = lambda df, name: (plans.append(df), real(df, name))[1]
+        try:
+            plans.append(surface.resolve_surface(v.select("cx", "cz", "x", "z"), h, v, registry, q, c, dry, 64))
+        finally:
+            surface.store = real
+        for df in plans:
+            assert not broadcast_joins(df, r"\w+")
+    finally:
+        spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", kept)
+
+
+def test_tile_pyramid_does_not_broadcast_columns(spark, columns):
+    bounds = spark.createDataFrame([(0, 0, 0, 64, 0, 64)], "tx int, tz int, x0 int, x1 int, z0 int, z1 int")
+    found = tiles.tile_pyramid(bounds, columns.select("x", "z", "height"), columns.select("x", "z", "class"), columns.select("x", "z", "tier"))
+    assert not broadcast_joins(found, r"\w+")
+    assert found.where("lod = 0").count() == 64 * 64
+
+
+def test_files_are_counted_before_they_are_called_small(spark, tmp_path):
+    spark.range(300_000).selectExpr("CAST(0 AS INT) x").write.parquet(str(tmp_path / "rows"))
+    assert not is_small(spark.read.parquet(str(tmp_path / "rows")))
+
+
+def test_surface_is_one_job_and_counts_water_plants(spark, monkeypatch):
+    """Against a plain loop; a foliage block whose code names water is a surface without a liquid too."""
+    registry, cells, voxels, liquids, heights, coverage, dry = world(spark)
+    monkeypatch.setattr(surface, "store", lambda *_: pytest.fail("the surface is stored on its way"))
+    found = {(r.x, r.z): (r.path, r.y, r.block_id, r.liquid_id) for r in surface.resolve_surface(voxels.select("x", "z"), heights, voxels, registry, liquids, coverage, dry, 64).collect()}
+    solid, want, bad = {1, 2, 4, 5}, {}, {(1, 1)}
+    wet = lambda x, z: x % 3 == 0 and (x // 32, z // 32) != (1, 1)
+    tops = {}
+    for (x, y, z), b in cells.items():
+        tops[x, z] = max(tops.get((x, z), (-1, 0)), (y, b))
+        if b in solid or wet(x, z):
+            want[x, z] = max(want.get((x, z), (-1, 0)), (y, b))
+    for (x, z), (_, b) in tops.items():
+        if not (b in solid or x % 3 == 0):
+            bad.add((x // 32, z // 32))
+    assert found == {(x, z): ("FALLBACK" if (x // 32, z // 32) in bad else "FAST", y, b, 4 if wet(x, z) else 0) for (x, z), (y, b) in want.items()}
