@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from .dims import large
 from .graph import store
 from .ore import ore_observation
 from .regions import max_signal
@@ -69,7 +70,7 @@ def prospecting(requests: DataFrame, voxels: DataFrame, registry: DataFrame, cov
     """One row per request and resource: the evidence, rank, reasons and place."""
     areas = requests.select("request_id", "cx", "cz", "radius").distinct()
     cells = G.circle_cells(areas).where(G.in_world(F.col("x"), size[0]) & G.in_world(F.col("z"), size[2])).select("request_id", "x", "z")
-    rock, _ = store(cells.join(upper_rock(voxels, registry, coverage, cells, 0, size[1] - 1), ["x", "z"]), "rock")
+    rock, _ = store(cells.join(large(upper_rock(voxels, registry, coverage, cells, 0, size[1] - 1)), ["x", "z"]), "rock")
     pairs = rock.where("state = 'OBSERVED'").select("request_id", "rock_code").distinct().join(requests.select("request_id", "resource"), "request_id")
     keys = ["request_id", "resource"]
     evidence = (

@@ -102,3 +102,11 @@ def test_surface_is_one_job_and_counts_water_plants(spark, monkeypatch):
         if not (b in solid or x % 3 == 0):
             bad.add((x // 32, z // 32))
     assert found == {(x, z): ("FALLBACK" if (x // 32, z // 32) in bad else "FAST", y, b, 4 if wet(x, z) else 0) for (x, z), (y, b) in want.items()}
+
+
+def test_cells_of_circles_are_not_broadcast(spark):
+    """Spark takes the cells of circles for as few rows as there are requests."""
+    from loam.plans.worlds import request_rock
+    from loam.plans.worldviews import World
+
+    assert not broadcast_joins(request_rock(World(spark, "/root/testdata/sf0.001")), "Inner")
