@@ -81,6 +81,19 @@ def test_ore_totals_keep_resources_without_hits(spark):
     assert rows(back.select("x", "y", "z", "block_id")) == rows(voxels)
 
 
+def test_masks_take_one_shuffle_over_tasks_that_grow(spark):
+    """Voxels and masks are grouped where one shuffle puts them, half a million rows of lineitem to a task."""
+    import re
+
+    from loam.plans.worldviews import World
+
+    for scale, tasks in ((12, spark.sparkContext.defaultParallelism), (4000, 400)):
+        w = World(spark, "/root/testdata/sf0.001")
+        w.scale = scale
+        plan = ore.y_masks(w.voxels_by_column())._jdf.queryExecution().executedPlan().toString()
+        assert re.findall(r"Exchange hashpartitioning\((x#\d+), (z#\d+), (\d+)\)", plan)[0][2] == str(tasks) and plan.count("Exchange ") == 1
+
+
 def test_deposits_touch_at_corners(spark):
     cells = spark.createDataFrame([(0, 0), (1, 1), (2, 0), (5, 5), (5, 7)], "x int, z int")
     got = {(r.x, r.z): r.component for r in K.components8(cells).collect()}
