@@ -94,6 +94,15 @@ def test_masks_take_one_shuffle_over_tasks_that_grow(spark):
         assert re.findall(r"Exchange hashpartitioning\((x#\d+), (z#\d+), (\d+)\)", plan)[0][2] == str(tasks) and plan.count("Exchange ") == 1
 
 
+def test_indexed_map_deals_voxels_over_tasks_that_grow(spark):
+    from loam.plans.worldviews import World
+
+    w = World(spark, "/root/testdata/sf0.001")
+    w.scale = 4000
+    plan = ore.ore_map_indexed(ore.y_masks(w.voxels_by_column()), w.indexed_cov, w.registry, w.requests, w.size)._jdf.queryExecution().executedPlan().toString()
+    assert ", 400), REPARTITION_BY_NUM" in plan
+
+
 def test_deposits_touch_at_corners(spark):
     cells = spark.createDataFrame([(0, 0), (1, 1), (2, 0), (5, 5), (5, 7)], "x int, z int")
     got = {(r.x, r.z): r.component for r in K.components8(cells).collect()}
