@@ -104,6 +104,27 @@ def test_surface_is_one_job_and_counts_water_plants(spark, monkeypatch):
     assert found == {(x, z): ("FALLBACK" if (x // 32, z // 32) in bad else "FAST", y, b, 4 if wet(x, z) else 0) for (x, z), (y, b) in want.items()}
 
 
+def test_voxels_ask_for_their_columns(spark):
+    """Without asked columns the surface is that of all columns with a voxel, of which no pass of its own is made."""
+    registry, _, voxels, liquids, heights, coverage, dry = world(spark)
+    closed = coverage.selectExpr("cx", "cy", "cz", "IF(cx = 2 AND (cz = 1 OR cy = 0), 'FAILED', status) AS status")
+    for cover in (coverage, closed, closed.where("cx < 2 OR cy = 0")):
+        found = [surface.resolve_surface(c, heights, voxels, registry, liquids, cover, dry, 64) for c in (None, voxels.select("x", "z"))]
+        rows = [sorted(tuple(r) for r in df.collect()) for df in found]
+        assert rows[0] == rows[1] and len(rows[0]) > 1000
+        assert len(re.findall("Exchange ", found[0]._jdf.queryExecution().executedPlan().toString())) < len(re.findall("Exchange ", found[1]._jdf.queryExecution().executedPlan().toString()))
+
+
+def test_cells_of_circles_are_joined_once(columns, circles, monkeypatch):
+    """What is served and what it gives come from one join."""
+    kept = []
+    real = tables.store
+    monkeypatch.setattr(tables, "store", lambda df, name: (kept.append(df), real(df, name))[1])
+    found = tables.stored_pixels(columns, circles.selectExpr("*", "CAST(1.5 AS DOUBLE) AS pixels_per_block"), 64, 64)
+    assert len(kept) == 1 and "x#" not in "".join(re.findall(r"SortMergeJoin .*", found._jdf.queryExecution().executedPlan().toString()))
+    assert sorted({(r.circle, r.served) for r in found.collect()}) == [(1, True), (2, False)]
+
+
 def test_cells_of_circles_are_not_broadcast(spark):
     """Spark takes the cells of circles for as few rows as there are requests."""
     from loam.plans.worlds import request_rock
