@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir), where docs is all that the stage before
 it kept, written as Parquet and read again. All but the last return the columns
-of documents.
+of documents. Stages that work on texts in Python get them in small batches.
 """
 
 from __future__ import annotations
@@ -11,11 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from loam.llm import bpe, exact, mixing, near, toxicity
 from loam.llm.queries import read, word_vocabulary
-from loam.llm.shared import drop, scope, store
+from loam.llm.shared import drop, scope, small_batches, store
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model scores below 0.5."""
+    small_batches(spark)
     return toxicity.without_toxic(docs, read(spark, sf_dir, "labels"))
 
 
@@ -27,6 +28,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by a Jaccard similarity of 0.8 of their five-word
     shingles, the one with the smallest doc_id."""
+    small_batches(spark)
     return near.one_of_each(docs)
 
 
@@ -37,6 +39,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row."""
+    small_batches(spark)
     return bpe.encoded_digests(docs, word_vocabulary())
 
 

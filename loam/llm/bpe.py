@@ -23,9 +23,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Words whose encoding a task keeps; it starts anew when they are as many.
-KNOWN = 200_000
+KNOWN = 1 << 16
 #: Characters of text whose new words are merged together.
-TOGETHER = 1 << 21
+TOGETHER = 1 << 18
 _NONE = np.iinfo(np.int64).max
 
 
@@ -70,7 +70,7 @@ class Bpe:
         self.words = regex.compile(splitters[0]["pattern"]["Regex"])
         self.spaces = regex.compile(spec["normalizer"]["normalizers"][1]["pattern"]["Regex"])
         self.cut = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
-        self.known: dict[str, tuple[bytes, str]] = {}
+        self.known: dict[str, bytes] = {}
 
     def normalise(self, text: str) -> str:
         text = self.spaces.sub(" ", unicodedata.normalize("NFC", text))
@@ -137,18 +137,17 @@ class Bpe:
         plain = [w for w in new if w not in self.special]
         if plain:
             ids, at = self.merge(plain)
-            raw, tokens, at = ids.tobytes(), [self.tokens[i] for i in ids.tolist()], at.tolist()
-            for i, w in enumerate(plain):
-                self.known[w] = (raw[4 * at[i] : 4 * at[i + 1]], " ".join(tokens[at[i] : at[i + 1]]))
+            raw, at = ids.tobytes(), (4 * at).tolist()
+            for w, a, b in zip(plain, at, at[1:]):
+                self.known[w] = raw[a:b]
         for w in new:
             if w in self.special:
-                ids = np.array([self.special[w]])
-                self.known[w] = (ids.astype("<u4").tobytes(), self.decode(ids))
+                self.known[w] = np.array([self.special[w]], "<u4").tobytes()
 
     def encode(self, text: str | None) -> np.ndarray:
         words = self.pieces(text or "")
         self.learn(words)
-        return np.frombuffer(b"".join([self.known[w][0] for w in words]), "<u4")
+        return np.frombuffer(b"".join([self.known[w] for w in words]), "<u4")
 
     def decode(self, ids) -> str:
         return " ".join([self.tokens[i] for i in ids])
@@ -160,9 +159,8 @@ class Bpe:
         self.learn(w for words in parts for w in words)
         known, rows = self.known, []
         for words in parts:
-            found = [known[w] for w in words]
-            ids = b"".join([f[0] for f in found])
-            text = " ".join([f[1] for f in found])
+            ids = b"".join([known[w] for w in words])
+            text = self.decode(np.frombuffer(ids, "<u4").tolist())
             rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()))
         return rows
 

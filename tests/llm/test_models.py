@@ -6,18 +6,21 @@ import math
 import random
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter
 
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
 from loam.llm import ann, bpe, licenses, mixing, toxicity
 from loam.llm.queries import queries, word_vocabulary
+from loam.llm.shared import BATCH, BATCH_BYTES
 
 SMALL, MIDDLE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 
@@ -190,6 +193,41 @@ def test_known_words_start_anew(monkeypatch):
         assert own.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_encoding_holds_little():
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        own = bpe.Bpe(f.read())
+    words = map("".join, itertools.product("abcdefghij", "klmnopqrst", "uvwxyzabcd", "efghijklmn", "opqrstuvwx"))
+    texts = pa.array([" ".join(itertools.islice(words, 400)) for _ in range(250)])  # 100,000 different words
+    tracemalloc.start()
+    n = sum(rows for group in bpe._groups(texts) for rows, *_ in own.digests(group))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n > 280_000 and peak < 40 << 20
+
+
+def test_pipeline_hands_texts_over_in_small_batches(spark, documents):
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["bytes"])
+
+    docs = documents([(i, "word " * 10_000) for i in range(400)]).coalesce(1)
+    try:
+        corpus_pipeline.encode(spark, docs, SMALL)
+        seen = [r.bytes for r in docs.select("text").mapInArrow(sizes, "bytes long").collect()]
+        assert max(seen) < 2 * BATCH and sum(seen) > 400 * 50_000
+        spark.conf.set(BATCH_BYTES, "1000")  # a session's own bound stays
+        corpus_pipeline.encode(spark, docs, SMALL)
+        assert spark.conf.get(BATCH_BYTES) == "1000"
+        # rows of a group that come in several batches are one group
+        labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+        some = documents([(i, f"plain words and more of them {i} " * 9 + "you fool" * (i % 2)) for i in range(60)])
+        model = toxicity.train(some, labels)
+        spark.conf.unset(BATCH_BYTES)
+        assert (model.vectors == toxicity.train(some, labels).vectors).all()
+    finally:
+        spark.conf.unset(BATCH_BYTES)
+
+
 def test_licenses(spark, documents):
     rnd = random.Random(2)
     noise = lambda n: " ".join(rnd.choice(["the", "under", "license", "work", "of", "ore", "this", "lorem"]) for _ in range(n))
