@@ -68,13 +68,13 @@ def index_chunks(batch: DataFrame, registry: DataFrame, size: tuple[int, int, in
         coverage = keyed.select(*KEYS, F.lit("").alias("status"), "event_id")
         seen = published.read(spark, path, COVERAGE, coverage.schema, touched).select(*KEYS, F.col("event_id").alias("_seen"))
         fresh = keyed.join(seen, KEYS, "left").where("_seen IS NULL OR event_id > _seen").drop("_seen")
-        decoded, _ = store(decode.decode_chunk(fresh).drop("liquids"), "decoded")
+        wanted = ore.ore_block_catalog(registry).select("block_id")
+        kept = F.expr("IF(has, data, NULL)").alias("data")
+        decoded, _ = store(ore.with_wanted(decode.read_chunk(fresh), wanted).select(*KEYS, "event_id", "error", kept), "decoded")
         if decoded.isEmpty():
             return
-        wanted = ore.ore_block_catalog(registry).select("block_id")
-        holding = ore.with_wanted(decoded.where("error IS NULL"), wanted).where("has")
         inside = [G.in_world(F.col(c), n) for c, n in zip("xyz", size)]
-        voxels = decode.chunk_voxels(holding).where(inside[0] & inside[1] & inside[2]).join(small(wanted), "block_id", "left_semi")
+        voxels = decode.raw_voxels(decoded.where("data IS NOT NULL")).where(inside[0] & inside[1] & inside[2]).join(small(wanted), "block_id", "left_semi")
         status = F.when(F.col("error").isNull(), "AVAILABLE").otherwise("FAILED")
         write_resource_index(ore.y_masks(voxels), decoded.select(*KEYS, status.alias("status"), "event_id"), path, number)
 

@@ -4,13 +4,14 @@ import json
 import sqlite3
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from loam.functions import geometry as G
 from loam.operators.tables import first_kept, known_absent
-from loam.sources import payloads, published, savefile
+from loam.sources import decode, payloads, published, savefile
 from loam.sources import tables as T
 from loam.streaming import refresh
 
@@ -119,6 +120,31 @@ def test_arriving_payloads_end_in_the_index_of_a_batch_run(spark, tmp_path):
     assert index_of(spark, narrow, ARRIVED)[0] == [(0, 0, 0, 5, 1, 3, 1 << 2)]
 
 
+def test_unfolded_chunks_are_neither_stored_nor_held(spark, tmp_path, monkeypatch):
+    """Full chunks: what is stored is as small as payloads, and voxels leave chunk by chunk."""
+    registry = spark.createDataFrame([(1, "game:rock-granite"), (5, "game:ore-poor-nativecopper-granite")], "block_id int, code string")
+    full, plain = np.resize(np.array([5, 1, -7], np.int32), payloads.CELLS), np.ones(payloads.CELLS, np.int32)
+    raw = [(n, n % 50 | n // 50 << 27, bytearray(payloads.put_chunk(plain if n % 5 == 4 else full))) for n in range(100)]
+    raw += [(100, 60, bytearray(payloads.put_chunk(full)[:-9])), (101, 61, bytearray(payloads.put(15, 1)))]
+    stored, store = [], refresh.store
+    monkeypatch.setattr(refresh, "store", lambda df, name, **k: stored.append(df.schema) or store(df, name, **k))
+    path, frame = str(tmp_path / "index"), spark.createDataFrame(raw, "event_id long, position long, data binary").coalesce(1)
+    refresh.index_chunks(frame, registry, (4096, 32, 4096), path)
+    assert stored and not any("array" in f.dataType.simpleString() for schema in stored for f in schema)
+    occurrences, coverage = index_of(spark, path, ARRIVED)
+    want = {(at % 32, at // 32 % 32): 0 for at in range(1024)}
+    for at in np.flatnonzero(full == 5).tolist():
+        want[at % 32, at // 32 % 32] |= 1 << at // 1024
+    assert occurrences == sorted(((n % 50, 0, n // 50, 5, x, z, m) for n in range(100) if n % 5 != 4 for (x, z), m in want.items()), key=repr)
+    assert coverage == sorted([(n % 50, 0, n // 50, "AVAILABLE", n) for n in range(100)] + [(60, 0, 0, "FAILED", 100), (61, 0, 0, "FAILED", 101)], key=repr)
+    whole = frame.where("event_id < 100").select((F.col("event_id") % 50).cast("int").alias("cx"), F.lit(1).alias("cy"), F.lit(2).alias("cz"), "data")
+    voxels = decode.raw_voxels(whole)
+    assert voxels.groupBy(F.expr("x div 32"), F.expr("y div 32"), F.expr("z div 32")).count().count() == 50
+    assert rows(voxels.exceptAll(decode.chunk_voxels(decode.decode_chunk(whole))).limit(1)) == [] and voxels.count() == 100 * payloads.CELLS
+    most = voxels.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"]) for b in batches), "n long")
+    assert voxels.where("block_id = -7").count() == 80 * int((full == -7).sum()) and most.agg(F.max("n")).first()[0] <= decode.UNFOLDED
+
+
 def test_first_delivery_is_kept(spark):
     df = spark.createDataFrame([(1, 9, "late"), (1, 3, "first"), (2, 5, "only"), (1, 3, "third")], "k int, event_id long, status string")
     assert rows(first_kept(df, ["k"], ["event_id"])) == [(1, 3, "first", 2), (2, 5, "only", 0)]
