@@ -106,6 +106,31 @@ def test_stored_reads_prune_regions_and_short_forms_agree(spark, tmp_path):
     assert legend == rows(stored_columns(rock, circles, 1100, 600).where("served").groupBy("circle", "state", "rock_code").count())
 
 
+def test_odd_circles_are_served_as_their_cells_say(spark, tmp_path):
+    """Against a plain loop: holes, columns stored twice, other sizes, edges, repeated and absent circles."""
+    rnd = random.Random(9)
+    cells = [(x, z, 560, 70, rnd.choice("ab")) for x in range(490, 540) for z in range(70) if (x, z) != (495, 40)]
+    cells += [(530, 60, 560, 70, "c"), (500, 10, 560, 99, "d"), (520, 5, None, 70, "e")]
+    T.publish(T.with_region(spark.createDataFrame(cells, "x int, z int, size_x int, size_z int, class string")), str(tmp_path / "s"), ["rx", "rz"])
+    asked = [(i, rnd.randrange(488, 542), rnd.randrange(-2, 72), rnd.randrange(-2, 14)) for i in range(150)]
+    asked += [(150, 512, 65, 4), (150, 520, 30, 8), (151, 515, 30, 9), (151, 515, 30, 9), (152, 515, 30, 9), (152, 496, 40, 2), (153, 530, 60, 9), (154, None, 5, 1), (155, 5, 5, -1)]
+    circles = spark.createDataFrame(asked, "circle int, cx int, cz int, radius int")
+    at, served, want = {}, {}, []
+    for x, z, sx, sz, c in cells:
+        at.setdefault((x, z), []).append((sx == 560 and sz == 70, c))
+    disc = lambda cx, cz, r: [(x, z) for x in range(cx - r, cx + r + 1) for z in range(cz - r, cz + r + 1) if (x - cx) ** 2 + (z - cz) ** 2 <= r * r]
+    for i, cx, cz, r in asked:
+        if cx is not None:
+            ok = r >= 0 and all(0 <= x < 560 and 0 <= z < 70 and (x, z) in at and all(f for f, _ in at[x, z]) for x, z in disc(cx, cz, r))
+            served[i] = served.get(i, True) and ok
+    for i, cx, cz, r in asked:
+        if served.get(i):
+            want += [(i, x, z, c, True) for x, z in disc(cx, cz, r) for _, c in at[x, z]]
+    want += [(i, None, None, None, False) for i, ok in served.items() if not ok]
+    got = stored_columns(spark.read.parquet(str(tmp_path / "s")), circles, 560, 70).select("circle", "x", "z", "class", "served")
+    assert rows(got) == sorted(want, key=repr) and 20 < sum(served.values()) < len(served) - 20 and served[153]
+
+
 def test_region_profiles_in_one_pass(spark):
     cells = [(0, 0, "climate", 100 << 16 | 200 << 8), (0, 0, "climate", 102 << 16 | 202 << 8), (0, 0, "forest", 300), (0, 0, "forest", 0), (0, 0, "ocean", 7), (0, 0, "ocean", 9)]
     cells += [(0, 0, "landform", i) for i in range(12)] + [(0, 0, "landform", 11)] + [(0, 0, "province", -5), (1, 0, "province", 3), (2, 0, "ore:x", 4), (3, 0, "ocean", 0)]
